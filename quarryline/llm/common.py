@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +59,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str, partitions: Callable | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
     path = shared_path(spark, name)
@@ -88,23 +88,30 @@ def steps(texts: list[str | None], limit: int = STEP_BYTES) -> Iterator[tuple[in
         yield lo, len(texts)
 
 
-def map_texts(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, object]], schema: str, keep: list[str], text: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, object]], schema: str, keep: Sequence[str] = (), text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Run fn over bounded slices of df's rows. fn gets the kept columns and the text column as lists and
-    returns the columns of schema as lists or arrays (any number of rows)."""
-    struct = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    returns the columns of schema as lists or arrays, of any number of rows. With carry, fn returns a row for each row
+    it gets, and those columns of df go along in front unless schema has their names."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    made = T._parse_datatype_string(schema)
+    carry = [c for c in carry if c not in made.names]
+    struct = T.StructType([*(T.StructField(c, df.schema[c].dataType, True) for c in carry), *made.fields])
     arrow = to_arrow_schema(struct)
-    names = [*keep, text]
+    source = list(dict.fromkeys([*keep, text, *carry]))
+    wanted = [*keep, text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {n: batch.column(i).to_pylist() for i, n in enumerate(names)}
+            cols = {n: batch.column(source.index(n)).to_pylist() for n in wanted}
+            along = [batch.column(source.index(n)) for n in carry]
             for lo, hi in steps(cols[text]):
                 out = fn({n: c[lo:hi] for n, c in cols.items()})
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+                arrays = [*(c.slice(lo, hi - lo).cast(arrow.field(n).type) for n, c in zip(carry, along, strict=True))]
+                arrays += [pa.array(out[f.name], type=f.type) for f in list(arrow)[len(carry) :]]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return df.select(*names).mapInArrow(run, struct)
+    return df.select(*source).mapInArrow(run, struct)
 
 
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:

@@ -55,7 +55,7 @@ def op8_bucket_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.components(table(spark, sf_dir, "documents"))
+    return ngram_join.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:

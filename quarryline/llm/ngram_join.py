@@ -1 +1,412 @@
-"""To come."""
+"""Exact Jaccard self-join of documents on word shingles, and the components of its links.
+
+Documents become sets of hashed shingles. Rows with equal sets form one class, and one row stands for it. Two sets of
+Jaccard at least 0.8 share a shingle among their prefixes: the first n - ceil(0.8 n) + 1 shingles in one global order
+that puts the most frequent shingles last. Shingles of prefixes are the keys that deal sets to index blocks.
+
+In a block, the shingles of a set are counted in GROUPS groups by hash, and the counts are a point. The points are
+bulk-loaded into an R-tree whose nodes hold the coordinates' maxima: the sum of coordinate minima of two points
+bounds the overlap, of a point and a node's maxima the overlap with all below. Pairs whose bound reaches the overlap
+that their sizes ask for survive, and are verified on the sets.
+
+Only components are asked for, so pairs within a component need not be listed. Stars come first: in each block every
+member is verified against one pivot, ROUNDS times with other pivots, and links are merged into components. Blocks
+with one component are done. The R-tree then searches the rest for pairs across components, so no link between
+components is lost, while a group of thousands of copies costs a few pairs a member. Blocks over BLOCK rows are
+cut into salted parts that meet pairwise, so no block has to fit into one task.
+
+Words are [^\\x20\\x09-\\x0D]+ after A-Z are lower-cased; fewer than five words are one shingle. Shingles are
+compared by 64-bit hashes. Nulls: a null text counts as without words: an empty set, linked with nothing. Rows with a null
+doc_id keep it, and a component's id is its smallest non-null doc_id. Repeated rows come back once each. An empty
+table gives no rows. Other columns of the input are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quarryline.llm.common import map_texts, materialize, mix64, prepare, steps
+
+WORDS, PERCENT = 5, 80
+GROUPS = 64
+FANOUT = 16
+BLOCK = 2048
+ROUNDS = 3
+#: Length of the list of frequent shingles (it only orders shingles: any length gives the same links), and how
+#: many shingles a task counts at once to find them.
+FREQUENT = 1 << 16
+COUNTED = 1 << 22
+_ODD = 0x9E3779B97F4A7C15 | 1
+_UPPER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
+_powers: dict[str, np.ndarray] = {}
+
+
+def _table(n: int) -> np.ndarray:
+    """Powers of an odd number modulo 2^64."""
+    if len(_powers.get("p", ())) < n:
+        with np.errstate(over="ignore"):
+            _powers["p"] = np.cumprod(np.full(max(n, 1 << 20), _ODD, dtype=np.uint64))
+    return _powers["p"][:n]
+
+
+def word_hashes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word of a lower-cased blob."""
+    raw = np.frombuffer(blob, dtype=np.uint8)
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(start):
+        return np.zeros(0, dtype=np.uint64), start
+    # A word's polynomial: byte values times powers of the place within the word.
+    base = np.zeros(len(raw), dtype=np.int64)
+    base[start] = np.diff(np.concatenate([[0], start]))
+    at = np.arange(len(raw), dtype=np.int64) - np.cumsum(base)
+    with np.errstate(over="ignore"):
+        value = (raw.astype(np.uint64) + np.uint64(1)) * _table(int(at.max()) + 1)[at]
+        value[space] = 0
+        return mix64(np.add.reduceat(value, start) ^ ((end - start).astype(np.uint64) << np.uint64(48))), start
+
+
+def shingles(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every shingle, document by document, and the documents' bounds."""
+    blobs = [(t.encode("utf-8", "surrogatepass").translate(_UPPER) if t else b"") + b" " for t in texts]
+    ends = np.cumsum([len(b) for b in blobs])
+    h, start = word_hashes(b"".join(blobs))
+    n_words = np.diff(np.searchsorted(start, ends), prepend=0) if len(texts) else np.zeros(0, dtype=np.int64)
+    first = np.cumsum(n_words) - n_words
+    total = np.zeros(max(len(h) - words + 1, 0), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(words if len(total) else 0):
+            total = mix64(total + h[i : len(h) - words + 1 + i], i + 1)
+        count = np.where(n_words >= words, n_words - words + 1, (n_words > 0).astype(np.int64))
+        bounds = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+        keep = np.zeros(len(h), dtype=bool)  # a shingle starts at every word but a document's last ones
+        mark = np.zeros(len(h) + 1, dtype=np.int64)
+        full = n_words >= words
+        np.add.at(mark, first[full], 1)
+        np.add.at(mark, first[full] + count[full], -1)
+        keep = np.cumsum(mark[:-1])[: len(total)] > 0
+        out = np.empty(bounds[-1], dtype=np.uint64)
+        short = np.flatnonzero((n_words > 0) & (n_words < words))
+        here = np.ones(len(out), dtype=bool)
+        here[bounds[short]] = False
+        out[here] = total[keep]
+        for d in short:
+            x = np.zeros(1, dtype=np.uint64)
+            for i in range(n_words[d]):
+                x = mix64(x + h[first[d] + i : first[d] + i + 1], i + 101)
+            out[bounds[d]] = x[0]
+    return out, bounds
+
+
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes, ascending within each document, and the documents' bounds."""
+    value, bounds = shingles(texts, words)
+    for lo, hi in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+        value[lo:hi].sort()
+    keep = np.ones(len(value), dtype=bool)
+    keep[1:] = value[1:] != value[:-1]
+    keep[bounds[:-1][np.diff(bounds) > 0]] = True
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    return value[keep], kept[bounds]
+
+
+def node_ids(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each whole set."""
+    n = np.diff(bounds)
+    out = n.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for seed in (7, 8):
+            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(value, seed), dtype=np.uint64)])
+            out = mix64(out * np.uint64(_ODD) + (sums[bounds[1:]] - sums[bounds[:-1]]), seed)
+    return out.view(np.int64)
+
+
+def prefix_size(n: np.ndarray | int, percent: int = PERCENT):
+    """Shingles that two linked sets cannot both miss: n - ceil(percent * n / 100) + 1."""
+    return n - -(-percent * n // 100) + 1
+
+
+def needed_overlap(a, b, percent: int = PERCENT):
+    """Least overlap of linked sets of sizes a and b: ceil(percent * (a + b) / (100 + percent))."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+class CountTree:
+    """An R-tree over count vectors, packed bottom-up. Nodes keep coordinate maxima and the range of sizes."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, fanout: int = FANOUT):
+        self.points, self.sizes = points.astype(np.int32), sizes.astype(np.int64)
+        # Packing order: by size, then by the widest coordinates' counts, so that neighbours resemble each other.
+        wide = np.argsort(-self.points.var(axis=0), kind="stable")[:3] if len(points) else []
+        self.order = np.lexsort([*(self.points[:, w] for w in wide[::-1]), self.sizes // 16])
+        p, lo, hi = self.points[self.order], self.sizes[self.order], self.sizes[self.order]
+        self.levels = [(p, lo, hi)]
+        while len(p) > fanout:
+            cuts = np.arange(0, len(p), fanout)
+            p, lo, hi = np.maximum.reduceat(p, cuts), np.minimum.reduceat(lo, cuts), np.maximum.reduceat(hi, cuts)
+            self.levels.append((p, lo, hi))
+        self.fanout = fanout
+
+    def search(self, point: np.ndarray, size: int, percent: int = PERCENT) -> np.ndarray:
+        """Rows whose sizes fit and whose bound on the overlap reaches what the sizes need."""
+        at = np.arange(len(self.levels[-1][0]))
+        for depth in range(len(self.levels) - 1, -1, -1):
+            p, lo, hi = self.levels[depth]
+            at = at[(100 * hi[at] >= percent * size) & (percent * lo[at] <= 100 * size)]
+            bound = np.minimum(p[at], point).sum(axis=1)
+            at = at[bound >= needed_overlap(size, lo[at], percent)]
+            if depth:
+                at = (at[:, None] * self.fanout + np.arange(self.fanout)).reshape(-1)
+                at = at[at < len(self.levels[depth - 1][0])]
+        return self.order[at]
+
+
+def block_pairs(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Surviving pairs (smaller id first) of rows in different components; with two sides, only across them."""
+    left, right = [], []
+    both = side.min() != side.max()
+    inner, outer = (np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())) if both else (np.arange(len(ids)),) * 2
+    if len(inner) * len(outer) <= 256:  # a small block is one node
+        a, b = (x.reshape(-1) for x in np.meshgrid(inner, outer, indexing="ij"))
+        keep = (comps[a] != comps[b]) & (both | (a < b)) & (100 * sizes[a] >= percent * sizes[b]) & (100 * sizes[b] >= percent * sizes[a])
+        a, b = a[keep], b[keep]
+        keep = np.minimum(points[a], points[b]).sum(axis=1, dtype=np.int64) >= needed_overlap(sizes[a], sizes[b], percent)
+        left, right = [a[keep]], [b[keep]]
+    else:
+        tree = CountTree(points[inner], sizes[inner])
+        for j in outer:
+            i = inner[tree.search(points[j].astype(np.int32), int(sizes[j]), percent)]
+            i = i[(comps[i] != comps[j]) & (both | (i < j))]
+            left.append(i)
+            right.append(np.full(len(i), j))
+    a, b = ids[np.concatenate(left).astype(np.int64)], ids[np.concatenate(right).astype(np.int64)]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def frequent_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
+    """Hashes of the most frequent shingles, rarest first. Each task counts its shingles in large portions and sends
+    those that it met twice or more; counts are then summed over the corpus."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            values, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(values[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
+
+        size = 0
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for lo, hi in steps(texts):
+                held.append(shingles(texts[lo:hi], words)[0])
+                size += len(held[-1])
+                if size >= COUNTED:
+                    size = 0
+                    yield flush()
+        if held:
+            yield flush()
+
+    seen = docs.where("text IS NOT NULL").select("text").mapInArrow(count, "h long, n long")
+    top = seen.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    return np.asarray([r["h"] for r in reversed(top)], dtype=np.int64).view(np.uint64)
+
+
+def prefixes(value: np.ndarray, bounds: np.ndarray, listed: np.ndarray, place: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of each set (ascending values) and the bounds: unlisted shingles by value, then listed ones by place."""
+    n = np.diff(bounds)
+    size = np.where(n > 0, prefix_size(n, percent), 0)
+    owner = np.repeat(np.arange(len(n)), n)
+    late = np.zeros(len(value), dtype=bool)
+    if len(listed):
+        spot = np.minimum(np.searchsorted(listed, value), len(listed) - 1)
+        late = listed[spot] == value
+    early = np.concatenate([[0], np.cumsum(~late)])
+    keep = ~late & (early[1:] - early[bounds[:-1]][owner] <= size[owner])
+    lacks = size - (early[bounds[1:]] - early[bounds[:-1]])  # listed shingles that the prefix takes in too
+    rows = np.flatnonzero(late & (lacks[owner] > 0))
+    rows = rows[np.lexsort((place[spot[rows]], owner[rows]))] if len(rows) else rows
+    begin = np.searchsorted(owner[rows], np.arange(len(n)))
+    taken = rows[np.arange(len(rows)) - begin[owner[rows]] < lacks[owner[rows]]]
+    keep[taken] = True
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    return value[keep], kept[bounds]
+
+
+def signatures(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n, node (a name of the whole set) and keys (the prefix) of every row."""
+    place = np.argsort(frequent)
+    sent = docs.sparkSession.sparkContext.broadcast((frequent[place], place))
+
+    def run(cols: dict) -> dict:
+        value, bounds = shingle_sets(cols["text"], words)
+        keys, cuts = prefixes(value, bounds, *sent.value, percent)
+        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(keys.view(np.int64)))
+        return {"doc_id": cols["doc_id"], "n": np.diff(bounds), "node": node_ids(value, bounds), "keys": lists}
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return map_texts(docs, run, f"doc_id {kind}, n long, node long, keys array<long>", ["doc_id"])
+
+
+def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """rep, shingles (ascending hashes as bytes), point (counts in GROUPS groups as bytes) of rows with a text."""
+
+    def run(cols: dict) -> dict:
+        value, bounds = shingle_sets(cols["text"], words)
+        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        group = owner * GROUPS + (value >> np.uint64(40)).astype(np.int64) % GROUPS
+        points = np.bincount(group, minlength=(len(bounds) - 1) * GROUPS).reshape(-1, GROUPS)
+        raw = value.astype("<u8")
+        cut = zip(bounds.tolist(), bounds[1:].tolist(), strict=False)
+        return {"rep": node_ids(value, bounds), "shingles": [raw[a:b].tobytes() for a, b in cut], "point": [p.astype("<u2" if p.max() < 65536 else "<u4").tobytes() for p in points]}
+
+    return map_texts(docs, run, "rep long, shingles binary, point binary", [])
+
+
+def _point(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * GROUPS else "<u4").astype(np.int32)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose sets are linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right, keep = batch.column(2), batch.column(3), []
+            for x, y in zip(left, right, strict=True):
+                u, v = np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(100 * both >= percent * (len(u) + len(v) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("_a"))
+    two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("_b"))
+    # Many pairs share their pivot: the join's skew handling may split its rows.
+    return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
+
+
+def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (rep, comp) with the components that links (a, b) join merged; comp is the least rep.
+
+    Stars of the current roots shrink until none is left: each round every root takes the least root next to it and
+    labels jump once more, so rounds grow with the logarithm of a component's diameter."""
+    current = labels
+    side = lambda c: current.select(F.col("rep").alias(c), F.col("comp").alias(f"c{c}"))
+    edges = links.join(side("a"), "a").join(side("b"), "b").where("ca <> cb").select(F.col("ca").alias("u"), F.col("cb").alias("v")).distinct()
+    edges = materialize(edges, "edges")
+    parents = None
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        step = both.groupBy("u").agg(F.min("v").alias("p")).withColumn("p", F.least("u", "p"))
+        up = step.select(F.col("u").alias("p"), F.col("p").alias("g"))
+        step = materialize(step.join(up, "p").select("u", F.col("g").alias("p")), "parents")  # every p is itself an end of an edge
+        if parents is None:
+            parents = step
+        else:
+            nxt = step.select(F.col("u").alias("_u"), F.col("p").alias("_p"))
+            moved = parents.join(nxt, parents["p"] == nxt["_u"], "left").select("u", F.coalesce("_p", "p").alias("p"))
+            parents = materialize(moved, "parents")
+        to = lambda c: step.select(F.col("u").alias(c), F.col("p").alias(f"p{c}"))  # noqa: E731, B023
+        edges = edges.join(to("u"), "u").join(to("v"), "v").where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct()
+        edges = materialize(edges, "edges")
+    if parents is None:
+        return current
+    moved = current.join(parents.withColumnRenamed("u", "comp"), "comp", "left")
+    return materialize(moved.select("rep", F.coalesce("p", "comp").alias("comp")), "labels")
+
+
+def link_representatives(keys: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(rep, comp) of the representatives that share keys: keys (rep, n, doc_id, key), docs (doc_id, text)."""
+    dealt = keys.repartition("key")  # one shuffle serves the counts and the join
+    counted = dealt.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("least")).where("m > 1")
+    blocks = materialize(dealt.join(counted, "key").select("key", "rep", "n", "doc_id", "least", "m"), "blocks")
+    members = materialize(blocks.select("rep", "n", "doc_id").distinct(), "members")
+    texts = docs.join(members.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    sets = materialize(sets_of(texts, words), "sets")
+    if sets.count() != sets.select("rep").distinct().count():  # ids that several rows share
+        sets = materialize(sets.dropDuplicates(["rep"]), "sets")
+    labels = members.select("rep", F.col("rep").alias("comp"))
+    fit = (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & (F.col("rep") != F.col("pivot"))
+    mixed = blocks.select("key", "rep", "n", "m", F.col("rep").alias("comp"))
+    for turn in range(ROUNDS):
+        # A pivot a block: the member that a hash of member and turn puts first.
+        pick = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), F.col("rep").alias("pivot"), F.col("comp").alias("pc"), F.col("n").alias("pn")))
+        pivots = mixed.groupBy("key").agg(pick.alias("x")).select("key", "x.pivot", "x.pc", "x.pn")
+        stars = mixed.join(pivots, "key").where(fit & (F.col("comp") != F.col("pc")))
+        stars = materialize(stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+        links = materialize(verify(stars, sets, percent), "links")
+        labels = merge_components(labels, links)
+        joined = blocks.select("key", "rep", "n", "m").join(labels, "rep")
+        spread = joined.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        mixed = materialize(joined.join(spread, "key"), "mixed")
+    # What is left: pairs across components, found by the trees and verified.
+    pairs = materialize(tree_pairs(mixed.join(sets.select("rep", "point"), "rep"), percent).distinct(), "pairs")
+    return merge_components(labels, materialize(verify(pairs, sets, percent), "links"))
+
+
+def tree_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Surviving pairs (a, b) of blocks (key, m, rep, n, comp, point). A block over BLOCK rows is cut into salted
+    parts; each two parts meet in a block of their own, and each part alone in another."""
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep", F.lit(5)), parts).cast("int")
+    dealt = rows.withColumn("s", parts).withColumn("own", own)
+    meets = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q")))
+    dealt = dealt.select("key", "rep", "comp", "n", "point", "own", F.explode(meets).alias("x")).select("key", "rep", "comp", "n", "point", F.col("x.p").alias("p"), F.col("x.q").alias("q"), (F.col("own") == F.col("x.p")).alias("first"))
+    grouped = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+
+        def pairs(frame: pd.DataFrame) -> pd.DataFrame:
+            ids, comps = frame["rep"].to_numpy(), frame["comp"].to_numpy()
+            sizes = frame["n"].to_numpy()
+            points = np.stack([_point(x) for x in frame["point"]]) if len(frame) else np.zeros((0, GROUPS), dtype=np.int32)
+            side = (~frame["first"].to_numpy(dtype=bool)).astype(np.int64)
+            block = frame[["key", "p", "q"]].to_numpy()
+            cut = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]).any(axis=1), [True]]))
+            a, b = [], []
+            for lo, hi in zip(cut, cut[1:], strict=False):
+                if hi - lo > 1 and comps[lo:hi].min() != comps[lo:hi].max():
+                    x, y = block_pairs(ids[lo:hi], comps[lo:hi], sizes[lo:hi], points[lo:hi], side[lo:hi], percent)
+                    a.append(x)
+                    b.append(y)
+            none = np.zeros(0, dtype=np.int64)
+            return pd.DataFrame({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])}).drop_duplicates()
+
+        for frame in frames:  # a block may go on in the next frame
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            last = frame.iloc[-1] if len(frame) else None
+            same = (frame["key"] == last["key"]) & (frame["p"] == last["p"]) & (frame["q"] == last["q"]) if last is not None else None
+            rest = frame[same] if same is not None else None
+            if same is not None and not same.all():
+                yield pairs(frame[~same])
+        if rest is not None and len(rest):
+            yield pairs(rest)
+
+    return grouped.select("key", "rep", "comp", "n", "point", "p", "q", "first").mapInPandas(run, "a long, b long")
+
+
+def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (least doc_id with the same set) of every row of docs."""
+    prepare(docs.sparkSession)
+    base = docs.select("doc_id", "text")
+    signed = materialize(signatures(base, frequent_shingles(base, words), words, percent), "signed")
+    # Rows with equal sets are one node; its keys come from any of them.
+    classes = signed.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
+    keys = classes.select(F.col("node").alias("rep"), "n", "doc_id", F.explode("keys").alias("key"))
+    labels = link_representatives(keys, base, words, percent)
+    rows = signed.select("doc_id", "n", "node").join(labels.withColumnRenamed("rep", "node"), "node", "left")
+    rows = rows.withColumn("comp", F.coalesce("comp", "node"))
+    # The smallest id of each node, then of each component, summed up before each shuffle.
+    nodes = rows.where("n > 0").groupBy("node", "comp").agg(F.min("doc_id").alias("class_id"))
+    least = nodes.groupBy("comp").agg(F.min("class_id").alias("component_id"))
+    named = nodes.join(least, "comp").select("node", "class_id", "component_id")
+    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
