@@ -61,10 +61,14 @@ def _count(pattern: str, text) -> F.Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
-def base_columns(text: F.Column, phrases=PHRASES) -> dict[str, F.Column]:
-    """n_words, n_base, first_word, last_word and base (an array of labels)."""
+def may_have_phrase(text: F.Column, phrases=PHRASES) -> F.Column:
+    """False only where no phrase stands: tells by two words of each, so most texts need one pass."""
     heads = "|".join(rf"{p.split(' ')[0]}{GAP}+{p.split(' ')[1]}" for p, _ in phrases)
-    maybe = text.rlike(f"(?i)(?:{heads})")
+    return text.rlike(f"(?i)(?:{heads})")
+
+
+def base_columns(text: F.Column, maybe: F.Column, phrases=PHRASES) -> dict[str, F.Column]:
+    """n_words, n_base, first_word, last_word and base (an array of labels); maybe is may_have_phrase()."""
     counts = [(_count(_phrase_regex(p), text), label, _phrase_regex(p)) for p, label in phrases]
     zero = F.lit(0).cast("long")
     n_base = F.when(maybe, sum((c for c, _, _ in counts), zero)).otherwise(zero)
@@ -87,8 +91,13 @@ def base_columns(text: F.Column, phrases=PHRASES) -> dict[str, F.Column]:
 
 
 def _words(text: F.Column) -> F.Column:
+    """Words of a text in lower case."""
+    return F.split(text, f"{GAP}+")
+
+
+def _lower(text: F.Column) -> F.Column:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.regexp_extract_all(F.translate(text, upper, upper.lower()), F.lit(f"({WORD}+)"), F.lit(1))
+    return F.translate(text, upper, upper.lower())
 
 
 def template_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, window: int = WINDOW, stride: int = STRIDE, threshold: float = THRESHOLD) -> DataFrame:
@@ -97,8 +106,9 @@ def template_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, win
     sets = {label: sorted(set(t.split())) for label, t in templates.items()}
     vocabulary = sorted(set().union(*sets.values()))
     # Global order: documents that hold each template word, over the whole corpus; one row a template word.
-    seen = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<!{WORD})({'|'.join(vocabulary)})(?!{WORD})"), F.lit(1)))).alias("word"))
-    counted = {r["word"]: r["count"] for r in seen.where(F.col("word").isin(vocabulary)).groupBy("word").count().collect()}
+    listed = F.array(*[F.lit(w) for w in vocabulary])
+    seen = docs.select(F.explode(F.array_intersect(_words(F.lower("text")), listed)).alias("word"))
+    counted = {r["word"]: r["count"] for r in seen.groupBy("word").count().collect()}
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counted.get(w, 0), w)))}
     ranked = {label: sorted(ws, key=order.get) for label, ws in sets.items()}
     prefix = [(ws[i], label, i, len(ws), needed(len(ws), threshold), ws) for label, ws in ranked.items() for i in range(len(ws) - needed(len(ws), threshold) + 1)]
@@ -107,9 +117,8 @@ def template_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, win
     shortest = min((p[4] for p in prefix), default=1)
     # Documents without a prefix word hold no match; the others are cut into blocks.
     hold = docs.where(F.col("text").rlike(rf"(?i)(?<!{WORD})(?:{'|'.join(rare)})(?!{WORD})"))
-    cut = hold.select("_row", _words(F.col("text")).alias("_w"))
+    cut = hold.select("_row", F.filter(_words(_lower(F.col("text"))), lambda w: w != "").alias("_w"))
     blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("_w") - window) / stride).cast("int")))
-    listed = F.array(*[F.lit(w) for w in vocabulary])
     cut = cut.select("_row", F.explode(F.transform(blocks, lambda i: F.struct((i * stride).alias("start"), F.array_intersect(F.slice("_w", i * stride + 1, window), listed).alias("held")))).alias("b")).select("_row", "b.*")
     cut = cut.where(F.size("held") >= shortest)  # length filter
     pairs = cut.select("_row", "start", "held", F.explode("held").alias("word")).join(F.broadcast(index), "word").where(F.size("held") >= F.col("need"))
@@ -128,8 +137,8 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates: dict[str, str] =
     found = template_matches(base.select("_row", "text"), templates, window, stride, threshold)
     found = found.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("label", "start", "score"))).alias("matches"), F.max("score").alias("_best"))
     found = materialize(found.withColumnRenamed("_row", "_found"), "licenses")
-    cols = base_columns(F.col("text"), phrases)
-    scanned = base.select("_row", "doc_id", *[c.alias(n) for n, c in cols.items()])
+    cols = base_columns(F.col("text"), F.col("_maybe"), phrases)
+    scanned = base.withColumn("_maybe", may_have_phrase(F.col("text"), phrases)).select("_row", "doc_id", *[c.alias(n) for n, c in cols.items()])
     joined = scanned.join(found, F.col("_row").eqNullSafe(F.col("_found")), "left")
     own = F.coalesce(F.transform("matches", lambda m: m["label"]), F.array().cast("array<string>"))
     score = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("_best", F.lit(0.0)))
