@@ -24,7 +24,7 @@ from quarryline.llm.tokens import encoder
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-SHARD_ROWS = 20_000
+SHARD_ROWS = 10_000
 ENCODINGS = {"delta": "false", "dictionary": "true"}
 
 

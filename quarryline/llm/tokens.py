@@ -1,33 +1,37 @@
-"""Encoding with files of the tokenizers library, word by word with a bounded memory of known words.
+"""Encoding with files of the tokenizers library, with a bounded memory of chunks met before.
 
-A pre-tokenised piece is encoded by itself, so texts whose characters the pattern engine here and the
-library's treat alike (Latin-1 without the control characters U+001C..U+001F) are split here, and the library
-encodes each piece that the worker has not met. All other texts, and files with another structure, go to the
-library whole. Both ways give the same ids.
+In the two kinds of file known here no token spans a chunk: white space apart, a word with the marks and digits that
+touch it, in byte-level files with the space before it. Texts whose characters are white space here and in the
+library alike (Latin-1 without the control characters U+001C..U+001F) are cut into chunks, the library encodes
+each chunk that the worker has not met, and a text's ids are its chunks' ids. All other texts, and files of
+another kind, go to the library whole. Both ways give the same ids.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 
-#: Split pattern of byte-level BPE files that name none (fixed value of the public GPT-2 tokenizer).
-BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MAX_KNOWN = 300_000
-MAX_PIECE = 48
+#: Fixed value: the split pattern of the public CLIP tokenizer. Its pieces never hold white space.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Chunks remembered by a worker, and their length at most.
+MAX_KNOWN = 400_000
+MAX_CHUNK = 40
+_MARKS = ".,;:!?"
+_BYTE_LEVEL = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
 
 
-def _profile(config: dict) -> tuple[str, bool] | None:
-    """(pattern, lower-case first) if the file's pieces can be found here."""
+def _kind(config: dict) -> str | None:
     pre, norm = config.get("pre_tokenizer") or {}, config.get("normalizer")
     if norm is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True):
-        return BYTE_LEVEL_PATTERN, False
-    kinds = [n["type"] for n in (norm or {}).get("normalizers", [])]
+        return "byte"
+    norms = [n["type"] for n in (norm or {}).get("normalizers", [])]
     parts = pre.get("pretokenizers", [])
-    if kinds == ["NFC", "Replace", "Lowercase"] and len(parts) == 2 and parts[0].get("type") == "Split" and parts[0].get("invert") and parts[0]["behavior"] == "Removed" and parts[1].get("type") == "ByteLevel" and not parts[1].get("use_regex"):
-        return parts[0]["pattern"]["Regex"], True
+    if norms == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": WORD_PATTERN} and parts[0]["behavior"] == "Removed" and parts[0]["invert"] and not parts[1]["use_regex"]:
+        return "word"
     return None
 
 
@@ -36,21 +40,45 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
-            found = _profile(json.load(f))
-        self.find = regex.compile(found[0]).findall if found else None
-        self.lower = bool(found and found[1])
-        self.odd = regex.compile("[\x1c-\x1f]").search
+            self.kind = _kind(json.load(f))
+        # Many chunks go to the library in one text, as a call a chunk costs more than its encoding. The ids are cut
+        # where a token starts with a space (byte level), or after a token that ends a word.
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for token, i in vocabulary.items():
+            self.edge[i] = token.startswith("\u0120") if self.kind == "byte" else token.endswith("</w>")
+        self.odd = re.compile("[\x1c-\x1f]").search
         self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _cut(self, ids: np.ndarray) -> np.ndarray:
+        """Bounds of the words or chunks of ids."""
+        edges = np.flatnonzero(self.edge[ids])
+        return np.append(edges, len(ids)) if self.kind == "byte" else np.append(0, edges + 1)
+
+    def _chunks(self, fresh: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        if self.kind == "byte":  # a chunk with its space
+            groups = [([c for c in fresh if c[0] == " " and not c.isspace()], "", 1)]
+        else:  # a word, or a word and a mark
+            groups = [([c for c in fresh if c.isalpha()], " ", 1), ([c for c in fresh if c[-1] in _MARKS and c[:-1].isalpha()], " ", 2)]
+        for chunks, between, pieces in groups:
+            for lo in range(0, len(chunks), 1000):
+                part = chunks[lo : lo + 1000]
+                raw = self._library([between.join(part)])[0]
+                bounds = (4 * self._cut(np.frombuffer(raw, dtype="<u4"))[::pieces]).tolist()
+                out.update(zip(part, (raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)), strict=True))
+        rest = [c for c in fresh if c not in out]
+        out.update(zip(rest, self._library(rest), strict=True))
+        return out
+
     def _plain(self, text: str) -> bool:
         if not text.isascii():
             try:
@@ -64,20 +92,20 @@ class Encoder:
         whole, split = [], []
         for i, t in enumerate(texts):
             if t:
-                (split if self.find and self._plain(t) else whole).append(i)
+                (split if self.kind and self._plain(t) else whole).append(i)
         for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        pieces = [self.find(texts[i].lower() if self.lower else texts[i]) for i in split]
-        fresh = set().union(*pieces).difference(self.known) if pieces else set()
+        chunks = [texts[i].lower().split() if self.kind == "word" else _BYTE_LEVEL(texts[i]) for i in split]
+        met = set().union(*chunks)
+        fresh = list(met.difference(self.known))
         if len(self.known) + len(fresh) > MAX_KNOWN:
-            self.known = {}
-            fresh = set().union(*pieces)
-        fresh = list(fresh)
-        codes = dict(zip(fresh, self._library(fresh), strict=True))
-        self.known.update((k, v) for k, v in codes.items() if len(k) <= MAX_PIECE)
-        known = {**self.known, **codes} if any(len(k) > MAX_PIECE for k in fresh) else self.known
-        for i, p in zip(split, pieces, strict=True):
-            out[i] = b"".join(map(known.__getitem__, p))
+            self.known, fresh = {}, list(met)
+        long = [c for c in fresh if len(c) > MAX_CHUNK]
+        self.known.update(self._chunks(fresh))
+        for i, c in zip(split, chunks, strict=True):
+            out[i] = b"".join(map(self.known.__getitem__, c))
+        for c in long:
+            del self.known[c]
         return out
 
 
