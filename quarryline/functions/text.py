@@ -16,6 +16,11 @@ TERM = r"[\p{L}\p{N}_]+"
 SENTENCE_END = rf"(?<=[.!?。！？]){WS}+|\n+"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once, also where use refers to it in the lambda of another function."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
 
@@ -44,9 +49,11 @@ def normalized(c: Column) -> Column:
 
 def windows_of_words(c: Column, size: int) -> Column:
     """Hard cuts of a text into pieces of at most size words."""
-    w = words(c)
-    count = F.greatest(F.ceil(F.size(w) / size).cast("int"), F.lit(0))
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.array_join(F.slice(w, i * size + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+    def cut(w: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.size(w) / size).cast("int") - 1), lambda i: F.array_join(F.slice(w, i * size + 1, size), " "))
+        return F.when(F.size(w) > 0, pieces).otherwise(F.array().cast("array<string>"))
+
+    return let(words(c), cut)
 
 
 def sentence_chunks(c: Column, limit: int, overlap: int = 1) -> Column:

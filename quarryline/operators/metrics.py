@@ -14,8 +14,9 @@ FALLBACK, MOST = 5, 5
 
 
 def ranked(rows: DataFrame, score: str) -> DataFrame:
-    """(qid, aid, score, rank): one row an article, its largest score, best first."""
-    one = rows.groupBy("qid", "aid").agg(F.max(score).alias("score"))
+    """(qid, aid, score, rank): one row an article, its largest score, best first. Scores are rounded to nine digits:
+    sums of doubles differ in their last bits from one evaluation to the next, and thresholds compare them."""
+    one = rows.groupBy("qid", "aid").agg(F.round(F.max(score), 9).alias("score"))
     return one.withColumn("rank", F.row_number().over(best("score")))
 
 

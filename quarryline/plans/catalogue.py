@@ -1,6 +1,612 @@
-"""Queries over the reference's operators and their oracles."""
+"""Queries over the retrieval operators and their oracles.
+
+Articles are the documents, questions the benchmark items, and an article is relevant to a question whose text it
+contains. Measures are rounded to six digits, as sums of doubles differ in their last bits between engines.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarryline.functions import text as tx
+from quarryline.operators import audit, dense, fusion, lexical, metrics, negatives, rerank, router, splits
+from quarryline.plans.evaluate import chunk_table
+from quarryline.session import ensure_importable, table
+from quarryline.sources import corpus
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+POOL, CHUNK_WORDS, CHUNKS = 20, 128, 20
+GRID = [(k1, b) for k1 in (0.9, 1.5) for b in (0.4, 0.75, 1.0)]
+ALPHAS = [i / 10 for i in range(11)]
+RATIOS = {"train": 0.7, "router": 0.1, "val": 0.1, "test": 0.1}
+
+
+def query(oracle: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ensure_importable(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
+        if oracle:
+            ORACLE_SQL[f.__name__] = with_parts(oracle)
+        return run
+
+    return add
+
+
+def r6(c: str) -> F.Column:
+    return F.round(c, 6).alias(c)
+
+
+# Shared relations -----------------------------------------------------------------------------------------------------
+
+
+def pool_bm25(s: SparkSession, d: str) -> DataFrame:
+    found = lexical.scores(corpus.questions(s, d), corpus.articles(s, d))
+    top = found.withColumn("rank", F.row_number().over(lexical.best("bm25_score"))).where(F.col("rank") <= POOL)
+    return fusion.with_minmax(fusion.with_labels(top, corpus.qrels(s, d)), "bm25_score")
+
+
+def pool_dense(s: SparkSession, d: str) -> DataFrame:
+    q = dense.hash_encode(corpus.questions(s, d), "qid", "question")
+    a = dense.hash_encode(corpus.articles(s, d), "aid", "text")
+    pairs = dense.sparse_scores(q, a, "qid", "aid", "dense_score")
+    top = pairs.withColumn("rank", F.row_number().over(lexical.best("dense_score"))).where(F.col("rank") <= POOL)
+    return fusion.with_minmax(fusion.with_labels(top, corpus.qrels(s, d)), "dense_score")
+
+
+def pool_merged(s: SparkSession, d: str) -> DataFrame:
+    return fusion.merge(pool_bm25(s, d), pool_dense(s, d))
+
+
+def word_chunks(s: SparkSession, d: str) -> DataFrame:
+    rows = corpus.articles(s, d).select("aid", "law_id", F.posexplode(tx.windows_of_words(F.col("text"), CHUNK_WORDS)).alias("chunk_index", "text"))
+    return rows.withColumn("chunk_id", F.concat(F.col("aid").cast("string"), F.lit("::chunk_"), F.col("chunk_index").cast("string")))
+
+
+def vectors(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+
+
+def vector_queries(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("qid"), "embedding")
+
+
+def vector_chunks(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.floor(F.col("vec_id") / 4).alias("aid"))
+
+
+def mined(s: SparkSession, d: str) -> DataFrame:
+    found = lexical.scores(corpus.questions(s, d), word_chunks(s, d).select(F.col("chunk_id").alias("aid"), "text"))
+    top = found.withColumn("rank", F.row_number().over(lexical.best("bm25_score"))).where("rank <= 60")
+    return negatives.mine(top.select("qid", F.col("aid").alias("chunk_id"), F.col("bm25_score").alias("score"), "rank"), word_chunks(s, d), corpus.qrels(s, d))
+
+
+def passages(s: SparkSession, d: str) -> DataFrame:
+    chunks = word_chunks(s, d)
+    positive = corpus.qrels(s, d).join(chunks.where("chunk_index = 0").select("aid", "chunk_id"), "aid")
+    return negatives.ready(positive, negatives.draw(mined(s, d), negatives.RERANKER_POLICY), chunks, corpus.questions(s, d))
+
+
+def reranked(s: SparkSession, d: str) -> DataFrame:
+    mixed = fusion.apply_hybrid(pool_merged(s, d)).select("qid", "aid", "label", "hybrid_score")
+    return rerank.rerank(mixed, word_chunks(s, d), corpus.questions(s, d), top_aids=10, top_chunks=CHUNKS)
+
+
+def question_splits(s: SparkSession, d: str) -> DataFrame:
+    return splits.assign(corpus.questions(s, d), RATIOS)
+
+
+def document_splits(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as questions: the corpus has repeated texts, so its leak report is not empty."""
+    asked = table(s, d, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("qid"), F.coalesce("text", F.lit("")).alias("question"))
+    return asked, splits.assign(asked, RATIOS)
+
+
+# The same in SQL ------------------------------------------------------------------------------------------------------
+
+_WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
+
+
+def _words(c: str) -> str:
+    return f"list_filter(string_split_regex({c}, '{_WS}+'), lambda x: x <> '')"
+
+
+def _bucket(h: str, dim: int) -> str:
+    return f"('0x' || substr({h}, 7, 2) || substr({h}, 5, 2) || substr({h}, 3, 2) || substr({h}, 1, 2))::BIGINT % {dim}"
+
+
+def _hashed(key: str, rel: str, col: str) -> str:
+    return f"""SELECT {key}, bucket, raw / sqrt(sum(raw * raw) OVER (PARTITION BY {key})) AS value FROM (
+ SELECT {key}, bucket, sum(sign) AS raw FROM (SELECT {key}, {_bucket("h", 384)} AS bucket, CASE WHEN ('0x' || substr(h, 9, 2))::BIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign
+ FROM (SELECT {key}, md5(unnest({_TERMS.format(col)})) AS h FROM {rel})) GROUP BY {key}, bucket) WHERE raw <> 0"""
+
+
+def _counted(key: str, rel: str, col: str) -> str:
+    return f"""SELECT {key}, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS v FROM (
+ SELECT {key}, {_bucket("h", 256)} AS bucket, count(*)::DOUBLE AS v FROM (SELECT {key}, sha1(unnest({_TERMS.format(col)})) AS h FROM {rel}) GROUP BY ALL)"""
+
+
+def _bm25(k1="1.5::DOUBLE", b="0.75::DOUBLE") -> str:
+    return f"qtf * idf * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * greatest(dl, 1) / greatest(avgdl, 1e-9)))"
+
+
+def _index(p: str, rel: str, key: str) -> dict[str, str]:
+    """BM25 relations over rel (key, text) with the prefix p."""
+    return {
+        f"{p}tok": f"SELECT {key} AS aid, {_TERMS.format('text')} AS t FROM {rel}",
+        f"{p}post": f"SELECT aid, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT aid, len(t) AS dl, unnest(t) AS term FROM {p}tok) GROUP BY aid, term",
+        f"{p}st": f"SELECT count(*) AS n, avg(len(t)) AS avgdl FROM {p}tok",
+        f"{p}idf": f"SELECT term, count(*) AS df, ln(1 + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM {p}post, {p}st GROUP BY term, n",
+        f"{p}mt": f"SELECT qid, aid, qtf, tf, dl, idf, avgdl FROM {p}post JOIN {p}idf USING (term) JOIN qt USING (term), {p}st",
+    }
+
+
+def _ranked(rel: str, score: str, key: str = "aid", group: str = "qid") -> str:
+    return f"SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY round({score}, 9) DESC, {key}) AS rank FROM {rel}"
+
+
+def _normed(rel: str, score: str) -> str:
+    return f"""SELECT p.*, (r.qid IS NOT NULL)::INTEGER AS label, CASE WHEN max({score}) OVER w - min({score}) OVER w <= 1e-12 THEN 0.0::DOUBLE
+ ELSE ({score} - min({score}) OVER w) / (max({score}) OVER w - min({score}) OVER w) END AS {score}_norm
+ FROM {rel} p LEFT JOIN qr r ON p.qid = r.qid AND p.aid = r.aid WINDOW w AS (PARTITION BY p.qid)"""
+
+
+def _rates() -> str:
+    return "tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r"
+
+
+def _allocated() -> str:
+    return "SELECT * FROM (VALUES {})"
+
+
+PARTS: dict[str, str] = {
+    "art": "SELECT doc_id AS aid, source AS law_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL",
+    "qs": "SELECT item_id AS qid, coalesce(text, '') AS question FROM benchmark WHERE item_id IS NOT NULL",
+    "qr": "SELECT DISTINCT qid, aid FROM qs JOIN art ON contains(art.text, qs.question)",
+    "qt": f"SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({_TERMS.format('question')}) AS term FROM qs) GROUP BY qid, term",
+    **_index("a_", "art", "aid"),
+    "bm": f"SELECT qid, aid, sum({_bm25()}) AS bm25_score FROM a_mt GROUP BY qid, aid",
+    "bmk": f"SELECT * FROM ({_ranked('bm', 'bm25_score')}) WHERE rank <= {POOL}",
+    "bmn": _normed("bmk", "bm25_score"),
+    "qh": _hashed("qid", "qs", "question"),
+    "ah": _hashed("aid", "art", "text"),
+    "ds": "SELECT qid, aid, sum(qh.value * ah.value) AS dense_score FROM qh JOIN ah USING (bucket) GROUP BY qid, aid",
+    "dsk": f"SELECT * FROM ({_ranked('ds', 'dense_score')}) WHERE rank <= {POOL}",
+    "dsn": _normed("dsk", "dense_score"),
+    "mg": """SELECT coalesce(b.qid, d.qid) AS qid, coalesce(b.aid, d.aid) AS aid, coalesce(bm25_score, 0.0)::DOUBLE AS bm25_score, coalesce(bm25_score_norm, 0.0)::DOUBLE AS bm25_score_norm, b.rank AS bm25_rank,
+ coalesce(dense_score, 0.0)::DOUBLE AS dense_score, coalesce(dense_score_norm, 0.0)::DOUBLE AS dense_score_norm, d.rank AS dense_rank, greatest(coalesce(b.label, 0), coalesce(d.label, 0)) AS label FROM bmn b FULL JOIN dsn d ON b.qid = d.qid AND b.aid = d.aid""",
+    "hy": "SELECT *, 0.5::DOUBLE * dense_score_norm + 0.5::DOUBLE * bm25_score_norm AS hybrid_score FROM mg",
+    "hyk": _ranked("hy", "hybrid_score"),
+    "pos": "SELECT qid, count(aid) AS positives FROM qs LEFT JOIN qr USING (qid) GROUP BY qid",
+    "jd": "SELECT h.qid, h.aid, round(hybrid_score, 9) AS score, rank, (r.qid IS NOT NULL)::INTEGER AS hit FROM hyk h LEFT JOIN qr r ON h.qid = r.qid AND h.aid = r.aid",
+    "ch": f"SELECT aid::VARCHAR || '::chunk_' || i AS chunk_id, aid, i AS chunk_index, array_to_string(w[i * {CHUNK_WORDS} + 1 : (i + 1) * {CHUNK_WORDS}], ' ') AS text FROM (SELECT aid, w, unnest(range(ceil(len(w) / {CHUNK_WORDS}.0)::BIGINT)) AS i FROM (SELECT aid, {_words('text')} AS w FROM art))",
+    **_index("c_", "ch", "chunk_id"),
+    "cbm": f"SELECT qid, aid, sum({_bm25()}) AS score FROM c_mt GROUP BY qid, aid",
+    "cbk": f"SELECT qid, aid AS chunk_id, score, rank FROM ({_ranked('cbm', 'score')}) WHERE rank <= 60",
+    "mi": "SELECT c.qid, c.chunk_id, ch.aid, score, rank FROM cbk c JOIN ch USING (chunk_id) WHERE NOT EXISTS (SELECT 1 FROM qr WHERE qr.qid = c.qid AND qr.aid = ch.aid)",
+    "po": f"SELECT * FROM (VALUES {', '.join(str((i, *p)) for i, p in enumerate(negatives.RERANKER_POLICY))}) t(bucket, lo, hi, want)",
+    "dr": "SELECT qid, chunk_id, aid, rank, bucket FROM (SELECT *, row_number() OVER (PARTITION BY qid, bucket ORDER BY md5('42|' || bucket || '|' || qid || '|' || chunk_id), chunk_id) AS n FROM mi JOIN po ON rank BETWEEN lo AND hi) WHERE n <= want",
+    "dn": f"SELECT * FROM dr UNION ALL SELECT qid, chunk_id, aid, rank, -1 FROM (SELECT m.*, row_number() OVER (PARTITION BY m.qid ORDER BY rank, chunk_id) AS n, coalesce(h.have, 0) AS have FROM mi m LEFT JOIN (SELECT qid, count(*) AS have FROM dr GROUP BY qid) h USING (qid) WHERE NOT EXISTS (SELECT 1 FROM dr WHERE dr.qid = m.qid AND dr.chunk_id = m.chunk_id)) WHERE n <= {sum(c for _, _, c in negatives.RERANKER_POLICY)} - have",
+    "ps": "SELECT DISTINCT qid, chunk_id, aid, 1 AS label FROM qr JOIN ch USING (aid) WHERE chunk_index = 0",
+    "al": "SELECT * FROM ps UNION ALL SELECT DISTINCT qid, chunk_id, aid, 0 FROM dn WHERE NOT EXISTS (SELECT 1 FROM ps WHERE ps.qid = dn.qid AND ps.chunk_id = dn.chunk_id)",
+    "pa": "SELECT al.qid, question AS query, al.chunk_id, al.aid, label, text FROM al JOIN ch USING (chunk_id) JOIN qs USING (qid) WHERE trim(text) <> '' AND al.qid IN (SELECT qid FROM al GROUP BY qid HAVING count(DISTINCT label) = 2)",
+    "rx": f"SELECT * FROM (SELECT h.qid, h.aid, label, hybrid_score, aid_rank, chunk_id, chunk_index, text AS chunk_text, row_number() OVER (PARTITION BY h.qid ORDER BY round(hybrid_score, 9) DESC, aid_rank, chunk_index) AS n FROM (SELECT *, rank AS aid_rank FROM hyk WHERE rank <= 10) h JOIN ch USING (aid) WHERE trim(text) <> '') WHERE n <= {CHUNKS}",
+    "rxq": _counted("qid", "qs", "question"),
+    "rxt": "SELECT DISTINCT chunk_id, chunk_text FROM rx",
+    "rxc": _counted("chunk_id", "rxt", "chunk_text"),
+    "rs": "SELECT rx.*, coalesce(s, 0.0)::DOUBLE AS rerank_score FROM rx LEFT JOIN (SELECT r.qid, r.chunk_id, sum(q.v * c.v) AS s FROM (SELECT DISTINCT qid, chunk_id FROM rx) r JOIN rxq q ON r.qid = q.qid JOIN rxc c ON r.chunk_id = c.chunk_id AND q.bucket = c.bucket GROUP BY r.qid, r.chunk_id) z USING (qid, chunk_id)",
+    "rr": f"SELECT *, CASE WHEN max(rerank_score) OVER w - min(rerank_score) OVER w <= 1e-12 THEN 0.0::DOUBLE ELSE (rerank_score - min(rerank_score) OVER w) / (max(rerank_score) OVER w - min(rerank_score) OVER w) END AS rerank_score_norm FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rerank_score, 9) DESC, aid_rank, chunk_index) AS rank FROM rs) WHERE rank <= {CHUNKS} WINDOW w AS (PARTITION BY qid)",
+    "emb": "SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings",
+    "vd": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, round(list_inner_product(q.e, c.e), 9) AS score FROM emb q, emb c WHERE q.vec_id < 20)) WHERE rank <= 10",
+    "vc": "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, aid) AS rank FROM (SELECT qid, chunk_id, score, chunk_id // 4 AS aid FROM vd QUALIFY row_number() OVER (PARTITION BY qid, chunk_id // 4 ORDER BY score DESC, chunk_id) = 1)",
+}
+
+
+def _split_sql(rel: str, key: str) -> str:
+    """Allocated counts as in splits.allocate_counts for shares that give each split a row."""
+    parts = [(f"'{k}'", v, i) for i, (k, v) in enumerate(RATIOS.items())]
+    values = ", ".join(f"({k}, {v}::DOUBLE, {i})" for k, v, i in parts)
+    return f"""SELECT {key} AS qid, split FROM (SELECT {key}, row_number() OVER (ORDER BY md5('42|' || {key}), {key}) AS k FROM (SELECT DISTINCT {key} FROM {rel})) JOIN (
+ SELECT split, sum(c) OVER (ORDER BY i) - c AS lo, sum(c) OVER (ORDER BY i) AS hi FROM (SELECT split, i, f + (row_number() OVER (ORDER BY -(x - f), i) <= total - sum(f) OVER ())::BIGINT AS c FROM (
+ SELECT split, i, total, total * ratio AS x, floor(total * ratio + 1e-9)::BIGINT AS f FROM (VALUES {values}) v(split, ratio, i), (SELECT count(DISTINCT {key}) AS total FROM {rel})))) ON k > lo AND k <= hi"""
+
+
+PARTS["sq"] = _split_sql("qs", "qid")
+PARTS["sd"] = _split_sql("art", "aid")
+
+
+def with_parts(sql: str) -> str:
+    """sql after the relations that it names, and those that they name."""
+    import re
+
+    def named(s: str) -> set[str]:
+        return set(re.findall(r"\b[a-z_]+\b", s)) & PARTS.keys()
+
+    need, todo = set(), named(sql)
+    while todo:
+        need |= todo
+        todo = set().union(*(named(PARTS[p]) for p in todo)) - need
+    order: list[str] = []
+
+    def visit(p: str) -> None:
+        if p not in order:
+            for q in sorted(named(PARTS[p]) - {p}):
+                visit(q)
+            order.append(p)
+
+    for p in sorted(need):
+        visit(p)
+    return "WITH " + ",\n".join(f"{p} AS ({PARTS[p]})" for p in order) + "\n" + sql if order else sql
+
+
+# Text -----------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT aid, len(t)::INTEGER AS n_tokens, len(list_distinct(t))::INTEGER AS n_terms FROM a_tok")
+def token_stats(s, d):
+    t = corpus.articles(s, d).select("aid", tx.terms(F.col("text")).alias("t"))
+    return t.select("aid", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_terms"))
+
+
+@query("SELECT aid, term, tf, dl::INTEGER AS dl FROM a_post")
+def term_postings(s, d):
+    return lexical.postings(corpus.articles(s, d))
+
+
+@query("SELECT term, df, round(idf, 6) AS idf FROM a_idf")
+def term_idf(s, d):
+    a = corpus.articles(s, d)
+    return lexical.idf_table(lexical.postings(a), lexical.stats(a)).select("term", "df", r6("idf"))
+
+
+@query(rf"SELECT aid, (i - 1)::INTEGER AS pos, x[i] AS sentence FROM (SELECT aid, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT aid, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?。！？]){_WS}+', '\1' || chr(10), 'g'), '\n+', chr(10), 'g'), chr(10)), lambda y: regexp_replace(y, '^{_WS}+|{_WS}+$', '', 'g')), lambda y: y <> '') AS x FROM art))")
+def sentence_split(s, d):
+    return corpus.articles(s, d).select("aid", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query("SELECT chunk_id, aid, chunk_index::INTEGER AS chunk_index, text FROM ch")
+def word_window_chunks(s, d):
+    return word_chunks(s, d).select("chunk_id", "aid", "chunk_index", "text")
+
+
+@query()
+def chunk_docs(s, d):
+    """Sentence chunks with overlap: a fold that SQL lacks; tests compare its two forms."""
+    return chunk_table(corpus.articles(s, d)).select("chunk_id", "aid", "law_id", "chunk_index", "oversize", "text")
+
+
+@query(rf"SELECT qid, regexp_replace(lower(regexp_replace(question, '^{_WS}+|{_WS}+$', '', 'g')), '{_WS}+', ' ', 'g') AS normalized, len({_words('question')})::INTEGER AS n_words FROM qs")
+def question_texts(s, d):
+    return corpus.questions(s, d).select("qid", tx.normalized(F.col("question")).alias("normalized"), tx.word_count(F.col("question")).alias("n_words"))
+
+
+@query(rf"SELECT aid, CASE WHEN length(l) <= 700 THEN l ELSE rtrim(substr(l, 1, 700)) || '...' END AS excerpt FROM (SELECT aid, regexp_replace(regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g'), '{_WS}+', ' ', 'g') AS l FROM art)")
+def article_excerpts(s, d):
+    return corpus.articles(s, d).select("aid", tx.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query("SELECT event_id, coalesce(least(1, greatest(0, CASE WHEN isnan(value) THEN 0 ELSE value END)), 0)::DOUBLE AS clamped, CASE WHEN value IS NULL OR NOT isfinite(value) THEN 0 ELSE value END AS finite, TRY_CAST(event_type AS INTEGER) AS parsed FROM events")
+def numeric_guards(s, d):
+    return table(s, d, "events").select("event_id", tx.clamp01(F.col("value")).alias("clamped"), tx.finite(F.col("value")).alias("finite"), tx.integer(F.col("event_type")).alias("parsed"))
+
+
+@query("SELECT qid, aid FROM qr")
+def qrels_contains(s, d):
+    return corpus.qrels(s, d)
+
+
+# BM25 -----------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT b.qid, b.aid, rank::INTEGER AS rank, round(bm25_score, 6) AS bm25_score, (r.qid IS NOT NULL)::INTEGER AS label FROM ({_ranked('bm', 'bm25_score')}) b LEFT JOIN qr r ON b.qid = r.qid AND b.aid = r.aid WHERE rank <= 10")
+def bm25_topk(s, d):
+    q, a = corpus.questions(s, d), corpus.articles(s, d)
+    found = lexical.scores(q, a).withColumn("rank", F.row_number().over(lexical.best("bm25_score"))).where("rank <= 10")
+    return fusion.with_labels(found, corpus.qrels(s, d)).select("qid", "aid", "rank", r6("bm25_score"), "label")
+
+
+@query(f"SELECT qid, aid, rank::INTEGER AS rank, round(bm25_score, 6) AS bm25_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bm25_score, 9) DESC, aid) AS rank FROM (SELECT qs.qid, art.aid, coalesce(bm25_score, 0.0)::DOUBLE AS bm25_score FROM qs CROSS JOIN art LEFT JOIN bm ON bm.qid = qs.qid AND bm.aid = art.aid)) WHERE rank <= 100")
+def bm25_zero_fill(s, d):
+    return lexical.search(corpus.questions(s, d), corpus.articles(s, d), 100).select("qid", "aid", "rank", r6("bm25_score"))
+
+
+@query("SELECT qid, aid, rank::INTEGER AS rank, label, round(bm25_score, 6) AS bm25_score, round(bm25_score_norm, 6) AS bm25_score_norm FROM bmn")
+def bm25_minmax_label(s, d):
+    return pool_bm25(s, d).select("qid", "aid", "rank", "label", r6("bm25_score"), r6("bm25_score_norm"))
+
+
+@query(f"""SELECT k1, b, round(sum(coalesce(h, 0) / greatest(positives, 1)) / count(*), 6) AS recall10 FROM pos, (VALUES {', '.join(f'({k1}::DOUBLE, {b}::DOUBLE)' for k1, b in GRID)}) g(k1, b) LEFT JOIN (
+ SELECT x.k1 AS gk, x.b AS gb, x.qid AS gq, count(*) AS h FROM (SELECT *, row_number() OVER (PARTITION BY k1, b, qid ORDER BY round(sc, 9) DESC, aid) AS rank FROM (SELECT k1, b, qid, aid, sum({_bm25('k1', 'b')}) AS sc FROM a_mt, (VALUES {', '.join(f'({k1}::DOUBLE, {b}::DOUBLE)' for k1, b in GRID)}) g(k1, b) GROUP BY ALL)) x JOIN qr ON qr.qid = x.qid AND qr.aid = x.aid WHERE rank <= 10 GROUP BY ALL) z ON gk = k1 AND gb = b AND gq = pos.qid GROUP BY k1, b""")
+def bm25_grid(s, d):
+    q, marks = corpus.questions(s, d), corpus.qrels(s, d)
+    hits = lexical.grid_search(q, corpus.articles(s, d), GRID, 10).join(marks, ["qid", "aid"]).groupBy("k1", "b", "qid").agg(F.count("*").alias("h"))
+    per = q.select("qid").join(marks.groupBy("qid").agg(F.count("*").alias("positives")), "qid", "left").fillna(0)
+    grid = per.withColumn("g", F.explode(F.array(*[F.struct(F.lit(x).alias("k1"), F.lit(y).alias("b")) for x, y in GRID]))).select("qid", "positives", "g.*")
+    every = grid.join(hits, ["k1", "b", "qid"], "left").fillna(0, ["h"])
+    return every.groupBy("k1", "b").agg(F.round(F.avg(F.col("h") / F.greatest("positives", F.lit(1))), 6).alias("recall10"))
+
+
+# Dense ----------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT qid, chunk_id, rank::INTEGER AS rank, round(score, 6) AS score FROM vd")
+def dense_topk(s, d):
+    return dense.search(vector_queries(s, d), vectors(s, d), 10).select("qid", "chunk_id", "rank", r6("score"))
+
+
+@query("SELECT qid, aid, chunk_id, rank::INTEGER AS rank, round(score, 6) AS score FROM vc")
+def dense_collapse(s, d):
+    return dense.collapse(dense.search(vector_queries(s, d), vectors(s, d), 10), vector_chunks(s, d)).select("qid", "aid", "chunk_id", "rank", r6("score"))
+
+
+@query("SELECT sum(c)::BIGINT AS chunk_rows, sum(a)::BIGINT AS aid_rows, min(a) AS min_aids, max(a) AS max_aids, round(avg(a), 6) AS avg_aids, 0::BIGINT AS missing, sum(c - a)::BIGINT AS duplicates FROM (SELECT qid, count(*) AS c, count(DISTINCT chunk_id // 4) AS a FROM vd GROUP BY qid)")
+def dense_pool_stats(s, d):
+    found = dense.search(vector_queries(s, d), vectors(s, d), 10)
+    return dense.pool_stats(found, vector_chunks(s, d), vector_queries(s, d)).withColumn("avg_aids", F.round("avg_aids", 6))
+
+
+@query("SELECT qid, bucket::INTEGER AS bucket, round(value, 6) AS value FROM qh")
+def hash_embed_buckets(s, d):
+    return dense.hash_encode(corpus.questions(s, d), "qid", "question").select("qid", "bucket", r6("value"))
+
+
+@query("SELECT qid, aid, rank::INTEGER AS rank, label, round(dense_score, 6) AS dense_score, round(dense_score_norm, 6) AS dense_score_norm FROM dsn")
+def hash_dense_topk(s, d):
+    return pool_dense(s, d).select("qid", "aid", "rank", "label", r6("dense_score"), r6("dense_score_norm"))
+
+
+@query("SELECT q.vec_id AS qid, q.vec_id // 4 AS aid, c.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.e, c.e), 9) DESC, c.vec_id)::INTEGER AS rank_within_aid, round(list_inner_product(q.e, c.e), 6) AS score FROM emb q JOIN emb c ON q.vec_id // 4 = c.vec_id // 4 WHERE q.vec_id < 20 QUALIFY rank_within_aid <= 3")
+def positive_chunks(s, d):
+    marks = vector_queries(s, d).select("qid", F.floor(F.col("qid") / 4).alias("aid"))
+    return dense.positive_chunks(vector_queries(s, d), marks, vector_chunks(s, d), vectors(s, d)).select("qid", "aid", "chunk_id", "rank_within_aid", r6("score"))
+
+
+# Fusion ---------------------------------------------------------------------------------------------------------------
+
+_MERGED = ("bm25_score", "bm25_score_norm", "dense_score", "dense_score_norm")
+
+
+@query(f"SELECT qid, aid, label, bm25_rank::INTEGER AS bm25_rank, dense_rank::INTEGER AS dense_rank, {', '.join(f'round({c}, 6) AS {c}' for c in _MERGED)} FROM mg")
+def merge_scores(s, d):
+    return pool_merged(s, d).select("qid", "aid", "label", "bm25_rank", "dense_rank", *map(r6, _MERGED))
+
+
+@query("SELECT qid, aid, label, rank::INTEGER AS rank, round(hybrid_score, 6) AS hybrid_score FROM hyk")
+def hybrid_fixed(s, d):
+    return fusion.apply_hybrid(pool_merged(s, d)).select("qid", "aid", "label", "rank", r6("hybrid_score"))
+
+
+@query(f"""SELECT alpha, round(sum(coalesce(h, 0) / greatest(positives, 1)) / count(*), 6) AS recall10 FROM pos, (VALUES {', '.join(f'({a}::DOUBLE)' for a in ALPHAS)}) g(alpha) LEFT JOIN (
+ SELECT alpha AS ga, x.qid AS gq, count(*) AS h FROM (SELECT *, row_number() OVER (PARTITION BY alpha, qid ORDER BY round(alpha * dense_score_norm + (1 - alpha) * bm25_score_norm, 9) DESC, aid) AS rank FROM mg, (VALUES {', '.join(f'({a}::DOUBLE)' for a in ALPHAS)}) g(alpha)) x JOIN qr ON qr.qid = x.qid AND qr.aid = x.aid WHERE rank <= 10 GROUP BY ALL) z ON ga = alpha AND gq = pos.qid GROUP BY alpha""")
+def hybrid_alpha_grid(s, d):
+    q, marks = corpus.questions(s, d), corpus.qrels(s, d)
+    hits = fusion.alpha_grid(pool_merged(s, d), ALPHAS).where("rank <= 10").join(marks, ["qid", "aid"]).groupBy("alpha", "qid").agg(F.count("*").alias("h"))
+    per = q.select("qid").join(marks.groupBy("qid").agg(F.count("*").alias("positives")), "qid", "left").fillna(0)
+    grid = per.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in ALPHAS])))
+    every = grid.join(hits, ["alpha", "qid"], "left").fillna(0, ["h"])
+    return every.groupBy("alpha").agg(F.round(F.avg(F.col("h") / F.greatest("positives", F.lit(1))), 6).alias("recall10"))
+
+
+@query("SELECT qid, round(quantile_cont(bm25_score_norm, 0.1), 6) AS p_score FROM bmn GROUP BY qid")
+def percentile_p10(s, d):
+    return fusion.observed_percentile(pool_bm25(s, d), "bm25_score_norm").select("qid", r6("p_score"))
+
+
+@query("SELECT count(*) AS count, round(avg(x), 6) AS mean, round(min(x), 6) AS min, round(l[((n - 1) * 0.25)::DOUBLE // 1 + 1], 6) AS p25, round(l[(n - 1) // 2 + 1], 6) AS p50, round(l[floor((n - 1) * 0.75)::BIGINT + 1], 6) AS p75, round(max(x), 6) AS max FROM (SELECT hybrid_score AS x, list(hybrid_score ORDER BY hybrid_score) OVER () AS l, count(*) OVER () AS n FROM hy) GROUP BY l, n".replace("((n - 1) * 0.25)::DOUBLE // 1 + 1", "floor((n - 1) * 0.25)::BIGINT + 1").replace("list(hybrid_score ORDER BY hybrid_score) OVER ()", "(SELECT list(hybrid_score ORDER BY hybrid_score) FROM hy)"))
+def score_describe(s, d):
+    out = metrics.describe(fusion.apply_hybrid(pool_merged(s, d)), "hybrid_score")
+    return out.select("count", *[r6(c) for c in ("mean", "min", "p25", "p50", "p75", "max")])
+
+
+# Metrics --------------------------------------------------------------------------------------------------------------
+
+
+def hybrid_pool(s, d):
+    return fusion.apply_hybrid(pool_merged(s, d)), "hybrid_score", corpus.questions(s, d), corpus.qrels(s, d)
+
+
+_PER_K = " UNION ALL ".join(f"SELECT 'hit@{k}' AS metric, avg((coalesce(h{k}, 0) > 0)::INTEGER) AS value FROM z UNION ALL SELECT 'recall@{k}', avg(coalesce(h{k}, 0) / greatest(positives, 1)) FROM z" for k in metrics.KS)
+_PER_N = " UNION ALL ".join(f"SELECT 'ndcg@{k}', avg(CASE WHEN positives > 0 THEN coalesce(d{k}, 0) / list_sum(list_transform(range(1, least(positives, {k}) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END) FROM z" for k in metrics.NDCG_KS)
+_Z = f"SELECT pos.qid, positives, {', '.join(f'sum(hit) FILTER (WHERE rank <= {k}) AS h{k}' for k in metrics.KS)}, {', '.join(f'sum(hit / log2(rank + 1)) FILTER (WHERE rank <= {k}) AS d{k}' for k in metrics.NDCG_KS)} FROM pos LEFT JOIN jd ON pos.qid = jd.qid GROUP BY pos.qid, positives"
+
+
+@query(f"SELECT metric, round(value, 6) AS value FROM (WITH z AS ({_Z}) {_PER_K} UNION ALL {_PER_N})")
+def ranking_metrics(s, d):
+    return metrics.ranking(*hybrid_pool(s, d)).select("metric", r6("value"))
+
+
+_TOPK = "SELECT k, coalesce(sum(hit), 0)::BIGINT AS tp, coalesce(sum(1 - hit), 0)::BIGINT AS fp, (SELECT sum(positives) FROM pos)::BIGINT - coalesce(sum(hit), 0)::BIGINT AS fn FROM (VALUES {}) g(k) LEFT JOIN jd ON rank <= k GROUP BY k"
+_F2 = "round(p, 6) AS precision, round(r, 6) AS recall, round(5 * p * r / greatest(4 * p + r, 1e-12), 6) AS f2"
+
+
+@query(f"SELECT k, tp, fp, fn, {_F2} FROM (SELECT *, {_rates()} FROM ({_TOPK.format('(1), (3), (5), (10)')}))")
+def topk_metrics(s, d):
+    return metrics.topk(*hybrid_pool(s, d), [1, 3, 5, 10]).select("k", "tp", "fp", "fn", r6("precision"), r6("recall"), r6("f2"))
+
+
+@query(f"SELECT k, tp, fp, fn, {_F2} FROM (SELECT *, {_rates()} FROM ({_TOPK.format('(1), (2), (3), (4), (5), (20)')})) ORDER BY round(5 * p * r / greatest(4 * p + r, 1e-12), 12) DESC, round(r, 12) DESC, round(p, 12) DESC, k LIMIT 1")
+def tune_top_k(s, d):
+    return metrics.tune_topk(*hybrid_pool(s, d), 20).select("k", "tp", "fp", "fn", r6("precision"), r6("recall"), r6("f2"))
+
+
+_AT = "SELECT {t} AS threshold, sum(hit)::BIGINT AS tp, sum(1 - hit)::BIGINT AS fp, (SELECT sum(positives) FROM pos)::BIGINT - sum(hit)::BIGINT AS fn FROM (SELECT {g} hit, rank, sum((score >= {t})::INTEGER) OVER (PARTITION BY {g} qid) AS n FROM jd{x}) WHERE rank <= CASE WHEN n = 0 THEN 5 ELSE least(n, 5) END"
+_CURVE = f"SELECT threshold, tp, fp, fn, p, r FROM (SELECT *, {_rates()} FROM ({_AT.format(t='t', g='t,', x=', (SELECT DISTINCT score AS t FROM jd)')} GROUP BY t))"
+
+
+@query(f"SELECT threshold, tp, fp, fn, {_F2} FROM (SELECT *, {_rates()} FROM ({_AT.format(t='0.5::DOUBLE', g='', x='')}))")
+def threshold_metrics(s, d):
+    return metrics.threshold(*hybrid_pool(s, d), 0.5).select("threshold", "tp", "fp", "fn", r6("precision"), r6("recall"), r6("f2"))
+
+
+@query(f"SELECT round(threshold, 6) AS threshold, tp, fp, fn, {_F2} FROM ({_CURVE}) ORDER BY round(5 * p * r / greatest(4 * p + r, 1e-12), 12) DESC, round(r, 12) DESC, round(p, 12) DESC, threshold LIMIT 1")
+def tune_threshold(s, d):
+    return metrics.tune_threshold(*hybrid_pool(s, d)).select(r6("threshold"), "tp", "fp", "fn", r6("precision"), r6("recall"), r6("f2"))
+
+
+@query("SELECT toxic, quality, count(*) AS n FROM labels GROUP BY toxic, quality")
+def label_counts(s, d):
+    return table(s, d, "labels").groupBy("toxic", "quality").agg(F.count("*").alias("n"))
+
+
+# Splits ---------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT qid, split FROM sq")
+def split_assign(s, d):
+    return question_splits(s, d)
+
+
+@query("SELECT split, count(DISTINCT sq.qid) AS questions, count(DISTINCT question) AS texts, count(DISTINCT aid) AS aids FROM sq JOIN qs USING (qid) LEFT JOIN qr USING (qid) GROUP BY split")
+def split_counts(s, d):
+    return splits.counts(corpus.questions(s, d), question_splits(s, d), corpus.qrels(s, d))
+
+
+_NORM = rf"regexp_replace(lower(regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g')), '{_WS}+', ' ', 'g')"
+
+
+@query(f"SELECT 'text' AS kind, a.split AS left, b.split AS right, count(*) AS overlap_count FROM (SELECT DISTINCT split, {_NORM} AS v FROM sd JOIN art ON sd.qid = art.aid) a JOIN (SELECT DISTINCT split, {_NORM} AS v FROM sd JOIN art ON sd.qid = art.aid) b ON a.v = b.v AND a.split < b.split GROUP BY ALL".replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'))
+def split_leak_pairs(s, d):
+    return splits.leak_report(*document_splits(s, d)).select("kind", "left", "right", "overlap_count")
+
+
+@query("SELECT qid, 'none' AS problem FROM sq WHERE false")
+def split_exhaustive(s, d):
+    return splits.coverage(corpus.questions(s, d), question_splits(s, d))
+
+
+@query("SELECT aid, law_id FROM art WHERE aid IN (SELECT aid FROM qr WHERE qid IN (SELECT qid FROM qs ORDER BY md5('42|' || qid), qid LIMIT 20)) UNION ALL (SELECT aid, law_id FROM art WHERE aid NOT IN (SELECT aid FROM qr WHERE qid IN (SELECT qid FROM qs ORDER BY md5('42|' || qid), qid LIMIT 20)) ORDER BY md5('42|' || aid), aid LIMIT 100)")
+def corpus_sample(s, d):
+    return splits.sample_corpus(corpus.articles(s, d), corpus.questions(s, d), corpus.qrels(s, d), 20, 100).select("aid", "law_id")
+
+
+# Router ---------------------------------------------------------------------------------------------------------------
+
+
+def _perf(score: str, name: str) -> str:
+    per = ", ".join([f"sum(hit) FILTER (WHERE rank <= {k}) AS h{k}" for k in (20, 50)])
+    return f"""SELECT pos.qid, 0.2::DOUBLE * coalesce(h50, 0) / greatest(positives, 1) + 0.6::DOUBLE * coalesce(h20, 0) / greatest(positives, 1) + 0.2::DOUBLE * CASE WHEN positives > 0 THEN coalesce(d20, 0) / list_sum(list_transform(range(1, least(positives, 20) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END AS {name}
+ FROM pos LEFT JOIN (SELECT qid, {per}, sum(hit / log2(rank + 1)) FILTER (WHERE rank <= 20) AS d20 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round({score}, 9) DESC, aid) AS rank, label AS hit FROM mg) GROUP BY qid) j ON j.qid = pos.qid"""
+
+
+@query(f"SELECT b.qid, round(bm25_perf, 6) AS bm25_perf, round(dense_perf, 6) AS dense_perf, round(1 / (1 + exp(-(dense_perf - bm25_perf) / 0.2)), 6) AS alpha FROM ({_perf('bm25_score', 'bm25_perf')}) b JOIN ({_perf('dense_score', 'dense_perf')}) d ON b.qid = d.qid")
+def router_alpha_labels(s, d):
+    out = router.alpha_labels(pool_merged(s, d), corpus.questions(s, d), corpus.qrels(s, d))
+    return out.select("qid", r6("bm25_perf"), r6("dense_perf"), r6("alpha"))
+
+
+@query("SELECT qt.qid, term, round(qtf / n.n * (ln((1 + t.t) / (1 + df)) + 1), 6) AS value FROM qt JOIN (SELECT term, count(*) AS df FROM qt GROUP BY term) USING (term) JOIN (SELECT qid, sum(qtf) AS n FROM qt GROUP BY qid) n ON n.qid = qt.qid, (SELECT count(*) AS t FROM qs) t")
+def router_tfidf(s, d):
+    q = corpus.questions(s, d)
+    return router.tfidf(q, router.tfidf_vocabulary(q)).select("qid", "term", r6("value"))
+
+
+@query()
+def router_ridge(s, d):
+    """Predicted weights: a solved system, which SQL lacks; tests compare it with the normal equations."""
+    q = corpus.questions(s, d)
+    features = router.tfidf(q, router.tfidf_vocabulary(q))
+    labels = router.alpha_labels(pool_merged(s, d), q, corpus.qrels(s, d))
+    return router.predict(features, q, router.fit_ridge(features, labels)).select("qid", r6("alpha"))
+
+
+# Rerank ---------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT qid, aid, chunk_id, aid_rank::INTEGER AS aid_rank, chunk_index::INTEGER AS chunk_index, round(hybrid_score, 6) AS hybrid_score FROM rx")
+def rerank_expand(s, d):
+    mixed = fusion.limit(fusion.apply_hybrid(pool_merged(s, d)), "hybrid_score", 10).select("qid", "aid", "hybrid_score")
+    wide = rerank.cut(rerank.expand(mixed, word_chunks(s, d), "hybrid_score"), "hybrid_score", CHUNKS)
+    return wide.select("qid", "aid", "chunk_id", "aid_rank", "chunk_index", r6("hybrid_score"))
+
+
+@query("SELECT qid, aid, chunk_id, label, rank::INTEGER AS rank, round(rerank_score, 6) AS rerank_score, round(rerank_score_norm, 6) AS rerank_score_norm FROM rr")
+def rerank_topk(s, d):
+    return reranked(s, d).select("qid", "aid", "chunk_id", "label", "rank", r6("rerank_score"), r6("rerank_score_norm"))
+
+
+@query("SELECT qid, aid, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, aid)::INTEGER AS rank FROM (SELECT qid, aid, max(rerank_score_norm) AS score FROM rr GROUP BY qid, aid)")
+def aid_max(s, d):
+    return rerank.by_article(reranked(s, d), "rerank_score_norm").select("qid", "aid", r6("score"), "rank")
+
+
+# Training sets --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT qid, chunk_id, aid, rank::INTEGER AS rank, round(score, 6) AS score FROM mi")
+def mine_negatives(s, d):
+    return mined(s, d).select("qid", "chunk_id", "aid", "rank", r6("score"))
+
+
+@query("SELECT qid, chunk_id, aid, rank::INTEGER AS rank, bucket::INTEGER AS bucket FROM dn")
+def bucket_sample(s, d):
+    return negatives.draw(mined(s, d), negatives.RERANKER_POLICY).select("qid", "chunk_id", "aid", "rank", "bucket")
+
+
+@query("SELECT p.qid, p.query, p.text AS positive, n.text AS negative, p.chunk_id AS positive_chunk_id, n.chunk_id AS negative_chunk_id FROM pa p JOIN pa n ON p.qid = n.qid AND p.label = 1 AND n.label = 0 AND p.text <> n.text")
+def triplets(s, d):
+    return negatives.triplets(passages(s, d)).select("qid", "query", "positive", "negative", "positive_chunk_id", "negative_chunk_id")
+
+
+@query("SELECT qid, query, text AS doc, chunk_id, aid, label FROM pa")
+def pairwise(s, d):
+    return negatives.pairwise(passages(s, d))
+
+
+@query("SELECT qid, 'Question: ' || query || chr(10) || 'Document: ' || text || chr(10) || 'Is the document relevant to the question? Answer yes or no:' AS prompt, CASE label WHEN 1 THEN ' yes' ELSE ' no' END AS label, label AS label_id, chunk_id, aid FROM pa")
+def prompts(s, d):
+    return negatives.prompts(passages(s, d))
+
+
+@query(f"SELECT qid, chunk_id, 'SYSTEM:' || chr(10) || '{negatives.SYSTEM}' || chr(10) || chr(10) || 'USER:' || chr(10) || 'Question:' || chr(10) || query || chr(10) || chr(10) || 'Document:' || chr(10) || text || chr(10) || chr(10) AS chat, label::VARCHAR AS target FROM pa")
+def chat_prompts(s, d):
+    return negatives.messages(passages(s, d)).select("qid", "chunk_id", negatives.render_chat(F.col("messages")).alias("chat"), "target")
+
+
+@query("SELECT conv_id, string_agg(upper(role) || ':' || chr(10) || coalesce(text, '') || chr(10) || chr(10), '' ORDER BY turn) AS chat, count(*) AS turns FROM conversations GROUP BY conv_id")
+def chat_messages(s, d):
+    rows = table(s, d, "conversations").withColumn("content", F.coalesce("text", F.lit("")))
+    chat = F.array_sort(F.collect_list(F.struct("turn", "role", "content")))
+    return rows.groupBy("conv_id").agg(chat.alias("m"), F.count("*").alias("turns")).select("conv_id", negatives.render_chat(F.col("m")).alias("chat"), "turns")
+
+
+# Audits ---------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT qid, min(chunk_id) AS chunk_id FROM (SELECT qid, {_NORM.replace('text', 'question')} AS q FROM qs WHERE len({_words('question')}) >= 8) JOIN (SELECT chunk_id, {_NORM} AS t FROM ch) ON contains(t, q) GROUP BY qid")
+def text_in_corpus(s, d):
+    return audit.questions_in_corpus(corpus.questions(s, d), word_chunks(s, d))
+
+
+AUDITS = ("split_leaks", "unsplit", "duplicate_pairs", "too_many", "outside_pool", "labels", "hybrid", "norms", "order", "maximum", "negatives", "positives", "texts")
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS \"check\", 0::BIGINT AS failures" for a in AUDITS))
+def audit_failures(s, d):
+    q, marks, sp = corpus.questions(s, d), corpus.qrels(s, d), question_splits(s, d)
+    mixed, again, train = fusion.apply_hybrid(pool_merged(s, d)), reranked(s, d), passages(s, d)
+    found = (
+        audit.split_leaks(q, sp, marks), splits.coverage(q, sp), audit.duplicate_keys(mixed, "qid", "aid"), audit.too_many(mixed, 2 * POOL),
+        audit.not_in(again, mixed, "qid", "aid"), audit.wrong_labels(mixed.drop("rank"), marks), audit.wrong_hybrid(mixed), audit.wrong_norms(again, "rerank_score_norm"),
+        audit.wrong_order(mixed, "hybrid_score"), audit.wrong_maximum(rerank.by_article(again, "rerank_score"), again, "rerank_score"),
+        audit.negatives_that_are_positive(train, marks), audit.positives_that_are_not(train, marks), audit.empty_texts(train, "query", "text"),
+    )
+    return audit.failures(dict(zip(AUDITS, found, strict=True)))
+
+
+@query(f"SELECT metric, round(h.value, 6) AS base_value, round(b.value, 6) AS other_value, round(b.value - h.value, 6) AS delta FROM (WITH z AS ({_Z}) {_PER_K} UNION ALL {_PER_N}) h JOIN (WITH z AS ({_Z.replace('jd', 'jb')}) {_PER_K} UNION ALL {_PER_N}) b USING (metric)")
+def compare_methods(s, d):
+    q, marks = corpus.questions(s, d), corpus.qrels(s, d)
+    named = lambda rows, score, n: metrics.ranking(rows, score, q, marks).select(F.lit(n).alias("method"), F.lit("all").alias("split"), "metric", "value")
+    both = named(fusion.apply_hybrid(pool_merged(s, d)), "hybrid_score", "hybrid").unionByName(named(pool_bm25(s, d), "bm25_score", "bm25"))
+    return metrics.compare(both, "hybrid", "bm25").select("metric", r6("base_value"), r6("other_value"), r6("delta"))
+
+
+PARTS["jb"] = "SELECT b.qid, b.aid, bm25_score AS score, rank, label AS hit FROM bmn b"
+ORACLE_SQL["compare_methods"] = with_parts(ORACLE_SQL["compare_methods"][ORACLE_SQL["compare_methods"].rindex("\nSELECT metric") + 1 :])

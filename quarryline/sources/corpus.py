@@ -79,16 +79,17 @@ def contained(asked: DataFrame, texts: DataFrame, gram: int = 8) -> DataFrame:
     """(qid, aid) where the article's text contains the question's. Articles are joined to the questions through
     their word n-grams first, so that only pairs that share one are compared; questions of fewer words compare
     with every article by broadcast, as there are no more of them than questions."""
-    from quarryline.functions.text import words
+    from quarryline.functions.text import let, words
 
     def grams(c):
-        return F.when(F.size(c) >= gram, F.transform(F.sequence(F.lit(1), F.size(c) - gram + 1), lambda i: F.array_join(F.slice(c, i, gram), " ")))
+        cut = lambda w: F.when(F.size(w) >= gram, F.transform(F.sequence(F.lit(1), F.size(w) - gram + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, gram), " "))))
+        return let(c, cut)
 
     # Inner words only: the first and last may be parts of longer words in the article.
     own = asked.withColumn("_w", words(F.col("question"))).withColumn("_w", F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))))
     long = own.where(F.size("_w") >= gram).select("qid", "question", F.element_at(grams(F.col("_w")), 1).alias("_g"))
     short = own.where(F.size("_w") < gram).select("qid", "question")
-    cut = texts.select("aid", "text", F.explode(F.array_distinct(grams(words(F.col("text"))))).alias("_g"))
-    by_gram = cut.join(long, "_g").where(F.contains("text", "question")).select("qid", "aid").distinct()
+    held = texts.select("aid", "text", F.explode(F.array_distinct(grams(words(F.col("text"))))).alias("_g"))
+    by_gram = held.join(long, "_g").where(F.contains("text", "question")).select("qid", "aid").distinct()
     plain = texts.join(short, F.contains(texts["text"], short["question"])).select("qid", "aid")
     return by_gram.unionByName(plain)
