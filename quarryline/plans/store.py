@@ -36,7 +36,7 @@ def write_json(spark: SparkSession, path: str, value) -> None:
 
 
 def read_json(spark: SparkSession, path: str):
-    rows = spark.read.option("wholetext", True).text(path).collect()  # one document
+    rows = spark.read.text(path, wholetext=True).collect()  # one document
     return json.loads(rows[0]["value"])
 
 
