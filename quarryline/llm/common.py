@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -17,15 +18,42 @@ from quarryline.session import ensure_importable
 #: Local fallback for sessions that name no shared folder, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints/quarryline"
 #: Bytes of text that one vectorised step in a Python worker takes at once (one longer text is taken alone).
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 _written: list[tuple[SparkSession, str]] = []
+#: What lets go of an operator's memory in a Python worker, by the operator's module, and whose turn it is.
+_caches: dict[str, Callable[[], None]] = {}
+_turn = {"module": ""}
+
+
+def forget_with(module: str, forget: Callable[[], None]) -> None:
+    """Call forget in a worker when another operator's tasks begin there: workers serve one operator after another."""
+    _caches[module] = forget
+
+
+def take_turn(module: str) -> None:
+    """An operator's task begins in this worker."""
+    if _turn["module"] != module:
+        for owner, forget in _caches.items():
+            if owner != module:
+                forget()
+        _turn["module"] = module
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if trimmer := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trimmer(0)
 
 
 def prepare(spark: SparkSession) -> None:
     """Workers can import the package; Arrow batches are bounded by bytes as texts may be long."""
     ensure_importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,7 +91,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)  # needs less native memory than zstd
     out = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
     out._quarryline_path = path
     return out
@@ -75,6 +103,12 @@ def discard(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that no live DataFrame reads: Spark removes them when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def steps(texts: list[str | None], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Slices of a batch that hold at most limit characters each, or one longer text."""
     lo = size = 0
@@ -99,9 +133,11 @@ def map_texts(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, object]],
     struct = T.StructType([*(T.StructField(c, df.schema[c].dataType, True) for c in carry), *made.fields])
     arrow = to_arrow_schema(struct)
     source = list(dict.fromkeys([*keep, text, *carry]))
+    owner = fn.__module__
     wanted = [*keep, text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn(owner)
         for batch in batches:
             cols = {n: batch.column(source.index(n)).to_pylist() for n in wanted}
             along = [batch.column(source.index(n)) for n in carry]
@@ -110,6 +146,7 @@ def map_texts(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, object]],
                 arrays = [*(c.slice(lo, hi - lo).cast(arrow.field(n).type) for n, c in zip(carry, along, strict=True))]
                 arrays += [pa.array(out[f.name], type=f.type) for f in list(arrow)[len(carry) :]]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        trim()
 
     return df.select(*source).mapInArrow(run, struct)
 

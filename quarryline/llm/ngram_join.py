@@ -31,17 +31,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import map_texts, materialize, mix64, prepare, steps
+from quarryline.llm.common import discard, map_texts, materialize, mix64, prepare, release, steps
 
 WORDS, PERCENT = 5, 80
-GROUPS = 64
+GROUPS = 256
 FANOUT = 16
 BLOCK = 2048
 ROUNDS = 3
+#: A round is worth another if it leaves at most this share of the rows in mixed blocks.
+SHRINK = 0.8
 #: Length of the list of frequent shingles (it only orders shingles: any length gives the same links), and how
 #: many shingles a task counts at once to find them.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 20
 COUNTED = 1 << 22
+#: Bits, as a power of two, of the filter that tells which texts to read again, at most.
+MAX_BITS = 27
 _ODD = 0x9E3779B97F4A7C15 | 1
 _UPPER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 _powers: dict[str, np.ndarray] = {}
@@ -215,8 +219,20 @@ def frequent_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
             yield flush()
 
     seen = docs.where("text IS NOT NULL").select("text").mapInArrow(count, "h long, n long")
-    top = seen.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    return np.asarray([r["h"] for r in reversed(top)], dtype=np.int64).view(np.uint64)
+    seen = materialize(seen.groupBy("h").agg(F.sum("n").alias("n")), "frequent")
+    # The least count that at most FREQUENT shingles reach, from the counts' histogram by powers of 1.1.
+    level = F.floor(F.log("n") / F.log(F.lit(1.1))).cast("int")
+    sizes = seen.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # a few hundred levels
+    room, least = FREQUENT, None
+    for r in sizes:
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["level"]
+    top = seen.where(level >= least) if least is not None else seen.limit(0)
+    rows = top.select("h", "n").toArrow()
+    h, n = rows.column("h").to_numpy(), rows.column("n").to_numpy()
+    discard(seen)
+    return h[np.lexsort((h, n))].view(np.uint64)
 
 
 def prefixes(value: np.ndarray, bounds: np.ndarray, listed: np.ndarray, place: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -241,41 +257,80 @@ def prefixes(value: np.ndarray, bounds: np.ndarray, listed: np.ndarray, place: n
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, node (a name of the whole set) and keys (the prefix) of every row."""
-    place = np.argsort(frequent)
+    """doc_id, n, node (a name of the whole set), point (counts in GROUPS groups as bytes) and keys (the prefix)."""
+    place = np.argsort(frequent).astype(np.uint32)
     sent = docs.sparkSession.sparkContext.broadcast((frequent[place], place))
 
     def run(cols: dict) -> dict:
         value, bounds = shingle_sets(cols["text"], words)
         keys, cuts = prefixes(value, bounds, *sent.value, percent)
         lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(keys.view(np.int64)))
-        return {"doc_id": cols["doc_id"], "n": np.diff(bounds), "node": node_ids(value, bounds), "keys": lists}
+        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        group = owner * GROUPS + (value >> np.uint64(40)).astype(np.int64) % GROUPS
+        points = np.bincount(group, minlength=(len(bounds) - 1) * GROUPS).reshape(-1, GROUPS)
+        wide = points.max(axis=1, initial=0)
+        point = [p.astype("<u1" if w < 256 else "<u2" if w < 65536 else "<u4").tobytes() for p, w in zip(points, wide, strict=True)]
+        return {"doc_id": cols["doc_id"], "n": np.diff(bounds), "node": node_ids(value, bounds), "point": point, "keys": lists}
 
     kind = dict(docs.dtypes)["doc_id"]
-    return map_texts(docs, run, f"doc_id {kind}, n long, node long, keys array<long>", ["doc_id"])
+    return map_texts(docs, run, f"doc_id {kind}, n long, node long, point binary, keys array<long>", ["doc_id"])
 
 
-def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """rep, shingles (ascending hashes as bytes), point (counts in GROUPS groups as bytes) of rows with a text."""
+def _spots(column: str, bits: int) -> F.Column:
+    """Two places of a value in a bit array of 2^bits bits."""
+    return F.array(*[F.pmod(F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")), F.lit(seed)), F.lit(1 << bits)) for seed in (0, 1)])
 
-    def run(cols: dict) -> dict:
-        value, bounds = shingle_sets(cols["text"], words)
-        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        group = owner * GROUPS + (value >> np.uint64(40)).astype(np.int64) % GROUPS
-        points = np.bincount(group, minlength=(len(bounds) - 1) * GROUPS).reshape(-1, GROUPS)
-        raw = value.astype("<u8")
-        cut = zip(bounds.tolist(), bounds[1:].tolist(), strict=False)
-        return {"rep": node_ids(value, bounds), "shingles": [raw[a:b].tobytes() for a, b in cut], "point": [p.astype("<u2" if p.max() < 65536 else "<u4").tobytes() for p in points]}
 
-    return map_texts(docs, run, "rep long, shingles binary, point binary", [])
+def sets_of(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
+    """rep, shingles (ascending hashes as bytes) of the documents whose ids (doc_id) are listed, and of a few more.
+
+    A Bloom filter of at most 2^MAX_BITS bits tells which texts to read, so no text is shuffled; where the ids outgrow
+    it more texts than needed pass, which costs time and changes nothing."""
+    spark = docs.sparkSession
+    bits = min(MAX_BITS, max(10, int(ids.count() * 12).bit_length()))
+    spots = ids.select(F.explode(_spots("doc_id", bits)).alias("s"))
+    cells = spots.groupBy(F.shiftright("s", 5).alias("cell")).agg(F.bit_or(F.pow(F.lit(2.0), F.col("s") % 32).cast("long")).alias("v")).toArrow()
+    table = np.zeros(max(1, (1 << bits) >> 5), dtype=np.int64)
+    table[cells.column("cell").to_numpy()] = cells.column("v").to_numpy()
+    sent = spark.sparkContext.broadcast(table.astype(np.uint32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spot = batch.column(1).flatten().to_numpy().reshape(-1, 2)
+            keep = ((sent.value[spot >> 5] >> (spot & 31).astype(np.uint32)) & 1).all(axis=1)
+            texts = batch.column(0).filter(pa.array(keep)).to_pylist()
+            for lo, hi in steps(texts):
+                value, bounds = shingle_sets(texts[lo:hi], words)
+                raw, full = value.astype("<u8"), np.flatnonzero(np.diff(bounds))
+                blobs = [raw[bounds[i] : bounds[i + 1]].tobytes() for i in full]
+                yield pa.RecordBatch.from_arrays([pa.array(node_ids(value, bounds)[full]), pa.array(blobs, pa.binary())], ["rep", "shingles"])
+
+    return docs.where("text IS NOT NULL").select("text", _spots("doc_id", bits).alias("spots")).mapInArrow(run, "rep long, shingles binary")
 
 
 def _point(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * GROUPS else "<u4").astype(np.int32)
+    return np.frombuffer(raw, dtype=f"<u{len(raw) // GROUPS}").astype(np.int32)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets are linked."""
+def bounded(pairs: DataFrame, points: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) whose points' bound reaches the overlap that their sizes ask for, with that bound's share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n = (batch.column(i).to_numpy() for i in (2, 3))
+            u, v = (np.stack([_point(x) for x in batch.column(i).to_pylist()]) if len(m) else np.zeros((0, GROUPS), np.int32) for i in (4, 5))
+            bound = np.minimum(u, v).sum(axis=1, dtype=np.int64)
+            keep = (bound >= needed_overlap(m, n, percent)) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))
+            share = bound / (m + n - bound)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], ["a", "b", "share"]).filter(pa.array(keep))
+
+    side = lambda x: points.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
+    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "pa", "pb")
+    return joined.mapInArrow(run, "a long, b long, share double")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, points: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose sets are linked, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,10 +341,18 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
                 keep.append(100 * both >= percent * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    members = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    sets = materialize(sets_of(docs, points.join(members, "rep").select("doc_id").distinct(), words), "sets")
+    if sets.count() > 1.2 * sets.select("rep").distinct().count():  # many rows share an id
+        sets = materialize(sets.dropDuplicates(["rep"]), "sets")
     one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("_a"))
     two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("_b"))
     # Many pairs share their pivot: the join's skew handling may split its rows.
-    return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
+    found = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
+    found = materialize(found, "links")
+    discard(sets)
+    release(docs.sparkSession)
+    return found
 
 
 def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -322,33 +385,35 @@ def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(moved.select("rep", F.coalesce("p", "comp").alias("comp")), "labels")
 
 
-def link_representatives(keys: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(rep, comp) of the representatives that share keys: keys (rep, n, doc_id, key), docs (doc_id, text)."""
-    dealt = keys.repartition("key")  # one shuffle serves the counts and the join
-    counted = dealt.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("least")).where("m > 1")
-    blocks = materialize(dealt.join(counted, "key").select("key", "rep", "n", "doc_id", "least", "m"), "blocks")
-    members = materialize(blocks.select("rep", "n", "doc_id").distinct(), "members")
-    texts = docs.join(members.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    sets = materialize(sets_of(texts, words), "sets")
-    if sets.count() != sets.select("rep").distinct().count():  # ids that several rows share
-        sets = materialize(sets.dropDuplicates(["rep"]), "sets")
-    labels = members.select("rep", F.col("rep").alias("comp"))
-    fit = (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & (F.col("rep") != F.col("pivot"))
-    mixed = blocks.select("key", "rep", "n", "m", F.col("rep").alias("comp"))
+def link_representatives(blocks: DataFrame, points: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(rep, comp) of the representatives in blocks (key, rep, m): points (rep, n, point, doc_id), docs (doc_id, text)."""
+    spark = blocks.sparkSession
+    labels = materialize(blocks.select("rep").distinct().withColumn("comp", F.col("rep")), "labels")
+    mixed = blocks.withColumn("comp", F.col("rep"))
     for turn in range(ROUNDS):
-        # A pivot a block: the member that a hash of member and turn puts first.
-        pick = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), F.col("rep").alias("pivot"), F.col("comp").alias("pc"), F.col("n").alias("pn")))
-        pivots = mixed.groupBy("key").agg(pick.alias("x")).select("key", "x.pivot", "x.pc", "x.pn")
-        stars = mixed.join(pivots, "key").where(fit & (F.col("comp") != F.col("pc")))
-        stars = materialize(stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-        links = materialize(verify(stars, sets, percent), "links")
-        labels = merge_components(labels, links)
-        joined = blocks.select("key", "rep", "n", "m").join(labels, "rep")
+        # A pivot a block, the member that a hash of member and turn puts first; a member keeps its most similar one.
+        pick = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), F.col("rep").alias("pivot"), F.col("comp").alias("pc")))
+        pivots = mixed.groupBy("key").agg(pick.alias("x")).select("key", "x.pivot", "x.pc")
+        stars = mixed.join(pivots, "key").where("rep <> pivot AND comp <> pc").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+        close = bounded(stars, points, percent).groupBy("b").agg(F.max(F.struct("share", "a")).alias("x")).select("x.a", "b")
+        close = materialize(close, "stars")
+        release(spark)
+        if close.isEmpty():
+            break
+        labels = merge_components(labels, verify(close, docs, points, words, percent))
+        joined = blocks.join(labels, "rep")
         spread = joined.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        mixed = materialize(joined.join(spread, "key"), "mixed")
+        left = materialize(joined.join(spread, "key").select("key", "rep", "m", "comp"), "mixed")
+        before, after = mixed.count(), left.count()
+        discard(mixed)
+        mixed = left
+        release(spark)
+        if after > SHRINK * before:
+            break
     # What is left: pairs across components, found by the trees and verified.
-    pairs = materialize(tree_pairs(mixed.join(sets.select("rep", "point"), "rep"), percent).distinct(), "pairs")
-    return merge_components(labels, materialize(verify(pairs, sets, percent), "links"))
+    pairs = materialize(tree_pairs(mixed.join(points.select("rep", "n", "point"), "rep"), percent).distinct(), "pairs")
+    release(spark)
+    return labels if pairs.isEmpty() else merge_components(labels, verify(pairs, docs, points, words, percent))
 
 
 def tree_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -396,12 +461,21 @@ def tree_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (least doc_id with the same set) of every row of docs."""
     prepare(docs.sparkSession)
+    spark = docs.sparkSession
     base = docs.select("doc_id", "text")
-    signed = materialize(signatures(base, frequent_shingles(base, words), words, percent), "signed")
+    full = materialize(signatures(base, frequent_shingles(base, words), words, percent), "signed")
+    signed = materialize(full.select("doc_id", "n", "node", "point"), "rows")
     # Rows with equal sets are one node; its keys come from any of them.
-    classes = signed.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
-    keys = classes.select(F.col("node").alias("rep"), "n", "doc_id", F.explode("keys").alias("key"))
-    labels = link_representatives(keys, base, words, percent)
+    nodes = full.where("n > 0").groupBy("node").agg(F.first("keys").alias("keys"))
+    dealt = nodes.select(F.col("node").alias("rep"), F.explode("keys").alias("key")).repartition("key")  # one shuffle serves the counts and the join
+    counted = dealt.groupBy("key").agg(F.count("rep").alias("m")).where("m > 1")
+    blocks = materialize(dealt.join(counted, "key").select("key", "rep", "m"), "blocks")
+    discard(full)
+    release(spark)
+    points = materialize(signed.where("n > 0").groupBy(F.col("node").alias("rep"), "n").agg(F.min("doc_id").alias("doc_id"), F.first("point").alias("point")), "points")
+    labels = link_representatives(blocks, points, base, words, percent)
+    discard(blocks)
+    release(spark)
     rows = signed.select("doc_id", "n", "node").join(labels.withColumnRenamed("rep", "node"), "node", "left")
     rows = rows.withColumn("comp", F.coalesce("comp", "node"))
     # The smallest id of each node, then of each component, summed up before each shuffle.
