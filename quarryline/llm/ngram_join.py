@@ -31,19 +31,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import discard, map_texts, materialize, mix64, prepare, release, steps
+from quarryline.llm.common import discard, map_texts, materialize, mix64, prepare, release, steps, take_turn, trim
 
 WORDS, PERCENT = 5, 80
-GROUPS = 256
+GROUPS = 512
 FANOUT = 16
 BLOCK = 2048
+#: Pairs that a task of the tree search gathers before it drops repeated ones and sends them on.
+HELD_PAIRS = 500_000
 ROUNDS = 3
 #: A round is worth another if it leaves at most this share of the rows in mixed blocks.
 SHRINK = 0.8
 #: Length of the list of frequent shingles (it only orders shingles: any length gives the same links), and how
 #: many shingles a task counts at once to find them.
 FREQUENT = 1 << 20
-COUNTED = 1 << 22
+COUNTED = 1 << 21
 #: Bits, as a power of two, of the filter that tells which texts to read again, at most.
 MAX_BITS = 27
 _ODD = 0x9E3779B97F4A7C15 | 1
@@ -206,6 +208,7 @@ def frequent_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(values[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
 
+        take_turn(__name__)
         size = 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -217,6 +220,7 @@ def frequent_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
                     yield flush()
         if held:
             yield flush()
+        trim()
 
     seen = docs.where("text IS NOT NULL").select("text").mapInArrow(count, "h long, n long")
     seen = materialize(seen.groupBy("h").agg(F.sum("n").alias("n")), "frequent")
@@ -308,8 +312,13 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.where("text IS NOT NULL").select("text", _spots("doc_id", bits).alias("spots")).mapInArrow(run, "rep long, shingles binary")
 
 
-def _point(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype=f"<u{len(raw) // GROUPS}").astype(np.int32)
+def _points(raws: list[bytes]) -> np.ndarray:
+    """A row of counts a point; one byte a count where that is enough for all."""
+    if not raws:
+        return np.zeros((0, GROUPS), dtype=np.uint8)
+    if all(len(r) == GROUPS for r in raws):
+        return np.frombuffer(b"".join(raws), dtype=np.uint8).reshape(-1, GROUPS)
+    return np.stack([np.frombuffer(r, dtype=f"<u{len(r) // GROUPS}").astype(np.int32) for r in raws])
 
 
 def bounded(pairs: DataFrame, points: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -318,7 +327,7 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int = PERCENT) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m, n = (batch.column(i).to_numpy() for i in (2, 3))
-            u, v = (np.stack([_point(x) for x in batch.column(i).to_pylist()]) if len(m) else np.zeros((0, GROUPS), np.int32) for i in (4, 5))
+            u, v = (_points(batch.column(i).to_pylist()) for i in (4, 5))
             bound = np.minimum(u, v).sum(axis=1, dtype=np.int64)
             keep = (bound >= needed_overlap(m, n, percent)) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))
             share = bound / (m + n - bound)
@@ -432,7 +441,7 @@ def tree_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         def pairs(frame: pd.DataFrame) -> pd.DataFrame:
             ids, comps = frame["rep"].to_numpy(), frame["comp"].to_numpy()
             sizes = frame["n"].to_numpy()
-            points = np.stack([_point(x) for x in frame["point"]]) if len(frame) else np.zeros((0, GROUPS), dtype=np.int32)
+            points = _points(frame["point"].tolist())
             side = (~frame["first"].to_numpy(dtype=bool)).astype(np.int64)
             block = frame[["key", "p", "q"]].to_numpy()
             cut = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]).any(axis=1), [True]]))
@@ -443,17 +452,24 @@ def tree_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
                     a.append(x)
                     b.append(y)
             none = np.zeros(0, dtype=np.int64)
-            return pd.DataFrame({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])}).drop_duplicates()
+            return pd.DataFrame({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
+        held, size = [], 0
         for frame in frames:  # a block may go on in the next frame
             frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
             last = frame.iloc[-1] if len(frame) else None
             same = (frame["key"] == last["key"]) & (frame["p"] == last["p"]) & (frame["q"] == last["q"]) if last is not None else None
             rest = frame[same] if same is not None else None
             if same is not None and not same.all():
-                yield pairs(frame[~same])
+                held.append(pairs(frame[~same]))
+                size += len(held[-1])
+            if size > HELD_PAIRS:  # pairs share many keys
+                yield pd.concat(held).drop_duplicates()
+                held, size = [], 0
         if rest is not None and len(rest):
-            yield pairs(rest)
+            held.append(pairs(rest))
+        if held:
+            yield pd.concat(held).drop_duplicates()
 
     return grouped.select("key", "rep", "comp", "n", "point", "p", "q", "first").mapInPandas(run, "a long, b long")
 
