@@ -28,15 +28,17 @@ from pyspark.sql import functions as F
 
 from quarryline.llm.common import held_out, map_texts, prepare
 
-SAMPLE_DOCS = 2000
+SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 12_000
 PREDICT_FROM = 0.3
 SPAN_FROM = 0.5
 FEATURES = 1 << 18
 EPOCHS = 60
+#: Tokens that a training step holds at once, about.
+TRAIN_TOKENS = 100_000
 MIN_SUPPORT = 4
 MIN_LOG_ODDS = 2.5
-MAX_KNOWN = 500_000
+MAX_KNOWN = 200_000
 _WORD = re.compile(r"\w+")
 
 
@@ -175,10 +177,15 @@ def train_chain(docs: list[list[str]], toxic: list[int]) -> dict:
     params = [weights, bias, trans, start]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     n = max(1, len(flat))
+    heads = np.flatnonzero(first)
+    cuts = [*np.unique(heads[np.minimum(np.searchsorted(heads, np.arange(0, len(flat), TRAIN_TOKENS)), len(heads) - 1)]).tolist(), len(flat)] if len(flat) else [0]
     for step in range(1, EPOCHS + 1):
         per_word = np.bincount(f_word, weights=weights[f_flat], minlength=len(vocabulary)) + bias[0]
-        marginal, expected, firsts = Chain(trans, start).run(per_word[flat], first, pairs=True)
-        gap = np.bincount(flat, weights=y - marginal, minlength=len(vocabulary))
+        gap, expected, firsts = np.zeros(len(vocabulary)), np.zeros((2, 2)), np.zeros(2)
+        for lo, hi in zip(cuts, cuts[1:], strict=False):  # bounded memory: whole documents, some at a time
+            marginal, moves, begun = Chain(trans, start).run(per_word[flat[lo:hi]], first[lo:hi], pairs=True)
+            gap += np.bincount(flat[lo:hi], weights=y[lo:hi] - marginal, minlength=len(vocabulary))
+            expected, firsts = expected + moves, firsts + begun
         grads = [np.bincount(f_flat, weights=gap[f_word], minlength=FEATURES) - 0.1 * weights, np.asarray([gap.sum()]), seen - expected - trans, started - firsts - start]
         for p, g, (m1, m2) in zip(params, grads, moments, strict=True):
             g = g / n * 1000
@@ -260,7 +267,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     if len(set(ys)) < 2:
         return {"prior": prior}
     model = train_chain([texts[i] for i in half], [ys[i] for i in half])
-    x, _, _ = Tagger(model).summary([texts[i] for i in rest])
+    tagger = Tagger(model)
+    x = np.concatenate([tagger.summary([texts[i] for i in rest[k : k + 200]])[0] for k in range(0, len(rest), 200)])
     y = np.asarray([ys[i] for i in rest], dtype=float)
     share = {c: max(1, sum(y == c)) for c in (0, 1)}
     w = np.where(y == 1, sizes[1] / share[1], sizes[0] / share[0])
