@@ -1,3 +1,8 @@
+import os
+
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
 import sys
 from pathlib import Path
 
