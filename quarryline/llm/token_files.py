@@ -70,13 +70,14 @@ def read_tokens(spark: SparkSession, path: str, doc_id_type: str = "bigint") ->
     return spark.read.schema(f"doc_id {doc_id_type}, n_tokens long, ids array<int>, shard int").parquet(path)
 
 
-def with_starts(tokens: DataFrame) -> DataFrame:
-    """Adds start, the ids of all documents before: sums of whole shards, then a running sum in each."""
+def with_starts(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """rows of digests() with start, the ids of all documents before: sums of whole shards, from the files' counts alone,
+    then a running sum in each."""
     totals = tokens.groupBy("shard").agg(F.sum("n_tokens").alias("_sum"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     totals = totals.select(F.col("shard").alias("_shard"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     earlier = Window.partitionBy("shard").orderBy("doc_id", "position").rowsBetween(Window.unboundedPreceding, -1)
-    inside = tokens.withColumn("_inside", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)))
+    inside = rows.withColumn("_inside", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)))
     return inside.join(totals, F.col("shard") == F.col("_shard")).withColumn("start", F.col("_before") + F.col("_inside")).drop("_shard", "_before", "_inside")
 
 
@@ -103,4 +104,5 @@ def tokenize_files(docs: DataFrame, tokenizer: str, end_id: int, path: str | Non
     spark = docs.sparkSession
     path = path or shared_path(spark, "tokens")
     write_tokens(docs, path, tokenizer, end_id, encoding)
-    return with_starts(digests(read_tokens(spark, path, dict(docs.dtypes)["doc_id"]))).select("doc_id", "start", "n_tokens", "ids_crc32")
+    tokens = read_tokens(spark, path, dict(docs.dtypes)["doc_id"])
+    return with_starts(digests(tokens), tokens).select("doc_id", "start", "n_tokens", "ids_crc32")
