@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import text as tx
 from quarryline.operators import audit, dense, fusion, lexical, metrics, negatives, rerank, router, splits
+from quarryline.plans import evaluate
 from quarryline.plans.evaluate import chunk_table
 from quarryline.session import ensure_importable, table
 from quarryline.sources import corpus
@@ -333,6 +334,15 @@ def bm25_grid(s, d):
     return every.groupBy("k1", "b").agg(F.round(F.avg(F.col("h") / F.greatest("positives", F.lit(1))), 6).alias("recall10"))
 
 
+def _grid_sql(name: str) -> str:
+    return ORACLE_SQL[name][ORACLE_SQL[name].rindex("\nSELECT") + 1 :]
+
+
+@query(f"""SELECT k1, b, recall10 AS recall FROM (SELECT * FROM (VALUES {', '.join(f'({k1}::DOUBLE, {b}::DOUBLE, {i})' for i, (k1, b) in enumerate(GRID))}) o(k1, b, i) JOIN ({_grid_sql("bm25_grid")}) USING (k1, b)) ORDER BY recall10 DESC, i LIMIT 1""")
+def tune_bm25(s, d):
+    return evaluate.tune_bm25(corpus.questions(s, d), corpus.articles(s, d), corpus.qrels(s, d), GRID).select("k1", "b", r6("recall"))
+
+
 # Dense ----------------------------------------------------------------------------------------------------------------
 
 
@@ -394,6 +404,11 @@ def hybrid_alpha_grid(s, d):
     return every.groupBy("alpha").agg(F.round(F.avg(F.col("h") / F.greatest("positives", F.lit(1))), 6).alias("recall10"))
 
 
+@query(f"""SELECT alpha, recall10 AS recall FROM ({_grid_sql("hybrid_alpha_grid")}) ORDER BY recall10 DESC, alpha LIMIT 1""")
+def tune_hybrid(s, d):
+    return evaluate.tune_hybrid(pool_merged(s, d), corpus.questions(s, d), corpus.qrels(s, d), ALPHAS).select("alpha", r6("recall"))
+
+
 @query("SELECT qid, round(quantile_cont(bm25_score_norm, 0.1), 6) AS p_score FROM bmn GROUP BY qid")
 def percentile_p10(s, d):
     return fusion.observed_percentile(pool_bm25(s, d), "bm25_score_norm").select("qid", r6("p_score"))

@@ -103,3 +103,27 @@ def online(question: DataFrame, articles: DataFrame, chunks: DataFrame, weights:
     top = rerank.by_article(scored, "rerank_score_norm").where(F.col("rank") <= max(1, min(top_n, config.top_k)))
     text = articles.select(F.col("aid").cast("string").alias("aid"), "law_id", "text")
     return top.join(text, "aid").orderBy("rank")
+
+
+def _grid_recall(rows: DataFrame, keys: list[str], points: list[tuple], questions: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
+    """(keys, recall, position): mean recall@k over all questions for every point of a grid, in the grid's order."""
+    marks = qrels.select("qid", "aid").distinct()
+    hits = rows.where(F.col("rank") <= k).join(marks, ["qid", "aid"]).groupBy(*keys, "qid").agg(F.count("*").alias("h"))
+    per = questions.select("qid").join(marks.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").fillna(0)
+    entries = [F.struct(*[F.lit(float(v)).alias(key) for key, v in zip(keys, p, strict=True)], F.lit(i).alias("position")) for i, p in enumerate(points)]
+    grid = per.select("qid", "n", F.explode(F.array(*entries)).alias("g")).select("qid", "n", "g.*")
+    every = grid.join(hits, [*keys, "qid"], "left").fillna(0, ["h"])
+    return every.groupBy(*keys, "position").agg(F.avg(F.col("h") / F.greatest("n", F.lit(1))).alias("recall"))
+
+
+def tune_bm25(questions: DataFrame, articles: DataFrame, qrels: DataFrame, grid: list[tuple[float, float]], k: int = 10) -> DataFrame:
+    """The grid's (k1, b) with the best recall@k over the questions given (the train split's); the first of equals."""
+    rows = lexical.grid_search(questions, articles, grid, k)
+    found = _grid_recall(rows, ["k1", "b"], grid, questions, qrels, k)
+    return found.orderBy(F.round("recall", 12).desc(), "position").limit(1).select("k1", "b", "recall")
+
+
+def tune_hybrid(merged: DataFrame, questions: DataFrame, qrels: DataFrame, alphas: list[float], k: int = 10) -> DataFrame:
+    """The alpha with the best recall@k over the questions given (the validation split's); the first of equals."""
+    found = _grid_recall(fusion.alpha_grid(merged, alphas), ["alpha"], [(a,) for a in alphas], questions, qrels, k)
+    return found.orderBy(F.round("recall", 12).desc(), "position").limit(1).select("alpha", "recall")
