@@ -15,10 +15,12 @@ import re
 
 import numpy as np
 
+from quarryline.llm.common import forget_with
+
 #: Fixed value: the split pattern of the public CLIP tokenizer. Its pieces never hold white space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Chunks remembered by a worker, and their length at most.
-MAX_KNOWN = 400_000
+MAX_KNOWN = 350_000
 MAX_CHUNK = 40
 _MARKS = ".,;:!?"
 _BYTE_LEVEL = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
@@ -117,3 +119,12 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Drop what this worker remembers."""
+    _encoders.clear()
+
+
+for _user in ("quarryline.llm.packing", "quarryline.llm.token_files"):
+    forget_with(_user, forget)
