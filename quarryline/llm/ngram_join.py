@@ -398,7 +398,7 @@ def link_representatives(blocks: DataFrame, points: DataFrame, docs: DataFrame,
     """(rep, comp) of the representatives in blocks (key, rep, m): points (rep, n, point, doc_id), docs (doc_id, text)."""
     spark = blocks.sparkSession
     labels = materialize(blocks.select("rep").distinct().withColumn("comp", F.col("rep")), "labels")
-    mixed = blocks.withColumn("comp", F.col("rep"))
+    mixed = blocks.withColumn("comp", F.col("rep")).withColumn("least", F.col("key"))
     for turn in range(ROUNDS):
         # A pivot a block, the member that a hash of member and turn puts first; a member keeps its most similar one.
         pick = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), F.col("rep").alias("pivot"), F.col("comp").alias("pc")))
@@ -411,8 +411,8 @@ def link_representatives(blocks: DataFrame, points: DataFrame, docs: DataFrame,
             break
         labels = merge_components(labels, verify(close, docs, points, words, percent))
         joined = blocks.join(labels, "rep")
-        spread = joined.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        left = materialize(joined.join(spread, "key").select("key", "rep", "m", "comp"), "mixed")
+        spread = joined.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("least")).where("lo <> hi")
+        left = materialize(joined.join(spread.select("key", "least"), "key").select("key", "rep", "m", "comp", "least"), "mixed")
         before, after = mixed.count(), left.count()
         discard(mixed)
         mixed = left
@@ -426,14 +426,16 @@ def link_representatives(blocks: DataFrame, points: DataFrame, docs: DataFrame,
 
 
 def tree_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Surviving pairs (a, b) of blocks (key, m, rep, n, comp, point). A block over BLOCK rows is cut into salted
-    parts; each two parts meet in a block of their own, and each part alone in another."""
+    """Surviving pairs (a, b) of blocks (key, least, m, rep, n, comp, point). A block over BLOCK rows is cut into salted
+    parts; each two parts meet in a block of their own, and each part alone in another. Blocks with the same least
+    member go to one task, where pairs that share many keys are sent on once: there are no more such blocks than that
+    member has keys in its prefix."""
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit(5)), parts).cast("int")
     dealt = rows.withColumn("s", parts).withColumn("own", own)
     meets = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q")))
-    dealt = dealt.select("key", "rep", "comp", "n", "point", "own", F.explode(meets).alias("x")).select("key", "rep", "comp", "n", "point", F.col("x.p").alias("p"), F.col("x.q").alias("q"), (F.col("own") == F.col("x.p")).alias("first"))
-    grouped = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    dealt = dealt.select("key", "least", "rep", "comp", "n", "point", "own", F.explode(meets).alias("x")).select("key", "least", "rep", "comp", "n", "point", F.col("x.p").alias("p"), F.col("x.q").alias("q"), (F.col("own") == F.col("x.p")).alias("first"))
+    grouped = dealt.repartition("least", "p", "q").sortWithinPartitions("least", "p", "q", "key")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
