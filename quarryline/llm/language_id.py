@@ -97,9 +97,10 @@ def _platt(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
 def train(rows: list[tuple[str, str]]) -> dict:
     """Model from (text, language) rows."""
     languages = sorted({lang for _, lang in rows})
-    model: dict = {"languages": languages, "code": code_matrix(len(languages))}
+    model: dict = {"languages": languages}
     if len(languages) < 2:
         return model
+    model["code"] = code_matrix(len(languages))
     seen = [r for r in rows if zlib.crc32(r[0].encode("utf-8", "surrogatepass")) % 3]
     fresh = [r for r in rows if not zlib.crc32(r[0].encode("utf-8", "surrogatepass")) % 3]
     if {x for _, x in seen} != set(languages) or {x for _, x in fresh} != set(languages):

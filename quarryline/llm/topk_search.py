@@ -98,8 +98,9 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
             scores = _products(q[plain], c[part])
             top.offer(plain, scores, c_ids[part], c_ids[part][None, :] != q_ids[plain][:, None])
             said["verified"] += scores.size
-        for f in np.unique(focus[by_coordinate]):
-            rows = by_coordinate[focus[by_coordinate] == f]
+        side_of = 2 * focus + (q[np.arange(len(q)), focus] > 0) if q.shape[1] else focus  # opposite signs have opposite intervals
+        for group in np.unique(side_of[by_coordinate]):
+            f, rows = group // 2, by_coordinate[side_of[by_coordinate] == group]
             side = part[np.argsort(c[part, f], kind="stable")]
             x = c[side, f] / longest
             qf = q[rows, f] / q_len[rows]

@@ -305,7 +305,7 @@ def test_topk_pruning_is_exact(spread):
     for i in range(200):
         want = sorted(((-s[i, j], j) for j in range(3000) if j != i))[:5]
         assert [(-a, b) for a, b in want] == list(zip(top.score[i].tolist(), top.id[i].tolist()))
-    assert said["coordinate"] > 0 and (said["length"] > 0 or not spread)
+    assert said["length"] > 0 and (said["coordinate"] > 0 or spread)  # lengths alone prune where they differ much
 
 
 # 9 n-gram join
