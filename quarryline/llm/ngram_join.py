@@ -41,7 +41,7 @@ BLOCK = 2048
 HELD_PAIRS = 500_000
 ROUNDS = 3
 #: A round is worth another if it leaves at most this share of the rows in mixed blocks.
-SHRINK = 0.8
+SHRINK = 0.5
 #: Length of the list of frequent shingles (it only orders shingles: any length gives the same links), and how
 #: many shingles a task counts at once to find them.
 FREQUENT = 1 << 20
