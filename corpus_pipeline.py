@@ -5,7 +5,7 @@ Every stage works on all that the one before kept; run() writes each stage's row
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import language_id, mixing, ngram_join, packing, toxicity
@@ -35,14 +35,20 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each component; of rows that share a doc_id the first by text."""
-    found = materialize(ngram_join.components(docs), "components")
-    kept = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept"))
-    out = docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    if kept.count() != kept.distinct().count():
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        out = out.withColumn("_nth", first).where("_nth = 1").drop("_nth")
-    return out
+    """One row of each component, the first by (doc_id, text) with null ids last, and every row without words. Rows are
+    told apart by id and text, so rows that share an id, or have none, stay if they are no near copies."""
+    inner, names = shield(docs)
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = ngram_join.survivors(inner).select(F.col("doc_id").alias("_kept"), F.col("hash").alias("_hash"), "rows")
+    same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.xxhash64("text") == F.col("_hash"))
+    out = inner.where(worded).join(kept.where("rows = 1"), same, "left_semi").unionByName(inner.where(~worded))
+    many = kept.where("rows > 1").drop("rows")
+    if not many.isEmpty():
+        # Repeated rows: the first by the other columns, found before the shuffle where they lie together.
+        order = F.struct(F.lit(0), *[c for c, kind in inner.dtypes if c not in ("doc_id", "text") and "map<" not in kind])
+        rows = inner.where(worded).join(many, same).groupBy("_kept", "_hash").agg(F.min_by(F.struct(*inner.columns), order).alias("x"))
+        out = out.unionByName(rows.select("x.*"))
+    return out.withColumnsRenamed(names)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -261,7 +261,8 @@ def prefixes(value: np.ndarray, bounds: np.ndarray, listed: np.ndarray, place: n
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, node (a name of the whole set), point (counts in GROUPS groups as bytes) and keys (the prefix)."""
+    """doc_id, n, node (a name of the whole set), point (counts in GROUPS groups as bytes), keys (the prefix) and the
+    further columns of docs."""
     place = np.argsort(frequent).astype(np.uint32)
     sent = docs.sparkSession.sparkContext.broadcast((frequent[place], place))
 
@@ -277,7 +278,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percen
         return {"doc_id": cols["doc_id"], "n": np.diff(bounds), "node": node_ids(value, bounds), "point": point, "keys": lists}
 
     kind = dict(docs.dtypes)["doc_id"]
-    return map_texts(docs, run, f"doc_id {kind}, n long, node long, point binary, keys array<long>", ["doc_id"])
+    return map_texts(docs, run, f"doc_id {kind}, n long, node long, point binary, keys array<long>", ["doc_id"], carry=[c for c in docs.columns if c not in ("doc_id", "text")])
 
 
 def _spots(column: str, bits: int) -> F.Column:
@@ -476,13 +477,15 @@ def tree_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     return grouped.select("key", "rep", "comp", "n", "point", "p", "q", "first").mapInPandas(run, "a long, b long")
 
 
-def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (least doc_id with the same set) of every row of docs."""
+def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n, node, comp (one name for all rows of a component) and the further columns of docs (doc_id, text) of
+    every row. Sets without shingles share a node and a comp that mean nothing."""
     prepare(docs.sparkSession)
     spark = docs.sparkSession
     base = docs.select("doc_id", "text")
-    full = materialize(signatures(base, frequent_shingles(base, words), words, percent), "signed")
-    signed = materialize(full.select("doc_id", "n", "node", "point"), "rows")
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
+    full = materialize(signatures(docs, frequent_shingles(base, words), words, percent), "signed")
+    signed = materialize(full.select("doc_id", "n", "node", "point", *more), "rows")
     # Rows with equal sets are one node; its keys come from any of them.
     nodes = full.where("n > 0").groupBy("node").agg(F.first("keys").alias("keys"))
     dealt = nodes.select(F.col("node").alias("rep"), F.explode("keys").alias("key")).repartition("key")  # one shuffle serves the counts and the join
@@ -494,11 +497,35 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     labels = link_representatives(blocks, points, base, words, percent)
     discard(blocks)
     release(spark)
-    rows = signed.select("doc_id", "n", "node").join(labels.withColumnRenamed("rep", "node"), "node", "left")
-    rows = rows.withColumn("comp", F.coalesce("comp", "node"))
+    rows = signed.select("doc_id", "n", "node", *more).join(labels.withColumnRenamed("rep", "node"), "node", "left")
+    return rows.withColumn("comp", F.coalesce("comp", "node"))
+
+
+def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (least doc_id with the same set) of every row of docs."""
+    rows = labelled(docs.select("doc_id", "text"), words, percent)
     # The smallest id of each node, then of each component, summed up before each shuffle.
     nodes = rows.where("n > 0").groupBy("node", "comp").agg(F.min("doc_id").alias("class_id"))
     least = nodes.groupBy("comp").agg(F.min("class_id").alias("component_id"))
     named = nodes.join(least, "comp").select("node", "class_id", "component_id")
     out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def survivors(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, hash (xxhash64 of the text) and rows (how many rows have both; 2 may stand for one) of the first row by
+    (doc_id, text) of each component, null ids last. Rows without words are not among them."""
+    found = labelled(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")), words, percent)
+    found = materialize(found.where("n > 0").select("comp", "doc_id", "hash"), "components")
+    per = found.groupBy("comp", "doc_id").agg(F.count("*").alias("rows"), F.min("hash").alias("hash"), F.max("hash").alias("last"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "last", "rows"))
+    best = materialize(per.groupBy("comp").agg(first.alias("x")).select("comp", "x.doc_id", "x.hash", "x.last", "x.rows"), "first")
+    tied = best.where("hash <> last").select(F.col("comp").alias("_comp"), F.col("doc_id").alias("_id"))
+    if tied.isEmpty():
+        return best.select("doc_id", "hash", "rows")
+    # Rows of one component that share its least id: their texts decide.
+    among = found.join(tied, (F.col("comp") == F.col("_comp")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("_comp", "_id", F.col("hash").alias("_hash")).distinct()
+    texts = docs.select("doc_id", "text").join(among, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+    chosen = texts.groupBy(F.col("_comp").alias("comp")).agg(F.min(F.struct("text", "_hash")).alias("x")).select("comp", F.col("x._hash").alias("_hash"))
+    every = best.join(chosen, "comp", "left")
+    return materialize(every.select("doc_id", F.coalesce("_hash", "hash").alias("hash"), F.when(F.col("_hash").isNull(), F.col("rows")).otherwise(2).alias("rows")), "chosen")

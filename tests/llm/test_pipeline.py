@@ -39,3 +39,20 @@ def test_one_of_each_group_stays(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 3, 9]
+
+
+def survivors(spark, rows):
+    docs = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id", "text", "source").collect()), key=str)
+
+
+def test_rows_are_judged_by_text_not_by_id(spark):
+    words = lambda p, n=60: [f"{p}{i}" for i in range(n)]
+    a, b, c, d = (" ".join(words(p)) for p in "abcd")
+    near_b, near_c = " ".join([*words("b", 59), "other"]), " ".join([*words("c", 59), "other"])
+    # Null ids with texts of their own, one id with two texts, and near copies across them.
+    rows = [(None, "one text without an id", "s"), (None, "a second text without any id", "s"), (7, a, "s"), (7, d, "s"), (3, near_b, "s"), (5, b, "s"), (5, "the id of a copy and other words", "s"), (None, near_b, "s")]
+    assert survivors(spark, rows) == sorted([(i, t, s) for i, t, s in rows if t != b and (i, t) != (None, near_b)], key=str)
+    # Near copies that share their id or lack one leave the first by text; repeated rows leave one; wordless rows stay.
+    rows = [(9, near_c, "s"), (9, c, "s"), (None, near_b, "s"), (None, b, "s"), (4, d, "t"), (4, d, "s"), (4, d, "s"), (None, None, "s"), (None, " ", "s"), (2, "", "s"), (2, "", "s")]
+    assert survivors(spark, rows) == sorted([(9, c, "s"), (None, b, "s"), (4, d, "s"), (None, None, "s"), (None, " ", "s"), (2, "", "s"), (2, "", "s")], key=str)
