@@ -8,7 +8,7 @@ to the first language in code point order. score is the softmax of the losses; a
 AMBIGUOUS_UNDER. Up to five languages take the exhaustive code, more a seeded random code.
 
 Only text and lang of documents that are not held out (crc32(doc_id) mod 4 is not 2) are learned from: at most
-SAMPLE_DOCS a language, chosen by hash, of at most SAMPLE_CHARS characters. Prediction covers every whole text.
+SAMPLE_DOCS different ones a language, chosen by a hash of id and text, of at most SAMPLE_CHARS characters. Prediction covers every whole text.
 
 Nulls: a text that is null or has no letter is "und" with score 0. Null doc_ids are not held out. With one known
 language every text with a letter gets it; with none, "und". Repeated rows are judged alike; an empty table gives
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from quarryline.llm.common import held_out, map_texts, prepare
 
 SAMPLE_DOCS = 600
+#: What the sample's share of the hash range holds on average, in SAMPLE_DOCS, before it is cut to that.
+SPARE = 1.2
 SAMPLE_CHARS = 20_000
 DIM_BITS = 16
 AMBIGUOUS_UNDER = 0.5
@@ -147,17 +149,21 @@ def predict(texts: list[str | None], model: dict) -> tuple[list[str], np.ndarray
 
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """Up to SAMPLE_DOCS rows a language that may be learned from, in hash order."""
+    """Up to SAMPLE_DOCS different rows a language that may be learned from, in the order of a hash of id and text."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & ~held_out("doc_id"))
-    order = F.xxhash64("doc_id", F.lit(23))
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row a language
-    # A share of the hash range keeps about SAMPLE_DOCS of each language, so no language meets in one task.
-    parts = 1 << 20
+    usable = usable.select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(23)), 2).alias("o"))
+    sizes = {r["lang"]: r["count"] for r in usable.select("lang", "o").distinct().groupBy("lang").count().collect()}  # one row a language
+    # A share of the hash range keeps a little more than SAMPLE_DOCS of each language, so no language meets in one task.
     keep = F.lit(False)
     for lang, n in sizes.items():
-        keep = keep | ((F.col("lang") == lang) & (F.pmod(order, F.lit(parts)) < int(parts * min(1.0, SAMPLE_DOCS / n))))
-    rows = usable.where(keep).select("text", "lang", order.alias("o")).collect()
-    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["o"], r["lang"], r["text"]))]
+        keep = keep | ((F.col("lang") == lang) & (F.col("o") < int((1 << 62) * min(1.0, SPARE * SAMPLE_DOCS / n))))
+    rows = usable.where(keep).groupBy("lang", "o").agg(F.first("text").alias("text")).collect()
+    taken, out = dict.fromkeys(sizes, 0), []
+    for r in sorted(rows, key=lambda r: (r["o"], r["lang"], r["text"])):
+        taken[r["lang"]] += 1
+        if taken[r["lang"]] <= SAMPLE_DOCS:
+            out.append((r["text"], r["lang"]))
+    return out
 
 
 def identify(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -377,3 +377,11 @@ def test_languages_odd_and_empty(spark, odd_docs, no_docs):
     assert [got[i]["lang_pred"] for i in (2, 3, 5, 7)] == ["und"] * 4 and got[4]["lang_pred"] in ("en", "fr", "de")
     assert {r["lang_pred"] for r in language_id.identify(odd_docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language_id.identify(no_docs).count() == 0
+
+
+def test_language_sample_is_bounded_and_whole(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_DOCS", 20)
+    rows = [(None, f"words without an id {i}", "en") for i in range(500)] + [(4, f"worte mit einer nummer {i}", "de") for i in range(300)]
+    rows += [(1, "une seule ligne", "fr")] * 2000 + [(i, f"parole {i}", "it") for i in range(400)]
+    got = Counter(lang for _, lang in language_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert set(got) == {"en", "de", "fr", "it"} and got["fr"] == 1 and all(10 <= got[x] <= 20 for x in ("en", "de", "it"))
