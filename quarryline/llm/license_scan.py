@@ -4,9 +4,9 @@ Base labels come from phrases whose words stand consecutively. The join finds no
 block (WINDOW words from every STRIDE-th word) meets a template when the block holds at least THRESHOLD of the
 template's distinct words. Words are ordered by their frequency over all documents, rarest first. A matching block
 must hold a word of the template's prefix (the rarest |T| - ceil(THRESHOLD * |T|) + 1 words), so words join the small
-index of prefixes; the length filter needs as many distinct template words in the block as the overlap asks for; the
-positional filter bounds the overlap by the template words that follow the first shared one; what is left is
-verified. The templates, and so the index, are parameters and do not grow with the data.
+index of prefixes; the length filter needs as many distinct template words in the block as the overlap asks for; what
+is left is verified. The positional filter bounds the overlap by the template words from a shared one on: every prefix
+word has enough of them, so it drops no pair here, and prefix and length filter do the work. The templates, and so the index, are parameters and do not grow with the data.
 
 Everything is DataFrame expressions. Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z are lower-cased.
 Nulls: a null text counts as empty: no words, no labels, score 0. Repeated rows are scanned alike. An empty table
