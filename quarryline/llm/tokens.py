@@ -1,10 +1,10 @@
-"""Encoding with files of the tokenizers library, with a bounded memory of chunks met before.
+"""Encoding with files of the tokenizers library, with a bounded memory of pieces met before.
 
-In the two kinds of file known here no token spans a chunk: white space apart, a word with the marks and digits that
-touch it, in byte-level files with the space before it. Texts whose characters are white space here and in the
-library alike (Latin-1 without the control characters U+001C..U+001F) are cut into chunks, the library encodes
-each chunk that the worker has not met, and a text's ids are its chunks' ids. All other texts, and files of
-another kind, go to the library whole. Both ways give the same ids.
+The two kinds of file known here cut a text into pieces by a fixed pattern before any merge: runs of letters, digits
+or marks, with the space before them in byte-level files. Texts whose characters the pattern here takes as the library
+does (Latin-1 without the control characters U+001C..U+001F) are cut into pieces, the library encodes each piece that
+the worker has not met, and a text's ids are its pieces' ids. All other texts, and files of another kind, go to the
+library whole. Both ways give the same ids.
 """
 
 from __future__ import annotations
@@ -19,11 +19,16 @@ from quarryline.llm.common import forget_with
 
 #: Fixed value: the split pattern of the public CLIP tokenizer. Its pieces never hold white space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Chunks remembered by a worker, and their length at most.
-MAX_KNOWN = 350_000
-MAX_CHUNK = 40
-_MARKS = ".,;:!?"
-_BYTE_LEVEL = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
+#: Pieces remembered by a worker, and their length at most.
+MAX_KNOWN = 400_000
+MAX_PIECE = 40
+#: Words that go to the library in one text.
+TOGETHER = 1000
+# Letters and numbers of Latin-1.
+_L, _N = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_SHORT = "'(?:[stmd]|re|ve|ll)"
+_BYTE_LEVEL = re.compile(rf" ?[{_L}]+|{_SHORT}| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+").findall
+_WORDS = re.compile(rf"[{_L}]+|{_SHORT}|[{_N}]|[^\s{_L}{_N}]+").findall
 
 
 def _kind(config: dict) -> str | None:
@@ -42,14 +47,19 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             self.kind = _kind(json.load(f))
-        # Many chunks go to the library in one text, as a call a chunk costs more than its encoding. The ids are cut
-        # where a token starts with a space (byte level), or after a token that ends a word.
+        # Words go to the library many in one text, as a call a word costs more than its encoding, and past the steps that
+        # change nothing in words cut and lower-cased here. The ids are cut where a token starts with a space (byte level)
+        # or after a token that ends a word.
+        self.plain = Tokenizer.from_file(path)
+        if self.kind == "word":
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
@@ -60,23 +70,19 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _cut(self, ids: np.ndarray) -> np.ndarray:
-        """Bounds of the words or chunks of ids."""
-        edges = np.flatnonzero(self.edge[ids])
-        return np.append(edges, len(ids)) if self.kind == "byte" else np.append(0, edges + 1)
-
-    def _chunks(self, fresh: list[str]) -> dict[str, bytes]:
+    def _pieces(self, fresh: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
-        if self.kind == "byte":  # a chunk with its space
-            groups = [([c for c in fresh if c[0] == " " and not c.isspace()], "", 1)]
-        else:  # a word, or a word and a mark
-            groups = [([c for c in fresh if c.isalpha()], " ", 1), ([c for c in fresh if c[-1] in _MARKS and c[:-1].isalpha()], " ", 2)]
-        for chunks, between, pieces in groups:
-            for lo in range(0, len(chunks), 1000):
-                part = chunks[lo : lo + 1000]
-                raw = self._library([between.join(part)])[0]
-                bounds = (4 * self._cut(np.frombuffer(raw, dtype="<u4"))[::pieces]).tolist()
-                out.update(zip(part, (raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)), strict=True))
+        if self.kind == "byte":  # a word with its space
+            words, between = [c for c in fresh if c[0] == " " and c[1:].isalpha()], ""
+        else:
+            words, between = [c for c in fresh if c.isalpha()], " "
+        for lo in range(0, len(words), TOGETHER):
+            part = words[lo : lo + TOGETHER]
+            ids = np.asarray(self.plain.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            edges = np.flatnonzero(self.edge[ids])
+            bounds = (4 * (np.append(edges, len(ids)) if self.kind == "byte" else np.append(0, edges + 1))).tolist()
+            raw = ids.tobytes()
+            out.update(zip(part, (raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)), strict=True))
         rest = [c for c in fresh if c not in out]
         out.update(zip(rest, self._library(rest), strict=True))
         return out
@@ -97,14 +103,14 @@ class Encoder:
                 (split if self.kind and self._plain(t) else whole).append(i)
         for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        chunks = [texts[i].lower().split() if self.kind == "word" else _BYTE_LEVEL(texts[i]) for i in split]
-        met = set().union(*chunks)
+        pieces = [_WORDS(texts[i].lower()) if self.kind == "word" else _BYTE_LEVEL(texts[i]) for i in split]
+        met = set().union(*pieces)
         fresh = list(met.difference(self.known))
         if len(self.known) + len(fresh) > MAX_KNOWN:
             self.known, fresh = {}, list(met)
-        long = [c for c in fresh if len(c) > MAX_CHUNK]
-        self.known.update(self._chunks(fresh))
-        for i, c in zip(split, chunks, strict=True):
+        long = [c for c in fresh if len(c) > MAX_PIECE]
+        self.known.update(self._pieces(fresh))
+        for i, c in zip(split, pieces, strict=True):
             out[i] = b"".join(map(self.known.__getitem__, c))
         for c in long:
             del self.known[c]
