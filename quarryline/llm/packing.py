@@ -3,7 +3,8 @@
 Every document becomes full pieces of the capacity and one remainder. The histogram of piece lengths, rounded
 up to UNIT tokens, is the demand of a cutting-stock problem with at most capacity/UNIT rows. The driver solves
 its linear program by column generation: the simplex method keeps one pattern a length class, and a knapsack
-dynamic program over the dual prices finds the pattern of best reduced cost. Patterns are used their rounded
+dynamic program over the dual prices finds the pattern of best reduced cost. The first patterns come from the same
+knapsack, at prices that favour long pieces. Patterns are used their rounded
 down number of times, first-fit decreasing covers the few pieces left, and pieces, ranked within their length
 class, take the patterns' slots. The plan's size depends on the capacity alone, never on the corpus.
 
@@ -30,6 +31,8 @@ RANKED_ROWS = 20_000
 #: a sequence, or after so many columns.
 GAP = 2e-4
 MAX_COLUMNS = 3000
+#: The power of a weight that prices it for the first patterns.
+LARGE_FIRST = 1.2
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -78,35 +81,70 @@ def best_pattern(weights: np.ndarray, prices: np.ndarray, room: int) -> tuple[fl
     return float(value[room]), copies
 
 
-def generate_columns(weights: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (one a row) and how often the linear program uses each."""
+def inverse_of(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with row pivots. Plain array steps: threads of a linear algebra library can stall a driver
+    that has fewer cores than they expect."""
+    k = len(matrix)
+    work = np.concatenate([matrix.astype(float), np.eye(k)], axis=1)
+    for i in range(k):
+        j = i + int(np.abs(work[i:, i]).argmax())
+        work[[i, j]] = work[[j, i]]
+        work[i] /= work[i, i]
+        factors = work[:, i].copy()
+        factors[i] = 0
+        rows = np.flatnonzero(factors)
+        work[rows] -= factors[rows, None] * work[i]
+    return work[:, k:]
+
+
+def times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,j->i", matrix, vector)
+
+
+def first_basis(weights: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (one a column) that meet the demand, and their use. Each is a knapsack over the weights still open, at
+    prices that favour large ones, used until a weight is met: so every column has a weight that no later one holds."""
     k = len(weights)
-    base = np.diag(room // weights).astype(float)  # columns are patterns
-    inverse = np.diag(1.0 / np.diag(base))
-    use = inverse @ demand
-    least = 0.0
+    base, use, left, open_ = np.zeros((k, k)), np.zeros(k), demand.astype(float), np.ones(k, dtype=bool)
+    for _ in range(k):
+        at = np.flatnonzero(open_)
+        column = np.zeros(k)
+        column[at] = best_pattern(weights[at], (weights[at] / room) ** LARGE_FIRST, room)[1]
+        ratio = np.where(column > 0, left / np.where(column > 0, column, 1), np.inf)
+        j = int(ratio.argmin())
+        base[:, j], use[j], open_[j] = column, ratio[j], False
+        left = np.maximum(left - column * ratio[j], 0)
+        left[j] = 0
+    return base, use
+
+
+def generate_columns(weights: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Patterns (one a row), how often the linear program uses each, and what no plan can fall below."""
+    base, use = first_basis(weights, demand, room)
+    inverse = inverse_of(base)
+    least = float((weights * demand).sum()) / room
     for step in range(1, MAX_COLUMNS + 1):
         prices = inverse.sum(axis=0)
         value, pattern = best_pattern(weights, prices, room)
-        least = max(least, use.sum() / max(value, 1.0))  # bounds the optimum from below
+        least = max(least, float((prices * demand).sum()) / max(value, 1.0))  # bounds the optimum from below
         if use.sum() - least <= max(0.5, GAP * use.sum()) or value <= 1 + 1e-9:
             break
-        direction = inverse @ pattern
+        direction = times(inverse, pattern)
         ratio = np.where(direction > 1e-9, use / np.where(direction > 1e-9, direction, 1), np.inf)
         leave = int(ratio.argmin())
         if not np.isfinite(ratio[leave]):
             break
         base[:, leave] = pattern
         if step % 256 == 0:
-            inverse = np.linalg.inv(base)
-            use = np.maximum(inverse @ demand, 0)
+            inverse = inverse_of(base)
+            use = np.maximum(times(inverse, demand), 0)
             continue
         row = inverse[leave] / direction[leave]
-        inverse -= np.outer(direction, row)
+        inverse -= direction[:, None] * row
         inverse[leave] = row
         use = np.maximum(use - direction * ratio[leave], 0)
         use[leave] = ratio[leave]
-    return base.T.astype(np.int64), use
+    return base.T.astype(np.int64), use, least
 
 
 def plan_patterns(histogram: dict[int, int], room: int) -> list[tuple[dict[int, int], int]]:
@@ -117,24 +155,24 @@ def plan_patterns(histogram: dict[int, int], room: int) -> list[tuple[dict[int,
     weights, left = (np.asarray(x, dtype=np.int64) for x in zip(*items, strict=True))
     plan: list[tuple[dict[int, int], int]] = []
     if len(items) > 1:
-        patterns, use = generate_columns(weights, left.astype(float), room)
+        patterns, use, _ = generate_columns(weights, left.astype(float), room)
     else:
         patterns, use = np.asarray([[room // weights[0]]]), left / (room // weights[0])
     left = left.copy()
-    for pattern, times in zip(patterns, np.floor(use + 1e-9).astype(np.int64), strict=True):
-        if times:
-            plan.append(({int(w): int(a) for w, a in zip(weights, pattern, strict=True) if a}, int(times)))
-            left = np.maximum(left - times * pattern, 0)
+    for pattern, n in zip(patterns, np.floor(use + 1e-9).astype(np.int64), strict=True):
+        if n:
+            plan.append(({int(w): int(a) for w, a in zip(weights, pattern, strict=True) if a}, int(n)))
+            left = np.maximum(left - n * pattern, 0)
     while left.any():  # first fit, largest first
         c, copies = room, {}
         for j in range(len(weights) - 1, -1, -1):
             if a := min(int(left[j]), c // int(weights[j])):
                 copies[int(weights[j])] = a
                 c -= a * int(weights[j])
-        times = min(int(left[int(np.searchsorted(weights, w))]) // a for w, a in copies.items())
+        n = min(int(left[int(np.searchsorted(weights, w))]) // a for w, a in copies.items())
         for w, a in copies.items():
-            left[np.searchsorted(weights, w)] -= times * a
-        plan.append((copies, times))
+            left[np.searchsorted(weights, w)] -= n * a
+        plan.append((copies, n))
     return plan
 
 
