@@ -14,6 +14,7 @@ are packed once each. An empty table gives no rows. Other columns of the input a
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -25,8 +26,6 @@ from quarryline.llm.tokens import encoder
 
 CAPACITY = 4096
 UNIT = 8
-#: Pieces that one ranking task holds of one length class, roughly.
-RANKED_ROWS = 20_000
 #: Column generation ends when its plan is proven this near the optimum of the linear program, or nearer than half
 #: a sequence, or after so many columns.
 GAP = 2e-4
@@ -189,25 +188,27 @@ def slots(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, i
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
-    """Adds sequence_id and offset to pieces (a column length; doc_id and start break ties). Offsets in a
-    sequence have no gaps. pieces is read twice: it should be a written table."""
+    """Adds sequence_id and offset to pieces (doc_id, start, length, ids_crc32 and further columns). Offsets in a
+    sequence have no gaps. Rows are numbered and written first, so that equal pieces keep their order when a task runs
+    again."""
     spark = pieces.sparkSession
     size = F.ceil(F.col("length") / unit).cast("int")
-    counted = pieces.groupBy(size.alias("_class")).count().collect()  # at most capacity/unit rows
-    histogram = {r["_class"]: r["count"] for r in counted}
+    pieces = materialize(pieces.withColumn("_class", size).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    histogram = {r["_class"]: r["count"] for r in pieces.groupBy("_class").count().collect()}  # at most capacity/unit rows
     table = slots(plan_patterns(histogram, capacity // unit))
-    salts = max(1, -(-max(histogram.values(), default=0) // RANKED_ROWS))
-    ranked = pieces.withColumn("_class", size).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
+    # A class of n pieces is ranked in about sqrt(n) parts of sqrt(n) rows, equal rows dealt by their number.
+    salts = max(1, math.isqrt(max(histogram.values(), default=0)))
+    ranked = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "_row"), F.lit(salts)).cast("int"))
     sizes = ranked.groupBy("_class", "_salt").count()
     before = sizes.select("_class", "_salt", (F.sum("count").over(Window.partitionBy("_class").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_class", "_salt").orderBy("doc_id", "start", "length")) - 1
-    ranked = ranked.withColumn("_row", rank).join(before, ["_class", "_salt"]).withColumn("_rank", F.col("_row") + F.coalesce("_before", F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("_class", "_salt").orderBy("doc_id", "start", "ids_crc32", "_row")) - 1
+    ranked = ranked.withColumn("_nth", rank).join(before, ["_class", "_salt"]).withColumn("_rank", F.col("_nth") + F.coalesce("_before", F.lit(0)))
     plan = spark.createDataFrame(table, "_c int, _lo long, _hi long, _first long, _times long")
     placed = ranked.join(F.broadcast(plan), (F.col("_class") == F.col("_c")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))  # fmt: skip  # the plan's size depends on capacity/unit only
     nth = F.col("_rank") - F.col("_lo")
     placed = placed.withColumn("sequence_id", F.col("_first") + nth % F.col("_times")).withColumn("_slot", nth)
     earlier = Window.partitionBy("sequence_id").orderBy(F.desc("_class"), "_slot").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0).cast("long"))).drop("_class", "_salt", "_row", "_before", "_rank", "_c", "_lo", "_hi", "_first", "_times", "_slot")
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0).cast("long"))).drop("_class", "_salt", "_row", "_nth", "_before", "_rank", "_c", "_lo", "_hi", "_first", "_times", "_slot")
 
 
 def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:
@@ -223,4 +224,4 @@ def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> D
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of every document with their place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     prepare(docs.sparkSession)
-    return pack(materialize(cut_documents(docs, tokenizer, end_id, capacity), "pieces"), capacity)
+    return pack(cut_documents(docs, tokenizer, end_id, capacity), capacity)
