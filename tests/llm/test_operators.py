@@ -149,7 +149,7 @@ def test_token_files_round_trip(spark, odd_docs, no_docs, tmp_path):
 
 def test_token_files_in_shards(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.substring("text", 1, 50).alias("text"))
-    token_files.write_tokens(docs, str(tmp_path / "s"), BYTE, 0, encoding="dictionary", shard_rows=30)
+    token_files.write_tokens(docs, str(tmp_path / "s"), BYTE, 0, encoding="dictionary", shard_bytes=30 * token_files.WEIGHT_BYTES)
     read = token_files.read_tokens(spark, str(tmp_path / "s"))
     spans = read.groupBy("shard").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).orderBy("shard").collect()
     assert len(spans) > 3 and all(x["b"] < y["a"] for x, y in zip(spans, spans[1:]))
@@ -157,6 +157,21 @@ def test_token_files_in_shards(spark, tmp_path):
     assert [r["start"] for r in rows] == [0, *np.cumsum([r["n_tokens"] for r in rows])[:-1].tolist()]
 
 
+def test_token_files_split_one_id_and_long_texts(spark, tmp_path):
+    rows = [(None, f"word {i}") for i in range(400)] + [(1, "long text " * 20_000), (2, "b"), (3, "c" * 9000), (3, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    token_files.write_tokens(docs, str(tmp_path / "h"), BYTE, 0, shard_bytes=40 * token_files.WEIGHT_BYTES)
+    read = token_files.read_tokens(spark, str(tmp_path / "h"))
+    sizes = {r["shard"]: r["count"] for r in read.groupBy("shard").count().collect()}
+    assert len(sizes) > 3 and max(sizes.values()) < 300
+    found = token_files.with_starts(token_files.digests(read), read).orderBy("start").collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    assert [r["doc_id"] for r in found] == [r[0] for r in order]
+    assert [r["start"] for r in found] == [0, *np.cumsum([r["n_tokens"] for r in found])[:-1].tolist()]
+    want = Counter((d, crc(ids)) for (d, _), ids in zip(rows, whole_ids(BYTE, [t for _, t in rows], 0), strict=True))
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in found) == want
+
+
 # 4 urls
 
 
