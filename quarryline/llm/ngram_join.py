@@ -12,11 +12,13 @@ that their sizes ask for survive, and are verified on the sets.
 Only components are asked for, so pairs within a component need not be listed. Stars come first: in each block every
 member is verified against one pivot, ROUNDS times with other pivots, and links are merged into components. Blocks
 with one component are done. The R-tree then searches the rest for pairs across components, so no link between
-components is lost, while a group of thousands of copies costs a few pairs a member. Blocks over BLOCK rows are
-cut into salted parts that meet pairwise, so no block has to fit into one task.
+components is lost, while a group of thousands of copies costs a few pairs a member. Blocks over BLOCK rows are cut by a
+second key: different sets that are linked share two shingles of their prefixes, once these are one shingle longer. What
+is still too large is cut into salted parts that meet pairwise, so no block has to fit into one task. A pair that shares
+several keys is left to the block of a smaller one where both rows' least keys show it.
 
-Words are [^\\x20\\x09-\\x0D]+ after A-Z are lower-cased; fewer than five words are one shingle. Shingles are
-compared by 64-bit hashes. Nulls: a null text counts as without words: an empty set, linked with nothing. Rows with a null
+Words are [^\\x20\\x09-\\x0D]+ after A-Z are lower-cased; fewer than five words are one shingle. Shingles of two sets are
+compared by 64-bit hashes, whole sets are named by 128 bits. Nulls: a null text counts as without words: an empty set, linked with nothing. Rows with a null
 doc_id keep it, and a component's id is its smallest non-null doc_id. Repeated rows come back once each. An empty
 table gives no rows. Other columns of the input are ignored.
 """
@@ -46,8 +48,11 @@ SHRINK = 0.5
 #: many shingles a task counts at once to find them.
 FREQUENT = 1 << 20
 COUNTED = 1 << 21
-#: Bits, as a power of two, of the filter that tells which texts to read again, at most.
-MAX_BITS = 27
+#: Bits, as a power of two, of the filter that tells which texts to read again, and bits an id. Texts are joined with the
+#: ids where these need more.
+MAX_BITS, ID_BITS = 27, 12
+#: Least keys that a row of a block carries to tell where a pair meets first.
+LEAST_KEYS = 6
 _ODD = 0x9E3779B97F4A7C15 | 1
 _UPPER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 _powers: dict[str, np.ndarray] = {}
@@ -123,15 +128,15 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarra
     return value[keep], kept[bounds]
 
 
-def node_ids(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each whole set."""
-    n = np.diff(bounds)
-    out = n.astype(np.uint64)
+def node_ids(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit name of each whole set, in two halves."""
+    n = np.diff(bounds).astype(np.uint64)
+    out = []
     with np.errstate(over="ignore"):
         for seed in (7, 8):
             sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(value, seed), dtype=np.uint64)])
-            out = mix64(out * np.uint64(_ODD) + (sums[bounds[1:]] - sums[bounds[:-1]]), seed)
-    return out.view(np.int64)
+            out.append(mix64(n * np.uint64(_ODD) + (sums[bounds[1:]] - sums[bounds[:-1]]), seed).view(np.int64))
+    return out[0], out[1]
 
 
 def prefix_size(n: np.ndarray | int, percent: int = PERCENT):
@@ -174,11 +179,11 @@ class CountTree:
         return self.order[at]
 
 
-def block_pairs(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Surviving pairs (smaller id first) of rows in different components; with two sides, only across them."""
+def block_pairs(comps: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Surviving pairs of rows (places in the block) in different components; with two sides, only across them."""
     left, right = [], []
     both = side.min() != side.max()
-    inner, outer = (np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())) if both else (np.arange(len(ids)),) * 2
+    inner, outer = (np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())) if both else (np.arange(len(comps)),) * 2
     if len(inner) * len(outer) <= 256:  # a small block is one node
         a, b = (x.reshape(-1) for x in np.meshgrid(inner, outer, indexing="ij"))
         keep = (comps[a] != comps[b]) & (both | (a < b)) & (100 * sizes[a] >= percent * sizes[b]) & (100 * sizes[b] >= percent * sizes[a])
@@ -192,8 +197,7 @@ def block_pairs(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, points: n
             i = i[(comps[i] != comps[j]) & (both | (i < j))]
             left.append(i)
             right.append(np.full(len(i), j))
-    a, b = ids[np.concatenate(left).astype(np.int64)], ids[np.concatenate(right).astype(np.int64)]
-    return np.minimum(a, b), np.maximum(a, b)
+    return np.concatenate(left).astype(np.int64), np.concatenate(right).astype(np.int64)
 
 
 def frequent_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
@@ -239,8 +243,9 @@ def frequent_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     return h[np.lexsort((h, n))].view(np.uint64)
 
 
-def prefixes(value: np.ndarray, bounds: np.ndarray, listed: np.ndarray, place: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """The prefix of each set (ascending values) and the bounds: unlisted shingles by value, then listed ones by place."""
+def prefixes(value: np.ndarray, bounds: np.ndarray, listed: np.ndarray, place: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The prefix of each set (ascending values) and the bounds, and the same of the one shingle that follows it. The order
+    has unlisted shingles by value, then listed ones by place."""
     n = np.diff(bounds)
     size = np.where(n > 0, prefix_size(n, percent), 0)
     owner = np.repeat(np.arange(len(n)), n)
@@ -249,36 +254,39 @@ def prefixes(value: np.ndarray, bounds: np.ndarray, listed: np.ndarray, place: n
         spot = np.minimum(np.searchsorted(listed, value), len(listed) - 1)
         late = listed[spot] == value
     early = np.concatenate([[0], np.cumsum(~late)])
-    keep = ~late & (early[1:] - early[bounds[:-1]][owner] <= size[owner])
-    lacks = size - (early[bounds[1:]] - early[bounds[:-1]])  # listed shingles that the prefix takes in too
-    rows = np.flatnonzero(late & (lacks[owner] > 0))
-    rows = rows[np.lexsort((place[spot[rows]], owner[rows]))] if len(rows) else rows
-    begin = np.searchsorted(owner[rows], np.arange(len(n)))
-    taken = rows[np.arange(len(rows)) - begin[owner[rows]] < lacks[owner[rows]]]
-    keep[taken] = True
-    kept = np.concatenate([[0], np.cumsum(keep)])
-    return value[keep], kept[bounds]
+    rank = np.where(late, np.iinfo(np.int64).max, early[1:] - 1 - early[bounds[:-1]][owner])
+    met = early[bounds[1:]] - early[bounds[:-1]]  # unlisted shingles of each set
+    rows = np.flatnonzero(late & (size >= met)[owner])
+    if len(rows):
+        rows = rows[np.lexsort((place[spot[rows]], owner[rows]))]
+        begin = np.searchsorted(owner[rows], np.arange(len(n)))
+        rank[rows] = met[owner[rows]] + np.arange(len(rows)) - begin[owner[rows]]
+    out = []
+    for keep in (rank < size[owner], rank == size[owner]):
+        out += [value[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]]
+    return tuple(out)
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, node (a name of the whole set), point (counts in GROUPS groups as bytes), keys (the prefix) and the
-    further columns of docs."""
+    """doc_id, n, h1 and h2 (the name of the whole set), point (counts in GROUPS groups as bytes), keys (the prefix), beyond
+    (the shingle after it) and the further columns of docs."""
     place = np.argsort(frequent).astype(np.uint32)
     sent = docs.sparkSession.sparkContext.broadcast((frequent[place], place))
 
     def run(cols: dict) -> dict:
         value, bounds = shingle_sets(cols["text"], words)
-        keys, cuts = prefixes(value, bounds, *sent.value, percent)
-        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(keys.view(np.int64)))
+        keys, cuts, after, ends = prefixes(value, bounds, *sent.value, percent)
+        keys, after = (pa.ListArray.from_arrays(pa.array(c, pa.int32()), pa.array(k.view(np.int64))) for k, c in ((keys, cuts), (after, ends)))
+        h1, h2 = node_ids(value, bounds)
         owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         group = owner * GROUPS + (value >> np.uint64(40)).astype(np.int64) % GROUPS
         points = np.bincount(group, minlength=(len(bounds) - 1) * GROUPS).reshape(-1, GROUPS)
         wide = points.max(axis=1, initial=0)
         point = [p.astype("<u1" if w < 256 else "<u2" if w < 65536 else "<u4").tobytes() for p, w in zip(points, wide, strict=True)]
-        return {"doc_id": cols["doc_id"], "n": np.diff(bounds), "node": node_ids(value, bounds), "point": point, "keys": lists}
+        return {"doc_id": cols["doc_id"], "n": np.diff(bounds), "h1": h1, "h2": h2, "point": point, "keys": keys, "beyond": after}
 
     kind = dict(docs.dtypes)["doc_id"]
-    return map_texts(docs, run, f"doc_id {kind}, n long, node long, point binary, keys array<long>", ["doc_id"], carry=[c for c in docs.columns if c not in ("doc_id", "text")])
+    return map_texts(docs, run, f"doc_id {kind}, n long, h1 long, h2 long, point binary, keys array<long>, beyond array<long>", ["doc_id"], carry=[c for c in docs.columns if c not in ("doc_id", "text")])
 
 
 def _spots(column: str, bits: int) -> F.Column:
@@ -287,12 +295,30 @@ def _spots(column: str, bits: int) -> F.Column:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
-    """rep, shingles (ascending hashes as bytes) of the documents whose ids (doc_id) are listed, and of a few more.
+    """h1, h2, shingles (ascending hashes as bytes) of the documents whose ids (doc_id) are listed, and maybe of a few more.
 
-    A Bloom filter of at most 2^MAX_BITS bits tells which texts to read, so no text is shuffled; where the ids outgrow
-    it more texts than needed pass, which costs time and changes nothing."""
+    A Bloom filter of at most 2^MAX_BITS bits tells which texts to read, so no text is shuffled. More ids than it can hold
+    are joined with the texts."""
     spark = docs.sparkSession
-    bits = min(MAX_BITS, max(10, int(ids.count() * 12).bit_length()))
+    docs = docs.where("text IS NOT NULL")
+
+    def named(texts: list[str]) -> Iterator[pa.RecordBatch]:
+        for lo, hi in steps(texts):
+            value, bounds = shingle_sets(texts[lo:hi], words)
+            raw, full = value.astype("<u8"), np.flatnonzero(np.diff(bounds))
+            blobs = [raw[bounds[i] : bounds[i + 1]].tobytes() for i in full]
+            yield pa.RecordBatch.from_arrays([*(pa.array(h[full]) for h in node_ids(value, bounds)), pa.array(blobs, pa.binary())], ["h1", "h2", "shingles"])
+
+    schema = "h1 long, h2 long, shingles binary"
+    n = ids.count()
+    if n * ID_BITS > 1 << MAX_BITS:
+
+        def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from named(batch.column(0).to_pylist())
+
+        return docs.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(every, schema)
+    bits = max(10, int(n * ID_BITS).bit_length())
     spots = ids.select(F.explode(_spots("doc_id", bits)).alias("s"))
     cells = spots.groupBy(F.shiftright("s", 5).alias("cell")).agg(F.bit_or(F.pow(F.lit(2.0), F.col("s") % 32).cast("long")).alias("v")).toArrow()
     table = np.zeros(max(1, (1 << bits) >> 5), dtype=np.int64)
@@ -303,14 +329,9 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
         for batch in batches:
             spot = batch.column(1).flatten().to_numpy().reshape(-1, 2)
             keep = ((sent.value[spot >> 5] >> (spot & 31).astype(np.uint32)) & 1).all(axis=1)
-            texts = batch.column(0).filter(pa.array(keep)).to_pylist()
-            for lo, hi in steps(texts):
-                value, bounds = shingle_sets(texts[lo:hi], words)
-                raw, full = value.astype("<u8"), np.flatnonzero(np.diff(bounds))
-                blobs = [raw[bounds[i] : bounds[i + 1]].tobytes() for i in full]
-                yield pa.RecordBatch.from_arrays([pa.array(node_ids(value, bounds)[full]), pa.array(blobs, pa.binary())], ["rep", "shingles"])
+            yield from named(batch.column(0).filter(pa.array(keep)).to_pylist())
 
-    return docs.where("text IS NOT NULL").select("text", _spots("doc_id", bits).alias("spots")).mapInArrow(run, "rep long, shingles binary")
+    return docs.select("text", _spots("doc_id", bits).alias("spots")).mapInArrow(run, schema)
 
 
 def _points(raws: list[bytes]) -> np.ndarray:
@@ -353,12 +374,14 @@ def verify(pairs: DataFrame, docs: DataFrame, points: DataFrame, words: int = WO
 
     members = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     sets = materialize(sets_of(docs, points.join(members, "rep").select("doc_id").distinct(), words), "sets")
-    if sets.count() > 1.2 * sets.select("rep").distinct().count():  # many rows share an id
-        sets = materialize(sets.dropDuplicates(["rep"]), "sets")
-    one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("_a"))
-    two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("_b"))
-    # Many pairs share their pivot: the join's skew handling may split its rows.
-    found = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
+    if sets.count() > 1.2 * sets.select("h1", "h2").distinct().count():  # many rows share an id
+        sets = materialize(sets.dropDuplicates(["h1", "h2"]), "sets")
+    # Many pairs share their pivot: the joins' skew handling may split its rows.
+    for x in ("a", "b"):
+        pairs = pairs.join(points.select(F.col("rep").alias(x), F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2")), x)
+    for x in ("b", "a"):
+        pairs = pairs.join(sets.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("shingles").alias(f"_{x}")), [f"{x}1", f"{x}2"])
+    found = pairs.select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
     found = materialize(found, "links")
     discard(sets)
     release(docs.sparkSession)
@@ -396,10 +419,11 @@ def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def link_representatives(blocks: DataFrame, points: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(rep, comp) of the representatives in blocks (key, rep, m): points (rep, n, point, doc_id), docs (doc_id, text)."""
+    """(rep, comp) of the representatives in blocks (key, rep, m): points (rep, n, h1, h2, point, keys, beyond, doc_id), docs
+    (doc_id, text)."""
     spark = blocks.sparkSession
     labels = materialize(blocks.select("rep").distinct().withColumn("comp", F.col("rep")), "labels")
-    mixed = blocks.withColumn("comp", F.col("rep")).withColumn("least", F.col("key"))
+    mixed = blocks.withColumn("comp", F.col("rep"))
     for turn in range(ROUNDS):
         # A pivot a block, the member that a hash of member and turn puts first; a member keeps its most similar one.
         pick = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), F.col("rep").alias("pivot"), F.col("comp").alias("pc")))
@@ -412,8 +436,8 @@ def link_representatives(blocks: DataFrame, points: DataFrame, docs: DataFrame,
             break
         labels = merge_components(labels, verify(close, docs, points, words, percent))
         joined = blocks.join(labels, "rep")
-        spread = joined.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("least")).where("lo <> hi")
-        left = materialize(joined.join(spread.select("key", "least"), "key").select("key", "rep", "m", "comp", "least"), "mixed")
+        spread = joined.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        left = materialize(joined.join(spread.select("key"), "key").select("key", "rep", "m", "comp"), "mixed")
         before, after = mixed.count(), left.count()
         discard(mixed)
         mixed = left
@@ -421,22 +445,42 @@ def link_representatives(blocks: DataFrame, points: DataFrame, docs: DataFrame,
         if after > SHRINK * before:
             break
     # What is left: pairs across components, found by the trees and verified.
-    pairs = materialize(tree_pairs(mixed.join(points.select("rep", "n", "point"), "rep"), percent).distinct(), "pairs")
+    pairs = materialize(tree_pairs(cut_blocks(mixed, points), percent).distinct(), "pairs")
     release(spark)
     return labels if pairs.isEmpty() else merge_components(labels, verify(pairs, docs, points, words, percent))
 
 
+def cut_blocks(mixed: DataFrame, points: DataFrame) -> DataFrame:
+    """Rows (key, second, m, rep, comp, n, point, low) of mixed blocks (key, rep, m, comp). Blocks over BLOCK rows are cut by
+    second keys, so each row stands once for each further shingle of its longer prefix. low has a row's least keys."""
+    low = mixed.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEAST_KEYS).alias("low"))  # one document's keys
+    small = mixed.where(F.col("m") <= BLOCK).select("key", F.col("key").alias("second"), "m", "rep", "comp")
+    wide = mixed.where(F.col("m") > BLOCK).join(points.select("rep", F.concat("keys", "beyond").alias("seconds")), "rep")
+    wide = wide.select("key", "rep", "comp", F.explode("seconds").alias("second")).where("second <> key")
+    spread = wide.groupBy("key", "second").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    wide = wide.join(spread.select("key", "second", "m"), ["key", "second"]).select("key", "second", "m", "rep", "comp")
+    return small.unionByName(wide).join(low, "rep").join(points.select("rep", "n", "point"), "rep")
+
+
+def meets_before(key: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Whether the rows of each pair both carry a key smaller than the block's (u, v: a row's least keys)."""
+    out = np.zeros(len(key), dtype=bool)
+    for i in range(u.shape[1]):
+        out |= (u[:, i] < key) & (v == u[:, i : i + 1]).any(axis=1)
+    return out
+
+
 def tree_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Surviving pairs (a, b) of blocks (key, least, m, rep, n, comp, point). A block over BLOCK rows is cut into salted
-    parts; each two parts meet in a block of their own, and each part alone in another. Blocks with the same least
-    member go to one task, where pairs that share many keys are sent on once: there are no more such blocks than that
-    member has keys in its prefix."""
+    """Surviving pairs (a, b) of cut_blocks(). A block over BLOCK rows is cut into salted parts; each two parts meet in a
+    block of their own, and each part alone in another."""
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit(5)), parts).cast("int")
     dealt = rows.withColumn("s", parts).withColumn("own", own)
     meets = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q")))
-    dealt = dealt.select("key", "least", "rep", "comp", "n", "point", "own", F.explode(meets).alias("x")).select("key", "least", "rep", "comp", "n", "point", F.col("x.p").alias("p"), F.col("x.q").alias("q"), (F.col("own") == F.col("x.p")).alias("first"))
-    grouped = dealt.repartition("least", "p", "q").sortWithinPartitions("least", "p", "q", "key")
+    lows = [f"low{i}" for i in range(LEAST_KEYS)]  # no key is smaller than the largest number: it never counts as one
+    dealt = dealt.select("key", "second", "rep", "comp", "n", "point", *[F.coalesce(F.get("low", F.lit(i)), F.lit((1 << 63) - 1)).alias(c) for i, c in enumerate(lows)], "own", F.explode(meets).alias("x"))
+    dealt = dealt.select("key", "second", "rep", "comp", "n", "point", *lows, F.col("x.p").alias("p"), F.col("x.q").alias("q"), (F.col("own") == F.col("x.p")).alias("first"))
+    grouped = dealt.repartition("key", "second", "p", "q").sortWithinPartitions("key", "second", "p", "q")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
@@ -446,22 +490,25 @@ def tree_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
             sizes = frame["n"].to_numpy()
             points = _points(frame["point"].tolist())
             side = (~frame["first"].to_numpy(dtype=bool)).astype(np.int64)
-            block = frame[["key", "p", "q"]].to_numpy()
+            block = frame[["key", "second", "p", "q"]].to_numpy()
+            low = frame[lows].to_numpy()
             cut = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]).any(axis=1), [True]]))
             a, b = [], []
             for lo, hi in zip(cut, cut[1:], strict=False):
                 if hi - lo > 1 and comps[lo:hi].min() != comps[lo:hi].max():
-                    x, y = block_pairs(ids[lo:hi], comps[lo:hi], sizes[lo:hi], points[lo:hi], side[lo:hi], percent)
-                    a.append(x)
-                    b.append(y)
-            none = np.zeros(0, dtype=np.int64)
-            return pd.DataFrame({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+                    x, y = block_pairs(comps[lo:hi], sizes[lo:hi], points[lo:hi], side[lo:hi], percent)
+                    new = ~meets_before(np.full(len(x), block[lo, 0]), low[lo:hi][x], low[lo:hi][y])
+                    x, y = ids[lo:hi][x[new]], ids[lo:hi][y[new]]
+                    a.append(np.minimum(x, y))
+                    b.append(np.maximum(x, y))
+            zero = np.zeros(0, dtype=np.int64)
+            return pd.DataFrame({"a": np.concatenate([zero, *a]), "b": np.concatenate([zero, *b])})
 
         held, size = [], 0
         for frame in frames:  # a block may go on in the next frame
             frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
             last = frame.iloc[-1] if len(frame) else None
-            same = (frame["key"] == last["key"]) & (frame["p"] == last["p"]) & (frame["q"] == last["q"]) if last is not None else None
+            same = (frame["key"] == last["key"]) & (frame["second"] == last["second"]) & (frame["p"] == last["p"]) & (frame["q"] == last["q"]) if last is not None else None
             rest = frame[same] if same is not None else None
             if same is not None and not same.all():
                 held.append(pairs(frame[~same]))
@@ -474,31 +521,32 @@ def tree_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         if held:
             yield pd.concat(held).drop_duplicates()
 
-    return grouped.select("key", "rep", "comp", "n", "point", "p", "q", "first").mapInPandas(run, "a long, b long")
+    return grouped.select("key", "second", "rep", "comp", "n", "point", *lows, "p", "q", "first").mapInPandas(run, "a long, b long")
 
 
 def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, node, comp (one name for all rows of a component) and the further columns of docs (doc_id, text) of
-    every row. Sets without shingles share a node and a comp that mean nothing."""
+    """doc_id, n, node (one number for all rows with a set), comp (one for all rows of a component) and the further columns
+    of docs (doc_id, text) of every row. Both are null for sets without shingles."""
     prepare(docs.sparkSession)
     spark = docs.sparkSession
     base = docs.select("doc_id", "text")
     more = [c for c in docs.columns if c not in ("doc_id", "text")]
     full = materialize(signatures(docs, frequent_shingles(base, words), words, percent), "signed")
-    signed = materialize(full.select("doc_id", "n", "node", "point", *more), "rows")
-    # Rows with equal sets are one node; its keys come from any of them.
-    nodes = full.where("n > 0").groupBy("node").agg(F.first("keys").alias("keys"))
-    dealt = nodes.select(F.col("node").alias("rep"), F.explode("keys").alias("key")).repartition("key")  # one shuffle serves the counts and the join
+    signed = materialize(full.select("doc_id", "n", "h1", "h2", *more), "rows")
+    # Rows with equal sets are one node, numbered as it is written.
+    nodes = full.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("point", "keys", "beyond")])
+    points = materialize(nodes.withColumn("rep", F.monotonically_increasing_id()), "points")
+    discard(full)
+    release(spark)
+    dealt = points.select("rep", F.explode("keys").alias("key"))
     counted = dealt.groupBy("key").agg(F.count("rep").alias("m")).where("m > 1")
     blocks = materialize(dealt.join(counted, "key").select("key", "rep", "m"), "blocks")
-    discard(full)
     release(spark)
-    points = materialize(signed.where("n > 0").groupBy(F.col("node").alias("rep"), "n").agg(F.min("doc_id").alias("doc_id"), F.first("point").alias("point")), "points")
     labels = link_representatives(blocks, points, base, words, percent)
     discard(blocks)
     release(spark)
-    rows = signed.select("doc_id", "n", "node", *more).join(labels.withColumnRenamed("rep", "node"), "node", "left")
-    return rows.withColumn("comp", F.coalesce("comp", "node"))
+    named = points.select("rep", "h1", "h2", "n").join(labels, "rep", "left").select("h1", "h2", "n", F.col("rep").alias("node"), F.coalesce("comp", "rep").alias("comp"))
+    return signed.join(named, ["h1", "h2", "n"], "left").select("doc_id", "n", "node", "comp", *more)
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -508,7 +556,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     nodes = rows.where("n > 0").groupBy("node", "comp").agg(F.min("doc_id").alias("class_id"))
     least = nodes.groupBy("comp").agg(F.min("class_id").alias("component_id"))
     named = nodes.join(least, "comp").select("node", "class_id", "component_id")
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
+    out = rows.select("doc_id", "n", "node").join(named, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
