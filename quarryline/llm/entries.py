@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quarryline.llm import language_id, license_scan, mixing, ngram_join, packing, repetition, token_files, topk_search, toxicity, url_cascade
 from quarryline.session import table
 
-#: Hosts that the url query blocks where no rule fits, with their subdomains.
-LISTED_HOSTS = ["spam-farm.example.org", "cheap-pills.example.com"]
+#: Sites whose pages make up the url query's list: a host is of a site if the label before its last two is the site.
+LISTED_SITES = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -33,9 +33,15 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokenize_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
 
 
+def listed_keys(pages: DataFrame) -> DataFrame:
+    """The table (key) of what is listed: host and path of every page of a listed site."""
+    site = F.regexp_extract("host", r"([^.]*)\.[^.]*\.[^.]*$", 1)
+    return url_cascade.keyed(pages).where(site.isin(LISTED_SITES)).select(F.col("_key").alias("key")).distinct()
+
+
 def op4_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = url_cascade.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES, LISTED_HOSTS)
-    return judged.select("page_id", "host", "path", "rule", "verdict", "listed")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_cascade.judge_urls(pages, RULES, listed_keys(pages)).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
 def op5_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,11 +99,12 @@ def _url_sql() -> str:
     cases = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     rule = " ".join(f"WHEN {fits(h, p)} THEN '{h + p}'" for _, h, p in cases)
     verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in cases)
-    listed = " OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in LISTED_HOSTS)
+    sites = ", ".join(f"'{x}'" for x in LISTED_SITES)
     return f"""
 WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)
-SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN {listed} THEN 'block' ELSE 'allow' END AS verdict, ({listed}) AS listed FROM h"""
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+l AS (SELECT DISTINCT host || path AS key FROM h WHERE regexp_extract(host, '([^.]*)\\.[^.]*\\.[^.]*$', 1) IN ({sites}))
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN key IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, key IS NOT NULL AS listed FROM h LEFT JOIN l ON host || path = key"""
 
 
 def _quality_sql() -> str:

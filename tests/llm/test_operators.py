@@ -188,15 +188,31 @@ def test_cascade_is_exact():
 def test_urls_odd_and_empty(spark, monkeypatch):
     monkeypatch.setattr(url_cascade, "BROADCAST_BYTES", 1)  # a pass for each shard
     monkeypatch.setattr(url_cascade, "SHARD_KEYS", 2)
+    monkeypatch.setattr(url_cascade, "GROUPS_A_STAGE", 2)
     urls = [None, "", "nohost", "http://A.Example.NET/en/x?y", "x://a://b/c", "http://spam-farm.example.org/fr/", "http://www.cheap-pills.example.com#a/de/", "http://example.com/de/", "http://a.org/FR/", "http://net", "http://spam-farm.example.org:80/", "h://ünï.org/é\n/?q"]
     df = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(urls)], "page_id long, url string, host string, verdict string")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_cascade.judge_urls(df, entries.RULES, entries.LISTED_HOSTS).collect()}
+    listed = entries.listed_keys(df).unionByName(spark.createDataFrame([(None,), ("elsewhere.org/x",), ("example.com/de/",)], "key string"))
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_cascade.judge_urls(df, entries.RULES, listed).collect()}
     assert got[0] == got[1] == got[2] == ("", "", None, "allow")
     assert got[3] == ("a.example.net", "/en/x", "example.net/en/", "allow") and got[4][:2] == ("a:", "//b/c")
     assert got[5] == ("spam-farm.example.org", "/fr/", "org/fr/", "allow") and got[6] == ("www.cheap-pills.example.com", "", None, "block")
     assert got[7][2:] == ("example.com/de/", "block") and got[8][2:] == (None, "allow") and got[9] == ("net", "", None, "allow")
-    assert got[10][2:] == (None, "allow") and got[11][:2] == ("ünï.org", "/é\n/")
-    assert url_cascade.judge_urls(df.limit(0), entries.RULES, entries.LISTED_HOSTS).count() == 0
+    assert got[10][2:] == (None, "block") and got[11][:2] == ("ünï.org", "/é\n/")
+    assert url_cascade.judge_urls(df.limit(0), entries.RULES, listed).count() == 0
+    assert {r["verdict"] for r in url_cascade.judge_urls(df, [], listed.limit(0)).collect()} == {"allow"}
+
+
+def test_keys_that_collide_are_kept(spark, monkeypatch):
+    same = np.full(6, 7, dtype=np.uint64)
+    listed = np.asarray([True, False, True, False, False, True])
+    keys = list("abcdef")
+    levels = url_cascade.build_cascade(same, same, listed, keys)
+    assert len(levels) == url_cascade.MAX_LEVELS + 1 and (url_cascade.ask_cascade(levels, same, same, keys) == listed).all()
+    monkeypatch.setattr(url_cascade, "MAX_LEVELS", 1)
+    rows = spark.createDataFrame([(i, f"http://h{i}.org/p") for i in range(300)], "page_id long, url string")
+    marks = spark.createDataFrame([(f"h{i}.org/p",) for i in range(0, 300, 3)], "key string")
+    got = {r["page_id"]: r["listed"] for r in url_cascade.judge_urls(rows, [], marks).collect()}
+    assert got == {i: i % 3 == 0 for i in range(300)}
 
 
 # 5 repetition
