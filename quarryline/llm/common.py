@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from quarryline.session import ensure_importable
 
-#: Local fallback for sessions that name no shared folder, as in tests.
+#: Fallback for local sessions that name no shared folder, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints/quarryline"
 #: Bytes of text that one vectorised step in a Python worker takes at once (one longer text is taken alone).
 STEP_BYTES = 1 << 20
@@ -57,7 +57,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_SHARED
     return f"{base.rstrip('/')}/quarryline-{spark.sparkContext.applicationId}"
 
 
@@ -87,6 +91,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def shield(df: DataFrame, *own: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with names for its other columns than own that no operator uses, and how to name them back."""
+    names = {c: f"_in{i}_{c}" for i, c in enumerate(df.columns) if c not in own}
+    return df.withColumnsRenamed(names), {v: k for k, v in names.items()}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession

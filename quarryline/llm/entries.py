@@ -49,7 +49,7 @@ def op5_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "n_spans")
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "n_spans", toxicity.offsets(F.col("spans")).alias("offsets"))
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +132,7 @@ def _mix_sql() -> str:
     weights = f"[{', '.join(map(str, mixing.WEIGHTS))}]"
     return f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
- (('0x' || substr(md5('{mixing.SEED}|' || coalesce(source, '') || '|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT * {mixing.BINS}) // 4294967296 AS bin FROM documents),
+ ('0x' || substr(md5('{mixing.SEED}|' || coalesce(source, '') || '|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 8))::BIGINT / 4294967296::DOUBLE AS draw FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 o AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) AS i FROM s),
 v AS (SELECT *, {weights}[i % {len(mixing.WEIGHTS)} + 1]::BIGINT AS w FROM o),
@@ -141,13 +141,9 @@ f AS (SELECT *, source_size / w AS ratio,
  / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY source_size / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM v),
 l AS (SELECT level FROM f WHERE level * w <= {mixing.CAP} * source_size ORDER BY ratio, i LIMIT 1),
 t AS (SELECT source, source_size, least({mixing.CAP}::DOUBLE * source_size, w * coalesce((SELECT level FROM l), 'inf'::DOUBLE)) AS target FROM v),
-t2 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
-b AS (SELECT source, bin, sum(sum(size)) OVER (PARTITION BY source ORDER BY bin) AS upto FROM d GROUP BY source, bin),
-c AS (SELECT t2.source, bin, abs(upto - (target - whole * source_size)) AS off FROM b JOIN t2 ON b.source IS NOT DISTINCT FROM t2.source
- UNION ALL SELECT source, -1, target - whole * source_size FROM t2),
-e AS (SELECT source, bin AS edge FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY off, bin) AS k FROM c) WHERE k = 1)
-SELECT doc_id, size, source_size, target, size * (whole + (bin <= edge)::BIGINT) AS taken, whole + (bin <= edge)::BIGINT AS copies
-FROM d JOIN t2 ON d.source IS NOT DISTINCT FROM t2.source JOIN e ON d.source IS NOT DISTINCT FROM e.source"""
+t2 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t)
+SELECT doc_id, size, source_size, target, size * (whole + (draw < rate - whole)::BIGINT) AS taken, whole + (draw < rate - whole)::BIGINT AS copies
+FROM d JOIN t2 ON d.source IS NOT DISTINCT FROM t2.source"""
 
 
 TOPK_SQL = """

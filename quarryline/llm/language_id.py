@@ -17,7 +17,6 @@ no rows. Other columns of the input are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Sequence
 
@@ -34,7 +33,11 @@ SAMPLE_CHARS = 20_000
 DIM_BITS = 16
 AMBIGUOUS_UNDER = 0.5
 SMOOTHING = 0.5
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character of a letter category stands in the text."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def code_matrix(n: int, seed: int = 11) -> np.ndarray:
@@ -134,7 +137,7 @@ def predict(texts: list[str | None], model: dict) -> tuple[list[str], np.ndarray
     """Language, score and ambiguity of each text."""
     languages = model["languages"]
     lang, score, doubt = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
-    has = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if languages else []
+    has = [i for i, t in enumerate(texts) if has_letter(t)] if languages else []
     if len(languages) == 1:
         for i in has:
             lang[i], score[i], doubt[i] = languages[0], 1.0, False

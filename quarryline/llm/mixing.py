@@ -1,12 +1,13 @@
 """Mixing sources to target weights by repeating documents.
 
 Tokens (words) are summed per source, each source gets a repetition rate, and a document is emitted floor(rate)
-times plus one Bernoulli copy with the fraction as its probability. The draw is a hash of the seed, the source
-and the doc_id, so reruns agree. It is compared with a threshold next to the fraction: the edge, among BINS
-equal parts of the hash range, at which the words taken so far come nearest to the fraction's share. Plain
-comparison with the fraction leaves small sources with a few long documents far from their targets.
+times plus one Bernoulli copy with the fraction as its probability. The draw is a hash of the seed, the source, the
+doc_id and the text, as a number in [0, 1), and the copy is made where it lies under the fraction; reruns agree. A source's
+words then come near its target as its documents are many: their standard deviation is sqrt(f (1 - f) * the sum of squared
+sizes). For sources of few documents there is a correction, off by default: it replaces the fraction by the one of BINS
+edges of the hash range at which the words taken come nearest to the target. distances() reports how near a mix comes.
 
-Nulls: a null text has size 0; a null source is a source of its own, ordered last; a null doc_id draws as the
+Nulls: a null text has size 0; a null source is a source of its own, ordered last; a null doc_id or text draws as the
 empty string. Repeated rows draw alike. Sources without words get target 0. An empty table gives no rows.
 Columns of the input keep their names; those of the result that clash are replaced.
 """
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.llm.common import shield
+
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
@@ -48,28 +51,43 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return at.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
+def draw(seed: str) -> F.Column:
+    """The document's number in [0, 1)."""
+    told = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "doc_id", "text")]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *told).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(1 << 32)
+
+
+def _edges(base: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets with _fraction replaced by the edge of the hash range where the words taken come nearest to the target."""
+    # One row a source and bin, each with its upper edge; no words are taken at edge 0.
+    bins = base.groupBy("source", ((F.floor(F.col("_draw") * BINS) + 1) / BINS).alias("_edge")).agg(F.sum("size").alias("_size"))
+    upto = F.sum("_size").over(Window.partitionBy("source").orderBy("_edge"))
+    need = F.col("target") - F.col("_whole") * F.col("source_size")
+    found = bins.withColumn("_upto", upto).join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    best = found.groupBy("_source", "source_size", "target", "_whole").agg(F.min(F.struct(F.abs(F.col("_upto") - need).alias("off"), F.col("_edge").alias("edge"))).alias("b"))
+    none = F.struct(need.alias("off"), F.lit(0.0).alias("edge"))
+    return best.select(F.col("_source").alias("source"), "source_size", "target", "_whole", F.least("b", none)["edge"].alias("_fraction"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED, corrected: bool = False) -> DataFrame:
     """docs with size, source_size, target, copies and taken (= size * copies)."""
-    spark_seed = F.lit(seed)
-    base = docs.drop("size", "source_size", "target", "copies", "taken").withColumn("size", word_count("text"))
-    drawn = F.concat_ws("|", spark_seed, F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    slot = F.conv(F.substring(F.md5(drawn.cast("binary")), 1, 8), 16, 10).cast("long") * F.lit(BINS) / F.lit(1 << 32)
-    base = base.withColumn("_bin", F.floor(slot).cast("int"))
-    # One row a source and bin: the hash range is cut where the words taken come nearest to the fraction.
-    bins = base.groupBy("source", "_bin").agg(F.sum("size").alias("_size"))
-    targets = source_targets(bins.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, share, cap)
+    inner, names = shield(docs.drop("size", "source_size", "target", "copies", "taken"), "doc_id", "text", "source")
+    base = inner.withColumn("size", word_count("text")).withColumn("_draw", draw(seed))
+    targets = source_targets(inner.groupBy("source").agg(F.sum(word_count("text")).alias("source_size")), weights, share, cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = targets.withColumn("_whole", F.floor(rate).cast("long"))
-    need = F.col("target") - F.col("_whole") * F.col("source_size")
-    joined = bins.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("t.*", "_bin", "_size")
-    upto = F.sum("_size").over(Window.partitionBy("source").orderBy("_bin"))
-    off = joined.withColumn("_upto", upto).withColumn("_off", F.abs(F.col("_upto") - need))
-    none = F.struct(need.alias("_off"), F.lit(-1).alias("_bin"))
-    edge = off.groupBy("source", "source_size", "target", "_whole").agg(F.min(F.struct("_off", "_bin")).alias("_best"))
-    edge = edge.withColumn("_edge", F.least(F.col("_best"), none)["_bin"]).drop("_best").withColumnRenamed("source", "_source")
-    out = base.join(edge, F.col("source").eqNullSafe(F.col("_source")))
-    copies = F.col("_whole") + (F.col("_bin") <= F.col("_edge")).cast("long")
-    return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("_source", "_bin", "_whole", "_edge")
+    targets = targets.withColumn("_whole", F.floor(rate).cast("long")).withColumn("_fraction", rate - F.floor(rate))
+    if corrected:
+        targets = _edges(base, targets)
+    out = base.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    copies = F.col("_whole") + (F.col("_draw") < F.col("_fraction")).cast("long")
+    out = out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("_source", "_draw", "_whole", "_fraction")
+    return out.withColumnsRenamed(names)
+
+
+def distances(mixed: DataFrame) -> DataFrame:
+    """(source, documents, target, taken, off): words that each source gave, and their distance as a share of the target."""
+    per = mixed.groupBy("source").agg(F.count("*").alias("documents"), F.max("target").alias("target"), F.sum("taken").alias("taken"))
+    return per.withColumn("off", F.when(F.col("target") > 0, F.abs(F.col("taken") - F.col("target")) / F.col("target")).otherwise(F.lit(0.0)))
 
 
 def emit(mixed: DataFrame) -> DataFrame:

@@ -43,7 +43,13 @@ _WORD = re.compile(r"\w+")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Words in lower case, one for each word of the text."""
+    if not text:
+        return []
+    low = text.lower()
+    if len(low) == len(text):
+        return _WORD.findall(low)
+    return [w.lower() for w in _WORD.findall(text)]  # a letter that grows may hold a mark that ends words
 
 
 def features(word: str) -> list[int]:
@@ -277,10 +283,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 
 
 def spans(text: str, p: np.ndarray, least: float = SPAN_FROM) -> list[tuple[int, int, float]]:
-    """(start, end, largest marginal) of each run of toxic words, in characters of the lower-cased text."""
+    """(start, end, largest marginal) of each run of toxic words, in characters of the text."""
     out: list[list] = []
     last = -2
-    for i, m in enumerate(_WORD.finditer(text.lower())):
+    for i, m in enumerate(_WORD.finditer(text)):
         if p[i] >= least:
             if out and last == i - 1:
                 out[-1][1], out[-1][2] = m.end(), max(out[-1][2], float(p[i]))
@@ -315,3 +321,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, carry: Sequence[str] = (
     out = map_texts(docs, score, made, ["doc_id"], carry=[c for c in carry if c != "held_out"])
     kept = [c for c in out.columns if c not in ("_id", "score", "predicted", "n_spans", "spans")]
     return out.select(*kept, held_out("_id").alias("held_out"), "score", "predicted", "n_spans", "spans")
+
+
+def offsets(spans_column: F.Column) -> F.Column:
+    """The spans' places in the text as start:end, comma-joined."""
+    return F.array_join(F.transform(spans_column, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")

@@ -2,6 +2,7 @@
 
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -278,6 +279,41 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
 
 
+def brute_marginals(model, words):
+    """Enumerates all taggings of a few words, with features counted one by one."""
+    e = [sum(float(model["weights"][f]) for f in toxicity.features(w)) + model["bias"] for w in words]
+    total, own = 0.0, np.zeros(len(words))
+    for bits in np.ndindex(*[2] * len(words)):
+        s = model["start"][bits[0]] + sum(model["trans"][a, b] for a, b in zip(bits, bits[1:])) + sum(x for x, b in zip(e, bits) if b)
+        total, own = total + np.exp(s), own + np.exp(s) * np.asarray(bits)
+    return own / total
+
+
+def test_scores_and_spans_brute_force(spark):
+    rows = [(i, f"you IDIOT clown w{i} x{i} y") for i in range(60)] + [(i, f"fine words w{i} x{i} y") for i in range(60, 180)]
+    rows += [(900, "İİİ a b İdiot IDIOT clown; y"), (901, "y"), (902, ""), (903, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(180)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score_documents(docs, labels).collect()}
+    for doc_id, text in [rows[0], rows[59], rows[100], *rows[-4:]]:
+        found = list(re.finditer(r"\w+", text or ""))
+        words = [m.group().lower() for m in found]
+        p = brute_marginals(model, words) if words else np.zeros(0)
+        total, most, n = p.sum(), max(p, default=0.0), len(words)
+        x = np.asarray([1.0, np.log1p(total), most, np.log1p(100 * total / max(n, 1)), np.log1p(n) / 5])
+        assert np.isclose(got[doc_id]["score"], 1 / (1 + np.exp(-x @ model["calibration"])), atol=1e-6)
+        places, last = [], -2
+        for i, m in enumerate(found):
+            if p[i] >= toxicity.SPAN_FROM:
+                places = [*places[:-1], (places[-1][0], m.end())] if last == i - 1 else [*places, m.span()]
+                last = i
+        assert [(s["start"], s["end"]) for s in got[doc_id]["spans"]] == places
+    text = rows[-4][1]
+    assert any("IDIOT" in text[s["start"] : s["end"]] for s in got[900]["spans"])
+    assert "4:9" in docs.sparkSession.createDataFrame([([{"start": 4, "end": 9}, {"start": 11, "end": 12}],)], "s array<struct<start:int,end:int>>").select(toxicity.offsets(F.col("s"))).first()[0]
+
+
 def test_toxicity_odd_and_empty(spark, odd_docs, no_docs):
     rows = [(i, "you idiot clown " + "w%d x%d y" % (i, i)) for i in range(40)] + [(i, "fine words " + "w%d x%d y" % (i, i)) for i in range(40, 120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -296,7 +332,14 @@ def test_toxicity_odd_and_empty(spark, odd_docs, no_docs):
 
 
 def test_mix_near_targets(spark, odd_docs, no_docs):
-    rows = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("source", "size", "target", "taken", "source_size").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.mix(docs).select("source", "size", "target", "taken", "source_size").collect()
+    for own in _groups(rows, "source").values():
+        f = own[0]["target"] / own[0]["source_size"] % 1
+        spread = math.sqrt(f * (1 - f) * sum(r["size"] ** 2 for r in own))
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 4 * spread + 1
+        assert sum(r["size"] for r in own) == own[0]["source_size"] and all(r["taken"] <= 2 * r["size"] for r in own)
+    rows = mixing.mix(docs, corrected=True).select("source", "size", "target", "taken", "source_size").collect()
     for own in _groups(rows, "source").values():
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
         assert sum(r["size"] for r in own) == own[0]["source_size"] and all(r["taken"] <= 2 * r["size"] for r in own)
@@ -305,6 +348,21 @@ def test_mix_near_targets(spark, odd_docs, no_docs):
     assert mixing.emit(mixed).count() == mixed.agg(F.sum("copies")).first()[0]
 
 
+def test_copies_are_drawn_with_the_fraction(spark):
+    # Weights 5 and 2, 150 % of all words: a stops at twice its size, b takes the rest, a rate of 1.3.
+    docs = spark.range(10_000).selectExpr("id AS doc_id", "CASE WHEN id < 2857 THEN 'a' ELSE 'b' END AS source", "'two words' AS text")
+    per = {r["source"]: r for r in mixing.distances(mixing.mix(docs)).collect()}
+    assert per["a"]["taken"] == per["a"]["target"] == 2 * 2 * 2857
+    rate = per["b"]["target"] / (2 * 7143)
+    assert 1.2 < rate < 1.4 and abs(per["b"]["taken"] / (2 * 7143) - rate) < 4 * math.sqrt(0.21 / 7143)
+    # Alone in its source, a document is drawn as often over many seeds.
+    one = spark.createDataFrame([(1, "a", "w " * 10), (2, "b", "w " * 100)], "doc_id long, source string, text string")
+    drawn = [mixing.mix(one, seed=str(i)).where("doc_id = 2").select("copies", F.col("target") / F.col("source_size")).first() for i in range(40)]
+    assert 4 <= sum(c - 1 for c, _ in drawn) <= 36 and {c for c, _ in drawn} == {1, 2}
+    clash = docs.limit(50).selectExpr("*", "1 AS _draw", "2 AS _whole", "3 AS _fraction", "4 AS _source", "5 AS _edge")
+    assert mixing.mix(clash).columns == [*clash.columns, "size", "source_size", "target", "copies", "taken"]
+
+
 def test_targets_by_hand(spark):
     sizes = spark.createDataFrame([("b", 10), ("a", 100), (None, 40), ("c", 0)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
@@ -402,6 +460,35 @@ def test_languages_held_out(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97 and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_decoding_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(language_id.sample(docs))
+    texts = ["1 a2", "Ein kurzer Satz über nichts", "²½①", "½ a", "日本", *[r["text"] for r in docs.limit(20).collect()], "12 34", None, ""]
+    lang, score, doubt = language_id.predict(texts, model)
+    for t, found, s, d in zip(texts, lang, score, doubt, strict=True):
+        if not t or not any(unicodedata.category(c).startswith("L") for c in t):
+            assert (found, s, d) == ("und", 0.0, True)
+            continue
+        blob = b" " + t.lower().encode() + b"  "
+        grams = [blob[i] | blob[i + 1] << 8 | blob[i + 2] << 16 for i in range(len(blob) - 2)]
+        slots = [(g * 2654435761 % 2**32) >> (32 - language_id.DIM_BITS) for g in grams]
+        losses = []
+        for word in model["code"]:
+            loss = 0.0
+            for b, sign in enumerate(word):
+                margin = sum(float(model["weights"][b][k]) for k in slots) / math.sqrt(len(slots)) * model["scale"][b] + model["shift"][b]
+                loss += math.log1p(math.exp(min(-margin * sign, 700))) * model["bit_weight"][b]
+            losses.append(loss)
+        assert found == model["languages"][int(np.argmin(losses))]
+        assert np.isclose(s, 1 / sum(math.exp(min(losses) - x) for x in losses), atol=1e-3) and d == (s < language_id.AMBIGUOUS_UNDER)
+
+
+def test_sample_of_very_large_languages(spark, monkeypatch):
+    """The share of the hash range stays positive, however many rows a language has."""
+    n = 10**12
+    assert int((1 << 62) * min(1.0, language_id.SPARE * language_id.SAMPLE_DOCS / n)) > 10**6
+
+
 def test_languages_odd_and_empty(spark, odd_docs, no_docs):
     got = {r["doc_id"]: r for r in language_id.identify(odd_docs).collect()}
     assert language_id.identify(odd_docs).count() == 10
