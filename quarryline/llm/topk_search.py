@@ -1,16 +1,19 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors (integers, from floor(scale * x)) are ordered by length and cut into buckets. Within a block of queries
-and a chunk of candidates the longest bucket comes first; a query's k-th best score so far, divided by its length and
-the bucket's longest vector, is its local cosine threshold. Above 1 the bucket, and all after it, are pruned
-by length. Where the threshold is high, coordinate pruning keeps the vectors whose coordinate at the query's
-largest one lies in the feasible interval; the products of what is left are verified. Queries and candidates
-meet as blocks: each chunk of candidates is sent once to each block of queries, and the blocks' top lists
-are merged by an aggregation that keeps k entries.
+Vectors (integers, from floor(scale * x)) are ordered by length over the whole table, longest first, and cut into chunks of
+CHUNK_BYTES at most: global buckets of length. The search goes through them in rounds, the longest chunk first, then
+GROWTH times as many in each round. A query's k-th best score so far is its threshold, kept from round to round: divided
+by the query's length and the longest vector of a bucket it is the local cosine threshold. Above 1 all vectors of the
+bucket, and all shorter ones, are pruned by length; a query whose threshold lies above all that is left takes no part in
+further rounds. Within a chunk, buckets of BUCKET vectors are pruned alike, and where the local threshold is high,
+coordinate pruning keeps the vectors whose coordinate at the query's largest one lies in the feasible interval. The
+products of what is left are verified. Blocks of queries meet chunks, at most BLOCKS_A_TASK for one chunk in a task, and
+their top lists are merged by an aggregation that keeps k entries.
 
 Nulls: vectors that are null or hold null or non-finite components, and rows with null id, take no part. Vectors of
 different dimension are never compared. Rows that share the query's id are its own. Ties go to the smaller id.
-Repeated rows count once each. An empty table gives no rows. Other columns of the input are ignored.
+Repeated rows count once each. An empty table gives no rows. Other columns of the input are ignored. Products beyond 64
+bits count as the largest or least 64-bit integer.
 """
 
 from __future__ import annotations
@@ -24,10 +27,14 @@ from pyspark.sql import functions as F
 
 from quarryline.llm.common import materialize, prepare
 
-#: Queries in a block, candidates in a chunk, candidates in a bucket.
-QUERY_BLOCK = 2048
-CHUNK = 8192
+#: Bytes of the queries of a block and of the vectors of a chunk, at most (one longer vector is taken alone).
+QUERY_BYTES = 1 << 20
+CHUNK_BYTES = 4 << 20
+#: Vectors in a bucket.
 BUCKET = 1024
+#: Chunks in a round, as a multiple of those in the round before.
+GROWTH = 4
+BLOCKS_A_TASK = 16
 #: Local thresholds from which coordinates prune.
 COORDINATE_FROM = 0.8
 
@@ -78,8 +85,9 @@ class TopK:
         return np.where(self.full[:, -1], self.score[:, -1], -np.inf)
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, bucket: int = BUCKET) -> tuple[TopK, dict]:
-    """Top k of each query among the candidates, and how many products each way of pruning left out."""
+def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, bucket: int = BUCKET, floor: np.ndarray | float = -np.inf) -> tuple[TopK, dict]:
+    """Top k of each query among the candidates that reach its floor, and how many products each way of pruning left
+    out."""
     top, said = TopK(len(q), k), {"length": 0, "coordinate": 0, "verified": 0}
     q_len, c_len = (np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)) for x in (q, c))
     order = np.argsort(-c_len, kind="stable")
@@ -88,7 +96,8 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
         part = order[lo : lo + bucket]
         longest = c_len[part[0]]
         bound = q_len * longest
-        local = np.where(bound > 0, top.threshold() / np.where(bound > 0, bound, 1), np.where(top.threshold() > 0, np.inf, -np.inf))
+        least = np.maximum(top.threshold(), floor)
+        local = np.where(bound > 0, least / np.where(bound > 0, bound, 1), np.where(least > 0, np.inf, -np.inf))
         # A margin keeps ties and rounding on the safe side.
         active = np.flatnonzero(local <= 1 + 1e-9)
         said["length"] += (len(q) - len(active)) * len(part)
@@ -120,41 +129,105 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
     return top, said
 
 
-def top_k(vectors: DataFrame, is_query: F.Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best candidates of every query row."""
+def _blobs(frame: pd.DataFrame) -> dict:
+    ids = frame["id"].to_numpy(dtype="<i8")
+    return {"dim": [int(frame["dim"].iloc[0])], "ids": [ids.tobytes()], "m": [np.asarray(frame["v"].tolist(), dtype="<i8").reshape(len(frame), -1).tobytes()]}
+
+
+def chunked(packed: DataFrame, parts: int) -> DataFrame:
+    """(dim, part, ids, m, longest): the vectors in chunks, parts ascending as lengths fall."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+
+        def rows(frame: pd.DataFrame) -> int:
+            return max(1, CHUNK_BYTES // (8 * max(1, int(frame["dim"].iloc[0]))))
+
+        def chunk(frame: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(_blobs(frame) | {"part": [int(frame["part"].iloc[0])], "longest": [float(np.sqrt(frame["sq"].iloc[0]))]})
+
+        for frame in frames:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            while len(held):
+                same = int((held["dim"] == held["dim"].iloc[0]).sum())  # dimensions ascend
+                n = min(rows(held), same)
+                if n == len(held) and n < rows(held):
+                    break
+                yield chunk(held[:n])
+                held = held[n:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield chunk(held)
+
+    order = ("dim", F.desc("sq"), "id")
+    rows = packed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "dim", "sq", "v", F.spark_partition_id().alias("part"))
+    return rows.mapInPandas(run, "dim int, ids binary, m binary, part int, longest double")
+
+
+def top_k(vectors: DataFrame, is_query: F.Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256, report: list | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best candidates of every query row. report gets each round's number of chunks
+    and of queries that still took part."""
     spark = vectors.sparkSession
     prepare(spark)
     ints = vectors.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), quantize(vectors, vector, scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where("v IS NOT NULL")
-    packed = materialize(ints.select("id", "is_query", F.size("v").alias("dim"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x).alias("sq"), "v"), "vectors")
-    counts = {r["dim"]: (r["n"], r["q"]) for r in packed.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(F.col("is_query"), 1)).alias("q")).collect()}
-    if not any(q for _, q in counts.values()):
+    ints = ints.select("id", "is_query", F.size("v").alias("dim"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x).alias("sq"), "v", F.monotonically_increasing_id().alias("row"))
+    packed = materialize(ints, "vectors")
+    counts = packed.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(F.col("is_query"), 1)).alias("q")).where("q > 0").collect()  # a row a dimension
+    if not counts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    chunks = max(1, -(-max(n for n, _ in counts.values()) // CHUNK))
-    blocks = max(1, -(-max(q for _, q in counts.values()) // QUERY_BLOCK))
+    width = lambda r: 8 * max(1, r["dim"])
+    parts = max(1, -(-sum(r["n"] * width(r) for r in counts) // CHUNK_BYTES))
+    per_dim = spark.createDataFrame([(r["dim"], max(1, -(-r["q"] * width(r) // QUERY_BYTES))) for r in counts], "dim int, blocks int")
+    chunks = materialize(chunked(packed.join(F.broadcast(per_dim.select("dim")), "dim", "left_semi"), parts), "chunks")
+    # A chunk's position in its dimension, from the longest on.
+    spread = chunks.groupBy("dim").agg(F.min("part").alias("first"), F.max("part").alias("last")).join(per_dim, "dim").collect()  # a row a dimension
+    places = spark.createDataFrame([(r["dim"], r["first"], r["last"] - r["first"], r["blocks"], -(-r["blocks"] // BLOCKS_A_TASK)) for r in spread], "dim int, first int, far int, blocks int, salts int")
+    chunks = chunks.join(F.broadcast(places), "dim").withColumn("at", F.col("part") - F.col("first"))
+    queries = packed.where("is_query").join(F.broadcast(places), "dim").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    best = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    lo, size = 0, 1
+    while lo <= max(r["last"] - r["first"] for r in spread):
+        best, more = search_round(queries, chunks.where((F.col("at") >= lo) & (F.col("at") < lo + size)), best, k, lo, lo + size)
+        if report is not None:
+            report.append({"chunks": size, "queries": more})
+        if not more:
+            break
+        lo, size = lo + size, size * GROWTH
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
+    return best.withColumn("rank", rank).select("query_id", "rank", "vec_id", "score")
+
+
+def search_round(queries: DataFrame, chunks: DataFrame, best: DataFrame, k: int, lo: int, hi: int) -> tuple[DataFrame, int]:
+    """best (query_id, vec_id, score; at most k a query) after the chunks (those at lo to hi), and how many queries took
+    part."""
+    reach = chunks.groupBy("dim").agg(F.max("longest").alias("reach"))
+    floors = best.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select("id", "least")
+    # A margin keeps ties and rounding on the safe side.
+    live = queries.join(floors, "id", "left").join(F.broadcast(reach), "dim").where(F.col("least").isNull() | (F.sqrt("sq") * F.col("reach") * (1 + 1e-9) >= F.col("least")))
 
     def as_block(g: pd.DataFrame) -> pd.DataFrame:
-        ids = g["id"].to_numpy(dtype="<i8")
-        m = np.asarray(g["v"].tolist(), dtype="<i8").reshape(len(g), -1)
-        return pd.DataFrame({"dim": [int(g["dim"].iloc[0])], "part": [int(g["part"].iloc[0])], "ids": [ids.tobytes()], "m": [m.tobytes()]})
-
-    schema = "dim int, part int, ids binary, m binary"
-    rows = packed.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).where("is_query")
-    queries = rows.groupBy("dim", "part").applyInPandas(as_block, schema).select("dim", F.col("part").alias("block"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
-    cand = packed.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks)).cast("int"))
-    cand = cand.groupBy("dim", "part").applyInPandas(as_block, schema)
+        floor = g["least"].to_numpy(dtype="<f8", na_value=-np.inf)
+        return pd.DataFrame(_blobs(g) | {"n": [len(g)], "floor": [floor.tobytes()], **{c: [int(g[c].iloc[0])] for c in ("block", "far", "salts")}})
+
+    live = live.select("id", "dim", "v", F.col("least").cast("double").alias("least"), "block", "far", "salts")
+    blocks = materialize(live.groupBy("dim", "block").applyInPandas(as_block, "dim int, ids binary, m binary, n long, floor binary, block int, far int, salts int"), "blocks")
+    more = blocks.agg(F.sum("n").alias("n")).first()["n"] or 0
+    if not more:
+        return best, 0
     # A row is a whole block here: each block of queries is sent once to each chunk of its dimension.
-    sent = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    meet = cand.join(sent, ["dim", "part"])
+    sent = blocks.where(F.col("far") >= lo).select("dim", F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), "floor", F.pmod("block", "salts").alias("salt"), F.explode(F.sequence(F.lit(lo), F.least("far", F.lit(hi - 1)))).alias("at"))
+    meet = chunks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(sent, ["dim", "at", "salt"])
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples(index=False):
                 c_ids, q_ids = np.frombuffer(r.ids, dtype="<i8"), np.frombuffer(r.q_ids, dtype="<i8")
                 c, q = (np.frombuffer(x, dtype="<i8").reshape(-1, r.dim) if r.dim else np.zeros((n, 0), dtype=np.int64) for x, n in ((r.m, len(c_ids)), (r.q_m, len(q_ids))))
-                top, _ = search_block(q_ids, q, c_ids, c, k)
-                at, _ = np.nonzero(top.full)
-                yield pd.DataFrame({"query_id": q_ids[at], "vec_id": top.id[top.full], "score": top.score[top.full]})
-
-    found = meet.select("dim", "ids", "m", "q_ids", "q_m").mapInPandas(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                floor = np.frombuffer(r.floor, dtype="<f8")
+                top, _ = search_block(q_ids, q, c_ids, c, k, floor=floor)
+                there = top.full & (top.score >= floor[:, None])
+                at, _ = np.nonzero(there)
+                yield pd.DataFrame({"query_id": q_ids[at], "vec_id": top.id[there], "score": top.score[there]})
+
+    found = meet.select("dim", "ids", "m", "q_ids", "q_m", "floor").mapInPandas(search, "query_id long, vec_id long, score long").unionByName(best)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return materialize(found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"), "best"), more

@@ -383,6 +383,32 @@ def test_topk_odd(spark):
     assert topk_search.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.0, 1.5])
+def test_topk_over_many_chunks_and_blocks(spark, monkeypatch, spread):
+    monkeypatch.setattr(topk_search, "CHUNK_BYTES", 8 * 4 * 40)
+    monkeypatch.setattr(topk_search, "QUERY_BYTES", 8 * 4 * 3)
+    monkeypatch.setattr(topk_search, "BLOCKS_A_TASK", 2)
+    monkeypatch.setattr(topk_search, "BUCKET", 16)
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(900, 4)) * np.exp(spread * rng.normal(size=(900, 1)))
+    m[100:160] = m[7]  # ties
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(m)] + [(50, [1.0, 2.0, 3.0, 4.0]), (3, [0.5, 0.5, 0.5, 0.5])] + [(1000 + i, [float(i), 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    report = []
+    got = defaultdict(list)
+    for r in topk_search.top_k(df, F.col("vec_id") % 50 == 0, report=report).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    ints = [(i, np.floor(256 * np.asarray(v)).astype(int)) for i, v in rows]
+    want = {}
+    for q in {i for i, _ in ints if i % 50 == 0}:
+        pairs = [(-int(a @ b), j) for i, a in ints if i == q for j, b in ints if j != q and len(a) == len(b)]
+        want[q] = [(n + 1, j, -s) for n, (s, j) in enumerate(sorted(pairs)[:5])]
+    assert {q: sorted(v) for q, v in got.items()} == want
+    assert len(report) >= 3
+    if spread:  # most queries end before the last, largest round
+        assert report[-1]["queries"] < report[0]["queries"] / 2
+
+
 @pytest.mark.parametrize("spread", [0.0, 1.0])
 def test_topk_pruning_is_exact(spread):
     rng = np.random.default_rng(7)
