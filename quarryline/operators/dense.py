@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from quarryline.functions.text import md5_bucket, md5_sign, terms
 from quarryline.operators.lexical import best
 
-#: Queries that one pass over the vectors sends to every task.
-QUERY_BLOCK = 4096
+#: Queries in a block and vectors in a chunk, about.
+QUERY_BLOCK, CHUNK = 1024, 8192
 
 
 class Encoder(Protocol):
@@ -47,43 +47,45 @@ def hash_encode(df: DataFrame, key: str, text: str, dim: int = 384) -> DataFrame
     return summed.select(key, "bucket", (F.col("raw") / norm).alias("value"))
 
 
-def sparse_scores(queries: DataFrame, items: DataFrame, query_key: str, item_key: str, score: str) -> DataFrame:
-    """Inner products of sparse vectors that share a bucket."""
-    q = queries.select(query_key, "bucket", F.col("value").alias("_q"))
-    i = items.select(item_key, "bucket", F.col("value").alias("_i"))
-    return q.join(i, "bucket").groupBy(query_key, item_key).agg(F.sum(F.col("_q") * F.col("_i")).alias(score))
-
-
-def search(queries: DataFrame, vectors: DataFrame, k: int = 100, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """(qid, chunk_id, rank, score): k best inner products. queries (qid, embedding) go to the tasks in blocks of
-    bounded size, one pass over vectors (chunk_id, embedding) a block; each task keeps its own k best."""
-    spark = queries.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // query_block))
-    out = None
-    for i in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).select("qid", "embedding").orderBy("qid").collect()
-        if not part:
-            continue
-        sent = spark.sparkContext.broadcast(([r["qid"] for r in part], np.asarray([r["embedding"] for r in part], dtype=np.float64)))
-
-        def run(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            qids, q = sent.value
-            for f in frames:
-                if not len(f):
-                    continue
-                ids = f["chunk_id"].to_numpy()
-                s = np.round(q @ np.stack(f["embedding"].to_numpy()).astype(np.float64).T, 9)
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                width = order.shape[1]
-                yield pd.DataFrame({"qid": np.repeat(qids, width), "chunk_id": ids[order].reshape(-1), "score": np.take_along_axis(s, order, 1).reshape(-1)})
-
-        kind = {c: t for c, t in [*queries.dtypes, *vectors.dtypes]}
-        found = vectors.where("embedding IS NOT NULL").select("chunk_id", "embedding").mapInPandas(run, f"qid {kind['qid']}, chunk_id {kind['chunk_id']}, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = queries.join(vectors.select("chunk_id"), F.lit(False)).select("qid", "chunk_id", F.lit(0.0).alias("score"))
-    return out.withColumn("rank", F.row_number().over(best("score", "chunk_id"))).where(F.col("rank") <= k).select("qid", "chunk_id", "rank", "score")
+def hash_vectors(df: DataFrame, key: str, text: str, dim: int = 384) -> DataFrame:
+    """(key, embedding): the hashed encoding as a dense vector; a text without terms is the zero vector."""
+    cells = hash_encode(df, key, text, dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("_m"))  # at most dim cells
+    at = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at(F.col("_m"), i.cast("int")), F.lit(0.0)))
+    return df.select(key).join(cells, key, "left").select(key, F.when(F.col("_m").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(at).alias("embedding"))
+
+
+def _packed(df: DataFrame, key: str, parts: int, part: str) -> DataFrame:
+    """A row a part: the ids and the matrix (rows of float64) of about as many rows each."""
+    kind = dict(df.dtypes)[key]
+
+    def pack(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({part: [int(g["_p"].iloc[0])], f"{part}_ids": [g[key].tolist()], f"{part}_m": [np.stack(g["embedding"].to_numpy()).astype("<f8").tobytes()]})
+
+    rows = df.where("embedding IS NOT NULL").select(key, "embedding").withColumn("_p", F.pmod(F.xxhash64(key, "embedding"), F.lit(parts)).cast("int"))
+    return rows.groupBy("_p").applyInPandas(pack, f"{part} int, {part}_ids array<{kind}>, {part}_m binary")
+
+
+def search(queries: DataFrame, vectors: DataFrame, k: int = 100, query_block: int = QUERY_BLOCK, chunk: int = CHUNK) -> DataFrame:
+    """(qid, chunk_id, rank, score): k best inner products of queries (qid, embedding) with vectors (chunk_id, embedding).
+    Blocks of queries meet chunks of vectors, each pair keeps its own k best, and a window that cuts before its shuffle
+    merges them. The plan does not grow with the queries and nothing goes to the driver."""
+    kind = dict([*queries.dtypes, *vectors.dtypes])
+    blocks, chunks = max(1, -(-queries.count() // query_block)), max(1, -(-vectors.count() // chunk))
+    sent = _packed(queries, "qid", blocks, "q").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    meet = _packed(vectors, "chunk_id", chunks, "c").join(sent, "c").select("q_ids", "q_m", "c_ids", "c_m")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples(index=False):
+                qids, ids = np.asarray(r.q_ids), np.asarray(r.c_ids)
+                q, c = (np.frombuffer(m, dtype="<f8").reshape(len(x), -1) for m, x in ((r.q_m, qids), (r.c_m, ids)))
+                by_id = np.argsort(ids, kind="stable")  # equal scores keep the order of ids
+                ids, s = ids[by_id], np.round(q @ c[by_id].T, 9) + 0.0  # no negative zero
+                order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({"qid": np.repeat(qids, order.shape[1]), "chunk_id": ids[order].reshape(-1), "score": np.take_along_axis(s, order, 1).reshape(-1)})
+
+    found = meet.mapInPandas(run, f"qid {kind['qid']}, chunk_id {kind['chunk_id']}, score double")
+    return found.withColumn("rank", F.row_number().over(best("score", "chunk_id"))).where(F.col("rank") <= k).select("qid", "chunk_id", "rank", "score")
 
 
 def collapse(found: DataFrame, chunks: DataFrame, score: str = "score") -> DataFrame:

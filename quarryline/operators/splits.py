@@ -11,19 +11,23 @@ from quarryline.functions.text import normalized
 
 
 def allocate_counts(total: int, ratios: dict[str, float]) -> dict[str, int]:
-    """Whole counts in the ratios' shares. Each split with a ratio gets at least one while there are enough: empty
-    ones borrow from the largest; what is left goes to the largest remainders, earlier splits first."""
-    exact = {k: total * r for k, r in ratios.items()}
-    counts = {k: floor(x + 1e-9) for k, x in exact.items()}
-    left = total - sum(counts.values())
-    for k in sorted(ratios, key=lambda k: -(exact[k] - floor(exact[k] + 1e-9)))[: max(left, 0)]:
+    """Whole counts in the ratios' shares (they need not sum to 1). With as many rows as splits of positive ratio, each
+    split that rounds down to none borrows one from the largest split that has more than one; what is left then goes to
+    the largest remainders, earlier splits first."""
+    whole = sum(ratios.values())
+    if total < 0 or whole <= 0:
+        raise ValueError("splits need a count of at least 0 and a positive ratio")
+    exact = {k: total * r / whole for k, r in ratios.items()}
+    floors = {k: floor(x + 1e-9) for k, x in exact.items()}
+    counts, wanted = dict(floors), [k for k, r in ratios.items() if r > 0]
+    for k in wanted if total >= len(wanted) else []:
+        lender = max(wanted, key=lambda x: counts[x])
+        if counts[k] == 0 and counts[lender] > 1:
+            counts[lender] -= 1
+            counts[k] = 1
+    by_remainder = sorted(ratios, key=lambda k: round(floors[k] - exact[k], 9))
+    for k in by_remainder[: total - sum(counts.values())]:
         counts[k] += 1
-    for k in ratios:
-        if ratios[k] > 0 and counts[k] == 0:
-            largest = max(counts, key=counts.get)
-            if counts[largest] > 1:
-                counts[largest] -= 1
-                counts[k] += 1
     return counts
 
 

@@ -6,7 +6,9 @@ contains. Measures are rounded to six digits, as sums of doubles differ in their
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,21 +17,41 @@ from quarryline.functions import text as tx
 from quarryline.operators import audit, dense, fusion, lexical, metrics, negatives, rerank, router, splits
 from quarryline.plans import evaluate
 from quarryline.plans.evaluate import chunk_table
-from quarryline.session import ensure_importable, table
+from quarryline.session import ensure_importable, materialize, table
 from quarryline.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-POOL, CHUNK_WORDS, CHUNKS = 20, 128, 20
+#: The plans' own depths.
+DEPTH = evaluate.Config()
+POOL, CHUNK_WORDS, AIDS, CHUNKS = DEPTH.top_k, 128, DEPTH.rerank_top_k, DEPTH.rerank_top_k
+#: Rows in excess of the mined ones; chunks of a relevant article that stand as positives; a second stage's chunks.
+MINED, POSITIVES, SECOND = 100, 2, 20
 GRID = [(k1, b) for k1 in (0.9, 1.5) for b in (0.4, 0.75, 1.0)]
 ALPHAS = [i / 10 for i in range(11)]
 RATIOS = {"train": 0.7, "router": 0.1, "val": 0.1, "test": 0.1}
 
 
+_kept = threading.local()
+
+
+def once(f: Callable) -> Callable:
+    """A relation that one query reads several times: written at its first use and read from there on."""
+
+    @wraps(f)
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if f.__name__ not in _kept.rows:
+            _kept.rows[f.__name__] = materialize(f(spark, sf_dir), f.__name__)
+        return _kept.rows[f.__name__]
+
+    return get
+
+
 def query(oracle: str | None = None) -> Callable:
     def add(f: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ensure_importable(spark)
+            _kept.rows = {}
             return f(spark, sf_dir)
 
         QUERIES[f.__name__] = run
@@ -41,26 +63,32 @@ def query(oracle: str | None = None) -> Callable:
 
 
 def r6(c: str) -> F.Column:
-    return F.round(c, 6).alias(c)
+    return (F.round(c, 6) + F.lit(0.0)).alias(c)  # no negative zero
 
 
 # Shared relations -----------------------------------------------------------------------------------------------------
 
 
+@once
+def qrels(s: SparkSession, d: str) -> DataFrame:
+    return corpus.qrels(s, d)
+
+
+@once
 def pool_bm25(s: SparkSession, d: str) -> DataFrame:
     found = lexical.scores(corpus.questions(s, d), corpus.articles(s, d))
     top = found.withColumn("rank", F.row_number().over(lexical.best("bm25_score"))).where(F.col("rank") <= POOL)
-    return fusion.with_minmax(fusion.with_labels(top, corpus.qrels(s, d)), "bm25_score")
+    return fusion.with_minmax(fusion.with_labels(top, qrels(s, d)), "bm25_score")
 
 
+@once
 def pool_dense(s: SparkSession, d: str) -> DataFrame:
-    q = dense.hash_encode(corpus.questions(s, d), "qid", "question")
-    a = dense.hash_encode(corpus.articles(s, d), "aid", "text")
-    pairs = dense.sparse_scores(q, a, "qid", "aid", "dense_score")
-    top = pairs.withColumn("rank", F.row_number().over(lexical.best("dense_score"))).where(F.col("rank") <= POOL)
-    return fusion.with_minmax(fusion.with_labels(top, corpus.qrels(s, d)), "dense_score")
+    q, a = dense.hash_vectors(corpus.questions(s, d), "qid", "question"), dense.hash_vectors(corpus.articles(s, d), "aid", "text")
+    top = dense.search(q, a.withColumnRenamed("aid", "chunk_id"), POOL).withColumnsRenamed({"chunk_id": "aid", "score": "dense_score"})
+    return fusion.with_minmax(fusion.with_labels(top, qrels(s, d)), "dense_score")
 
 
+@once
 def pool_merged(s: SparkSession, d: str) -> DataFrame:
     return fusion.merge(pool_bm25(s, d), pool_dense(s, d))
 
@@ -75,28 +103,38 @@ def vectors(s: SparkSession, d: str) -> DataFrame:
 
 
 def vector_queries(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("qid"), "embedding")
+    return table(s, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
 def vector_chunks(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.floor(F.col("vec_id") / 4).alias("aid"))
 
 
+@once
 def mined(s: SparkSession, d: str) -> DataFrame:
-    found = lexical.scores(corpus.questions(s, d), word_chunks(s, d).select(F.col("chunk_id").alias("aid"), "text"))
-    top = found.withColumn("rank", F.row_number().over(lexical.best("bm25_score"))).where("rank <= 60")
-    return negatives.mine(top.select("qid", F.col("aid").alias("chunk_id"), F.col("bm25_score").alias("score"), "rank"), word_chunks(s, d), corpus.qrels(s, d))
+    chunks = word_chunks(s, d)
+    found = lexical.scores(corpus.questions(s, d), chunks.select(F.col("chunk_id").alias("aid"), "text"))
+    top = found.withColumn("rank", F.row_number().over(lexical.best("bm25_score"))).where(F.col("rank") <= POOL)
+    return negatives.mine(top.select("qid", F.col("aid").alias("chunk_id"), F.col("bm25_score").alias("score"), "rank"), chunks, qrels(s, d), MINED)
 
 
+def positives(s: SparkSession, d: str) -> DataFrame:
+    """The chunks of each relevant article that are nearest to its question."""
+    marks = qrels(s, d)
+    chunks = word_chunks(s, d).join(marks.select("aid").distinct(), "aid", "left_semi")
+    asked = dense.hash_vectors(corpus.questions(s, d), "qid", "question")
+    return dense.positive_chunks(asked, marks, chunks, dense.hash_vectors(chunks, "chunk_id", "text"), POSITIVES)
+
+
+@once
 def passages(s: SparkSession, d: str) -> DataFrame:
-    chunks = word_chunks(s, d)
-    positive = corpus.qrels(s, d).join(chunks.where("chunk_index = 0").select("aid", "chunk_id"), "aid")
-    return negatives.ready(positive, negatives.draw(mined(s, d), negatives.RERANKER_POLICY), chunks, corpus.questions(s, d))
+    return negatives.ready(positives(s, d), negatives.draw(mined(s, d), negatives.RERANKER_POLICY), word_chunks(s, d), corpus.questions(s, d))
 
 
+@once
 def reranked(s: SparkSession, d: str) -> DataFrame:
     mixed = fusion.apply_hybrid(pool_merged(s, d)).select("qid", "aid", "label", "hybrid_score")
-    return rerank.rerank(mixed, word_chunks(s, d), corpus.questions(s, d), top_aids=10, top_chunks=CHUNKS)
+    return rerank.rerank(mixed, word_chunks(s, d), corpus.questions(s, d), top_aids=AIDS, top_chunks=CHUNKS)
 
 
 def question_splits(s: SparkSession, d: str) -> DataFrame:
@@ -178,7 +216,8 @@ PARTS: dict[str, str] = {
     "bmn": _normed("bmk", "bm25_score"),
     "qh": _hashed("qid", "qs", "question"),
     "ah": _hashed("aid", "art", "text"),
-    "ds": "SELECT qid, aid, sum(qh.value * ah.value) AS dense_score FROM qh JOIN ah USING (bucket) GROUP BY qid, aid",
+    "dp": "SELECT qid, aid, sum(qh.value * ah.value) AS sum FROM qh JOIN ah USING (bucket) GROUP BY qid, aid",
+    "ds": "SELECT qs.qid, art.aid, round(coalesce(dp.sum, 0.0::DOUBLE), 9) + 0.0::DOUBLE AS dense_score FROM qs CROSS JOIN art LEFT JOIN dp ON dp.qid = qs.qid AND dp.aid = art.aid",
     "dsk": f"SELECT * FROM ({_ranked('ds', 'dense_score')}) WHERE rank <= {POOL}",
     "dsn": _normed("dsk", "dense_score"),
     "mg": """SELECT coalesce(b.qid, d.qid) AS qid, coalesce(b.aid, d.aid) AS aid, coalesce(bm25_score, 0.0)::DOUBLE AS bm25_score, coalesce(bm25_score_norm, 0.0)::DOUBLE AS bm25_score_norm, b.rank AS bm25_rank,
@@ -190,22 +229,25 @@ PARTS: dict[str, str] = {
     "ch": f"SELECT aid::VARCHAR || '::chunk_' || i AS chunk_id, aid, i AS chunk_index, array_to_string(w[i * {CHUNK_WORDS} + 1 : (i + 1) * {CHUNK_WORDS}], ' ') AS text FROM (SELECT aid, w, unnest(range(ceil(len(w) / {CHUNK_WORDS}.0)::BIGINT)) AS i FROM (SELECT aid, {_words('text')} AS w FROM art))",
     **_index("c_", "ch", "chunk_id"),
     "cbm": f"SELECT qid, aid, sum({_bm25()}) AS score FROM c_mt GROUP BY qid, aid",
-    "cbk": f"SELECT qid, aid AS chunk_id, score, rank FROM ({_ranked('cbm', 'score')}) WHERE rank <= 60",
-    "mi": "SELECT c.qid, c.chunk_id, ch.aid, score, rank FROM cbk c JOIN ch USING (chunk_id) WHERE NOT EXISTS (SELECT 1 FROM qr WHERE qr.qid = c.qid AND qr.aid = ch.aid)",
+    "cbk": f"SELECT qid, aid AS chunk_id, score, rank FROM ({_ranked('cbm', 'score')}) WHERE rank <= {POOL}",
+    "mi": f"SELECT qid, chunk_id, aid, score, rank FROM (SELECT c.qid, c.chunk_id, ch.aid, score, rank, row_number() OVER (PARTITION BY c.qid ORDER BY rank, c.chunk_id) AS n FROM cbk c JOIN ch USING (chunk_id) WHERE NOT EXISTS (SELECT 1 FROM qr WHERE qr.qid = c.qid AND qr.aid = ch.aid)) WHERE n <= {MINED}",
     "po": f"SELECT * FROM (VALUES {', '.join(str((i, *p)) for i, p in enumerate(negatives.RERANKER_POLICY))}) t(bucket, lo, hi, want)",
     "dr": "SELECT qid, chunk_id, aid, rank, bucket FROM (SELECT *, row_number() OVER (PARTITION BY qid, bucket ORDER BY md5('42|' || bucket || '|' || qid || '|' || chunk_id), chunk_id) AS n FROM mi JOIN po ON rank BETWEEN lo AND hi) WHERE n <= want",
     "dn": f"SELECT * FROM dr UNION ALL SELECT qid, chunk_id, aid, rank, -1 FROM (SELECT m.*, row_number() OVER (PARTITION BY m.qid ORDER BY rank, chunk_id) AS n, coalesce(h.have, 0) AS have FROM mi m LEFT JOIN (SELECT qid, count(*) AS have FROM dr GROUP BY qid) h USING (qid) WHERE NOT EXISTS (SELECT 1 FROM dr WHERE dr.qid = m.qid AND dr.chunk_id = m.chunk_id)) WHERE n <= {sum(c for _, _, c in negatives.RERANKER_POLICY)} - have",
-    "ps": "SELECT DISTINCT qid, chunk_id, aid, 1 AS label FROM qr JOIN ch USING (aid) WHERE chunk_index = 0",
+    "rc": "SELECT * FROM ch WHERE aid IN (SELECT aid FROM qr)",
+    "rch": _hashed("chunk_id", "rc", "text"),
+    "rcs": "SELECT qid, chunk_id, sum(qh.value * rch.value) AS sc FROM qh JOIN rch USING (bucket) GROUP BY qid, chunk_id",
+    "ps": f"SELECT qid, chunk_id, aid, 1 AS label FROM (SELECT qr.qid, rc.chunk_id, rc.aid, row_number() OVER (PARTITION BY qr.qid, rc.aid ORDER BY round(coalesce(sc, 0), 9) DESC, rc.chunk_id) AS n FROM qr JOIN rc ON rc.aid = qr.aid LEFT JOIN rcs ON rcs.qid = qr.qid AND rcs.chunk_id = rc.chunk_id) WHERE n <= {POSITIVES}",
     "al": "SELECT * FROM ps UNION ALL SELECT DISTINCT qid, chunk_id, aid, 0 FROM dn WHERE NOT EXISTS (SELECT 1 FROM ps WHERE ps.qid = dn.qid AND ps.chunk_id = dn.chunk_id)",
     "pa": "SELECT al.qid, question AS query, al.chunk_id, al.aid, label, text FROM al JOIN ch USING (chunk_id) JOIN qs USING (qid) WHERE trim(text) <> '' AND al.qid IN (SELECT qid FROM al GROUP BY qid HAVING count(DISTINCT label) = 2)",
-    "rx": f"SELECT * FROM (SELECT h.qid, h.aid, label, hybrid_score, aid_rank, chunk_id, chunk_index, text AS chunk_text, row_number() OVER (PARTITION BY h.qid ORDER BY round(hybrid_score, 9) DESC, aid_rank, chunk_index) AS n FROM (SELECT *, rank AS aid_rank FROM hyk WHERE rank <= 10) h JOIN ch USING (aid) WHERE trim(text) <> '') WHERE n <= {CHUNKS}",
+    "rx": f"SELECT * FROM (SELECT h.qid, h.aid, label, hybrid_score, aid_rank, chunk_id, chunk_index, text AS chunk_text, row_number() OVER (PARTITION BY h.qid ORDER BY round(hybrid_score, 9) DESC, aid_rank, chunk_index) AS n FROM (SELECT *, rank AS aid_rank FROM hyk WHERE rank <= {AIDS}) h JOIN ch USING (aid) WHERE trim(text) <> '') WHERE n <= {CHUNKS}",
     "rxq": _counted("qid", "qs", "question"),
     "rxt": "SELECT DISTINCT chunk_id, chunk_text FROM rx",
     "rxc": _counted("chunk_id", "rxt", "chunk_text"),
     "rs": "SELECT rx.*, coalesce(s, 0.0)::DOUBLE AS rerank_score FROM rx LEFT JOIN (SELECT r.qid, r.chunk_id, sum(q.v * c.v) AS s FROM (SELECT DISTINCT qid, chunk_id FROM rx) r JOIN rxq q ON r.qid = q.qid JOIN rxc c ON r.chunk_id = c.chunk_id AND q.bucket = c.bucket GROUP BY r.qid, r.chunk_id) z USING (qid, chunk_id)",
     "rr": f"SELECT *, CASE WHEN max(rerank_score) OVER w - min(rerank_score) OVER w <= 1e-12 THEN 0.0::DOUBLE ELSE (rerank_score - min(rerank_score) OVER w) / (max(rerank_score) OVER w - min(rerank_score) OVER w) END AS rerank_score_norm FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rerank_score, 9) DESC, aid_rank, chunk_index) AS rank FROM rs) WHERE rank <= {CHUNKS} WINDOW w AS (PARTITION BY qid)",
     "emb": "SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings",
-    "vd": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, round(list_inner_product(q.e, c.e), 9) AS score FROM emb q, emb c WHERE q.vec_id < 20)) WHERE rank <= 10",
+    "vd": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, round(list_inner_product(q.e, c.e), 9) AS score FROM emb q, emb c WHERE q.vec_id % 20 = 0)) WHERE rank <= 10",
     "vc": "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, aid) AS rank FROM (SELECT qid, chunk_id, score, chunk_id // 4 AS aid FROM vd QUALIFY row_number() OVER (PARTITION BY qid, chunk_id // 4 ORDER BY score DESC, chunk_id) = 1)",
 }
 
@@ -310,7 +352,7 @@ def qrels_contains(s, d):
 def bm25_topk(s, d):
     q, a = corpus.questions(s, d), corpus.articles(s, d)
     found = lexical.scores(q, a).withColumn("rank", F.row_number().over(lexical.best("bm25_score"))).where("rank <= 10")
-    return fusion.with_labels(found, corpus.qrels(s, d)).select("qid", "aid", "rank", r6("bm25_score"), "label")
+    return fusion.with_labels(found, qrels(s, d)).select("qid", "aid", "rank", r6("bm25_score"), "label")
 
 
 @query(f"SELECT qid, aid, rank::INTEGER AS rank, round(bm25_score, 6) AS bm25_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bm25_score, 9) DESC, aid) AS rank FROM (SELECT qs.qid, art.aid, coalesce(bm25_score, 0.0)::DOUBLE AS bm25_score FROM qs CROSS JOIN art LEFT JOIN bm ON bm.qid = qs.qid AND bm.aid = art.aid)) WHERE rank <= 100")
@@ -326,7 +368,7 @@ def bm25_minmax_label(s, d):
 @query(f"""SELECT k1, b, round(sum(coalesce(h, 0) / greatest(positives, 1)) / count(*), 6) AS recall10 FROM pos, (VALUES {', '.join(f'({k1}::DOUBLE, {b}::DOUBLE)' for k1, b in GRID)}) g(k1, b) LEFT JOIN (
  SELECT x.k1 AS gk, x.b AS gb, x.qid AS gq, count(*) AS h FROM (SELECT *, row_number() OVER (PARTITION BY k1, b, qid ORDER BY round(sc, 9) DESC, aid) AS rank FROM (SELECT k1, b, qid, aid, sum({_bm25('k1', 'b')}) AS sc FROM a_mt, (VALUES {', '.join(f'({k1}::DOUBLE, {b}::DOUBLE)' for k1, b in GRID)}) g(k1, b) GROUP BY ALL)) x JOIN qr ON qr.qid = x.qid AND qr.aid = x.aid WHERE rank <= 10 GROUP BY ALL) z ON gk = k1 AND gb = b AND gq = pos.qid GROUP BY k1, b""")
 def bm25_grid(s, d):
-    q, marks = corpus.questions(s, d), corpus.qrels(s, d)
+    q, marks = corpus.questions(s, d), qrels(s, d)
     hits = lexical.grid_search(q, corpus.articles(s, d), GRID, 10).join(marks, ["qid", "aid"]).groupBy("k1", "b", "qid").agg(F.count("*").alias("h"))
     per = q.select("qid").join(marks.groupBy("qid").agg(F.count("*").alias("positives")), "qid", "left").fillna(0)
     grid = per.withColumn("g", F.explode(F.array(*[F.struct(F.lit(x).alias("k1"), F.lit(y).alias("b")) for x, y in GRID]))).select("qid", "positives", "g.*")
@@ -340,7 +382,7 @@ def _grid_sql(name: str) -> str:
 
 @query(f"""SELECT k1, b, recall10 AS recall FROM (SELECT * FROM (VALUES {', '.join(f'({k1}::DOUBLE, {b}::DOUBLE, {i})' for i, (k1, b) in enumerate(GRID))}) o(k1, b, i) JOIN ({_grid_sql("bm25_grid")}) USING (k1, b)) ORDER BY recall10 DESC, i LIMIT 1""")
 def tune_bm25(s, d):
-    return evaluate.tune_bm25(corpus.questions(s, d), corpus.articles(s, d), corpus.qrels(s, d), GRID).select("k1", "b", r6("recall"))
+    return evaluate.tune_bm25(corpus.questions(s, d), corpus.articles(s, d), qrels(s, d), GRID).select("k1", "b", r6("recall"))
 
 
 # Dense ----------------------------------------------------------------------------------------------------------------
@@ -367,15 +409,15 @@ def hash_embed_buckets(s, d):
     return dense.hash_encode(corpus.questions(s, d), "qid", "question").select("qid", "bucket", r6("value"))
 
 
-@query("SELECT qid, aid, rank::INTEGER AS rank, label, round(dense_score, 6) AS dense_score, round(dense_score_norm, 6) AS dense_score_norm FROM dsn")
+@query("SELECT qid, aid, rank::INTEGER AS rank, label, round(dense_score, 6) + 0.0::DOUBLE AS dense_score, round(dense_score_norm, 6) AS dense_score_norm FROM dsn")
 def hash_dense_topk(s, d):
     return pool_dense(s, d).select("qid", "aid", "rank", "label", r6("dense_score"), r6("dense_score_norm"))
 
 
-@query("SELECT q.vec_id AS qid, q.vec_id // 4 AS aid, c.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.e, c.e), 9) DESC, c.vec_id)::INTEGER AS rank_within_aid, round(list_inner_product(q.e, c.e), 6) AS score FROM emb q JOIN emb c ON q.vec_id // 4 = c.vec_id // 4 WHERE q.vec_id < 20 QUALIFY rank_within_aid <= 3")
+@query("SELECT q.vec_id AS qid, q.vec_id // 4 AS aid, c.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.e, c.e), 9) DESC, c.vec_id)::INTEGER AS rank_within_aid, round(list_inner_product(q.e, c.e), 6) AS score FROM emb q JOIN emb c ON q.vec_id // 4 = c.vec_id // 4 QUALIFY rank_within_aid <= 3")
 def positive_chunks(s, d):
-    marks = vector_queries(s, d).select("qid", F.floor(F.col("qid") / 4).alias("aid"))
-    return dense.positive_chunks(vector_queries(s, d), marks, vector_chunks(s, d), vectors(s, d)).select("qid", "aid", "chunk_id", "rank_within_aid", r6("score"))
+    asked = table(s, d, "embeddings").select(F.col("vec_id").alias("qid"), "embedding")
+    return dense.positive_chunks(asked, asked.select("qid", F.floor(F.col("qid") / 4).alias("aid")), vector_chunks(s, d), vectors(s, d)).select("qid", "aid", "chunk_id", "rank_within_aid", r6("score"))
 
 
 # Fusion ---------------------------------------------------------------------------------------------------------------
@@ -383,7 +425,7 @@ def positive_chunks(s, d):
 _MERGED = ("bm25_score", "bm25_score_norm", "dense_score", "dense_score_norm")
 
 
-@query(f"SELECT qid, aid, label, bm25_rank::INTEGER AS bm25_rank, dense_rank::INTEGER AS dense_rank, {', '.join(f'round({c}, 6) AS {c}' for c in _MERGED)} FROM mg")
+@query(f"SELECT qid, aid, label, bm25_rank::INTEGER AS bm25_rank, dense_rank::INTEGER AS dense_rank, {', '.join(f'round({c}, 6) + 0.0::DOUBLE AS {c}' for c in _MERGED)} FROM mg")
 def merge_scores(s, d):
     return pool_merged(s, d).select("qid", "aid", "label", "bm25_rank", "dense_rank", *map(r6, _MERGED))
 
@@ -396,7 +438,7 @@ def hybrid_fixed(s, d):
 @query(f"""SELECT alpha, round(sum(coalesce(h, 0) / greatest(positives, 1)) / count(*), 6) AS recall10 FROM pos, (VALUES {', '.join(f'({a}::DOUBLE)' for a in ALPHAS)}) g(alpha) LEFT JOIN (
  SELECT alpha AS ga, x.qid AS gq, count(*) AS h FROM (SELECT *, row_number() OVER (PARTITION BY alpha, qid ORDER BY round(alpha * dense_score_norm + (1 - alpha) * bm25_score_norm, 9) DESC, aid) AS rank FROM mg, (VALUES {', '.join(f'({a}::DOUBLE)' for a in ALPHAS)}) g(alpha)) x JOIN qr ON qr.qid = x.qid AND qr.aid = x.aid WHERE rank <= 10 GROUP BY ALL) z ON ga = alpha AND gq = pos.qid GROUP BY alpha""")
 def hybrid_alpha_grid(s, d):
-    q, marks = corpus.questions(s, d), corpus.qrels(s, d)
+    q, marks = corpus.questions(s, d), qrels(s, d)
     hits = fusion.alpha_grid(pool_merged(s, d), ALPHAS).where("rank <= 10").join(marks, ["qid", "aid"]).groupBy("alpha", "qid").agg(F.count("*").alias("h"))
     per = q.select("qid").join(marks.groupBy("qid").agg(F.count("*").alias("positives")), "qid", "left").fillna(0)
     grid = per.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in ALPHAS])))
@@ -406,7 +448,7 @@ def hybrid_alpha_grid(s, d):
 
 @query(f"""SELECT alpha, recall10 AS recall FROM ({_grid_sql("hybrid_alpha_grid")}) ORDER BY recall10 DESC, alpha LIMIT 1""")
 def tune_hybrid(s, d):
-    return evaluate.tune_hybrid(pool_merged(s, d), corpus.questions(s, d), corpus.qrels(s, d), ALPHAS).select("alpha", r6("recall"))
+    return evaluate.tune_hybrid(pool_merged(s, d), corpus.questions(s, d), qrels(s, d), ALPHAS).select("alpha", r6("recall"))
 
 
 @query("SELECT qid, round(quantile_cont(bm25_score_norm, 0.1), 6) AS p_score FROM bmn GROUP BY qid")
@@ -424,7 +466,7 @@ def score_describe(s, d):
 
 
 def hybrid_pool(s, d):
-    return fusion.apply_hybrid(pool_merged(s, d)), "hybrid_score", corpus.questions(s, d), corpus.qrels(s, d)
+    return fusion.apply_hybrid(pool_merged(s, d)), "hybrid_score", corpus.questions(s, d), qrels(s, d)
 
 
 _PER_K = " UNION ALL ".join(f"SELECT 'hit@{k}' AS metric, avg((coalesce(h{k}, 0) > 0)::INTEGER) AS value FROM z UNION ALL SELECT 'recall@{k}', avg(coalesce(h{k}, 0) / greatest(positives, 1)) FROM z" for k in metrics.KS)
@@ -480,7 +522,7 @@ def split_assign(s, d):
 
 @query("SELECT split, count(DISTINCT sq.qid) AS questions, count(DISTINCT question) AS texts, count(DISTINCT aid) AS aids FROM sq JOIN qs USING (qid) LEFT JOIN qr USING (qid) GROUP BY split")
 def split_counts(s, d):
-    return splits.counts(corpus.questions(s, d), question_splits(s, d), corpus.qrels(s, d))
+    return splits.counts(corpus.questions(s, d), question_splits(s, d), qrels(s, d))
 
 
 _NORM = rf"regexp_replace(lower(regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g')), '{_WS}+', ' ', 'g')"
@@ -498,7 +540,7 @@ def split_exhaustive(s, d):
 
 @query("SELECT aid, law_id FROM art WHERE aid IN (SELECT aid FROM qr WHERE qid IN (SELECT qid FROM qs ORDER BY md5('42|' || qid), qid LIMIT 20)) UNION ALL (SELECT aid, law_id FROM art WHERE aid NOT IN (SELECT aid FROM qr WHERE qid IN (SELECT qid FROM qs ORDER BY md5('42|' || qid), qid LIMIT 20)) ORDER BY md5('42|' || aid), aid LIMIT 100)")
 def corpus_sample(s, d):
-    return splits.sample_corpus(corpus.articles(s, d), corpus.questions(s, d), corpus.qrels(s, d), 20, 100).select("aid", "law_id")
+    return splits.sample_corpus(corpus.articles(s, d), corpus.questions(s, d), qrels(s, d), 20, 100).select("aid", "law_id")
 
 
 # Router ---------------------------------------------------------------------------------------------------------------
@@ -512,7 +554,7 @@ def _perf(score: str, name: str) -> str:
 
 @query(f"SELECT b.qid, round(bm25_perf, 6) AS bm25_perf, round(dense_perf, 6) AS dense_perf, round(1 / (1 + exp(-(dense_perf - bm25_perf) / 0.2)), 6) AS alpha FROM ({_perf('bm25_score', 'bm25_perf')}) b JOIN ({_perf('dense_score', 'dense_perf')}) d ON b.qid = d.qid")
 def router_alpha_labels(s, d):
-    out = router.alpha_labels(pool_merged(s, d), corpus.questions(s, d), corpus.qrels(s, d))
+    out = router.alpha_labels(pool_merged(s, d), corpus.questions(s, d), qrels(s, d))
     return out.select("qid", r6("bm25_perf"), r6("dense_perf"), r6("alpha"))
 
 
@@ -527,7 +569,7 @@ def router_ridge(s, d):
     """Predicted weights: a solved system, which SQL lacks; tests compare it with the normal equations."""
     q = corpus.questions(s, d)
     features = router.tfidf(q, router.tfidf_vocabulary(q))
-    labels = router.alpha_labels(pool_merged(s, d), q, corpus.qrels(s, d))
+    labels = router.alpha_labels(pool_merged(s, d), q, qrels(s, d))
     return router.predict(features, q, router.fit_ridge(features, labels)).select("qid", r6("alpha"))
 
 
@@ -536,7 +578,7 @@ def router_ridge(s, d):
 
 @query("SELECT qid, aid, chunk_id, aid_rank::INTEGER AS aid_rank, chunk_index::INTEGER AS chunk_index, round(hybrid_score, 6) AS hybrid_score FROM rx")
 def rerank_expand(s, d):
-    mixed = fusion.limit(fusion.apply_hybrid(pool_merged(s, d)), "hybrid_score", 10).select("qid", "aid", "hybrid_score")
+    mixed = fusion.limit(fusion.apply_hybrid(pool_merged(s, d)), "hybrid_score", AIDS).select("qid", "aid", "hybrid_score")
     wide = rerank.cut(rerank.expand(mixed, word_chunks(s, d), "hybrid_score"), "hybrid_score", CHUNKS)
     return wide.select("qid", "aid", "chunk_id", "aid_rank", "chunk_index", r6("hybrid_score"))
 
@@ -604,7 +646,7 @@ AUDITS = ("split_leaks", "unsplit", "duplicate_pairs", "too_many", "outside_pool
 
 @query(" UNION ALL ".join(f"SELECT '{a}' AS \"check\", 0::BIGINT AS failures" for a in AUDITS))
 def audit_failures(s, d):
-    q, marks, sp = corpus.questions(s, d), corpus.qrels(s, d), question_splits(s, d)
+    q, marks, sp = corpus.questions(s, d), qrels(s, d), question_splits(s, d)
     mixed, again, train = fusion.apply_hybrid(pool_merged(s, d)), reranked(s, d), passages(s, d)
     found = (
         audit.split_leaks(q, sp, marks), splits.coverage(q, sp), audit.duplicate_keys(mixed, "qid", "aid"), audit.too_many(mixed, 2 * POOL),
@@ -617,7 +659,7 @@ def audit_failures(s, d):
 
 @query(f"SELECT metric, round(h.value, 6) AS base_value, round(b.value, 6) AS other_value, round(b.value - h.value, 6) AS delta FROM (WITH z AS ({_Z}) {_PER_K} UNION ALL {_PER_N}) h JOIN (WITH z AS ({_Z.replace('jd', 'jb')}) {_PER_K} UNION ALL {_PER_N}) b USING (metric)")
 def compare_methods(s, d):
-    q, marks = corpus.questions(s, d), corpus.qrels(s, d)
+    q, marks = corpus.questions(s, d), qrels(s, d)
     named = lambda rows, score, n: metrics.ranking(rows, score, q, marks).select(F.lit(n).alias("method"), F.lit("all").alias("split"), "metric", "value")
     both = named(fusion.apply_hybrid(pool_merged(s, d)), "hybrid_score", "hybrid").unionByName(named(pool_bm25(s, d), "bm25_score", "bm25"))
     return metrics.compare(both, "hybrid", "bm25").select("metric", r6("base_value"), r6("other_value"), r6("delta"))

@@ -17,7 +17,7 @@ class Config:
     overlap: int = 1
     k1: float = 1.5
     b: float = 0.75
-    top_k: int = 100
+    top_k: int = 200
     alpha: float = 0.5
     rerank_top_k: int = 50
     max_chunks: int | None = None
@@ -52,10 +52,7 @@ def retrieve(questions: DataFrame, articles: DataFrame, chunks: DataFrame, qrels
     marks = qrels.withColumn("aid", F.col("aid").cast("string"))
     lex = lexical.search(questions, articles, config.top_k, config.k1, config.b).withColumn("aid", F.col("aid").cast("string"))
     lex = fusion.with_minmax(fusion.with_labels(lex, marks), "bm25_score")
-    q = dense.hash_encode(questions, "qid", "question")
-    c = dense.hash_encode(chunks, "chunk_id", "text")
-    pairs = dense.sparse_scores(q, c, "qid", "chunk_id", "score")
-    top = fusion.limit(pairs, "score", config.top_k, "chunk_id")
+    top = dense.search(dense.hash_vectors(questions, "qid", "question"), dense.hash_vectors(chunks, "chunk_id", "text"), config.top_k)
     den = dense.collapse(top, chunks).withColumnRenamed("score", "dense_score")
     return fusion.merge(lex, fusion.with_minmax(fusion.with_labels(den, marks), "dense_score"))
 
