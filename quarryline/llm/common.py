@@ -1,10 +1,8 @@
-"""What the operators of this subpackage share: written intermediates, Arrow batches, hashes."""
+"""What the operators of this subpackage share: Arrow batches, hashes, and the library's written intermediates."""
 
 from __future__ import annotations
 
-import atexit
 import gc
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -13,13 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.session import ensure_importable
+from quarryline.session import discard, ensure_importable, materialize, shared_path
+
+__all__ = ["discard", "forget_with", "held_out", "map_texts", "materialize", "mix64", "prepare", "release", "shared_path", "shield", "steps", "take_turn", "trim"]
 
-#: Fallback for local sessions that name no shared folder, as in tests.
-LOCAL_SHARED = "/tmp/checkpoints/quarryline"
 #: Bytes of text that one vectorised step in a Python worker takes at once (one longer text is taken alone).
 STEP_BYTES = 1 << 20
-_written: list[tuple[SparkSession, str]] = []
 #: What lets go of an operator's memory in a Python worker, by the operator's module, and whose turn it is.
 _caches: dict[str, Callable[[], None]] = {}
 _turn = {"module": ""}
@@ -56,63 +53,12 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = LOCAL_SHARED
-    return f"{base.rstrip('/')}/quarryline-{spark.sparkContext.applicationId}"
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _cleanup() -> None:
-    for spark, path in _written:
-        try:
-            _remove(spark, path)
-        except Exception:  # the JVM may be gone at exit
-            return
-
-
-atexit.register(_cleanup)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    _written.append((spark, path))
-    return path
-
-
 def shield(df: DataFrame, *own: str) -> tuple[DataFrame, dict[str, str]]:
     """df with names for its other columns than own that no operator uses, and how to name them back."""
     names = {c: f"_in{i}_{c}" for i, c in enumerate(df.columns) if c not in own}
     return df.withColumnsRenamed(names), {v: k for k, v in names.items()}
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "snappy").parquet(path)  # needs less native memory than zstd
-    out = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
-    out._quarryline_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Remove what materialize() wrote, once nothing reads it any more."""
-    if path := getattr(df, "_quarryline_path", None):
-        _remove(df.sparkSession, path)
-
-
 def release(spark: SparkSession) -> None:
     """Let go of shuffle files that no live DataFrame reads: Spark removes them when the driver collects garbage."""
     gc.collect()
