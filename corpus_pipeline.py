@@ -5,31 +5,35 @@ Every stage works on all that the one before kept; run() writes each stage's row
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import os
 
-from quarryline.llm import language_id, mixing, ngram_join, packing, toxicity
-from quarryline.llm.common import materialize
-from quarryline.llm.entries import tokenizer_path
-from quarryline.session import table
+# Before numpy is loaded: threads inside it would only compete with Spark's tasks.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+os.environ.setdefault("OMP_NUM_THREADS", "1")
 
+from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
-def shield(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """docs with names for its further columns that no operator uses, and how to name them back."""
-    own = {c: f"_in{i}_{c}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "lang", "source")}
-    return docs.withColumnsRenamed(own), {v: k for k, v in own.items()}
+from quarryline.llm import language_id, mixing, ngram_join, packing, toxicity  # noqa: E402
+from quarryline.llm.common import materialize, shield  # noqa: E402
+from quarryline.llm.entries import tokenizer_path  # noqa: E402
+from quarryline.session import table  # noqa: E402
+
+
+def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    return shield(docs, "doc_id", "text", "lang", "source")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays under the operator's limit."""
-    inner, names = shield(docs)
+    inner, names = shielded(docs)
     scored = toxicity.score_documents(inner, table(spark, sf_dir, "labels"), carry=inner.columns)
     return scored.where("predicted = 0").select(*inner.columns).withColumnsRenamed(names)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found without ambiguity."""
-    inner, names = shield(docs)
+    inner, names = shielded(docs)
     found = language_id.identify(inner, carry=inner.columns)
     return found.where("lang_pred <> 'und' AND NOT ambiguous").select(*inner.columns).withColumnsRenamed(names)
 
@@ -37,7 +41,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component, the first by (doc_id, text) with null ids last, and every row without words. Rows are
     told apart by id and text, so rows that share an id, or have none, stay if they are no near copies."""
-    inner, names = shield(docs)
+    inner, names = shielded(docs)
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     kept = ngram_join.survivors(inner).select(F.col("doc_id").alias("_kept"), F.col("hash").alias("_hash"), "rows")
     same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.xxhash64("text") == F.col("_hash"))
@@ -53,7 +57,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for."""
-    inner, names = shield(docs)
+    inner, names = shielded(docs)
     return mixing.emit(mixing.mix(inner)).select(*inner.columns).withColumnsRenamed(names)
 
 
