@@ -126,3 +126,13 @@ def alpha_convention(labels: DataFrame) -> DataFrame:
     """Questions whose alpha leans to the side that ranks worse."""
     better = F.col("dense_perf") - F.col("bm25_perf")
     return labels.where(((better > 1e-9) & (F.col("alpha") <= 0.5)) | ((better < -1e-9) & (F.col("alpha") >= 0.5)))
+
+
+def wrong_marker(marker: dict, expected: dict) -> list[str]:
+    """Parameters of a written stage's marker that are not the expected ones."""
+    found = marker.get("params", {})
+    return [k for k, v in expected.items() if found.get(k) != v]
+
+
+def missing_columns(rows: DataFrame, *columns: str) -> list[str]:
+    return [c for c in columns if c not in rows.columns]

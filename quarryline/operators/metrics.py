@@ -143,3 +143,19 @@ def compare(metrics: DataFrame, base: str, other: str) -> DataFrame:
     b = metrics.where(F.col("method") == other).select("split", "metric", F.col("value").alias("other_value"))
     delta = F.col("other_value") - F.col("base_value")
     return a.join(b, ["split", "metric"]).withColumn("delta", delta).withColumn("percent", F.when(F.col("base_value") != 0, 100 * delta / F.col("base_value")))
+
+
+def pool_counts(rows: DataFrame, questions: DataFrame, top_k: int) -> DataFrame:
+    """One row: rows of a full pool of top_k a question, actual rows, what is missing, and the least, most and average
+    rows of the questions that have any."""
+    per = rows.groupBy("qid").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("actual"), F.coalesce(F.min("n"), F.lit(0)).alias("least"), F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("average"))
+    full = questions.agg((F.count("*") * top_k).alias("full"))
+    return full.join(per, how="cross").select("full", "actual", F.greatest(F.col("full") - F.col("actual"), F.lit(0)).alias("missing"), "least", "most", "average")  # one row each
+
+
+def label_stats(rows: DataFrame, score: str, norm: str) -> DataFrame:
+    """One row: rows, relevant rows, distinct qids and aids, and the ranges of a score and its norm."""
+    return rows.agg(
+        F.count("*").alias("rows"), F.sum("label").alias("positive_rows"), F.countDistinct("qid").alias("unique_qids"), F.countDistinct("aid").alias("unique_aids"),
+        F.min(score).alias("score_min"), F.max(score).alias("score_max"), F.min(norm).alias("norm_min"), F.max(norm).alias("norm_max"),
+    )

@@ -79,3 +79,29 @@ def by_article(rows: DataFrame, score: str) -> DataFrame:
     """(qid, aid, score, rank): an article's largest chunk score."""
     one = rows.groupBy("qid", "aid").agg(F.max(score).alias("score"))
     return one.withColumn("rank", F.row_number().over(best("score")))
+
+
+def coverage_scores(rows: DataFrame, question: str = "question", text: str = "chunk_text", out: str = "second_score") -> DataFrame:
+    """rows with the share of the question's distinct terms that the chunk holds: a score in [0, 1] without a model. A
+    question without terms scores 0."""
+    asked = F.array_distinct(terms(F.col(question)))
+    held = F.size(F.array_intersect(asked, terms(F.col(text)))) / F.greatest(F.size(asked), F.lit(1))
+    return rows.withColumn(out, held)
+
+
+def second_stage(rows: DataFrame, top_chunks: int = 20, score: str = "rerank_score", scorer: Callable[[DataFrame], DataFrame] = coverage_scores, out: str = "second_score") -> DataFrame:
+    """The first stage's best chunks scored again by a second scorer (e.g. model_scores() with unit), ranked and
+    normalised; scores outside [0, 1] raise. rows carry question and chunk_text."""
+    few = rows.withColumn("first_rank", F.row_number().over(best(score, "chunk_id"))).where(F.col("first_rank") <= top_chunks).drop("rank")
+    scored = scorer(few)
+    checked = F.when(F.col(out).between(0, 1), F.col(out)).otherwise(F.raise_error(F.concat(F.lit("a score lies outside [0, 1]: "), F.coalesce(F.col(out).cast("string"), F.lit("null")))).cast("double"))
+    scored = scored.withColumn(out, checked)
+    w = Window.partitionBy("qid").orderBy(F.round(out, 9).desc(), "first_rank")
+    return with_minmax(scored.withColumn("rank", F.row_number().over(w)), out)
+
+
+def by_hash(rows: DataFrame, top_chunks: int = 50, score: str = "rerank_score", out: str = "qwen_rerank_score") -> DataFrame:
+    """The best chunks of a stage with the hashed scorer's cosine in a column of its own, for a scorer model that is not
+    loaded; candidates are chunks."""
+    few = rows.withColumn("_n", F.row_number().over(best(score, "chunk_id"))).where(F.col("_n") <= top_chunks).drop("_n")
+    return hash_scores(few.drop("rerank_score")).withColumnRenamed("rerank_score", out).withColumn("candidate_unit", F.lit("chunk"))

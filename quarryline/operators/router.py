@@ -68,13 +68,13 @@ def predict(features: DataFrame, questions: DataFrame, weights: DataFrame) -> Da
 
 
 def diagnostics(predicted: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: mse, rmse, mae, accuracy at 0.5, correlation, rates above 0.5, means."""
+    """One row: mse, rmse, mae, accuracy at 0.5, correlation (0 where one side is constant), rates above 0.5, means."""
     j = predicted.select("qid", F.col("alpha").alias("p")).join(labels.select("qid", F.col("alpha").alias("y")), "qid")
     e = F.col("p") - F.col("y")
     high = lambda c: (F.col(c) > 0.5).cast("double")
     return j.agg(
         F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
-        F.avg((high("p") == high("y")).cast("double")).alias("accuracy"), F.corr("p", "y").alias("correlation"),
+        F.avg((high("p") == high("y")).cast("double")).alias("accuracy"), F.coalesce(F.try_divide(F.covar_pop("p", "y"), F.stddev_pop("p") * F.stddev_pop("y")), F.lit(0.0)).alias("correlation"),
         F.avg(high("p")).alias("predicted_rate"), F.avg(high("y")).alias("label_rate"), F.avg("p").alias("predicted_mean"), F.avg("y").alias("label_mean"),
     )
 

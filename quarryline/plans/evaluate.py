@@ -47,12 +47,14 @@ def chunk_table(articles: DataFrame, config: Config = Config()) -> DataFrame:
     return rows.select("chunk_id", "aid", "law_id", "chunk_index", "text", "oversize")
 
 
-def retrieve(questions: DataFrame, articles: DataFrame, chunks: DataFrame, qrels: DataFrame, config: Config = Config()) -> DataFrame:
-    """The merged pool: BM25 over articles, hashed vectors over chunks, labels and norms. aid is a string."""
+def retrieve(questions: DataFrame, articles: DataFrame, chunks: DataFrame, qrels: DataFrame, config: Config = Config(), vectors: DataFrame | None = None) -> DataFrame:
+    """The merged pool: BM25 over articles, hashed vectors over chunks (vectors, where they are built already), labels and
+    norms. aid is a string."""
     marks = qrels.withColumn("aid", F.col("aid").cast("string"))
     lex = lexical.search(questions, articles, config.top_k, config.k1, config.b).withColumn("aid", F.col("aid").cast("string"))
     lex = fusion.with_minmax(fusion.with_labels(lex, marks), "bm25_score")
-    top = dense.search(dense.hash_vectors(questions, "qid", "question"), dense.hash_vectors(chunks, "chunk_id", "text"), config.top_k)
+    vectors = dense.hash_vectors(chunks, "chunk_id", "text") if vectors is None else vectors
+    top = dense.search(dense.hash_vectors(questions, "qid", "question"), vectors, config.top_k)
     den = dense.collapse(top, chunks).withColumnRenamed("score", "dense_score")
     return fusion.merge(lex, fusion.with_minmax(fusion.with_labels(den, marks), "dense_score"))
 
@@ -124,3 +126,38 @@ def tune_hybrid(merged: DataFrame, questions: DataFrame, qrels: DataFrame, alpha
     """The alpha with the best recall@k over the questions given (the validation split's); the first of equals."""
     found = _grid_recall(fusion.alpha_grid(merged, alphas), ["alpha"], [(a,) for a in alphas], questions, qrels, k)
     return found.orderBy(F.round("recall", 12).desc(), "position").limit(1).select("alpha", "recall")
+
+
+@dataclass(frozen=True)
+class Router:
+    """What training a router gives: weights (term, idf, weight), labels and alphas a question, the pool under the fixed and
+    the routed weight, metrics of both by split, and one row of diagnostics on the router split."""
+
+    weights: DataFrame
+    labels: DataFrame
+    alphas: DataFrame
+    fixed: DataFrame
+    routed: DataFrame
+    metrics: DataFrame
+    diagnostics: DataFrame
+
+
+def train_router(merged: DataFrame, questions: DataFrame, qrels: DataFrame, splits: DataFrame, config: Config = Config()) -> Router:
+    """Fit the per-question weight on the router split of a merged pool and judge it on router, val and test against the
+    fixed weight; thresholds and depths come from val. Raises where the router split is empty."""
+    from quarryline.operators import router
+
+    part = lambda df, *names: df.join(splits.where(F.col("split").isin(*names)).select("qid").distinct(), "qid", "left_semi")
+    asked = part(questions, "router")
+    if asked.isEmpty():
+        raise ValueError("the router split is empty")
+    vocabulary = router.tfidf_vocabulary(asked)
+    labels = router.alpha_labels(part(merged, "router"), asked, qrels)
+    fitted = router.fit_ridge(router.tfidf(asked, vocabulary), labels)
+    known, judged = part(questions, "router", "val", "test"), splits.where(F.col("split").isin("router", "val", "test"))
+    alphas = router.predict(router.tfidf(known, vocabulary), known, fitted)
+    rows = part(merged, "router", "val", "test")
+    fixed, routed = fusion.apply_hybrid(rows, fixed=config.alpha), fusion.apply_hybrid(rows, alphas, config.alpha)
+    found = [evaluate(r, "hybrid_score", known, part(qrels, "router", "val", "test"), judged, n) for r, n in ((fixed, "hybrid_fixed"), (routed, "hybrid_router"))]
+    weights = fitted.join(vocabulary.select("term", "idf"), "term", "left")
+    return Router(weights, labels, alphas, fixed, routed, found[0].unionByName(found[1]), router.diagnostics(alphas, labels))

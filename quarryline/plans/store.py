@@ -27,6 +27,11 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
 def write_json(spark: SparkSession, path: str, value) -> None:
     """One JSON document at the path."""
     fs, p = _fs(spark, path)
@@ -50,15 +55,7 @@ class Stage:
     inputs: tuple[str, ...] = ()
 
 
-#: Stages that stand for several others.
-COMPOSITES = {
-    "all": ("preprocess", "split", "tune_and_build_bm25", "dense", "retrieve", "hybrid", "router", "rerank", "prepare_training_data", "evaluate"),
-    "tune_and_build_bm25": ("tune_bm25", "build_bm25"),
-    "prepare_training_data": ("mine_negatives", "sample_negatives"),
-}
-
-
-def expand(name: str, known: set[str], composites: dict = COMPOSITES) -> list[str]:
+def expand(name: str, known: set[str], composites: dict) -> list[str]:
     """The plain stages that a name stands for; unknown names raise before anything runs."""
     if name in composites:
         return [s for part in composites[name] for s in expand(part, known, composites)]
@@ -94,4 +91,7 @@ class Store:
             stage.build(self.spark).write.mode("overwrite").parquet(self.path(stage.name))
             marker = self.expected(stage) | {"format": "parquet", "created_at": datetime.now(UTC).isoformat(), "status": "done"}
             write_json(self.spark, f"{self.path(stage.name)}.done/marker.json", marker)
-        return self.spark.read.parquet(self.path(stage.name))
+        return self.read(stage.name)
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(name))

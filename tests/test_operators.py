@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import text as tx
 from quarryline.operators import audit, dense, fusion, lexical, metrics, negatives, rerank, router, splits
-from quarryline.plans import evaluate
+from quarryline.plans import evaluate, index, stages
 from quarryline.plans.store import Stage, Store, expand
 from quarryline.sources import corpus
 
@@ -169,9 +169,9 @@ def test_store_runs_once(spark, tmp_path):
     stage = Stage("a", lambda s: calls.append(1) or s.range(3), {"x": 1})
     assert store.run(stage).count() == 3 and store.run(stage).count() == 3 and len(calls) == 1
     assert not store.is_complete(Stage("a", stage.build, {"x": 2}))
-    assert expand("tune_and_build_bm25", {"tune_bm25", "build_bm25"}) == ["tune_bm25", "build_bm25"]
+    assert expand("tune_and_build_bm25", {"tune_bm25", "build_bm25"}, stages.COMPOSITES) == ["tune_bm25", "build_bm25"]
     with pytest.raises(KeyError):
-        expand("nothing", set())
+        expand("nothing", set(), stages.COMPOSITES)
 
 
 def test_evaluate_and_online(spark):
