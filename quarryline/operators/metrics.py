@@ -20,22 +20,22 @@ def ranked(rows: DataFrame, score: str) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(best("score")))
 
 
-def _judged(rows: DataFrame, score: str, qrels: DataFrame) -> DataFrame:
+def judged(rows: DataFrame, score: str, qrels: DataFrame) -> DataFrame:
     marks = qrels.select("qid", "aid").distinct().withColumn("_r", F.lit(1))
     return ranked(rows, score).join(marks, ["qid", "aid"], "left").withColumn("hit", F.coalesce("_r", F.lit(0))).drop("_r")
 
 
-def _positives(questions: DataFrame, qrels: DataFrame) -> DataFrame:
+def positives(questions: DataFrame, qrels: DataFrame) -> DataFrame:
     per = qrels.select("qid", "aid").distinct().groupBy("qid").agg(F.count("*").alias("positives"))
     return questions.select("qid").join(per, "qid", "left").fillna(0, ["positives"])
 
 
 def per_question(rows: DataFrame, score: str, questions: DataFrame, qrels: DataFrame, ks=KS, ndcg_ks=NDCG_KS) -> DataFrame:
     """A row a question with hit@k, recall@k and ndcg@k."""
-    judged = _judged(rows, score, qrels).where(F.col("rank") <= max(*ks, *ndcg_ks))
+    found_rows = judged(rows, score, qrels).where(F.col("rank") <= max(*ks, *ndcg_ks))
     aggs = [F.sum(F.when(F.col("rank") <= k, F.col("hit")).otherwise(0)).alias(f"h{k}") for k in ks]
     aggs += [F.sum(F.when(F.col("rank") <= k, F.col("hit") / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias(f"d{k}") for k in ndcg_ks]
-    every = _positives(questions, qrels).join(judged.groupBy("qid").agg(*aggs), "qid", "left").fillna(0)
+    every = positives(questions, qrels).join(found_rows.groupBy("qid").agg(*aggs), "qid", "left").fillna(0)
     cols = {}
     for k in ks:
         cols[f"hit@{k}"] = (F.col(f"h{k}") > 0).cast("double")
@@ -54,19 +54,40 @@ def ranking(rows: DataFrame, score: str, questions: DataFrame, qrels: DataFrame,
     return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`").alias("value")) for n in names])).alias("m")).select("m.*")
 
 
-def _rates(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
+def rates(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     p, r = tp / F.greatest(tp + fp, F.lit(1)), tp / F.greatest(tp + fn, F.lit(1))
     return {"precision": p, "recall": r, "f2": 5 * p * r / F.greatest(4 * p + r, F.lit(1e-12))}
 
 
 def topk(rows: DataFrame, score: str, questions: DataFrame, qrels: DataFrame, ks: list[int]) -> DataFrame:
     """(k, tp, fp, fn, precision, recall, f2) at each k, summed over questions."""
-    judged = _judged(rows, score, qrels).where(F.col("rank") <= max(ks))
-    found = judged.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where("rank <= k").groupBy("k").agg(F.sum("hit").alias("tp"), F.sum(1 - F.col("hit")).alias("fp"))
-    total = _positives(questions, qrels).agg(F.coalesce(F.sum("positives"), F.lit(0)).alias("pos"))
+    found_rows = judged(rows, score, qrels).where(F.col("rank") <= max(ks))
+    found = found_rows.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where("rank <= k").groupBy("k").agg(F.sum("hit").alias("tp"), F.sum(1 - F.col("hit")).alias("fp"))
+    total = positives(questions, qrels).agg(F.coalesce(F.sum("positives"), F.lit(0)).alias("pos"))
     grid = total.select("pos", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
     every = grid.join(found, "k", "left").fillna(0).withColumn("fn", F.col("pos") - F.col("tp"))
-    return every.select("k", "tp", "fp", "fn", *[c.alias(n) for n, c in _rates(F.col("tp"), F.col("fp"), F.col("fn")).items()])
+    return every.select("k", "tp", "fp", "fn", *[c.alias(n) for n, c in rates(F.col("tp"), F.col("fp"), F.col("fn")).items()])
+
+
+def by_split(rows: DataFrame, score: str, questions: DataFrame, qrels: DataFrame, splits: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(split, metric, value) of all splits (qid, split) in one pass: the means of per_question(), and precision, recall and
+    f2 at a threshold (threshold_*) and at a depth (topk_*)."""
+    per = per_question(rows, score, questions, qrels).join(splits, "qid")
+    names = [c for c in per.columns if c not in ("qid", "split")]
+    wide = per.groupBy("split").agg(*[F.avg(f"`{n}`").alias(n) for n in names])
+    found_rows = judged(rows, score, qrels).join(splits, "qid")
+    n = F.sum((F.col("score") >= threshold).cast("int")).over(Window.partitionBy("qid"))
+    cut = {"threshold": F.col("rank") <= F.when(F.col("_n") == 0, FALLBACK).otherwise(F.least("_n", F.lit(MOST))), "topk": F.col("rank") <= k}
+    sums = [F.coalesce(F.sum(F.when(c, x)), F.lit(0)).alias(f"{kind}_{side}") for kind, c in cut.items() for side, x in (("tp", F.col("hit")), ("fp", 1 - F.col("hit")))]
+    taken = found_rows.withColumn("_n", n).groupBy("split").agg(*sums)
+    total = positives(questions, qrels).join(splits, "qid").groupBy("split").agg(F.sum("positives").alias("_pos"))
+    wide = wide.join(total, "split").join(taken, "split", "left").fillna(0)
+    for kind in cut:
+        tp = F.col(f"{kind}_tp")
+        for rate, c in rates(tp, F.col(f"{kind}_fp"), F.col("_pos") - tp).items():
+            wide = wide.withColumn(f"{kind}_{rate}", c)
+            names.append(f"{kind}_{rate}")
+    return wide.select("split", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`").cast("double").alias("value")) for n in names])).alias("m")).select("split", "m.*")
 
 
 def tune_topk(rows: DataFrame, score: str, questions: DataFrame, qrels: DataFrame, most: int) -> DataFrame:
@@ -78,13 +99,13 @@ def tune_topk(rows: DataFrame, score: str, questions: DataFrame, qrels: DataFram
 def threshold(rows: DataFrame, score: str, questions: DataFrame, qrels: DataFrame, at: float) -> DataFrame:
     """One row (threshold, tp, fp, fn, precision, recall, f2): a question predicts its rows at or above the threshold,
     its first FALLBACK if there are none, its first MOST if there are more."""
-    judged = _judged(rows, score, qrels)
+    found_rows = judged(rows, score, qrels)
     n = F.sum((F.col("score") >= at).cast("int")).over(Window.partitionBy("qid"))
-    taken = judged.withColumn("_n", n).where(F.col("rank") <= F.when(F.col("_n") == 0, FALLBACK).otherwise(F.least("_n", F.lit(MOST))))
+    taken = found_rows.withColumn("_n", n).where(F.col("rank") <= F.when(F.col("_n") == 0, FALLBACK).otherwise(F.least("_n", F.lit(MOST))))
     found = taken.agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("tp"), F.coalesce(F.sum(1 - F.col("hit")), F.lit(0)).alias("fp"))
-    total = _positives(questions, qrels).agg(F.coalesce(F.sum("positives"), F.lit(0)).alias("pos"))
+    total = positives(questions, qrels).agg(F.coalesce(F.sum("positives"), F.lit(0)).alias("pos"))
     both = found.join(total, how="cross").withColumn("fn", F.col("pos") - F.col("tp")).withColumn("threshold", F.lit(float(at)))  # one row each
-    return both.select("threshold", "tp", "fp", "fn", *[c.alias(n) for n, c in _rates(F.col("tp"), F.col("fp"), F.col("fn")).items()])
+    return both.select("threshold", "tp", "fp", "fn", *[c.alias(n) for n, c in rates(F.col("tp"), F.col("fp"), F.col("fn")).items()])
 
 
 def threshold_curve(rows: DataFrame, score: str, questions: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -93,8 +114,8 @@ def threshold_curve(rows: DataFrame, score: str, questions: DataFrame, qrels: Da
     Only a question's first rows matter: at threshold t it predicts its first m rows, m being the count of scores at or
     above t if that is between 1 and MOST, else MOST. tp and fp are then step functions with a few steps a question:
     a base for the fallback, and changes at the question's own scores, summed along the distinct thresholds."""
-    judged = _judged(rows, score, qrels)
-    top = judged.where(F.col("rank") <= max(MOST, FALLBACK))
+    found_rows = judged(rows, score, qrels)
+    top = found_rows.where(F.col("rank") <= max(MOST, FALLBACK))
     base = top.where(F.col("rank") <= FALLBACK).agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("btp"), F.coalesce(F.sum(1 - F.col("hit")), F.lit(0)).alias("bfp"))
     # Going down from the largest threshold: a question's first row at its own best score replaces the fallback.
     w = Window.partitionBy("qid").orderBy("rank")
@@ -107,13 +128,13 @@ def threshold_curve(rows: DataFrame, score: str, questions: DataFrame, qrels: Da
         (F.col("atp") - F.coalesce(F.lag("atp").over(w2), F.col("ftp"))).alias("dtp"),
         (F.col("afp") - F.coalesce(F.lag("afp").over(w2), F.col("ffp"))).alias("dfp"),
     )
-    events = judged.select("score", F.lit(0).alias("dtp"), F.lit(0).alias("dfp")).distinct().unionByName(steps)
+    events = found_rows.select("score", F.lit(0).alias("dtp"), F.lit(0).alias("dfp")).distinct().unionByName(steps)
     per = events.groupBy("score").agg(F.sum("dtp").alias("dtp"), F.sum("dfp").alias("dfp"))  # one row a threshold
     down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = _positives(questions, qrels).agg(F.coalesce(F.sum("positives"), F.lit(0)).alias("pos"))
+    total = positives(questions, qrels).agg(F.coalesce(F.sum("positives"), F.lit(0)).alias("pos"))
     run = per.select("score", F.sum("dtp").over(down).alias("t"), F.sum("dfp").over(down).alias("f")).join(base, how="cross").join(total, how="cross")  # one row each
     run = run.select(F.col("score").alias("threshold"), (F.col("t") + F.col("btp")).alias("tp"), (F.col("f") + F.col("bfp")).alias("fp"), "pos").withColumn("fn", F.col("pos") - F.col("tp"))
-    return run.select("threshold", "tp", "fp", "fn", *[c.alias(n) for n, c in _rates(F.col("tp"), F.col("fp"), F.col("fn")).items()])
+    return run.select("threshold", "tp", "fp", "fn", *[c.alias(n) for n, c in rates(F.col("tp"), F.col("fp"), F.col("fn")).items()])
 
 
 def tune_threshold(rows: DataFrame, score: str, questions: DataFrame, qrels: DataFrame) -> DataFrame:

@@ -71,16 +71,8 @@ def evaluate(rows: DataFrame, score: str, questions: DataFrame, qrels: DataFrame
 
     t = metrics.tune_threshold(of(rows, "val"), score, of(questions, "val"), of(qrels, "val")).first()
     k = metrics.tune_topk(of(rows, "val"), score, of(questions, "val"), of(qrels, "val"), 5).first()
-    out = None
-    for s in names:
-        r, q, m = of(rows, s), of(questions, s), of(qrels, s)
-        parts = [metrics.ranking(r, score, q, m)]
-        for kind, table in (("threshold", metrics.threshold(r, score, q, m, t["threshold"] if t else 0.0)), ("topk", metrics.topk(r, score, q, m, [k["k"] if k else 5]))):
-            parts.append(table.select(F.explode(F.array(*[F.struct(F.lit(f"{kind}_{c}").alias("metric"), F.col(c).cast("double").alias("value")) for c in ("precision", "recall", "f2")])).alias("m")).select("m.*"))
-        for p in parts:
-            p = p.select(F.lit(method).alias("method"), F.lit(s).alias("split"), "metric", "value")
-            out = p if out is None else out.unionByName(p)
-    return out
+    found = metrics.by_split(rows, score, questions, qrels, splits.select("qid", "split"), t["threshold"] if t else 0.0, k["k"] if k else 5)
+    return found.select(F.lit(method).alias("method"), "split", "metric", "value")
 
 
 def online(question: DataFrame, articles: DataFrame, chunks: DataFrame, weights: DataFrame | None = None, top_n: int = 5, config: Config = Config()) -> DataFrame:

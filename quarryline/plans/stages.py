@@ -54,6 +54,7 @@ class Run:
             alpha=options.hybrid_alpha, rerank_top_k=options.candidate_top_k, max_chunks_per_article=options.max_chunks_per_article or None,
         )
         self.built: set[str] = set()
+        self.fitted: evaluate.Router | None = None
 
     def stage(self, name: str) -> None:
         """Run a stage, or those that its name stands for."""
@@ -69,6 +70,8 @@ class Run:
 
     def get(self, name: str, force: bool = False) -> DataFrame:
         """A table, built with those it needs unless it is complete."""
+        if name in self.built and not force:
+            return self.store.read(name)
         build, inputs, params = TABLES[name]
         for i in inputs:
             self.get(i)
@@ -108,7 +111,9 @@ class Run:
         return rows.join(self.get("splits").where(F.col("split").isin(*names)).select("qid"), "qid", "left_semi")
 
     def router(self) -> evaluate.Router:
-        return evaluate.train_router(self.get("merged"), self.get("questions"), self.get("qrels"), self.get("splits"), self.plan)
+        if self.fitted is None:
+            self.fitted = evaluate.train_router(self.get("merged"), self.get("questions"), self.get("qrels"), self.get("splits"), self.plan)
+        return self.fitted
 
 
 def _chunks(run: Run) -> DataFrame:

@@ -41,8 +41,12 @@ def write_json(spark: SparkSession, path: str, value) -> None:
 
 
 def read_json(spark: SparkSession, path: str):
-    rows = spark.read.text(path, wholetext=True).collect()  # one document
-    return json.loads(rows[0]["value"])
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())  # one small document
+    finally:
+        stream.close()
 
 
 @dataclass(frozen=True)
