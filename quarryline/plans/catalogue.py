@@ -286,7 +286,7 @@ def with_parts(sql: str) -> str:
 
     for p in sorted(need):
         visit(p)
-    return "WITH " + ",\n".join(f"{p} AS ({PARTS[p]})" for p in order) + "\n" + sql if order else sql
+    return "WITH RECURSIVE " + ",\n".join(f"{p} AS ({PARTS[p]})" for p in order) + "\n" + sql if order else sql
 
 
 # Text -----------------------------------------------------------------------------------------------------------------
@@ -566,7 +566,7 @@ def router_tfidf(s, d):
 
 @query()
 def router_ridge(s, d):
-    """Predicted weights: a solved system, which SQL lacks; tests compare it with the normal equations."""
+    """Predicted weights. Its SQL stands below, as it solves the system step by step."""
     q = corpus.questions(s, d)
     features = router.tfidf(q, router.tfidf_vocabulary(q))
     labels = router.alpha_labels(pool_merged(s, d), q, qrels(s, d))
@@ -667,3 +667,143 @@ def compare_methods(s, d):
 
 PARTS["jb"] = "SELECT b.qid, b.aid, bm25_score AS score, rank, label AS hit FROM bmn b"
 ORACLE_SQL["compare_methods"] = with_parts(ORACLE_SQL["compare_methods"][ORACLE_SQL["compare_methods"].rindex("\nSELECT metric") + 1 :])
+
+
+# Later stages, whole plans and planted faults ---------------------------------------------------------------------------
+
+
+def _judged_sql(rel: str, score: str) -> str:
+    return f"SELECT x.qid, x.aid, score, row_number() OVER (PARTITION BY x.qid ORDER BY score DESC, x.aid) AS rank, (r.qid IS NOT NULL)::INTEGER AS hit FROM (SELECT qid, aid, round(max({score}), 9) AS score FROM {rel} GROUP BY qid, aid) x LEFT JOIN qr r ON x.qid = r.qid AND x.aid = r.aid"
+
+
+def _minmax_sql(score: str) -> str:
+    return f"CASE WHEN max({score}) OVER w - min({score}) OVER w <= 1e-12 THEN 0.0::DOUBLE ELSE ({score} - min({score}) OVER w) / (max({score}) OVER w - min({score}) OVER w) END"
+
+
+_ASKED = f"list_distinct({_TERMS.format('question')})"
+PARTS |= {
+    "sf": "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rerank_score, 9) DESC, chunk_id) AS first_rank FROM rr",
+    "ss": f"SELECT qid, aid, chunk_id, label, first_rank, len(list_intersect({_ASKED}, {_TERMS.format('chunk_text')}))::DOUBLE / greatest(len({_ASKED}), 1) AS second_score FROM sf JOIN qs USING (qid) WHERE first_rank <= {SECOND}",
+    "sr": f"SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(second_score, 9) DESC, first_rank) AS rank, {_minmax_sql('second_score')} AS second_score_norm FROM ss WINDOW w AS (PARTITION BY qid)",
+    "jf": _judged_sql("rr", "rerank_score_norm"),
+    "js": _judged_sql("sr", "second_score_norm"),
+    "jv": "SELECT * FROM jd WHERE qid IN (SELECT qid FROM sq WHERE split = 'val')",
+    "pv": "SELECT * FROM pos WHERE qid IN (SELECT qid FROM sq WHERE split = 'val')",
+    "oz": f"SELECT *, {_minmax_sql('bm25_score')} AS b FROM (SELECT qid, aid::VARCHAR AS aid, bm25_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bm25_score, 9) DESC, aid) AS rank FROM (SELECT qs.qid, art.aid, coalesce(bm25_score, 0.0)::DOUBLE AS bm25_score FROM qs CROSS JOIN art LEFT JOIN bm ON bm.qid = qs.qid AND bm.aid = art.aid)) WHERE rank <= {POOL}) WINDOW w AS (PARTITION BY qid)",
+    "chh": _hashed("chunk_id", "ch", "text"),
+    "oc": "SELECT qs.qid, ch.chunk_id, ch.aid::VARCHAR AS aid, round(coalesce(x.s, 0.0::DOUBLE), 9) + 0.0::DOUBLE AS score FROM qs CROSS JOIN ch LEFT JOIN (SELECT qid, chunk_id, sum(qh.value * chh.value) AS s FROM qh JOIN chh USING (bucket) GROUP BY qid, chunk_id) x ON x.qid = qs.qid AND x.chunk_id = ch.chunk_id",
+    "od": f"SELECT qid, aid, score, {_minmax_sql('score')} AS d FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM oc) WHERE rank <= {POOL} QUALIFY row_number() OVER (PARTITION BY qid, aid ORDER BY score DESC, chunk_id) = 1) WINDOW w AS (PARTITION BY qid)",
+    "oh": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(h, 9) DESC, aid) AS rank FROM (SELECT coalesce(oz.qid, od.qid) AS qid, coalesce(oz.aid, od.aid) AS aid, 0.5::DOUBLE * coalesce(d, 0) + 0.5::DOUBLE * coalesce(b, 0) AS h FROM oz FULL JOIN od ON oz.qid = od.qid AND oz.aid = od.aid)) WHERE rank <= 20",
+    "ox": "SELECT oh.qid, oh.aid, chunk_id, text FROM oh JOIN ch ON ch.aid::VARCHAR = oh.aid WHERE trim(text) <> ''",
+    "oxt": "SELECT DISTINCT chunk_id, text FROM ox",
+    "oxc": _counted("chunk_id", "oxt", "text"),
+    "os": f"SELECT ox.qid, aid, {_minmax_sql('coalesce(z, 0.0::DOUBLE)')} AS n FROM ox LEFT JOIN (SELECT o.qid, o.chunk_id, sum(q.v * c.v) AS z FROM ox o JOIN rxq q ON o.qid = q.qid JOIN oxc c ON o.chunk_id = c.chunk_id AND q.bucket = c.bucket GROUP BY o.qid, o.chunk_id) y ON y.qid = ox.qid AND y.chunk_id = ox.chunk_id WINDOW w AS (PARTITION BY ox.qid)",
+    "tv": "SELECT qt.qid, term, qtf / n.n * (ln((1 + t.t) / (1 + df)) + 1) AS value FROM qt JOIN (SELECT term, count(*) AS df FROM qt GROUP BY term) USING (term) JOIN (SELECT qid, sum(qtf) AS n FROM qt GROUP BY qid) n ON n.qid = qt.qid, (SELECT count(*) AS t FROM qs) t",
+    "ra": f"SELECT b.qid, 1 / (1 + exp(-(dense_perf - bm25_perf) / 0.2)) AS alpha FROM ({_perf('bm25_score', 'bm25_perf')}) b JOIN ({_perf('dense_score', 'dense_perf')}) d ON b.qid = d.qid",
+    # Ridge in the dual: the centred Gram matrix plus the unit matrix, solved by conjugate gradients.
+    "ri": "SELECT qid, alpha, row_number() OVER (ORDER BY qid) AS i FROM ra",
+    "rg": "SELECT a.i, b.i AS j, coalesce(g.s, 0.0::DOUBLE) AS k FROM ri a CROSS JOIN ri b LEFT JOIN (SELECT x.qid AS p, y.qid AS q, sum(x.value * y.value) AS s FROM tv x JOIN tv y USING (term) GROUP BY x.qid, y.qid) g ON g.p = a.qid AND g.q = b.qid",
+    "rm": "SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c + (i = j)::INTEGER ORDER BY j) AS r FROM (SELECT i, j, k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER () AS c FROM rg) GROUP BY i)",
+    "rb": "SELECT list(alpha - mean ORDER BY i) AS y FROM ri, (SELECT avg(alpha) AS mean FROM ra)",
+    "cg": """SELECT 0 AS n, list_transform(y, lambda v: 0.0::DOUBLE) AS x, y AS r, y AS p, list_inner_product(y, y) AS e FROM rb UNION ALL
+ SELECT n + 1, list_transform(x, lambda v, i: v + step * p[i]), r2, list_transform(r2, lambda v, i: v + list_inner_product(r2, r2) / e * p[i]), list_inner_product(r2, r2) FROM (
+ SELECT *, list_transform(r, lambda v, i: v - step * ap[i]) AS r2 FROM (SELECT *, e / list_inner_product(p, ap) AS step FROM (SELECT cg.*, list_transform(m, lambda a: list_inner_product(a, p)) AS ap FROM cg, rm)))
+ WHERE e > 1e-24 AND n < 200""",
+    "rp": "SELECT qid, ri.alpha AS label, least(1.0::DOUBLE, greatest(0.0::DOUBLE, ri.alpha - x[i])) AS alpha FROM ri, (SELECT x FROM cg ORDER BY n DESC LIMIT 1)",
+}
+ORACLE_SQL["router_ridge"] = with_parts("SELECT qid, round(alpha, 6) AS alpha FROM rp")
+
+
+@query("SELECT qid, aid, chunk_id, first_rank::INTEGER AS first_rank, rank::INTEGER AS rank, round(second_score, 6) AS second_score, round(second_score_norm, 6) AS second_score_norm FROM sr")
+def second_stage_topk(s, d):
+    return rerank.second_stage(reranked(s, d), SECOND).select("qid", "aid", "chunk_id", "first_rank", "rank", r6("second_score"), r6("second_score_norm"))
+
+
+@query(f"SELECT metric, round(h.value, 6) AS base_value, round(b.value, 6) AS other_value, round(b.value - h.value, 6) AS delta FROM (WITH z AS ({_Z.replace('jd', 'jf')}) {_PER_K} UNION ALL {_PER_N}) h JOIN (WITH z AS ({_Z.replace('jd', 'js')}) {_PER_K} UNION ALL {_PER_N}) b USING (metric)")
+def second_stage_deltas(s, d):
+    q, marks, first = corpus.questions(s, d), qrels(s, d), reranked(s, d)
+    named = lambda rows, score, n: metrics.ranking(rows, score, q, marks).select(F.lit(n).alias("method"), F.lit("all").alias("split"), "metric", "value")
+    both = named(first, "rerank_score_norm", "first").unionByName(named(rerank.second_stage(first, SECOND), "second_score_norm", "second"))
+    return metrics.compare(both, "first", "second").select("metric", r6("base_value"), r6("other_value"), r6("delta"))
+
+
+@query("SELECT qid, aid, chunk_id, label, round(rerank_score, 6) AS qwen_rerank_score, 'chunk' AS candidate_unit FROM rr")
+def qwen_scores(s, d):
+    return rerank.by_hash(reranked(s, d), CHUNKS).select("qid", "aid", "chunk_id", "label", r6("qwen_rerank_score"), "candidate_unit")
+
+
+@query(f"SELECT (SELECT count(*) FROM qs) * {POOL} AS full_pool, sum(n)::BIGINT AS actual, greatest((SELECT count(*) FROM qs) * {POOL} - sum(n), 0)::BIGINT AS missing, min(n) AS least, max(n) AS most, round(avg(n), 6) AS average FROM (SELECT qid, count(*) AS n FROM bmn GROUP BY qid)")
+def pool_counts(s, d):
+    return metrics.pool_counts(pool_bm25(s, d), corpus.questions(s, d), POOL).withColumnRenamed("full", "full_pool").withColumn("average", F.round("average", 6))
+
+
+@query("SELECT count(*) AS rows, sum(label)::BIGINT AS positive_rows, count(DISTINCT qid) AS unique_qids, count(DISTINCT aid) AS unique_aids, round(min(dense_score), 6) AS score_min, round(max(dense_score), 6) AS score_max, min(dense_score_norm) AS norm_min, max(dense_score_norm) AS norm_max FROM dsn".replace("AS rows", 'AS "rows"'))
+def pool_label_stats(s, d):
+    out = metrics.label_stats(pool_dense(s, d), "dense_score", "dense_score_norm")
+    return out.withColumn("score_min", F.round("score_min", 6)).withColumn("score_max", F.round("score_max", 6))
+
+
+def _on_val(sql: str) -> str:
+    return sql.replace("FROM jd", "FROM jv").replace("JOIN jd", "JOIN jv").replace("FROM pos", "FROM pv")
+
+
+_BEST = "ORDER BY round(5 * p * r / greatest(4 * p + r, 1e-12), 12) DESC, round(r, 12) DESC, round(p, 12) DESC, {} LIMIT 1"
+_SPLIT_K = " UNION ALL ".join(f"SELECT split, 'hit@{k}' AS metric, avg((coalesce(h{k}, 0) > 0)::INTEGER) AS value FROM e GROUP BY split UNION ALL SELECT split, 'recall@{k}', avg(coalesce(h{k}, 0) / greatest(positives, 1)) FROM e GROUP BY split" for k in metrics.KS)
+_SPLIT_N = " UNION ALL ".join(f"SELECT split, 'ndcg@{k}', avg(CASE WHEN positives > 0 THEN coalesce(d{k}, 0) / list_sum(list_transform(range(1, least(positives, {k}) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END) FROM e GROUP BY split" for k in metrics.NDCG_KS)
+_SPLIT_R = " UNION ALL ".join(f"SELECT split, '{kind}_{rate}', {expr} FROM (SELECT split, {kind[0]}tp / greatest({kind[0]}tp + {kind[0]}fp, 1) AS p, {kind[0]}tp / greatest(total, 1) AS r FROM u)" for kind in ("threshold", "kdepth") for rate, expr in (("precision", "p"), ("recall", "r"), ("f2", "5 * p * r / greatest(4 * p + r, 1e-12)"))).replace("'kdepth_", "'topk_")
+
+
+@query(f"""SELECT 'hybrid' AS method, split, metric, round(value, 6) AS value FROM (WITH z AS ({_Z}), e AS (SELECT split, z.* FROM z JOIN sq USING (qid)),
+ best_t AS (SELECT threshold FROM ({_on_val(_CURVE)}) {_BEST.format('threshold')}),
+ depth AS (SELECT k FROM (SELECT *, {_rates()} FROM ({_on_val(_TOPK.format('(1), (2), (3), (4), (5)'))})) {_BEST.format('k')}),
+ taken AS (SELECT split, hit, rank, sum((score >= (SELECT threshold FROM best_t))::INTEGER) OVER (PARTITION BY jd.qid) AS n FROM jd JOIN sq ON sq.qid = jd.qid),
+ u AS (SELECT split, total, coalesce(ttp, 0) AS ttp, coalesce(tfp, 0) AS tfp, coalesce(ktp, 0) AS ktp, coalesce(kfp, 0) AS kfp FROM (SELECT split, sum(positives) AS total FROM pos JOIN sq USING (qid) GROUP BY split) LEFT JOIN (
+ SELECT split, sum(hit) FILTER (WHERE rank <= CASE WHEN n = 0 THEN 5 ELSE least(n, 5) END) AS ttp, sum(1 - hit) FILTER (WHERE rank <= CASE WHEN n = 0 THEN 5 ELSE least(n, 5) END) AS tfp,
+ sum(hit) FILTER (WHERE rank <= (SELECT k FROM depth)) AS ktp, sum(1 - hit) FILTER (WHERE rank <= (SELECT k FROM depth)) AS kfp FROM taken GROUP BY split) USING (split))
+ {_SPLIT_K} UNION ALL {_SPLIT_N} UNION ALL {_SPLIT_R})""")
+def evaluate_hybrid(s, d):
+    rows, score, q, marks = hybrid_pool(s, d)
+    return evaluate.evaluate(rows, score, q, marks, question_splits(s, d), "hybrid").select("method", "split", "metric", r6("value"))
+
+
+@query("SELECT qid, aid, rank::INTEGER AS rank, round(score, 6) AS score, law_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, aid) AS rank FROM (SELECT qid, aid, max(n) AS score FROM os GROUP BY qid, aid)) o JOIN (SELECT aid::VARCHAR AS aid, law_id FROM art) USING (aid) WHERE rank <= 5")
+def online_answers(s, d):
+    """The online plan, for every question at once."""
+    chunks = word_chunks(s, d).withColumn("aid", F.col("aid").cast("string"))
+    return evaluate.online(corpus.questions(s, d), corpus.articles(s, d), chunks).select("qid", "aid", "rank", r6("score"), "law_id")
+
+
+@query("""SELECT round(avg((alpha - label) ** 2), 6) AS mse, round(sqrt(avg((alpha - label) ** 2)), 6) AS rmse, round(avg(abs(alpha - label)), 6) AS mae, round(avg(((alpha > 0.5) = (label > 0.5))::INTEGER), 6) AS accuracy, round(coalesce(corr(alpha, label), 0), 6) AS correlation,
+ round(avg((alpha > 0.5)::INTEGER), 6) AS predicted_rate, round(avg((label > 0.5)::INTEGER), 6) AS label_rate, round(avg(alpha), 6) AS predicted_mean, round(avg(label), 6) AS label_mean FROM rp""")
+def router_diagnostics(s, d):
+    q = corpus.questions(s, d)
+    features = router.tfidf(q, router.tfidf_vocabulary(q))
+    labels = materialize(router.alpha_labels(pool_merged(s, d), q, qrels(s, d)), "labels")
+    out = router.diagnostics(router.predict(features, q, router.fit_ridge(features, labels)), labels)
+    return out.select(*map(r6, out.columns))
+
+
+#: Audits over tables with planted faults, and what they must find.
+PLANTED = {
+    "split_leaks": "2", "unsplit": "(SELECT count(*) FROM sq WHERE split = 'test')", "duplicate_pairs": "(SELECT count(*) FROM hyk WHERE rank = 1)", "too_many": "(SELECT count(*) FROM (SELECT qid FROM mg GROUP BY qid HAVING count(*) > 1))",
+    "outside_pool": "(SELECT count(*) FROM rr WHERE rank = 1)", "labels": "(SELECT count(*) FROM hyk WHERE rank = 1)", "hybrid": "(SELECT count(*) FROM hyk WHERE rank = 2)", "norms": "(SELECT count(*) FROM rr WHERE rank = 1)",
+    "order": "(SELECT count(*) FROM hyk WHERE rank = 3)", "maximum": "(SELECT count(DISTINCT qid) FROM rr)", "negatives": "(SELECT count(*) FROM pa WHERE label = 1)", "positives": "(SELECT count(*) FROM pa WHERE label = 0)", "texts": "(SELECT count(*) FROM pa WHERE label = 1)",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS \"check\", {n}::BIGINT AS failures" for a, n in PLANTED.items()))
+def audit_planted(s, d):
+    q, marks, sp = corpus.questions(s, d), qrels(s, d), question_splits(s, d)
+    mixed, again, train = fusion.apply_hybrid(pool_merged(s, d)), reranked(s, d), passages(s, d)
+    at = lambda rank, c, value: F.when(F.col("rank") == rank, value).otherwise(F.col(c))
+    crossed = sp.unionByName(sp.where("split = 'train'").withColumn("split", F.lit("val")))
+    top = rerank.by_article(again, "rerank_score")
+    found = (
+        audit.split_leaks(q, crossed, marks), splits.coverage(q, sp.where("split <> 'test'")), audit.duplicate_keys(mixed.unionByName(mixed.where("rank = 1")), "qid", "aid"), audit.too_many(mixed, 1),
+        audit.not_in(again.withColumn("aid", at(1, "aid", -1)), mixed, "qid", "aid"), audit.wrong_labels(mixed.withColumn("label", at(1, "label", 1 - F.col("label"))).drop("rank"), marks),
+        audit.wrong_hybrid(mixed.withColumn("hybrid_score", at(2, "hybrid_score", F.col("hybrid_score") + 0.5))), audit.wrong_norms(again.withColumn("rerank_score_norm", at(1, "rerank_score_norm", 2.0)), "rerank_score_norm"),
+        audit.wrong_order(mixed.withColumn("hybrid_score", at(3, "hybrid_score", 5.0)), "hybrid_score"), audit.wrong_maximum(top.withColumn("score", at(1, "score", F.col("score") + 1)), again, "rerank_score"),
+        audit.negatives_that_are_positive(train.withColumn("label", F.lit(0)), marks), audit.positives_that_are_not(train.withColumn("label", F.lit(1)), marks),
+        audit.empty_texts(train.withColumn("text", F.when(F.col("label") == 1, " ").otherwise(F.col("text"))), "query", "text"),
+    )
+    return audit.failures(dict(zip(PLANTED, found, strict=True)))
