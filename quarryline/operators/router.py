@@ -11,6 +11,8 @@ from quarryline.operators.metrics import per_question
 
 #: Scale of the label's sigmoid and the weights of its metrics (fixed values).
 LABEL_SCALE = 0.2
+#: Cells (question, term) that training collects, at most.
+MAX_CELLS = 10_000_000
 LABEL_WEIGHTS = (("recall@50", 0.2), ("recall@20", 0.6), ("ndcg@20", 0.2))
 
 
@@ -42,21 +44,44 @@ def tfidf(questions: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def fit_ridge(features: DataFrame, labels: DataFrame, ridge: float = 1.0) -> DataFrame:
     """(term, weight), with the intercept under a null term: ridge regression, intercept not penalised.
 
-    Solved on the driver in the dual, whose size is the number of labelled questions of the router split."""
-    y_rows = labels.select("qid", "alpha").orderBy("qid").collect()
-    at = {r["qid"]: i for i, r in enumerate(y_rows)}
-    cells = features.join(labels.select("qid"), "qid", "left_semi").collect()
-    vocab = sorted({r["term"] for r in cells})
-    col = {t: j for j, t in enumerate(vocab)}
-    x = np.zeros((len(at), len(vocab)))
-    for r in cells:
-        x[at[r["qid"]], col[r["term"]]] = r["value"]
-    y = np.asarray([r["alpha"] for r in y_rows], dtype=float)
-    mean = x.mean(axis=0) if len(y) else np.zeros(len(vocab))
-    xc = x - mean
-    w = xc.T @ np.linalg.solve(xc @ xc.T + ridge * np.eye(len(y)), y - y.mean()) if len(y) else np.zeros(len(vocab))
-    bias = float(y.mean() - mean @ w) if len(y) else 0.0
-    return features.sparkSession.createDataFrame([*((t, float(v)) for t, v in zip(vocab, w, strict=True)), (None, bias)], "term string, weight double")
+    Solved on the driver in the dual by conjugate gradients over the sparse cells, so memory grows with the cells of the
+    labelled questions: more than MAX_CELLS raise before they are collected."""
+    import pyarrow.compute as pc
+
+    cells = features.join(labels.select("qid", "alpha"), "qid")
+    if (n_cells := cells.count()) > MAX_CELLS:
+        raise ValueError(f"{n_cells} cells of labelled questions are over the bound of {MAX_CELLS}: train on a smaller router split")
+    marks = labels.select("qid", "alpha").orderBy("qid").toArrow()
+    held = cells.select("qid", "term", "value").toArrow()
+    y = marks.column("alpha").to_numpy().astype(float)
+    row = pc.index_in(held.column("qid"), marks.column("qid").combine_chunks()).to_numpy()
+    coded = pc.dictionary_encode(held.column("term")).combine_chunks()
+    coded = coded if not hasattr(coded, "chunks") else coded.chunk(0)
+    vocab, col, value = coded.dictionary.to_pylist(), coded.indices.to_numpy(), held.column("value").to_numpy()
+    n, k = len(y), len(vocab)
+    mean = np.bincount(col, weights=value, minlength=k) / max(n, 1)
+
+    def down(z: np.ndarray) -> np.ndarray:  # the centred matrix's transpose times z
+        return np.bincount(col, weights=value * z[row], minlength=k) - mean * z.sum()
+
+    def up(w: np.ndarray) -> np.ndarray:
+        return np.bincount(row, weights=value * w[col], minlength=n) - mean @ w
+
+    z = np.zeros(n)
+    if n:
+        rest = y - y.mean()
+        step, size = rest.copy(), rest @ rest
+        for _ in range(10 * n + 10):
+            if size <= 1e-28 * max(1.0, y @ y):
+                break
+            ahead = up(down(step)) + ridge * step
+            far = size / (step @ ahead)
+            z, rest = z + far * step, rest - far * ahead
+            size, before = rest @ rest, size
+            step = rest + size / before * step
+    w = down(z)
+    bias = float(y.mean() - mean @ w) if n else 0.0
+    return features.sparkSession.createDataFrame([*sorted((t, float(v)) for t, v in zip(vocab, w, strict=True)), (None, bias)], "term string, weight double")
 
 
 def predict(features: DataFrame, questions: DataFrame, weights: DataFrame) -> DataFrame:

@@ -75,10 +75,15 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(questions(spark, sf_dir), articles(spark, sf_dir))
 
 
+#: Short questions that are broadcast, at most, and the characters that more of them are joined on.
+BROADCAST_SHORT, SHORT_GRAM = 10_000, 4
+
+
 def contained(asked: DataFrame, texts: DataFrame, gram: int = 8) -> DataFrame:
     """(qid, aid) where the article's text contains the question's. Articles are joined to the questions through
-    their word n-grams first, so that only pairs that share one are compared; questions of fewer words compare
-    with every article by broadcast, as there are no more of them than questions."""
+    their word n-grams first, so that only pairs that share one are compared. Questions of fewer inner words are compared
+    with every article by broadcast where there are at most BROADCAST_SHORT of them; more are joined through windows of
+    SHORT_GRAM characters, so that only shorter texts than that, of which few differ, are broadcast."""
     from quarryline.functions.text import let, words
 
     def grams(c):
@@ -90,6 +95,16 @@ def contained(asked: DataFrame, texts: DataFrame, gram: int = 8) -> DataFrame:
     long = own.where(F.size("_w") >= gram).select("qid", "question", F.element_at(grams(F.col("_w")), 1).alias("_g"))
     short = own.where(F.size("_w") < gram).select("qid", "question")
     held = texts.select("aid", "text", F.explode(F.array_distinct(grams(words(F.col("text"))))).alias("_g"))
-    by_gram = held.join(long, "_g").where(F.contains("text", "question")).select("qid", "aid").distinct()
-    plain = texts.join(short, F.contains(texts["text"], short["question"])).select("qid", "aid")
-    return by_gram.unionByName(plain)
+    out = held.join(long, "_g").where(F.contains("text", "question")).select("qid", "aid").distinct()
+    n = short.count()
+    if n > BROADCAST_SHORT:
+        windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - SHORT_GRAM + 1, F.lit(1))), lambda i: F.substring("text", i, SHORT_GRAM))
+        by_chars = texts.select("aid", "text", F.explode(F.array_distinct(windows)).alias("_g"))
+        keyed = short.where(F.length("question") >= SHORT_GRAM).withColumn("_g", F.substring("question", 1, SHORT_GRAM))
+        out = out.unionByName(by_chars.join(keyed, "_g").where(F.contains("text", "question")).select("qid", "aid"))
+        tiny = short.where(F.length("question") < SHORT_GRAM)
+        found = texts.join(F.broadcast(tiny.select("question").distinct()), F.contains("text", "question")).select("aid", "question")  # at most a few characters
+        return out.unionByName(found.join(tiny, "question").select("qid", "aid"))
+    if n:
+        out = out.unionByName(texts.join(F.broadcast(short), F.contains(texts["text"], short["question"])).select("qid", "aid"))  # at most BROADCAST_SHORT rows
+    return out
