@@ -5,6 +5,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
+from quarryline.llm import tokens
 from quarryline.llm.tokens import encoder
 
 TEXTS = [None, "", " ", "a", "It's we'll'd ''s 's!'s x", "tab\tand\n\nlines \r\n end  ", "ÀÉ ñandú ß µ½² 12345", "<|endoftext|> a<|startoftext|>b", "日本語 text ’quoted’ — dash", "a\x1cb\x85c\xa0d", "x" * 300, "   lead", "trail   "]
@@ -22,3 +23,18 @@ def test_same_ids_as_the_library(name):
     for part in (texts[:700], texts[500:], texts):
         expected = [np.asarray(whole.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in part]
         assert enc.encode(part) == expected
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pieces_are_forgotten_and_learned_again(name, monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_KNOWN", 900)
+    monkeypatch.setattr(tokens, "SLOT_BITS", 10)
+    monkeypatch.setattr(tokens, "MAX_IDS", 3000)
+    rng = random.Random(6)
+    whole = Tokenizer.from_file(P.path(name))
+    enc = tokens.Encoder(P.path(name))
+    for turn in range(8):
+        words = ["".join(rng.choice("abcé'") for _ in range(rng.randint(1, 5))) for _ in range(250)]
+        part = [rng.choice([" ", "\n", "  ", "'s ", "", "\n \n"]).join(rng.choices(words, k=30)) for _ in range(60)] + ["x" * 70_000 if turn == 5 else "y"]
+        assert enc.encode(part) == [np.asarray(e.ids, dtype="<u4").tobytes() for e in whole.encode_batch(part, add_special_tokens=False)]
+        assert turn == 5 or 0 < enc.known <= 900
