@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.text import map_chunks
 from quarryline.operators import dense, fusion, lexical, metrics, rerank
+from quarryline.session import materialize
 
 
 @dataclass(frozen=True)
@@ -65,6 +66,8 @@ def evaluate(rows: DataFrame, score: str, questions: DataFrame, qrels: DataFrame
     names = [r["split"] for r in splits.select("split").distinct().orderBy("split").collect()]  # a handful
     if "val" not in names:
         raise ValueError("no validation split to tune on")
+    # Every metric reads these several times: written once, so that plans do not repeat how they came about.
+    rows, questions, qrels = materialize(rows.select("qid", "aid", score), "judged_rows"), materialize(questions.select("qid"), "judged_questions"), materialize(qrels.select("qid", "aid"), "judged_marks")
 
     def of(df: DataFrame, split: str) -> DataFrame:
         return df.join(splits.where(F.col("split") == split).select("qid"), "qid", "left_semi")
@@ -144,11 +147,11 @@ def train_router(merged: DataFrame, questions: DataFrame, qrels: DataFrame, spli
     if asked.isEmpty():
         raise ValueError("the router split is empty")
     vocabulary = router.tfidf_vocabulary(asked)
-    labels = router.alpha_labels(part(merged, "router"), asked, qrels)
+    rows = materialize(part(merged, "router", "val", "test"), "routed_pool")
+    labels = materialize(router.alpha_labels(part(rows, "router"), asked, qrels), "router_labels")
     fitted = router.fit_ridge(router.tfidf(asked, vocabulary), labels)
     known, judged = part(questions, "router", "val", "test"), splits.where(F.col("split").isin("router", "val", "test"))
-    alphas = router.predict(router.tfidf(known, vocabulary), known, fitted)
-    rows = part(merged, "router", "val", "test")
+    alphas = materialize(router.predict(router.tfidf(known, vocabulary), known, fitted), "router_alphas")
     fixed, routed = fusion.apply_hybrid(rows, fixed=config.alpha), fusion.apply_hybrid(rows, alphas, config.alpha)
     found = [evaluate(r, "hybrid_score", known, part(qrels, "router", "val", "test"), judged, n) for r, n in ((fixed, "hybrid_fixed"), (routed, "hybrid_router"))]
     weights = fitted.join(vocabulary.select("term", "idf"), "term", "left")
