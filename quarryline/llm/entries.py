@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import language_id, license_scan, mixing, ngram_join, packing, repetition, token_files, topk_search, toxicity, url_cascade
+from quarryline.llm import importance, language_id, license_scan, mixing, ngram_join, packing, pieces, repetition, token_files, topk_search, toxicity, url_cascade
 from quarryline.session import table
 
 #: Sites whose pages make up the url query's list: a host is of a site if the label before its last two is the site.
@@ -68,7 +68,17 @@ def op10_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_token_files, op4_url_cascade, op5_suffix_repetition, op6_toxic_crf, op7_source_mix, op8_bucket_topk, op9_ngram_rtree, op10_ecoc_language)}
+def op11_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_token_files, op4_url_cascade, op5_suffix_repetition, op6_toxic_crf, op7_source_mix, op8_bucket_topk, op9_ngram_rtree, op10_ecoc_language, op11_importance_draw, op12_piece_table)}
 
 
 def _license_sql() -> str:
@@ -164,7 +174,34 @@ c AS (SELECT r AS a, r AS b FROM w UNION SELECT c.a, e.y FROM c JOIN e ON c.b =
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM w LEFT JOIN n USING (r)
 JOIN (SELECT c.a AS r, min(o.doc_id) AS component_id FROM c JOIN w o ON c.b = o.r GROUP BY c.a) m USING (r)"""
 
+
+
+def _importance_sql() -> str:
+    word, m = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", importance.BUCKETS
+
+    def words(rel: str, key: str) -> str:
+        return f"SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') AS ws FROM {rel}"
+
+    return f"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+d AS ({words("documents", "row_number() OVER () AS r, doc_id")}),
+g AS ({words("benchmark", "1 AS one")}),
+f AS (SELECT r, unnest(ws) AS w FROM d),
+e AS (SELECT unnest(ws) AS w FROM g),
+v AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM f UNION SELECT w FROM e)),
+k AS (SELECT w, xor(4294967295, list_reduce(list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) % {m} AS bucket FROM v, crc),
+s AS (SELECT bucket, count(*) AS n FROM f JOIN k USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM e JOIN k USING (w) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM f) + {m}) / ((s.n + 1.0::DOUBLE) * ((SELECT count(*) FROM e) + {m}))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+m AS (SELECT r, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN k USING (w) JOIN gain USING (bucket) GROUP BY r),
+h AS (SELECT r, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, ('0x' || substr(sha256('{importance.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN m USING (r)),
+c AS (SELECT r, doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM h),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank FROM c WHERE n_features >= {importance.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM o) * {importance.PERCENT} // 100 THEN rank END AS rank FROM c LEFT JOIN o USING (r)"""
+
+
 ORACLE_SQL = {
+    "op11_importance_draw": _importance_sql(),
     "op2_license_scan": _license_sql(),
     "op4_url_cascade": _url_sql(),
     "op5_suffix_repetition": _quality_sql(),

@@ -33,7 +33,7 @@ def crc(ids):
 @pytest.mark.parametrize("name", sorted(entries.ORACLE_SQL))
 def test_queries_match_their_oracles(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = entries.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
