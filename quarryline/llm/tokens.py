@@ -3,8 +3,9 @@
 The two kinds of file known here cut a text into pieces by a fixed pattern before any merge: runs of letters, digits
 or marks, with the space before them in byte-level files. Texts whose characters the pattern here takes as the library
 does (Latin-1 without the control characters U+001C..U+001F) are cut into pieces by array steps over a byte a character.
-A piece is known by a 64-bit hash, its first eight bytes and its length; the library encodes each piece that the worker has
-not met, and a text's ids are its pieces' ids. All other texts, files of another kind, and texts with very long pieces go
+A piece is known by its first and last eight bytes, its length, and a 64-bit hash whose keys the worker draws at random, so
+pieces of at most sixteen bytes are compared whole and no text can be made to collide with another. The library encodes
+each piece that the worker has not met, and a text's ids are its pieces' ids. All other texts, files of another kind, and texts with very long pieces go
 to the library whole. Both ways give the same ids.
 """
 
@@ -44,7 +45,6 @@ def _classes() -> np.ndarray:
 
 _CLASS = _classes()
 _LOWER = bytes(ord(chr(i).lower()) for i in range(256))
-_ODD_POWERS = np.cumprod(np.full(MAX_PIECE, 0x9E3779B97F4A7C15, dtype=np.uint64))
 _FIRST = np.asarray([(1 << (8 * min(i, 8))) - 1 for i in range(9)], dtype=np.uint64)
 
 
@@ -110,12 +110,13 @@ class Encoder:
         for token, i in vocabulary.items():
             self.edge[i] = token.startswith("\u0120") if self.kind == "byte" else token.endswith("</w>")
         self.lower = _LOWER if self.kind == "word" else None
+        self.keys = np.frombuffer(os.urandom(8 * MAX_PIECE), dtype=np.uint64)
         self.forget()
 
     def forget(self) -> None:
         size = 1 << SLOT_BITS
-        self.hash, self.first = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.uint64)
-        self.place, self.count = np.zeros(size, dtype=np.int32), np.zeros(size, dtype=np.int32)
+        self.hash, self.first, self.last = (np.zeros(size, dtype=np.uint64) for _ in range(3))
+        self.size, self.place, self.count = (np.zeros(size, dtype=np.int32) for _ in range(3))
         self.ids, self.known = np.zeros(0, dtype="<u4"), 0
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -139,19 +140,19 @@ class Encoder:
         out.update(zip(rest, self._library(rest), strict=True))
         return [out[c] for c in pieces]
 
-    def _find(self, h: np.ndarray, f: np.ndarray) -> np.ndarray:
+    def _find(self, h: np.ndarray, f: np.ndarray, g: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The slot of each piece, or -1."""
         out, todo = np.full(len(h), -1, dtype=np.int64), np.arange(len(h))
         slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         while len(todo):
             there = self.hash[slot]
-            hit = (there == h[todo]) & (self.first[slot] == f[todo])
+            hit = (there == h[todo]) & (self.first[slot] == f[todo]) & (self.last[slot] == g[todo]) & (self.size[slot] == size[todo])
             out[todo[hit]] = slot[hit]
             on = ~hit & (there != 0)
             todo, slot = todo[on], (slot[on] + 1) & ((1 << SLOT_BITS) - 1)
         return out
 
-    def _learn(self, h: np.ndarray, f: np.ndarray, found: list[bytes]) -> None:
+    def _learn(self, h: np.ndarray, f: np.ndarray, g: np.ndarray, size: np.ndarray, found: list[bytes]) -> None:
         """Remember the ids of new, different pieces."""
         counts = np.asarray([len(b) // 4 for b in found], dtype=np.int64)
         places = len(self.ids) + np.cumsum(counts) - counts
@@ -162,7 +163,7 @@ class Encoder:
             free = np.flatnonzero(self.hash[slot] == 0)
             taken, one = np.unique(slot[free], return_index=True)
             mine = free[one]  # the first of those that want a slot
-            self.hash[taken], self.first[taken] = h[todo[mine]], f[todo[mine]]
+            self.hash[taken], self.first[taken], self.last[taken], self.size[taken] = (x[todo[mine]] for x in (h, f, g, size))
             self.place[taken], self.count[taken] = places[todo[mine]], counts[todo[mine]]
             on = np.ones(len(todo), dtype=bool)
             on[mine] = False
@@ -180,29 +181,30 @@ class Encoder:
         real = kind != _END if self.kind == "byte" else (kind != _END) & (kind != _SPACE)
         at = np.arange(len(raw)) - np.repeat(begin, size)
         with np.errstate(over="ignore"):
-            h = mix64(np.add.reduceat((raw + np.uint64(1)) * _ODD_POWERS[at], begin) ^ (size.astype(np.uint64) << np.uint64(40)))[real]
+            h = mix64(np.add.reduceat((raw + np.uint64(1)) * self.keys[at], begin) ^ (size.astype(np.uint64) << np.uint64(40)))[real]
         h[h == 0] = 1
         eight = np.ndarray(len(raw), dtype="<u8", buffer=blob + bytes(8), strides=(1,))
-        f = eight[begin[real]] & np.where(size[real] >= 8, np.uint64(2**64 - 1), _FIRST[np.minimum(size[real], 8)])
-        slot = self._find(h, f)
+        first, length = begin[real], size[real]
+        f = eight[first] & _FIRST[np.minimum(length, 8)]
+        g = eight[first + np.maximum(length - 8, 0)] & _FIRST[np.minimum(length, 8)]
+        slot = self._find(h, f, g, length)
         if len(new := np.flatnonzero(slot < 0)):
             if self.known + len(new) > MAX_KNOWN or len(self.ids) > MAX_IDS:
                 self.forget()
                 new = np.arange(len(h))
             own, one, back = np.unique(h[new], return_index=True, return_inverse=True)
-            if (f[new[one]][back] != f[new]).any():
+            at = new[one]
+            if any((x[at][back] != x[new]).any() for x in (f, g, length)) or len(own) > MAX_KNOWN:
                 return None
-            starts, sizes = begin[real][new[one]].tolist(), size[real][new[one]].tolist()
-            if len(own) > MAX_KNOWN:
-                return None
-            self._learn(own, f[new[one]], self._pieces([blob[a : a + n].decode("latin-1") for a, n in zip(starts, sizes, strict=True)]))
-            slot = self._find(h, f)
+            pieces = [blob[a : a + n].decode("latin-1") for a, n in zip(first[at].tolist(), length[at].tolist(), strict=True)]
+            self._learn(own, f[at], g[at], length[at], self._pieces(pieces))
+            slot = self._find(h, f, g, length)
         count = self.count[slot].astype(np.int64)
         ends = np.cumsum(count)
         ids = self.ids[np.repeat(self.place[slot] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
         # A text's pieces lie before its stop.
         stops = np.cumsum([len(r) + 1 for r in raws]) - 1
-        upto = np.append(0, ends)[np.searchsorted(begin[real], stops)].tolist()
+        upto = np.append(0, ends)[np.searchsorted(first, stops)].tolist()
         return [ids[a:b].tobytes() for a, b in zip([0, *upto], upto, strict=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
