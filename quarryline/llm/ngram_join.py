@@ -18,13 +18,15 @@ is still too large is cut into salted parts that meet pairwise, so no block has
 several keys is left to the block of a smaller one where both rows' least keys show it.
 
 Words are [^\\x20\\x09-\\x0D]+ after A-Z are lower-cased; fewer than five words are one shingle. Shingles of two sets are
-compared by 64-bit hashes, whole sets are named by 128 bits. Nulls: a null text counts as without words: an empty set, linked with nothing. Rows with a null
+compared by 64-bit hashes under keys that each run draws at random, so no text can be made to collide with another; whole
+sets are named by 128 bits. Nulls: a null text counts as without words: an empty set, linked with nothing. Rows with a null
 doc_id keep it, and a component's id is its smallest non-null doc_id. Repeated rows come back once each. An empty
 table gives no rows. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,18 +57,18 @@ MAX_BITS, ID_BITS = 27, 12
 LEAST_KEYS = 6
 _ODD = 0x9E3779B97F4A7C15 | 1
 _UPPER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
-_powers: dict[str, np.ndarray] = {}
+_keys: dict[int, np.ndarray] = {}
 
 
-def _table(n: int) -> np.ndarray:
-    """Powers of an odd number modulo 2^64."""
-    if len(_powers.get("p", ())) < n:
-        with np.errstate(over="ignore"):
-            _powers["p"] = np.cumprod(np.full(max(n, 1 << 20), _ODD, dtype=np.uint64))
-    return _powers["p"][:n]
+def _table(n: int, seed: int) -> np.ndarray:
+    """The keys of the first n places of a word."""
+    if len(_keys.get(seed, ())) < n:
+        _keys.clear()
+        _keys[seed] = mix64(np.arange(max(n, 1 << 12), dtype=np.uint64) * np.uint64(_ODD), seed)
+    return _keys[seed][:n]
 
 
-def word_hashes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(blob: bytes, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of each word of a lower-cased blob."""
     raw = np.frombuffer(blob, dtype=np.uint8)
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
@@ -74,21 +76,21 @@ def word_hashes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(start):
         return np.zeros(0, dtype=np.uint64), start
-    # A word's polynomial: byte values times powers of the place within the word.
+    # A word's sum: byte values times the keys of their places within the word.
     base = np.zeros(len(raw), dtype=np.int64)
     base[start] = np.diff(np.concatenate([[0], start]))
     at = np.arange(len(raw), dtype=np.int64) - np.cumsum(base)
     with np.errstate(over="ignore"):
-        value = (raw.astype(np.uint64) + np.uint64(1)) * _table(int(at.max()) + 1)[at]
+        value = (raw.astype(np.uint64) + np.uint64(1)) * _table(int(at.max()) + 1, seed)[at]
         value[space] = 0
         return mix64(np.add.reduceat(value, start) ^ ((end - start).astype(np.uint64) << np.uint64(48))), start
 
 
-def shingles(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingles(texts: list[str | None], words: int = WORDS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every shingle, document by document, and the documents' bounds."""
     blobs = [(t.encode("utf-8", "surrogatepass").translate(_UPPER) if t else b"") + b" " for t in texts]
     ends = np.cumsum([len(b) for b in blobs])
-    h, start = word_hashes(b"".join(blobs))
+    h, start = word_hashes(b"".join(blobs), seed)
     n_words = np.diff(np.searchsorted(start, ends), prepend=0) if len(texts) else np.zeros(0, dtype=np.int64)
     first = np.cumsum(n_words) - n_words
     total = np.zeros(max(len(h) - words + 1, 0), dtype=np.uint64)
@@ -116,9 +118,9 @@ def shingles(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, n
     return out, bounds
 
 
-def shingle_sets(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[str | None], words: int = WORDS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, ascending within each document, and the documents' bounds."""
-    value, bounds = shingles(texts, words)
+    value, bounds = shingles(texts, words, seed)
     for lo, hi in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
         value[lo:hi].sort()
     keep = np.ones(len(value), dtype=bool)
@@ -200,7 +202,7 @@ def block_pairs(comps: np.ndarray, sizes: np.ndarray, points: np.ndarray, side:
     return np.concatenate(left).astype(np.int64), np.concatenate(right).astype(np.int64)
 
 
-def frequent_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, words: int = WORDS, seed: int = 0) -> np.ndarray:
     """Hashes of the most frequent shingles, rarest first. Each task counts its shingles in large portions and sends
     those that it met twice or more; counts are then summed over the corpus."""
 
@@ -217,7 +219,7 @@ def frequent_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for lo, hi in steps(texts):
-                held.append(shingles(texts[lo:hi], words)[0])
+                held.append(shingles(texts[lo:hi], words, seed)[0])
                 size += len(held[-1])
                 if size >= COUNTED:
                     size = 0
@@ -267,14 +269,14 @@ def prefixes(value: np.ndarray, bounds: np.ndarray, listed: np.ndarray, place: n
     return tuple(out)
 
 
-def signatures(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def signatures(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percent: int = PERCENT, seed: int = 0) -> DataFrame:
     """doc_id, n, h1 and h2 (the name of the whole set), point (counts in GROUPS groups as bytes), keys (the prefix), beyond
     (the shingle after it) and the further columns of docs."""
     place = np.argsort(frequent).astype(np.uint32)
     sent = docs.sparkSession.sparkContext.broadcast((frequent[place], place))
 
     def run(cols: dict) -> dict:
-        value, bounds = shingle_sets(cols["text"], words)
+        value, bounds = shingle_sets(cols["text"], words, seed)
         keys, cuts, after, ends = prefixes(value, bounds, *sent.value, percent)
         keys, after = (pa.ListArray.from_arrays(pa.array(c, pa.int32()), pa.array(k.view(np.int64))) for k, c in ((keys, cuts), (after, ends)))
         h1, h2 = node_ids(value, bounds)
@@ -294,7 +296,7 @@ def _spots(column: str, bits: int) -> F.Column:
     return F.array(*[F.pmod(F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")), F.lit(seed)), F.lit(1 << bits)) for seed in (0, 1)])
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, words: int = WORDS, seed: int = 0) -> DataFrame:
     """h1, h2, shingles (ascending hashes as bytes) of the documents whose ids (doc_id) are listed, and maybe of a few more.
 
     A Bloom filter of at most 2^MAX_BITS bits tells which texts to read, so no text is shuffled. More ids than it can hold
@@ -304,7 +306,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
 
     def named(texts: list[str]) -> Iterator[pa.RecordBatch]:
         for lo, hi in steps(texts):
-            value, bounds = shingle_sets(texts[lo:hi], words)
+            value, bounds = shingle_sets(texts[lo:hi], words, seed)
             raw, full = value.astype("<u8"), np.flatnonzero(np.diff(bounds))
             blobs = [raw[bounds[i] : bounds[i + 1]].tobytes() for i in full]
             yield pa.RecordBatch.from_arrays([*(pa.array(h[full]) for h in node_ids(value, bounds)), pa.array(blobs, pa.binary())], ["h1", "h2", "shingles"])
@@ -360,7 +362,7 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int = PERCENT) -> Data
     return joined.mapInArrow(run, "a long, b long, share double")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, points: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, points: DataFrame, words: int = WORDS, percent: int = PERCENT, seed: int = 0) -> DataFrame:
     """The pairs (a, b) whose sets are linked, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,7 +375,7 @@ def verify(pairs: DataFrame, docs: DataFrame, points: DataFrame, words: int = WO
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     members = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    sets = materialize(sets_of(docs, points.join(members, "rep").select("doc_id").distinct(), words), "sets")
+    sets = materialize(sets_of(docs, points.join(members, "rep").select("doc_id").distinct(), words, seed), "sets")
     if sets.count() > 1.2 * sets.select("h1", "h2").distinct().count():  # many rows share an id
         sets = materialize(sets.dropDuplicates(["h1", "h2"]), "sets")
     # Many pairs share their pivot: the joins' skew handling may split its rows.
@@ -418,7 +420,7 @@ def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(moved.select("rep", F.coalesce("p", "comp").alias("comp")), "labels")
 
 
-def link_representatives(blocks: DataFrame, points: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def link_representatives(blocks: DataFrame, points: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT, seed: int = 0) -> DataFrame:
     """(rep, comp) of the representatives in blocks (key, rep, m): points (rep, n, h1, h2, point, keys, beyond, doc_id), docs
     (doc_id, text)."""
     spark = blocks.sparkSession
@@ -434,7 +436,7 @@ def link_representatives(blocks: DataFrame, points: DataFrame, docs: DataFrame,
         release(spark)
         if close.isEmpty():
             break
-        labels = merge_components(labels, verify(close, docs, points, words, percent))
+        labels = merge_components(labels, verify(close, docs, points, words, percent, seed))
         joined = blocks.join(labels, "rep")
         spread = joined.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
         left = materialize(joined.join(spread.select("key"), "key").select("key", "rep", "m", "comp"), "mixed")
@@ -447,7 +449,7 @@ def link_representatives(blocks: DataFrame, points: DataFrame, docs: DataFrame,
     # What is left: pairs across components, found by the trees and verified.
     pairs = materialize(tree_pairs(cut_blocks(mixed, points), percent).distinct(), "pairs")
     release(spark)
-    return labels if pairs.isEmpty() else merge_components(labels, verify(pairs, docs, points, words, percent))
+    return labels if pairs.isEmpty() else merge_components(labels, verify(pairs, docs, points, words, percent, seed))
 
 
 def cut_blocks(mixed: DataFrame, points: DataFrame) -> DataFrame:
@@ -531,7 +533,8 @@ def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     spark = docs.sparkSession
     base = docs.select("doc_id", "text")
     more = [c for c in docs.columns if c not in ("doc_id", "text")]
-    full = materialize(signatures(docs, frequent_shingles(base, words), words, percent), "signed")
+    seed = secrets.randbits(63)  # one for all tasks of this run
+    full = materialize(signatures(docs, frequent_shingles(base, words, seed), words, percent, seed), "signed")
     signed = materialize(full.select("doc_id", "n", "h1", "h2", *more), "rows")
     # Rows with equal sets are one node, numbered as it is written.
     nodes = full.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("point", "keys", "beyond")])
@@ -542,7 +545,7 @@ def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     counted = dealt.groupBy("key").agg(F.count("rep").alias("m")).where("m > 1")
     blocks = materialize(dealt.join(counted, "key").select("key", "rep", "m"), "blocks")
     release(spark)
-    labels = link_representatives(blocks, points, base, words, percent)
+    labels = link_representatives(blocks, points, base, words, percent, seed)
     discard(blocks)
     release(spark)
     named = points.select("rep", "h1", "h2", "n").join(labels, "rep", "left").select("h1", "h2", "n", F.col("rep").alias("node"), F.coalesce("comp", "rep").alias("comp"))
