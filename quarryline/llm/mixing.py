@@ -17,13 +17,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import shield
+from quarryline.llm.common import materialize, shield
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
 BINS = 4096
 SEED = "mix-1"
+#: Sources whose targets are broadcast; where there are more, rows are joined with them by source.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text) -> F.Column:
@@ -78,6 +80,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     targets = targets.withColumn("_whole", F.floor(rate).cast("long")).withColumn("_fraction", rate - F.floor(rate))
     if corrected:
         targets = _edges(base, targets)
+    targets = materialize(targets, "targets")
+    if targets.count() <= BROADCAST_SOURCES:  # no text is shuffled
+        targets = F.broadcast(targets)
     out = base.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     copies = F.col("_whole") + (F.col("_draw") < F.col("_fraction")).cast("long")
     out = out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("_source", "_draw", "_whole", "_fraction")
