@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import materialize, mix64, prepare
+from quarryline.llm.common import materialize, mix64, prepare, shield
 
 #: Keys a shard holds, about. Bytes of cascades that one pass broadcasts, at most. Passes that one stage makes, at most.
 SHARD_KEYS = 200_000
@@ -175,11 +175,12 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], listed: Data
     """pages with host, path, rule, verdict and listed (the cascade's answer). listed: a table (key), host and path of what
     is blocked where no rule fits; keys that the pages lack do no harm."""
     prepare(pages.sparkSession)
-    base = keyed(pages, url)
+    inner, names = shield(pages.drop("host", "path", "rule", "verdict", "listed"), url)
+    base = keyed(inner, url)
     universe = base.select(F.col("_key").alias("key")).distinct()
     marks = listed.where("key IS NOT NULL").select("key").distinct().withColumn("listed", F.lit(True))
     universe = universe.join(marks, "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     asked = ask(base, "_key", materialize(fit_cascades(materialize(universe, "universe")), "cascades"), "listed")
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
-    return asked.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, method)).drop("_key")
+    return asked.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, method)).drop("_key").withColumnsRenamed(names)

@@ -203,6 +203,13 @@ def test_urls_odd_and_empty(spark, monkeypatch):
     assert {r["verdict"] for r in url_cascade.judge_urls(df, [], listed.limit(0)).collect()} == {"allow"}
 
 
+def test_urls_with_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "http://a.org/p", 2, 3, 4, "k", "l")], "page_id long, url string, _shard int, _h1 long, _h2 long, _key string, shards string")
+    got = url_cascade.judge_urls(rows, [], spark.createDataFrame([("a.org/p",)], "key string"))
+    assert got.columns == [*rows.columns, "host", "path", "listed", "rule", "verdict"]
+    assert got.first().asDict() == {**rows.first().asDict(), "host": "a.org", "path": "/p", "listed": True, "rule": None, "verdict": "block"}
+
+
 def test_keys_that_collide_are_kept(spark, monkeypatch):
     same = np.full(6, 7, dtype=np.uint64)
     listed = np.asarray([True, False, True, False, False, True])
@@ -359,6 +366,11 @@ def test_copies_are_drawn_with_the_fraction(spark):
     one = spark.createDataFrame([(1, "a", "w " * 10), (2, "b", "w " * 100)], "doc_id long, source string, text string")
     drawn = [mixing.mix(one, seed=str(i)).where("doc_id = 2").select("copies", F.col("target") / F.col("source_size")).first() for i in range(40)]
     assert 4 <= sum(c - 1 for c, _ in drawn) <= 36 and {c for c, _ in drawn} == {1, 2}
+    assert "SortMergeJoin" not in mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    with pytest.MonkeyPatch.context() as patch:  # more sources than are broadcast: the same rows
+        want = sorted(map(tuple, mixing.mix(odd := docs.limit(90)).collect()))
+        patch.setattr(mixing, "BROADCAST_SOURCES", 0)
+        assert sorted(map(tuple, mixing.mix(odd).collect())) == want
     clash = docs.limit(50).selectExpr("*", "1 AS _draw", "2 AS _whole", "3 AS _fraction", "4 AS _source", "5 AS _edge")
     assert mixing.mix(clash).columns == [*clash.columns, "size", "source_size", "target", "copies", "taken"]
 
@@ -462,6 +474,22 @@ def test_components_brute_force(spark, monkeypatch):
         assert got[i]["component_id"] == min(j for j in range(len(texts)) if label[j] == label[i])
 
 
+def test_words_made_to_collide_are_no_copies(spark):
+    from tests.llm.test_tokens import thue_morse
+
+    texts = [lead + w for lead in ("", "cccccccc") for w in thue_morse("a", "b")] + ["one two three four " + w for w in thue_morse("a", "b")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.components(df).collect()} == {i: i for i in range(6)}
+
+
+def test_sets_by_a_join_where_the_filter_is_too_small(spark, monkeypatch):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(w), (F.col("id") % 9).cast("string")) for w in "abcdefg"]).alias("text"))
+    ids = docs.where("doc_id % 3 = 0").select("doc_id")
+    want = {(r["h1"], r["h2"], bytes(r["shingles"])) for r in ngram_join.sets_of(docs.where("doc_id % 3 = 0"), ids, seed=4).collect()}
+    monkeypatch.setattr(ngram_join, "MAX_BITS", 3)
+    assert {(r["h1"], r["h2"], bytes(r["shingles"])) for r in ngram_join.sets_of(docs, ids, seed=4).collect()} == want
+
+
 def test_components_odd_and_empty(spark, odd_docs, no_docs):
     got = ngram_join.components(odd_docs).collect()
     assert len(got) == 10 and [r["component_id"] for r in got if r["doc_id"] == 1] == [1, 1]
