@@ -30,6 +30,18 @@ def terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TERM), F.lit(0))
 
 
+def counted(items: Column) -> Column:
+    """(term, tf) of each different item of an array, in order: runs of the sorted array, without a shuffle."""
+
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+        cut = lambda at: F.transform(at, lambda i, j: F.struct(F.element_at(s, i).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s) + 1) - i).cast("long").alias("tf")))
+        return let(begins, cut)
+
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return F.when(F.size(items) > 0, let(F.sort_array(items), runs)).otherwise(none)
+
+
 def words(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), f"{WS}+"), lambda w: w != "")
 

@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.functions.text import terms
+from quarryline.functions.text import counted, terms
+from quarryline.session import materialize
 
 K1, B = 1.5, 0.75
 
 
+def entries(articles: DataFrame, *more: str) -> DataFrame:
+    """(aid, further columns, dl, entries (term, tf)): the terms of each article with their counts, found within the row."""
+    cut = articles.select("aid", *more, terms(F.col("text")).alias("_t"))
+    return cut.select("aid", *more, F.size("_t").alias("dl"), counted(F.col("_t")).alias("entries"))
+
+
+def exploded(rows: DataFrame) -> DataFrame:
+    """(aid, term, tf, dl) of entries."""
+    return rows.select("aid", "dl", F.explode("entries").alias("e")).select("aid", "e.term", "e.tf", "dl")
+
+
 def postings(articles: DataFrame) -> DataFrame:
     """(aid, term, tf, dl): one row a term of an article."""
-    cut = articles.select("aid", terms(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    return cut.select("aid", "dl", F.explode("t").alias("term")).groupBy("aid", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return exploded(entries(articles))
 
 
 def lengths(articles: DataFrame) -> DataFrame:
@@ -38,11 +49,12 @@ def query_terms(questions: DataFrame) -> DataFrame:
 
 
 def matches(questions: DataFrame, articles: DataFrame) -> DataFrame:
-    """(qid, aid, qtf, tf, dl, idf, avgdl): what every choice of parameters scores. The questions' terms cut
-    the postings before document frequencies are counted."""
+    """(qid, aid, qtf, tf, dl, idf, avgdl): what every choice of parameters scores. Texts are cut into terms once, and the
+    questions' terms cut the postings before document frequencies are counted."""
     q = query_terms(questions)
-    post = postings(articles).join(q.select("term").distinct(), "term", "left_semi")
-    stat = stats(articles)
+    rows = materialize(entries(articles), "entries")
+    post = exploded(rows).join(q.select("term").distinct(), "term", "left_semi")
+    stat = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     found = post.join(idf_table(post, stat).select("term", "idf"), "term").join(q, "term")
     return found.join(F.broadcast(stat.select("avgdl")), how="cross")  # one row
 
