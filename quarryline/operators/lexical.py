@@ -88,10 +88,11 @@ def search(questions: DataFrame, articles: DataFrame, k: int = 100, k1: float =
     return every.withColumn("rank", F.row_number().over(best("bm25_score"))).where(F.col("rank") <= k).select("qid", "aid", "rank", "bm25_score")
 
 
-def grid_search(questions: DataFrame, articles: DataFrame, grid: list[tuple[float, float]], k: int = 100) -> DataFrame:
-    """(k1, b, qid, aid, rank, bm25_score) of matching articles for every parameter pair, from one join."""
+def grid_search(questions: DataFrame, articles: DataFrame, grid: list[tuple[float, float]], k: int = 100, matched: DataFrame | None = None) -> DataFrame:
+    """(k1, b, qid, aid, rank, bm25_score) of matching articles for every parameter pair, from one join (matched, where a
+    stored index gives it)."""
     each = [F.sum(term_score(x, y)).alias(f"s{i}") for i, (x, y) in enumerate(grid)]  # one shuffle serves the whole grid
-    wide = matches(questions, articles).groupBy("qid", "aid").agg(*each)
+    wide = (matches(questions, articles) if matched is None else matched).groupBy("qid", "aid").agg(*each)
     points = F.explode(F.array(*[F.struct(F.lit(float(x)).alias("k1"), F.lit(float(y)).alias("b"), F.col(f"s{i}").alias("bm25_score")) for i, (x, y) in enumerate(grid)])).alias("g")
     summed = wide.select("qid", "aid", points).select("qid", "aid", "g.*")
     return summed.withColumn("rank", F.row_number().over(best("bm25_score", group=("k1", "b", "qid")))).where(F.col("rank") <= k)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.operators.lexical import best
+from quarryline.operators.prefix import running_sums
 
 KS = (1, 3, 5, 10, 20, 50)
 NDCG_KS = (3, 5, 10, 20, 50)
@@ -130,9 +131,9 @@ def threshold_curve(rows: DataFrame, score: str, questions: DataFrame, qrels: Da
     )
     events = found_rows.select("score", F.lit(0).alias("dtp"), F.lit(0).alias("dfp")).distinct().unionByName(steps)
     per = events.groupBy("score").agg(F.sum("dtp").alias("dtp"), F.sum("dfp").alias("dfp"))  # one row a threshold
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = running_sums(per, [F.desc("score")], {"t": "dtp", "f": "dfp"})
     total = positives(questions, qrels).agg(F.coalesce(F.sum("positives"), F.lit(0)).alias("pos"))
-    run = per.select("score", F.sum("dtp").over(down).alias("t"), F.sum("dfp").over(down).alias("f")).join(base, how="cross").join(total, how="cross")  # one row each
+    run = summed.select("score", "t", "f").join(base, how="cross").join(total, how="cross")  # one row each
     run = run.select(F.col("score").alias("threshold"), (F.col("t") + F.col("btp")).alias("tp"), (F.col("f") + F.col("bfp")).alias("fp"), "pos").withColumn("fn", F.col("pos") - F.col("tp"))
     return run.select("threshold", "tp", "fp", "fn", *[c.alias(n) for n, c in rates(F.col("tp"), F.col("fp"), F.col("fn")).items()])
 
@@ -144,10 +145,8 @@ def tune_threshold(rows: DataFrame, score: str, questions: DataFrame, qrels: Dat
 
 def describe(rows: DataFrame, value: str) -> DataFrame:
     """One row: count, mean, min, p25, p50, p75, max; a percentile is the value at position floor((n - 1) p)."""
-    w = Window.orderBy(value)
     at = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("x")).groupBy("x").agg(F.count("*").alias("c"))  # one row a value
-    at = at.withColumn("upto", F.sum("c").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    del w
+    at = running_sums(at, [F.asc("x")], {"upto": "c"})
     n = at.agg(F.sum("c").alias("n"), (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"))
     joined = at.join(n.select("n"), how="cross")  # one row
 

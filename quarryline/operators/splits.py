@@ -67,9 +67,10 @@ def _overlap(values: DataFrame, kind: str, examples: int) -> DataFrame:
     shared = values.distinct().groupBy("value").agg(F.array_sort(F.collect_set("split")).alias("s")).where(F.size("s") > 1)
     pair = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("left"), b.alias("right")))))
     pairs = shared.select("value", F.explode(pair).alias("p")).select("value", "p.*")
+    # The first values of a pair are picked before the shuffle, and counts are summed before it.
     nth = F.row_number().over(Window.partitionBy("left", "right").orderBy("value"))
-    kept = pairs.withColumn("_n", nth)
-    return kept.groupBy("left", "right").agg(F.count("*").alias("overlap_count"), F.array_sort(F.collect_list(F.when(F.col("_n") <= examples, F.col("value").cast("string")))).alias("examples")).withColumn("kind", F.lit(kind))
+    first = pairs.withColumn("_n", nth).where(F.col("_n") <= examples).groupBy("left", "right").agg(F.array_sort(F.collect_list(F.col("value").cast("string"))).alias("examples"))
+    return pairs.groupBy("left", "right").agg(F.count("*").alias("overlap_count")).join(first, ["left", "right"]).withColumn("kind", F.lit(kind))
 
 
 def leak_report(questions: DataFrame, splits: DataFrame, qrels: DataFrame | None = None, examples: int = 5) -> DataFrame:

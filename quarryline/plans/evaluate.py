@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import map_chunks
-from quarryline.operators import dense, fusion, lexical, metrics, rerank
+from quarryline.operators import dense, fusion, lexical, metrics, postings, rerank
 from quarryline.session import materialize
 
 
+#: Articles that reranking takes for one question, and so the most that an answer holds.
+MOST_ONLINE = 20
+
+
 @dataclass(frozen=True)
 class Config:
     max_tokens: int = 512
@@ -21,7 +26,6 @@ class Config:
     top_k: int = 200
     alpha: float = 0.5
     rerank_top_k: int = 50
-    max_chunks: int | None = None
     max_chunks_per_article: int | None = None
     train: float = 0.7
     router: float = 0.1
@@ -43,19 +47,18 @@ def chunk_table(articles: DataFrame, config: Config = Config()) -> DataFrame:
     if config.max_chunks_per_article is not None:
         rows = rows.where(F.col("chunk_index") < config.max_chunks_per_article)
     rows = rows.withColumn("chunk_id", F.concat("aid", F.lit("::chunk_"), F.col("chunk_index").cast("string"))).withColumn("oversize", word_count(F.col("text")) > config.max_tokens)
-    if config.max_chunks is not None:
-        rows = rows.orderBy("aid", "chunk_index").limit(config.max_chunks)
     return rows.select("chunk_id", "aid", "law_id", "chunk_index", "text", "oversize")
 
 
-def retrieve(questions: DataFrame, articles: DataFrame, chunks: DataFrame, qrels: DataFrame, config: Config = Config(), vectors: DataFrame | None = None) -> DataFrame:
-    """The merged pool: BM25 over articles, hashed vectors over chunks (vectors, where they are built already), labels and
-    norms. aid is a string."""
+def retrieve(questions: DataFrame, articles: DataFrame, chunks: DataFrame, qrels: DataFrame, config: Config = Config(), vectors: DataFrame | None = None, index: postings.Index | None = None, encode: Callable[[DataFrame, str, str], DataFrame] = dense.hash_vectors) -> DataFrame:
+    """The merged pool: BM25 over articles (from a stored index, where there is one, no text is read), hashed vectors over
+    chunks (vectors, where they are built already), labels and norms. aid is a string."""
     marks = qrels.withColumn("aid", F.col("aid").cast("string"))
-    lex = lexical.search(questions, articles, config.top_k, config.k1, config.b).withColumn("aid", F.col("aid").cast("string"))
+    found = postings.search(questions, index, config.top_k, config.k1, config.b) if index else lexical.search(questions, articles, config.top_k, config.k1, config.b)
+    lex = found.withColumn("aid", F.col("aid").cast("string"))
     lex = fusion.with_minmax(fusion.with_labels(lex, marks), "bm25_score")
-    vectors = dense.hash_vectors(chunks, "chunk_id", "text") if vectors is None else vectors
-    top = dense.search(dense.hash_vectors(questions, "qid", "question"), vectors, config.top_k)
+    vectors = encode(chunks, "chunk_id", "text") if vectors is None else vectors
+    top = dense.search(encode(questions, "qid", "question"), vectors, config.top_k)
     den = dense.collapse(top, chunks).withColumnRenamed("score", "dense_score")
     return fusion.merge(lex, fusion.with_minmax(fusion.with_labels(den, marks), "dense_score"))
 
@@ -78,11 +81,12 @@ def evaluate(rows: DataFrame, score: str, questions: DataFrame, qrels: DataFrame
     return found.select(F.lit(method).alias("method"), "split", "metric", "value")
 
 
-def online(question: DataFrame, articles: DataFrame, chunks: DataFrame, weights: DataFrame | None = None, top_n: int = 5, config: Config = Config()) -> DataFrame:
+def online(question: DataFrame, articles: DataFrame, chunks: DataFrame, weights: DataFrame | None = None, top_n: int = 5, config: Config = Config(), vectors: DataFrame | None = None, index: postings.Index | None = None) -> DataFrame:
     """Articles for one question (qid, question), best first: the batch plan without labels; all chunks of the first
-    articles are scored. weights are the router's (None: the fixed weight)."""
+    articles are scored. weights are the router's (None: the fixed weight). With stored vectors and a stored index, texts
+    are read of the articles found alone."""
     none = question.select("qid", F.lit(None).cast("string").alias("aid")).where(F.lit(False))
-    merged = retrieve(question, articles, chunks, none, config)
+    merged = retrieve(question, articles, chunks, none, config, vectors, index)
     alphas = None
     if weights is not None:
         from quarryline.operators.router import predict
@@ -91,7 +95,7 @@ def online(question: DataFrame, articles: DataFrame, chunks: DataFrame, weights:
         from quarryline.operators.router import tfidf
 
         alphas = predict(tfidf(question, terms_idf), question, weights.select("term", "weight"))
-    mixed = fusion.limit(fusion.apply_hybrid(merged, alphas, config.alpha), "hybrid_score", 20)
+    mixed = fusion.limit(fusion.apply_hybrid(merged, alphas, config.alpha), "hybrid_score", MOST_ONLINE)
     wide = rerank.expand(mixed.drop("rank"), chunks, "hybrid_score").join(question, "qid")
     scored = fusion.with_minmax(rerank.hash_scores(wide), "rerank_score")
     top = rerank.by_article(scored, "rerank_score_norm").where(F.col("rank") <= max(1, min(top_n, config.top_k)))
@@ -110,9 +114,9 @@ def _grid_recall(rows: DataFrame, keys: list[str], points: list[tuple], question
     return every.groupBy(*keys, "position").agg(F.avg(F.col("h") / F.greatest("n", F.lit(1))).alias("recall"))
 
 
-def tune_bm25(questions: DataFrame, articles: DataFrame, qrels: DataFrame, grid: list[tuple[float, float]], k: int = 10) -> DataFrame:
+def tune_bm25(questions: DataFrame, articles: DataFrame, qrels: DataFrame, grid: list[tuple[float, float]], k: int = 10, index: postings.Index | None = None) -> DataFrame:
     """The grid's (k1, b) with the best recall@k over the questions given (the train split's); the first of equals."""
-    rows = lexical.grid_search(questions, articles, grid, k)
+    rows = lexical.grid_search(questions, articles, grid, k, postings.matches(questions, index) if index else None)
     found = _grid_recall(rows, ["k1", "b"], grid, questions, qrels, k)
     return found.orderBy(F.round("recall", 12).desc(), "position").limit(1).select("k1", "b", "recall")
 
@@ -156,3 +160,19 @@ def train_router(merged: DataFrame, questions: DataFrame, qrels: DataFrame, spli
     found = [evaluate(r, "hybrid_score", known, part(qrels, "router", "val", "test"), judged, n) for r, n in ((fixed, "hybrid_fixed"), (routed, "hybrid_router"))]
     weights = fitted.join(vocabulary.select("term", "idf"), "term", "left")
     return Router(weights, labels, alphas, fixed, routed, found[0].unionByName(found[1]), router.diagnostics(alphas, labels))
+
+
+def searcher(spark: SparkSession, articles: DataFrame, chunks: DataFrame, vectors: DataFrame, index: postings.Index, weights: DataFrame | None = None, config: Config = Config()) -> Callable[[str, int], dict]:
+    """A function of a question and a number of articles (1 to MOST_ONLINE) that gives {"query", "results"} with a rank, ids, a
+    score and an excerpt each, from stored tables. An empty question raises."""
+    from quarryline.functions.text import excerpt
+
+    def search(question: str, n: int = 5) -> dict:
+        if not (question := question.strip()):
+            raise ValueError("the question is empty")
+        asked = spark.createDataFrame([("asked", question)], "qid string, question string")
+        found = online(asked, articles, chunks, weights, max(1, min(n, MOST_ONLINE)), config, vectors, index)
+        rows = found.select("rank", "aid", "law_id", "score", excerpt(found["text"]).alias("excerpt")).orderBy("rank").collect()  # at most MOST_ONLINE
+        return {"query": question, "results": [r.asDict() for r in rows]}
+
+    return search

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,14 +29,14 @@ def resolve_model(spark: SparkSession, requested: str, trained: str | None = Non
     return {"requested": requested, "resolved": resolved, "model_key": key, "summary_hash": summary, "marker_hash": marker}
 
 
-def build(spark: SparkSession, chunks: DataFrame, path: str, identity: dict, dim: int = 384) -> dict:
+def build(spark: SparkSession, chunks: DataFrame, path: str, identity: dict, encode: Callable[[DataFrame, str, str], DataFrame] = dense.hash_vectors, backend: str = "hash") -> dict:
     """Write the vectors of chunks (chunk_id, text) below path, then their metadata, which makes the index complete.
     Raises where there are no chunks."""
-    dense.hash_vectors(chunks, "chunk_id", "text", dim).write.mode("overwrite").parquet(f"{path}/vectors")
+    encode(chunks, "chunk_id", "text").select("chunk_id", "embedding").write.mode("overwrite").parquet(f"{path}/vectors")
     shape = vectors(spark, path).agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi")).first()
     if not shape["n"] or shape["lo"] != shape["hi"]:
         raise ValueError(f"an index needs vectors of one size: {shape.asDict()}")
-    metadata = identity | {"schema_version": SCHEMA_VERSION, "backend": "hash", "chunk_count": shape["n"], "embedding_dim": shape["hi"]}
+    metadata = identity | {"schema_version": SCHEMA_VERSION, "backend": backend, "chunk_count": shape["n"], "embedding_dim": shape["hi"]}
     store.write_json(spark, f"{path}/metadata.json", metadata)
     return metadata
 

@@ -25,7 +25,8 @@ def numbers(listed: str) -> tuple[float, ...]:
 
 @dataclass(frozen=True)
 class Options:
-    """Names and defaults of the flags (fixed values). Those of model training on GPUs are left out."""
+    """Names and defaults of the flags (fixed values). Those of model training on GPUs are left out, and models default to
+    what needs none: names of models.ENCODERS and models.SCORERS, where loaders of others can be added."""
 
     stage: str
     dataset_name: str
@@ -34,9 +35,9 @@ class Options:
     output_dir: str = "outputs"
     force: bool = False
     seed: int = 42
-    dense_model: str = "BAAI/bge-m3"
-    rerank_model: str = "BAAI/bge-reranker-v2-m3"
-    qwen_model: str = "Qwen/Qwen3-Reranker-0.6B"
+    dense_model: str = "hash"
+    rerank_model: str = "hash"
+    qwen_model: str = "hash"
     use_qwen_rerank: bool = False
     use_llm_rerank: bool = False
     llm_rerank_top_k: int = 20
@@ -58,6 +59,7 @@ class Options:
     chunk_overlap_sentences: int = 1
     max_chunks: int = 0
     max_chunks_per_article: int = 0
+    json_lines: bool = False
     corpus_law_id_field: str = "law_id"
     corpus_articles_field: str = "content"
     article_id_field: str = "aid"

@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.operators import dense, fusion, lexical, negatives, rerank, splits
-from quarryline.plans import evaluate, index, store
+from quarryline.operators import audit, dense, fusion, negatives, postings, rerank, splits
+from quarryline.plans import evaluate, index, models, store
 from quarryline.plans.options import Options
-from quarryline.session import ensure_importable
+from quarryline.session import ensure_importable, materialize
 from quarryline.sources import corpus
 
 log = logging.getLogger("quarryline")
@@ -19,19 +19,20 @@ log = logging.getLogger("quarryline")
 #: Stages and the tables that they write. Training of models on GPUs has no stage here.
 STAGES: dict[str, tuple[str, ...]] = {
     "prepare_data": ("articles", "questions", "qrels", "chunks"),
-    "split": ("splits",),
+    "split": ("splits", "leak_report"),
     "tune_bm25": ("bm25_tuning",),
-    "build_bm25": ("postings", "bm25_terms"),
+    "build_bm25": (),
     "build_dense_index": (),
     "mine_hard_negatives": ("positive_chunks", "mined"),
     "sample_negatives": ("retriever_rows", "reranker_rows", "triplets", "pairs", "prompts"),
     "retrieve_cache": ("merged",),
-    "tune_hybrid": ("hybrid_tuning",),
+    "tune_hybrid": ("hybrid_tuning", "hybrid_tuned"),
     "train_router": ("router_weights", "router_labels", "router_alphas", "hybrid_fixed", "hybrid_router", "router_metrics"),
     "rerank_bge": ("reranked",),
     "rerank_llm": ("reranked_second",),
     "rerank_qwen": ("reranked_qwen",),
     "evaluate": ("metrics",),
+    "audit": ("audit",),
 }
 COMPOSITES = {
     "tune_and_build_bm25": ("tune_bm25", "build_bm25"),
@@ -53,6 +54,9 @@ class Run:
             max_tokens=options.max_chunk_tokens, overlap=options.chunk_overlap_sentences, k1=options.bm25_k1, b=options.bm25_b, top_k=options.top_k,
             alpha=options.hybrid_alpha, rerank_top_k=options.candidate_top_k, max_chunks_per_article=options.max_chunks_per_article or None,
         )
+        self.encode = models.encoder(options.dense_model)
+        for name in (options.rerank_model, options.qwen_model):
+            models.scorer(name)
         self.built: set[str] = set()
         self.fitted: evaluate.Router | None = None
 
@@ -65,8 +69,10 @@ class Run:
             log.info("stage %s", plain)
             if plain == "build_dense_index":
                 self.dense_index(build=self.o.force)
+            if plain == "build_bm25":
+                self.bm25_index(build=self.o.force)
             for table in STAGES[plain]:
-                self.get(table, self.o.force or plain == "evaluate")  # what there is to judge may have grown
+                self.get(table, self.o.force or plain in ("evaluate", "audit"))  # what there is to judge may have grown
 
     def get(self, name: str, force: bool = False) -> DataFrame:
         """A table, built with those it needs unless it is complete."""
@@ -75,8 +81,8 @@ class Run:
         build, inputs, params = TABLES[name]
         for i in inputs:
             self.get(i)
-        wanted = {p: getattr(self.o, p) for p in params}
-        if not inputs:  # the sources' files are told by their contents
+        wanted = {p: FOUND[p](self) if p in FOUND else getattr(self.o, p) for p in params}
+        if not inputs and name != "audit":  # the sources' files are told by their contents
             wanted["files"] = [r["hash"] for p in (self.o.corpus_path, self.o.questions_path) for r in store.file_hashes(self.spark, p).orderBy("path").collect()]
         step = store.Stage(name, lambda _: build(self), wanted, inputs)
         rows = self.store.run(step, force and name not in self.built)
@@ -94,18 +100,25 @@ class Run:
             return best["k1"], best["b"]
         return self.o.bm25_k1, self.o.bm25_b
 
+    def dense_identity(self) -> dict:
+        return index.resolve_model(self.spark, self.o.dense_model, self.store.path("models/retriever"))
+
     def dense_index(self, build: bool = False) -> DataFrame:
-        """The chunks' vectors, from an index that this model made."""
-        path, identity = self.store.path("dense_index"), index.resolve_model(self.spark, self.o.dense_model, self.store.path("models/retriever"))
-        chunks = self.get("chunks")
-        try:
-            if not build:
-                return index.open_index(self.spark, path, identity)
-        except (FileNotFoundError, ValueError) as why:
-            log.info("the dense index is built: %s", why)
-        index.build(self.spark, chunks, path, identity)
+        """The chunks' vectors, from an index that this model made of these chunks."""
+        path, identity, chunks = self.store.path("dense_index"), self.dense_identity(), self.get("chunks")
+        step = store.Stage("dense_index", lambda _: chunks, identity, ("chunks",))
+        self.store.keep(step, lambda p: index.build(self.spark, chunks, p, identity, self.encode, self.o.dense_model), build and step.name not in self.built)
+        self.built.add(step.name)
         return index.open_index(self.spark, path, identity)
 
+    def bm25_index(self, build: bool = False) -> postings.Index:
+        """The articles' BM25 index."""
+        articles = self.get("articles")
+        step = store.Stage("bm25_index", lambda _: articles, {}, ("articles",))
+        path = self.store.keep(step, lambda p: postings.write(articles, p), build and step.name not in self.built)
+        self.built.add(step.name)
+        return postings.read(self.spark, path)
+
     def of(self, rows: DataFrame, *names: str) -> DataFrame:
         """Rows of questions in the splits."""
         return rows.join(self.get("splits").where(F.col("split").isin(*names)).select("qid"), "qid", "left_semi")
@@ -124,75 +137,131 @@ def _chunks(run: Run) -> DataFrame:
 
 
 def _questions(run: Run) -> DataFrame:
-    return corpus.read_questions(run.spark, run.o.questions_path, run.fields())
+    return corpus.read_questions(run.spark, run.o.questions_path, run.fields(), run.o.json_lines)
+
+
+def _splits(run: Run) -> DataFrame:
+    """The split of every question. A text that is in two splits raises."""
+    asked = run.get("questions")
+    rows = materialize(splits.assign(asked, run.o.ratios, run.o.seed), "assigned")
+    splits.require_disjoint_texts(asked, rows)
+    return rows
 
 
 def _tuning(run: Run) -> DataFrame:
     grid = [(k1, b) for k1 in run.o.bm25_k1_grid for b in run.o.bm25_b_grid]
-    return evaluate.tune_bm25(run.of(run.get("questions"), "train"), run.get("articles"), run.of(run.get("qrels"), "train"), grid, 20)
+    return evaluate.tune_bm25(run.of(run.get("questions"), "train"), run.get("articles"), run.of(run.get("qrels"), "train"), grid, 20, run.bm25_index())
 
 
 def _merged(run: Run) -> DataFrame:
     from dataclasses import replace
 
     k1, b = run.bm25()
-    return evaluate.retrieve(run.get("questions"), run.get("articles"), run.get("chunks"), run.get("qrels"), replace(run.plan, k1=k1, b=b), run.dense_index())
+    return evaluate.retrieve(run.get("questions"), run.get("articles"), run.get("chunks"), run.get("qrels"), replace(run.plan, k1=k1, b=b), run.dense_index(), run.bm25_index(), run.encode)
 
 
 def _mined(run: Run) -> DataFrame:
     asked = run.of(run.get("questions"), "train")
-    found = dense.search(dense.hash_vectors(asked, "qid", "question"), run.dense_index(), run.o.top_k)
+    found = dense.search(run.encode(asked, "qid", "question"), run.dense_index(), run.o.top_k)
     return negatives.mine(found, run.get("chunks"), run.get("qrels"))
 
 
 def _positive(run: Run) -> DataFrame:
-    asked = dense.hash_vectors(run.of(run.get("questions"), "train"), "qid", "question")
+    asked = run.encode(run.of(run.get("questions"), "train"), "qid", "question")
     return dense.positive_chunks(asked, run.get("qrels"), run.get("chunks"), run.dense_index(), run.o.positive_chunks_per_aid)
 
 
+def _tuned(run: Run) -> DataFrame:
+    """The pool under the weight that the validation split chose."""
+    best = run.get("hybrid_tuning").first()
+    return fusion.apply_hybrid(run.of(run.get("merged"), "router", "val", "test"), fixed=best["alpha"] if best else run.o.hybrid_alpha)
+
+
 def _ready(policy) -> Callable[[Run], DataFrame]:
     return lambda run: negatives.ready(run.get("positive_chunks"), negatives.draw(run.get("mined"), policy, run.o.seed), run.get("chunks"), run.get("questions"))
 
 
 def _reranked(run: Run) -> DataFrame:
     rows = run.get("hybrid_router").select("qid", "aid", "label", "hybrid_score")
-    return rerank.rerank(rows, run.get("chunks"), run.get("questions"), top_aids=run.o.candidate_top_k, top_chunks=run.o.candidate_top_k)
+    return rerank.rerank(rows, run.get("chunks"), run.get("questions"), top_aids=run.o.candidate_top_k, top_chunks=run.o.candidate_top_k, scorer=models.scorer(run.o.rerank_model))
+
+
+#: What is judged: a method's table, its score, and which of the table's rows are its own.
+METHODS = {
+    "bm25": ("merged", "bm25_score", "bm25_rank IS NOT NULL"), "dense": ("merged", "dense_score", "dense_rank IS NOT NULL"),
+    "hybrid_fixed": ("hybrid_fixed", "hybrid_score", "true"), "hybrid_tuned": ("hybrid_tuned", "hybrid_score", "true"), "hybrid_router": ("hybrid_router", "hybrid_score", "true"),
+    "reranked": ("reranked", "rerank_score_norm", "true"), "reranked_second": ("reranked_second", "second_score_norm", "true"), "reranked_qwen": ("reranked_qwen", "qwen_rerank_score", "true"),
+}
+
+
+def _audit(run: Run) -> DataFrame:
+    """(check, failures) over what the run has written; a check of a table that is not there is left out."""
+    there = lambda *names: all(run.store.marker(n).get("status") == "done" for n in names)
+    read, checks = run.store.read, {}
+    if there("splits"):
+        asked, parts, marks = read("questions"), read("splits"), read("qrels")
+        checks |= {"split_leaks": audit.split_leaks(asked, parts, marks), "split_coverage": splits.coverage(asked, parts)}
+        if there("chunks"):
+            checks["questions_in_corpus"] = audit.questions_in_corpus(asked, read("chunks"))
+        for name in ("mined", "retriever_rows", "reranker_rows", "triplets", "pairs"):
+            if there(name) and "qid" in read(name).columns:
+                checks[f"{name}_outside_train"] = audit.outside_split(read(name), parts)
+    if there("merged"):
+        merged = read("merged")
+        checks |= {"merged_duplicates": audit.duplicate_keys(merged, "qid", "aid"), "merged_too_many": audit.too_many(merged, 2 * run.o.top_k), "merged_labels": audit.wrong_labels(merged, read("qrels"))}
+        checks |= {f"merged_{n}": audit.wrong_norms(merged, n) for n in ("bm25_score_norm", "dense_score_norm")}
+    for name in ("hybrid_fixed", "hybrid_tuned", "hybrid_router"):
+        if there(name):
+            checks |= {f"{name}_formula": audit.wrong_hybrid(read(name)), f"{name}_outside_pool": audit.not_in(read(name), read("merged"), "qid", "aid")}
+    if there("retriever_rows"):
+        checks |= {"negatives_positive": audit.negatives_that_are_positive(read("retriever_rows"), read("qrels")), "positives_negative": audit.positives_that_are_not(read("retriever_rows"), read("qrels"))}
+    if there("router_labels"):
+        checks["alpha_convention"] = audit.alpha_convention(read("router_labels"))
+    if there("reranked"):
+        rows = read("reranked")
+        checks |= {"reranked_duplicates": audit.duplicate_keys(rows, "qid", "chunk_id"), "reranked_too_many": audit.too_many(rows, run.o.candidate_top_k), "reranked_texts": audit.empty_texts(rows, "question", "chunk_text"), "reranked_order": audit.wrong_order(rows, "rerank_score"), "reranked_outside_pool": audit.not_in(rows, read("merged"), "qid", "aid")}
+    if there("reranked", "reranked_second"):
+        checks["second_outside_first"] = audit.not_in(read("reranked_second"), read("reranked"), "qid", "chunk_id")
+    if not checks:
+        raise ValueError("nothing to audit: run a stage first")
+    return audit.failures(checks)
 
 
 def _metrics(run: Run) -> DataFrame:
     """Every method that there are rows of, judged over the splits that it covers."""
-    sources = {"hybrid_fixed": "hybrid_score", "hybrid_router": "hybrid_score", "reranked": "rerank_score_norm", "reranked_second": "second_score_norm", "reranked_qwen": "qwen_rerank_score"}
     judged = run.get("splits").where(F.col("split") != "train")
     asked, marks = run.get("questions").join(judged, "qid", "left_semi"), run.get("qrels").join(judged, "qid", "left_semi")
     out = None
-    for name, score in sources.items():
-        if run.store.marker(name).get("status") == "done":
-            part = evaluate.evaluate(run.store.read(name), score, asked, marks, judged, name)
+    for name, (table, score, rows) in METHODS.items():
+        if run.store.marker(table).get("status") == "done":
+            part = evaluate.evaluate(run.store.read(table).where(rows), score, asked, marks, judged, name)
             out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("nothing to evaluate: run a retrieval stage first")
     return out
 
 
+#: What a table's parameters stand for that is found in the run, not among its options.
+FOUND: dict[str, Callable[[Run], object]] = {"bm25_used": lambda run: list(run.bm25()), "dense_identity": lambda run: run.dense_identity()}
 #: How each table is built: from the run, after the tables named, under the options named.
 TABLES: dict[str, tuple[Callable[[Run], DataFrame], tuple[str, ...], tuple[str, ...]]] = {
-    "articles": (lambda run: corpus.read_articles(run.spark, run.o.corpus_path, run.fields()), (), ("corpus_law_id_field", "corpus_articles_field", "article_id_field", "article_text_field")),
+    "articles": (lambda run: corpus.read_articles(run.spark, run.o.corpus_path, run.fields(), run.o.json_lines), (), ("corpus_law_id_field", "corpus_articles_field", "article_id_field", "article_text_field")),
     "questions": (lambda run: _questions(run).select("qid", "question"), (), ("question_id_field", "question_text_field")),
     "qrels": (lambda run: _questions(run).select("qid", F.explode("relevant").alias("aid")).distinct(), (), ("question_id_field", "relevant_ids_field")),
     "chunks": (_chunks, ("articles",), ("max_chunk_tokens", "chunk_overlap_sentences", "max_chunks", "max_chunks_per_article")),
-    "splits": (lambda run: splits.assign(run.get("questions"), run.o.ratios, run.o.seed), ("questions",), ("train_ratio", "router_train_ratio", "val_ratio", "test_ratio", "seed")),
+    "leak_report": (lambda run: splits.leak_report(run.get("questions"), run.get("splits"), run.get("qrels")), ("questions", "splits", "qrels"), ()),
+    "splits": (_splits, ("questions",), ("train_ratio", "router_train_ratio", "val_ratio", "test_ratio", "seed")),
     "bm25_tuning": (_tuning, ("articles", "questions", "qrels", "splits"), ("bm25_k1_grid", "bm25_b_grid")),
-    "postings": (lambda run: lexical.postings(run.get("articles")), ("articles",), ()),
-    "bm25_terms": (lambda run: lexical.idf_table(run.get("postings"), lexical.stats(run.get("articles"))), ("articles", "postings"), ()),
-    "positive_chunks": (_positive, ("questions", "qrels", "chunks", "splits"), ("positive_chunks_per_aid", "dense_model")),
-    "mined": (_mined, ("questions", "qrels", "chunks", "splits"), ("top_k", "dense_model")),
+    "positive_chunks": (_positive, ("questions", "qrels", "chunks", "splits"), ("positive_chunks_per_aid", "dense_identity")),
+    "mined": (_mined, ("questions", "qrels", "chunks", "splits"), ("top_k", "dense_identity")),
     "retriever_rows": (_ready(negatives.RETRIEVER_POLICY), ("positive_chunks", "mined", "chunks", "questions"), ("seed",)),
     "reranker_rows": (_ready(negatives.RERANKER_POLICY), ("positive_chunks", "mined", "chunks", "questions"), ("seed",)),
     "triplets": (lambda run: negatives.triplets(run.get("retriever_rows")), ("retriever_rows",), ()),
     "pairs": (lambda run: negatives.pairwise(run.get("reranker_rows")), ("reranker_rows",), ()),
     "prompts": (lambda run: negatives.prompts(run.get("reranker_rows")), ("reranker_rows",), ()),
-    "merged": (_merged, ("questions", "articles", "chunks", "qrels"), ("top_k", "bm25_k1", "bm25_b", "use_tuned_bm25", "dense_model")),
+    "merged": (_merged, ("questions", "articles", "chunks", "qrels"), ("top_k", "bm25_k1", "bm25_b", "use_tuned_bm25", "bm25_used", "dense_identity")),
     "hybrid_tuning": (lambda run: evaluate.tune_hybrid(run.of(run.get("merged"), "val"), run.of(run.get("questions"), "val"), run.of(run.get("qrels"), "val"), list(run.o.alpha_grid)), ("merged", "questions", "qrels", "splits"), ("alpha_grid",)),
+    "hybrid_tuned": (_tuned, ("merged", "splits", "hybrid_tuning"), ("hybrid_alpha",)),
     "router_weights": (lambda run: run.router().weights, ("merged", "questions", "qrels", "splits"), ("hybrid_alpha",)),
     "router_labels": (lambda run: run.router().labels, ("merged", "questions", "qrels", "splits"), ("hybrid_alpha",)),
     "router_alphas": (lambda run: run.router().alphas, ("merged", "questions", "qrels", "splits"), ("hybrid_alpha",)),
@@ -202,5 +271,6 @@ TABLES: dict[str, tuple[Callable[[Run], DataFrame], tuple[str, ...], tuple[str,
     "reranked": (_reranked, ("hybrid_router", "chunks", "questions"), ("candidate_top_k", "rerank_model")),
     "reranked_second": (lambda run: rerank.second_stage(run.get("reranked"), run.o.llm_rerank_top_k), ("reranked",), ("llm_rerank_top_k",)),
     "reranked_qwen": (lambda run: rerank.by_hash(run.get("reranked"), run.o.candidate_top_k), ("reranked",), ("candidate_top_k", "qwen_model")),
+    "audit": (_audit, (), ()),
     "metrics": (_metrics, ("questions", "qrels", "splits"), ("use_llm_rerank", "use_qwen_rerank")),
 }

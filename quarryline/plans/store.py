@@ -97,5 +97,14 @@ class Store:
             write_json(self.spark, f"{self.path(stage.name)}.done/marker.json", marker)
         return self.read(stage.name)
 
+    def keep(self, stage: Stage, write: Callable[[str], None], force: bool = False) -> str:
+        """The path of what write() puts there, several tables maybe, written unless its marker says that it is complete."""
+        path = self.path(stage.name)
+        if force or not self.is_complete(stage):
+            write(path)
+            marker = self.expected(stage) | {"format": "folder", "created_at": datetime.now(UTC).isoformat(), "status": "done"}
+            write_json(self.spark, f"{path}.done/marker.json", marker)
+        return path
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))

@@ -1,16 +1,13 @@
-"""Runs by options and stages, the dense index's identity, later rerank stages, the router's plan and the HTTP face."""
+"""Runs by options and stages, the dense index's identity, later rerank stages, the router's plan and one question at a time."""
 
 import json
-import threading
-import urllib.error
-import urllib.request
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quarryline.operators import audit, metrics, rerank, router, splits
-from quarryline.plans import evaluate, index, options, serve, stages, store
+from quarryline.plans import evaluate, index, options, stages, store
 
 NAMES = ["--dataset_name", "tiny", "--corpus_path", "c.json", "--questions_path", "q.json"]
 
@@ -55,7 +52,11 @@ def test_a_run_builds_all_its_tables_once(spark, sources, tmp_path):
     assert run.get("articles").count() == 30 and run.get("chunks").count() > 60 and run.get("qrels").count() == 30
     assert {r["split"]: r["count"] for r in run.get("splits").groupBy("split").count().collect()} == {"train": 12, "router": 6, "val": 6, "test": 6}
     found = run.get("metrics")
-    assert {r["method"] for r in found.select("method").distinct().collect()} == {"hybrid_fixed", "hybrid_router", "reranked", "reranked_second"}
+    assert {r["method"] for r in found.select("method").distinct().collect()} == {"bm25", "dense", "hybrid_fixed", "hybrid_tuned", "hybrid_router", "reranked", "reranked_second"}
+    run.stage("audit")
+    checks = {r["check"]: r["failures"] for r in run.get("audit").collect()}
+    assert len(checks) > 20 and {n for n, k in checks.items() if k} <= {"questions_in_corpus"}
+    assert run.store.read("leak_report").where("kind <> 'aid'").count() == 0
     assert found.where("metric = 'recall@10' AND method = 'hybrid_fixed'").agg(F.min("value")).first()[0] == 1.0
     assert run.get("prompts").count() == run.get("pairs").count() > 0
     before = run.store.marker("merged")["created_at"]
@@ -65,6 +66,12 @@ def test_a_run_builds_all_its_tables_once(spark, sources, tmp_path):
     other = stages.Run(spark, options.parse(["--stage", "retrieve_cache", *flags, "--bm25_k1", "2.0"]))
     other.stage("retrieve_cache")
     assert other.store.marker("merged")["created_at"] != before
+    # Tuning that moves the parameters, or vectors of other chunks, makes the pool stale.
+    tuned = stages.Run(spark, options.parse(["--stage", "tune_bm25", *flags, "--bm25_k1_grid", "2.5", "--bm25_b_grid", "0.1"]))
+    tuned.stage("tune_bm25")
+    stale = tuned.store.marker("merged")["created_at"]
+    tuned.stage("retrieve_cache")
+    assert tuned.bm25() == (2.5, 0.1) and tuned.store.marker("merged")["created_at"] != stale
     assert not run.store.marker("reranked_qwen")
     with pytest.raises(ValueError, match="max_chunks"):
         stages.Run(spark, options.parse(["--stage", "prepare_data", *flags, "--max_chunks", "3"])).stage("prepare_data")
@@ -142,24 +149,44 @@ def test_pool_statistics(spark):
     assert tuple(metrics.label_stats(rows, "s", "n").first()) == (3, 1, 2, 2, 0.1, 0.5, 0.0, 1.0)
 
 
-def test_http(spark):
+def test_one_question_from_stored_tables(spark, tmp_path):
+    from quarryline.operators import dense, postings
+
     articles = spark.createDataFrame([("1", "l", "apples grow on trees"), ("2", "l", "fish swim in rivers")], "aid string, law_id string, text string")
     chunks = evaluate.chunk_table(articles)
-    live = serve.server(serve.searcher(spark, articles, chunks, config=evaluate.Config(top_k=5)))
-    threading.Thread(target=live.serve_forever, daemon=True).start()
-    base = f"http://127.0.0.1:{live.server_port}"
-    try:
-        assert b"<form" in urllib.request.urlopen(base + "/").read()
-
-        def post(body: bytes, kind: str):
-            return json.loads(urllib.request.urlopen(urllib.request.Request(base + "/api/search", body, {"Content-Type": kind})).read())
-
-        answer = post(json.dumps({"question": "where do fish swim", "top_k": 1}).encode(), "application/json")
-        assert [r["aid"] for r in answer["results"]] == ["2"] and answer["results"][0]["excerpt"].startswith("fish")
-        assert len(post(b"question=apples+trees&top_k=x", "application/x-www-form-urlencoded")["results"]) == 2
-        for path, body, status in (("/other", None, 404), ("/other", b"", 404), ("/api/search", b"question=", 500)):
-            with pytest.raises(urllib.error.HTTPError) as caught:
-                urllib.request.urlopen(base + path, body)
-            assert caught.value.code == status
-    finally:
-        live.shutdown()
+    postings.write(articles, str(tmp_path / "index"))
+    search = evaluate.searcher(spark, articles, chunks, dense.hash_vectors(chunks, "chunk_id", "text"), postings.read(spark, str(tmp_path / "index")), config=evaluate.Config(top_k=5))
+    answer = search(" where do fish swim ", 1)
+    assert answer["query"] == "where do fish swim" and [r["aid"] for r in answer["results"]] == ["2"] and answer["results"][0]["excerpt"].startswith("fish")
+    assert [r["rank"] for r in search("apples trees", 99)["results"]] == [1, 2]
+    with pytest.raises(ValueError, match="empty"):
+        search("  ")
+
+
+def test_running_sums_over_ranges(spark):
+    from quarryline.operators.prefix import running_sums
+
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("x"), (F.col("id") % 5).alias("v"), F.when(F.col("id") % 2 == 0, 1.5).alias("w"))
+    got = {r["x"]: (r["a"], r["b"]) for r in running_sums(df, [F.desc("x")], {"a": "v", "b": "w"}, 100).collect()}
+    rows, a, b = sorted((tuple(r) for r in df.collect()), reverse=True), 0, 0.0
+    for x, v, w in rows:
+        a, b = a + v, b + (w or 0)
+        assert got[x] == (a, b)
+    assert running_sums(df.limit(0), [F.desc("x")], {"a": "v"}).count() == 0
+
+
+def test_texts_in_two_splits_are_refused(spark, sources, tmp_path):
+    import shutil
+
+    asked = json.loads((sources / "q.json").read_text())
+    for r in asked:
+        r["question"] = "  THE same  question "
+    (tmp_path / "q.json").write_text(json.dumps(asked))
+    shutil.copy(sources / "c.json", tmp_path / "c.json")
+    flags = ["--stage", "split", "--dataset_name", "same", "--corpus_path", f"{tmp_path}/c.json", "--questions_path", f"{tmp_path}/q.json", "--output_dir", str(tmp_path)]
+    with pytest.raises(ValueError, match="cross splits"):
+        stages.Run(spark, options.parse(flags)).stage("split")
+    with pytest.raises(ValueError, match="no encoder named 'other'"):
+        stages.Run(spark, options.parse([*flags, "--dense_model", "other"]))
+    with pytest.raises(ValueError, match="no scorer named 'other'"):
+        stages.Run(spark, options.parse([*flags, "--rerank_model", "other"]))

@@ -18,7 +18,7 @@ def test_contained_by_all_three_ways(spark, monkeypatch):
     asked = spark.createDataFrame([(1, "ne two three four five six seven eight nine ten el"), (2, "cat"), (3, "cat sat"), (4, ""), (5, "dog"), (6, "a"), (7, "cate")], "qid int, question string")
     want = sorted((q, a) for q, x in [(r["qid"], r["question"]) for r in asked.collect()] for a, t in [(r["aid"], r["text"]) for r in texts.collect()] if x in t)
     assert values(corpus.contained(asked, texts), "qid", "aid") == want
-    monkeypatch.setattr(corpus, "BROADCAST_SHORT", 1)
+    monkeypatch.setattr(corpus, "AUTOMATON_BYTES", 1)
     assert values(corpus.contained(asked, texts), "qid", "aid") == want
     assert corpus.contained(asked.where("qid = 1"), texts).count() == 1
     assert corpus.contained(asked.limit(0), texts).count() == 0
@@ -32,6 +32,31 @@ def test_nested_json(spark, tmp_path):
     assert values(got, "qid", "question", "relevant") == [("1", "a", ["1", "z"]), ("2", "", ["7"]), ("3", "c", [])]
 
 
+@pytest.mark.parametrize("text", ['[{"qid": 1, "question": "a"}, {"qid": 2, "ques', '{"qid": 1, "question": "a"}', ' \n {"qid": 1}\n', '[{"qid": 1}, nonsense]', '"a"'])
+def test_what_is_no_list_of_objects_raises(spark, tmp_path, text):
+    (tmp_path / "x.json").write_text(text)
+    for read in (corpus.read_questions, corpus.read_articles):
+        with pytest.raises(Exception, match="not a list|MALFORMED|FAILED_READ|parsing"):
+            read(spark, str(tmp_path / "x.json")).collect()
+
+
+def test_lines_and_lists_of_objects(spark, tmp_path):
+    (tmp_path / "a.json").write_text('\n\n  [{"qid": 1, "question": "a", "relevant_laws": ["x"]},\n {"qid": 2}]\n')
+    (tmp_path / "b.json").write_text("[]")
+    assert values(corpus.read_questions(spark, str(tmp_path)), "qid", "question", "relevant") == [("1", "a", ["x"]), ("2", "", [])]
+    (tmp_path / "c.jsonl").write_text('{"qid": 1, "question": "a", "relevant_laws": ["x"]}\n{"qid": 2}\n')
+    assert values(corpus.read_questions(spark, str(tmp_path / "c.jsonl"), lines=True), "qid", "question", "relevant") == [("1", "a", ["x"]), ("2", "", [])]
+    (tmp_path / "d.jsonl").write_text('{"qid": 1, "question": "a"\n{"qid": 2}\n')
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ|parsing"):
+        corpus.read_questions(spark, str(tmp_path / "d.jsonl"), lines=True).collect()
+
+
+def test_contained_shuffles_no_text_by_gram(spark):
+    texts = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve")], "aid int, text string")
+    asked = spark.createDataFrame([(1, "two three four five six seven eight nine ten eleven"), (2, "two three four five six seven eight nine ten twelve"), (3, None)], "qid int, question string")
+    assert values(corpus.contained(asked, texts), "qid", "aid") == [(1, 1)]
+
+
 def test_lines_tables_and_splits(spark, tmp_path):
     rows = spark.createDataFrame([(1, None, "ü"), (2, "x", 'a "quoted"\nline')], "qid int, n string, question string")
     corpus.write_jsonl(rows, str(tmp_path / "l"))
