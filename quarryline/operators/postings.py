@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from quarryline.operators.lexical import B, K1, best, entries, query_terms, term_score
 from quarryline.session import materialize
 
-BUCKETS = 64
+#: Buckets of terms: one for so many articles, between these.
+BUCKET_ARTICLES, LEAST_BUCKETS, MOST_BUCKETS = 20_000, 8, 1024
 #: Articles in a block and in a part of blocks that one task builds, about.
 WIDTH, PART = 256, 1 << 20
 #: Articles that a question's first terms have to meet, as a multiple of k, and the terms that are named to the scan at most.
@@ -40,7 +41,7 @@ ROUNDS = 3
 MARGIN = 1e-7
 
 
-def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
+def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
@@ -63,7 +64,7 @@ class Index:
         return table.where(F.col("bucket").isin(folders) & F.col("term").isin(names))
 
 
-def write(articles: DataFrame, path: str, buckets: int = BUCKETS, width: int = WIDTH) -> None:
+def write(articles: DataFrame, path: str, buckets: int | None = None, width: int = WIDTH) -> None:
     """Build the index of articles (aid, text) below path, over what is there."""
     spark = articles.sparkSession
     rows = entries(articles).withColumn("hash", F.xxhash64("aid"))
@@ -71,6 +72,7 @@ def write(articles: DataFrame, path: str, buckets: int = BUCKETS, width: int = W
     rows = spark.read.parquet(f"{path}/documents")
     n = rows.count()
     count, parts = max(1, -(-n // width)), max(1, -(-n // PART))
+    buckets = buckets or min(MOST_BUCKETS, max(LEAST_BUCKETS, n // BUCKET_ARTICLES))
     block = F.pmod("hash", F.lit(count))
     posts = rows.select(block.alias("block"), "aid", "dl", F.explode("entries").alias("e"))
     posts = posts.select("block", "aid", "dl", "e.term", "e.tf", bucket_of(F.col("e.term"), buckets).alias("bucket"), F.pmod("block", F.lit(parts)).alias("part"))

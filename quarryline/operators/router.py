@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import clamp01, sigmoid, terms
+from quarryline.operators import linear
 from quarryline.operators.metrics import per_question
+from quarryline.operators.prefix import running_sums
+from quarryline.session import materialize
 
 #: Scale of the label's sigmoid and the weights of its metrics (fixed values).
 LABEL_SCALE = 0.2
-#: Cells (question, term) that training collects, at most.
-MAX_CELLS = 10_000_000
 LABEL_WEIGHTS = (("recall@50", 0.2), ("recall@20", 0.6), ("ndcg@20", 0.2))
 
 
@@ -42,46 +44,20 @@ def tfidf(questions: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def fit_ridge(features: DataFrame, labels: DataFrame, ridge: float = 1.0) -> DataFrame:
-    """(term, weight), with the intercept under a null term: ridge regression, intercept not penalised.
-
-    Solved on the driver in the dual by conjugate gradients over the sparse cells, so memory grows with the cells of the
-    labelled questions: more than MAX_CELLS raise before they are collected."""
-    import pyarrow.compute as pc
-
+    """(term, weight), with the intercept under a null term: ridge regression, intercept not penalised. The cells stay in
+    Spark; terms are numbered in order, and linear.least_squares() finds the weights from sums over the questions."""
     cells = features.join(labels.select("qid", "alpha"), "qid")
-    if (n_cells := cells.count()) > MAX_CELLS:
-        raise ValueError(f"{n_cells} cells of labelled questions are over the bound of {MAX_CELLS}: train on a smaller router split")
-    marks = labels.select("qid", "alpha").orderBy("qid").toArrow()
-    held = cells.select("qid", "term", "value").toArrow()
-    y = marks.column("alpha").to_numpy().astype(float)
-    row = pc.index_in(held.column("qid"), marks.column("qid").combine_chunks()).to_numpy()
-    coded = pc.dictionary_encode(held.column("term")).combine_chunks()
-    coded = coded if not hasattr(coded, "chunks") else coded.chunk(0)
-    vocab, col, value = coded.dictionary.to_pylist(), coded.indices.to_numpy(), held.column("value").to_numpy()
-    n, k = len(y), len(vocab)
-    mean = np.bincount(col, weights=value, minlength=k) / max(n, 1)
-
-    def down(z: np.ndarray) -> np.ndarray:  # the centred matrix's transpose times z
-        return np.bincount(col, weights=value * z[row], minlength=k) - mean * z.sum()
-
-    def up(w: np.ndarray) -> np.ndarray:
-        return np.bincount(row, weights=value * w[col], minlength=n) - mean @ w
-
-    z = np.zeros(n)
-    if n:
-        rest = y - y.mean()
-        step, size = rest.copy(), rest @ rest
-        for _ in range(10 * n + 10):
-            if size <= 1e-28 * max(1.0, y @ y):
-                break
-            ahead = up(down(step)) + ridge * step
-            far = size / (step @ ahead)
-            z, rest = z + far * step, rest - far * ahead
-            size, before = rest @ rest, size
-            step = rest + size / before * step
-    w = down(z)
-    bias = float(y.mean() - mean @ w) if n else 0.0
-    return features.sparkSession.createDataFrame([*sorted((t, float(v)) for t, v in zip(vocab, w, strict=True)), (None, bias)], "term string, weight double")
+    numbered = running_sums(cells.select("term", F.lit(1).alias("one")).distinct(), [F.asc("term")], {"number": "one"})
+    numbered = materialize(numbered.select("term", (F.col("number") - 1).alias("col")), "numbered")
+    lists = cells.join(numbered, "term").groupBy("qid").agg(F.collect_list(F.struct("col", "value")).alias("x"))  # one question's terms
+    none = F.array().cast("array<struct<col:bigint,value:double>>")
+    rows = labels.select("qid", "alpha").join(lists, "qid", "left").withColumn("x", F.coalesce("x", none))
+    rows = materialize(rows.select(F.col("alpha").cast("double").alias("y"), F.col("x.col").alias("cols"), F.col("x.value").alias("values")), "ridge_rows")
+    n = numbered.count()
+    found = linear.least_squares(rows, n, ridge) if not rows.isEmpty() else np.zeros(n + 1)
+    weights = features.sparkSession.createDataFrame(pa.table({"col": pa.array(range(n), pa.int64()), "weight": found[:-1]}))
+    bias = features.sparkSession.createDataFrame([(None, float(found[-1]))], "term string, weight double")
+    return numbered.join(weights, "col").select("term", "weight").unionByName(bias)
 
 
 def predict(features: DataFrame, questions: DataFrame, weights: DataFrame) -> DataFrame:

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as tx
-from quarryline.operators import audit, dense, fusion, lexical, metrics, negatives, rerank, router, splits
+from quarryline.operators import audit, dense, fusion, lexical, metrics, negatives, pair_scorer, postings, rerank, router, splits
 from quarryline.plans import evaluate
 from quarryline.plans.evaluate import chunk_table
-from quarryline.session import ensure_importable, materialize, table
+from quarryline.session import ensure_importable, materialize, shared_path, table
 from quarryline.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,6 +153,9 @@ _WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 _TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 
 
+_SENTENCES = rf"list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?。！？]){_WS}+', '\1' || chr(10), 'g'), '\n+', chr(10), 'g'), chr(10)), lambda y: regexp_replace(y, '^{_WS}+|{_WS}+$', '', 'g')), lambda y: y <> '')"
+
+
 def _words(c: str) -> str:
     return f"list_filter(string_split_regex({c}, '{_WS}+'), lambda x: x <> '')"
 
@@ -309,7 +312,7 @@ def term_idf(s, d):
     return lexical.idf_table(lexical.postings(a), lexical.stats(a)).select("term", "df", r6("idf"))
 
 
-@query(rf"SELECT aid, (i - 1)::INTEGER AS pos, x[i] AS sentence FROM (SELECT aid, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT aid, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?。！？]){_WS}+', '\1' || chr(10), 'g'), '\n+', chr(10), 'g'), chr(10)), lambda y: regexp_replace(y, '^{_WS}+|{_WS}+$', '', 'g')), lambda y: y <> '') AS x FROM art))")
+@query(rf"SELECT aid, (i - 1)::INTEGER AS pos, x[i] AS sentence FROM (SELECT aid, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT aid, {_SENTENCES} AS x FROM art))")
 def sentence_split(s, d):
     return corpus.articles(s, d).select("aid", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
 
@@ -319,9 +322,22 @@ def word_window_chunks(s, d):
     return word_chunks(s, d).select("chunk_id", "aid", "chunk_index", "text")
 
 
-@query()
+_MOST = DEPTH.max_tokens
+
+
+@query(rf"""SELECT aid::VARCHAR || '::chunk_' || chunk_index AS chunk_id, aid::VARCHAR AS aid, law_id, chunk_index, len({_words('text')}) > {_MOST} AS oversize, text FROM (
+ WITH RECURSIVE wide AS (SELECT aid, text, len({_words('text')}) AS n FROM art),
+ sent AS (SELECT aid, i, x[i] AS p, {_words('x[i]')} AS w FROM (SELECT aid, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT aid, {_SENTENCES} AS x FROM wide WHERE n > {_MOST}))),
+ cut AS (SELECT aid, i, j, CASE WHEN len(w) <= {_MOST} THEN p ELSE array_to_string(w[j * {_MOST} + 1 : (j + 1) * {_MOST}], ' ') END AS p FROM (SELECT *, unnest(range(greatest(1, ceil(len(w) / {_MOST}.0)::BIGINT))) AS j FROM sent)),
+ part AS (SELECT aid, row_number() OVER (PARTITION BY aid ORDER BY i, j) AS i, p, len({_words('p')}) AS k FROM cut),
+ fold(aid, i, cur, n, closed) AS (SELECT aid, i, [p], k, NULL::VARCHAR FROM part WHERE i = 1
+  UNION ALL SELECT part.aid, part.i, CASE WHEN n + k > {_MOST} THEN [cur[-1], p] ELSE list_append(cur, p) END, CASE WHEN n + k > {_MOST} THEN len({_words('cur[-1]')}) + k ELSE n + k END, CASE WHEN n + k > {_MOST} THEN array_to_string(cur, ' ') END
+  FROM fold JOIN part ON part.aid = fold.aid AND part.i = fold.i + 1),
+ made AS (SELECT aid, i, closed AS text FROM fold WHERE closed IS NOT NULL UNION ALL SELECT aid, max(i) + 1, array_to_string(arg_max(cur, i), ' ') FROM fold GROUP BY aid
+  UNION ALL SELECT aid, 1, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') FROM wide WHERE n BETWEEN 1 AND {_MOST})
+ SELECT aid, (row_number() OVER (PARTITION BY aid ORDER BY i) - 1)::INTEGER AS chunk_index, text FROM made) JOIN (SELECT aid, law_id FROM art) USING (aid)""")
 def chunk_docs(s, d):
-    """Sentence chunks with overlap: a fold that SQL lacks; tests compare its two forms."""
+    """Sentence chunks with overlap; tests compare the two forms of the fold."""
     return chunk_table(corpus.articles(s, d)).select("chunk_id", "aid", "law_id", "chunk_index", "oversize", "text")
 
 
@@ -355,11 +371,22 @@ def bm25_topk(s, d):
     return fusion.with_labels(found, qrels(s, d)).select("qid", "aid", "rank", r6("bm25_score"), "label")
 
 
-@query(f"SELECT qid, aid, rank::INTEGER AS rank, round(bm25_score, 6) AS bm25_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bm25_score, 9) DESC, aid) AS rank FROM (SELECT qs.qid, art.aid, coalesce(bm25_score, 0.0)::DOUBLE AS bm25_score FROM qs CROSS JOIN art LEFT JOIN bm ON bm.qid = qs.qid AND bm.aid = art.aid)) WHERE rank <= 100")
+_ZERO_FILL = f"SELECT qid, aid, rank::INTEGER AS rank, round(bm25_score, 6) AS bm25_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bm25_score, 9) DESC, aid) AS rank FROM (SELECT qs.qid, art.aid, coalesce(bm25_score, 0.0)::DOUBLE AS bm25_score FROM qs CROSS JOIN art LEFT JOIN bm ON bm.qid = qs.qid AND bm.aid = art.aid)) WHERE rank <= 100"
+
+
+@query(_ZERO_FILL)
 def bm25_zero_fill(s, d):
     return lexical.search(corpus.questions(s, d), corpus.articles(s, d), 100).select("qid", "aid", "rank", r6("bm25_score"))
 
 
+@query(_ZERO_FILL)
+def bm25_index_search(s, d):
+    """The same through a stored index, which it writes first."""
+    path = shared_path(s, "bm25-index")
+    postings.write(corpus.articles(s, d), path)
+    return postings.search(corpus.questions(s, d), postings.read(s, path), 100).select("qid", "aid", "rank", r6("bm25_score"))
+
+
 @query("SELECT qid, aid, rank::INTEGER AS rank, label, round(bm25_score, 6) AS bm25_score, round(bm25_score_norm, 6) AS bm25_score_norm FROM bmn")
 def bm25_minmax_label(s, d):
     return pool_bm25(s, d).select("qid", "aid", "rank", "label", r6("bm25_score"), r6("bm25_score_norm"))
@@ -611,6 +638,16 @@ def triplets(s, d):
     return negatives.triplets(passages(s, d)).select("qid", "query", "positive", "negative", "positive_chunk_id", "negative_chunk_id")
 
 
+@query()
+def pair_scores(s, d):
+    """Every training pair scored by a model of the pairs of other questions: SQL has no such model, tests hold it to a
+    margin on questions that it has not seen."""
+    rows = negatives.pairwise(passages(s, d)).withColumn("held_out", F.crc32(F.col("qid").cast("string").cast("binary")) % 4 == 2)
+    score = pair_scorer.scorer(pair_scorer.train(rows.where("NOT held_out")))
+    scored = score(rows.withColumnsRenamed({"query": "question", "doc": "chunk_text"}))
+    return scored.select("qid", "chunk_id", "aid", "label", "held_out", r6("rerank_score"))
+
+
 @query("SELECT qid, query, text AS doc, chunk_id, aid, label FROM pa")
 def pairwise(s, d):
     return negatives.pairwise(passages(s, d))

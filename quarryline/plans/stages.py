@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.operators import audit, dense, fusion, negatives, postings, rerank, splits
+from quarryline.operators import audit, dense, fusion, negatives, pair_scorer, postings, rerank, splits
 from quarryline.plans import evaluate, index, models, store
 from quarryline.plans.options import Options
 from quarryline.session import ensure_importable, materialize
@@ -16,7 +16,7 @@ from quarryline.sources import corpus
 
 log = logging.getLogger("quarryline")
 
-#: Stages and the tables that they write. Training of models on GPUs has no stage here.
+#: Stages and the tables that they write. Training on GPUs has no stage here; train_reranker needs none.
 STAGES: dict[str, tuple[str, ...]] = {
     "prepare_data": ("articles", "questions", "qrels", "chunks"),
     "split": ("splits", "leak_report"),
@@ -25,6 +25,7 @@ STAGES: dict[str, tuple[str, ...]] = {
     "build_dense_index": (),
     "mine_hard_negatives": ("positive_chunks", "mined"),
     "sample_negatives": ("retriever_rows", "reranker_rows", "triplets", "pairs", "prompts"),
+    "train_reranker": ("pair_scorer",),
     "retrieve_cache": ("merged",),
     "tune_hybrid": ("hybrid_tuning", "hybrid_tuned"),
     "train_router": ("router_weights", "router_labels", "router_alphas", "hybrid_fixed", "hybrid_router", "router_metrics"),
@@ -39,6 +40,8 @@ COMPOSITES = {
     "prepare_training_data": ("prepare_data", "split", "build_dense_index", "mine_hard_negatives", "sample_negatives"),
     "all": ("prepare_data", "split", "tune_and_build_bm25", "build_dense_index", "mine_hard_negatives", "sample_negatives", "retrieve_cache", "tune_hybrid", "train_router", "rerank_bge", "rerank_llm", "rerank_qwen", "evaluate"),
 }
+#: The scorer that a run trains on its own pairs: --rerank_model trained.
+TRAINED = "trained"
 #: Stages that run only where an option asks for them.
 OPTIONAL = {"rerank_llm": "use_llm_rerank", "rerank_qwen": "use_qwen_rerank"}
 
@@ -56,7 +59,8 @@ class Run:
         )
         self.encode = models.encoder(options.dense_model)
         for name in (options.rerank_model, options.qwen_model):
-            models.scorer(name)
+            if name != TRAINED:
+                models.scorer(name)
         self.built: set[str] = set()
         self.fitted: evaluate.Router | None = None
 
@@ -100,6 +104,13 @@ class Run:
             return best["k1"], best["b"]
         return self.o.bm25_k1, self.o.bm25_b
 
+    def trained_scorer(self) -> str:
+        """What the trained scorer was made of, where it is the one to use."""
+        if self.o.rerank_model != TRAINED:
+            return ""
+        self.get("pair_scorer")
+        return self.store.marker("pair_scorer")["input_hash"]
+
     def dense_identity(self) -> dict:
         return index.resolve_model(self.spark, self.o.dense_model, self.store.path("models/retriever"))
 
@@ -183,7 +194,7 @@ def _ready(policy) -> Callable[[Run], DataFrame]:
 
 def _reranked(run: Run) -> DataFrame:
     rows = run.get("hybrid_router").select("qid", "aid", "label", "hybrid_score")
-    return rerank.rerank(rows, run.get("chunks"), run.get("questions"), top_aids=run.o.candidate_top_k, top_chunks=run.o.candidate_top_k, scorer=models.scorer(run.o.rerank_model))
+    return rerank.rerank(rows, run.get("chunks"), run.get("questions"), top_aids=run.o.candidate_top_k, top_chunks=run.o.candidate_top_k, scorer=pair_scorer.scorer(run.get("pair_scorer")) if run.o.rerank_model == TRAINED else models.scorer(run.o.rerank_model))
 
 
 #: What is judged: a method's table, its score, and which of the table's rows are its own.
@@ -242,7 +253,7 @@ def _metrics(run: Run) -> DataFrame:
 
 
 #: What a table's parameters stand for that is found in the run, not among its options.
-FOUND: dict[str, Callable[[Run], object]] = {"bm25_used": lambda run: list(run.bm25()), "dense_identity": lambda run: run.dense_identity()}
+FOUND: dict[str, Callable[[Run], object]] = {"bm25_used": lambda run: list(run.bm25()), "dense_identity": lambda run: run.dense_identity(), "trained_scorer": lambda run: run.trained_scorer()}
 #: How each table is built: from the run, after the tables named, under the options named.
 TABLES: dict[str, tuple[Callable[[Run], DataFrame], tuple[str, ...], tuple[str, ...]]] = {
     "articles": (lambda run: corpus.read_articles(run.spark, run.o.corpus_path, run.fields(), run.o.json_lines), (), ("corpus_law_id_field", "corpus_articles_field", "article_id_field", "article_text_field")),
@@ -258,6 +269,7 @@ TABLES: dict[str, tuple[Callable[[Run], DataFrame], tuple[str, ...], tuple[str,
     "reranker_rows": (_ready(negatives.RERANKER_POLICY), ("positive_chunks", "mined", "chunks", "questions"), ("seed",)),
     "triplets": (lambda run: negatives.triplets(run.get("retriever_rows")), ("retriever_rows",), ()),
     "pairs": (lambda run: negatives.pairwise(run.get("reranker_rows")), ("reranker_rows",), ()),
+    "pair_scorer": (lambda run: pair_scorer.train(run.get("pairs")), ("pairs",), ()),
     "prompts": (lambda run: negatives.prompts(run.get("reranker_rows")), ("reranker_rows",), ()),
     "merged": (_merged, ("questions", "articles", "chunks", "qrels"), ("top_k", "bm25_k1", "bm25_b", "use_tuned_bm25", "bm25_used", "dense_identity")),
     "hybrid_tuning": (lambda run: evaluate.tune_hybrid(run.of(run.get("merged"), "val"), run.of(run.get("questions"), "val"), run.of(run.get("qrels"), "val"), list(run.o.alpha_grid)), ("merged", "questions", "qrels", "splits"), ("alpha_grid",)),
@@ -268,7 +280,7 @@ TABLES: dict[str, tuple[Callable[[Run], DataFrame], tuple[str, ...], tuple[str,
     "hybrid_fixed": (lambda run: fusion.apply_hybrid(run.of(run.get("merged"), "router", "val", "test"), fixed=run.o.hybrid_alpha), ("merged", "splits"), ("hybrid_alpha",)),
     "hybrid_router": (lambda run: fusion.apply_hybrid(run.of(run.get("merged"), "router", "val", "test"), run.get("router_alphas"), run.o.hybrid_alpha), ("merged", "router_alphas", "splits"), ("hybrid_alpha",)),
     "router_metrics": (lambda run: run.router().diagnostics, ("merged", "questions", "qrels", "splits"), ("hybrid_alpha",)),
-    "reranked": (_reranked, ("hybrid_router", "chunks", "questions"), ("candidate_top_k", "rerank_model")),
+    "reranked": (_reranked, ("hybrid_router", "chunks", "questions"), ("candidate_top_k", "rerank_model", "trained_scorer")),
     "reranked_second": (lambda run: rerank.second_stage(run.get("reranked"), run.o.llm_rerank_top_k), ("reranked",), ("llm_rerank_top_k",)),
     "reranked_qwen": (lambda run: rerank.by_hash(run.get("reranked"), run.o.candidate_top_k), ("reranked",), ("candidate_top_k", "qwen_model")),
     "audit": (_audit, (), ()),

@@ -46,7 +46,7 @@ def sources(tmp_path_factory):
 
 def test_a_run_builds_all_its_tables_once(spark, sources, tmp_path):
     flags = ["--dataset_name", "tiny", "--corpus_path", f"{sources}/c.json", "--questions_path", f"{sources}/q.json", "--output_dir", str(tmp_path)]
-    flags += ["--train_ratio", "0.4", "--router_train_ratio", "0.2", "--val_ratio", "0.2", "--test_ratio", "0.2", "--use_llm_rerank", "true", "--max_chunk_tokens", "12", "--top_k", "20"]
+    flags += ["--rerank_model", "trained", "--train_ratio", "0.4", "--router_train_ratio", "0.2", "--val_ratio", "0.2", "--test_ratio", "0.2", "--use_llm_rerank", "true", "--max_chunk_tokens", "12", "--top_k", "20"]
     run = stages.Run(spark, options.parse(["--stage", "all", *flags]))
     run.stage("all")
     assert run.get("articles").count() == 30 and run.get("chunks").count() > 60 and run.get("qrels").count() == 30

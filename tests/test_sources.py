@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.operators import negatives, router, splits
+from quarryline.operators import linear, negatives, router, splits
 from quarryline.sources import corpus
 
 
@@ -87,9 +87,9 @@ def test_training_rows_nested_capped_and_held_out(spark):
 
 
 def test_ridge_checks_its_bound(spark, monkeypatch):
-    monkeypatch.setattr(router, "MAX_CELLS", 3)
     f = spark.createDataFrame([(i, f"t{i}", 1.0) for i in range(4)], "qid int, term string, value double")
     marks = spark.createDataFrame([(i, 0.1 * i) for i in range(4)], "qid int, alpha double")
+    monkeypatch.setattr(linear, "MAX_COLUMNS", 4)
     with pytest.raises(ValueError, match="bound"):
         router.fit_ridge(f, marks)
     assert router.fit_ridge(f.where("qid < 0"), marks.where("qid < 0")).collect()[0]["weight"] == 0.0
