@@ -7,12 +7,13 @@ by the query's length and the longest vector of a bucket it is the local cosine
 bucket, and all shorter ones, are pruned by length; a query whose threshold lies above all that is left takes no part in
 further rounds. Within a chunk, buckets of BUCKET vectors are pruned alike, and where the local threshold is high,
 coordinate pruning keeps the vectors whose coordinate at the query's largest one lies in the feasible interval. The
-products of what is left are verified. Blocks of queries meet chunks, at most BLOCKS_A_TASK for one chunk in a task, and
+products of what is left are verified. Where it is lower, the first HEAD of the coordinates are multiplied; they and the lengths
+of the rests bound the product, and only pairs whose bound reaches the threshold are multiplied to the end. Blocks of queries meet chunks, at most BLOCKS_A_TASK for one chunk in a task, and
 their top lists are merged by an aggregation that keeps k entries.
 
 Nulls: vectors that are null or hold null or non-finite components, and rows with null id, take no part. Vectors of
 different dimension are never compared. Rows that share the query's id are its own. Ties go to the smaller id.
-Repeated rows count once each. An empty table gives no rows. Other columns of the input are ignored. Products beyond 64
+Repeated rows count once each; query rows that share an id are one query, whose k best are taken over all their products. An empty table gives no rows. Other columns of the input are ignored. Products beyond 64
 bits count as the largest or least 64-bit integer.
 """
 
@@ -37,6 +38,8 @@ GROWTH = 4
 BLOCKS_A_TASK = 16
 #: Local thresholds from which coordinates prune.
 COORDINATE_FROM = 0.8
+#: Share of the coordinates that bounds a product below that, and pairs that are multiplied to the end at once.
+HEAD, PAIRS = 0.75, 1 << 16
 
 
 def quantize(df: DataFrame, vector: str, scale: int = 256) -> F.Column:
@@ -58,6 +61,25 @@ def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.clip(wide, -(2**63), 2**63 - 1).astype(np.int64)
 
 
+def _bounded_products(q: np.ndarray, c: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Products and which of them are whole: a product that is not stays under the query's least."""
+    d = int(HEAD * q.shape[1])
+    peak = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
+    if not 0 < d < q.shape[1] or peak >= 2**53:
+        return _products(q, c), np.ones((len(q), len(c)), dtype=bool)
+    scores = _products(q[:, :d], c[:, :d])
+    q_rest, c_rest = (np.sqrt((x[:, d:].astype(np.float64) ** 2).sum(axis=1)) for x in (q, c))
+    # A margin keeps ties and rounding on the safe side.
+    open_ = scores + q_rest[:, None] * c_rest * (1 + 1e-9) + 1e-6 >= least[:, None]
+    if open_.mean() > 0.5:
+        return scores + _products(q[:, d:], c[:, d:]), np.ones_like(open_)
+    row, col = np.nonzero(open_)
+    for lo in range(0, len(row), PAIRS):
+        r, k = row[lo : lo + PAIRS], col[lo : lo + PAIRS]
+        scores[r, k] += np.einsum("ij,ij->i", q[r, d:], c[k, d:])
+    return scores, open_
+
+
 class TopK:
     """Best k (score, then smaller id) of each query."""
 
@@ -104,9 +126,10 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
         by_coordinate = active[(local[active] >= COORDINATE_FROM)]
         plain = active[~(local[active] >= COORDINATE_FROM)]
         if len(plain):
-            scores = _products(q[plain], c[part])
-            top.offer(plain, scores, c_ids[part], c_ids[part][None, :] != q_ids[plain][:, None])
-            said["verified"] += scores.size
+            scores, whole = _bounded_products(q[plain], c[part], least[plain])
+            top.offer(plain, scores, c_ids[part], whole & (c_ids[part][None, :] != q_ids[plain][:, None]))
+            said["coordinate"] += whole.size - int(whole.sum())
+            said["verified"] += int(whole.sum())
         side_of = 2 * focus + (q[np.arange(len(q)), focus] > 0) if q.shape[1] else focus  # opposite signs have opposite intervals
         for group in np.unique(side_of[by_coordinate]):
             f, rows = group // 2, by_coordinate[side_of[by_coordinate] == group]

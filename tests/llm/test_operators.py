@@ -435,6 +435,18 @@ def test_topk_pruning_is_exact(spread):
     assert said["length"] > 0 and (said["coordinate"] > 0 or spread)  # lengths alone prune where they differ much
 
 
+def test_given_vectors_are_pruned(spark):
+    """Unit vectors: lengths tell nothing, coordinates do, also under the thresholds of intervals."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()
+    ids, v = np.asarray([r["vec_id"] for r in rows]), np.floor(256 * np.asarray([r["embedding"] for r in rows], dtype=np.float64)).astype(np.int64)
+    asked = ids % 50 == 0
+    top, said = topk_search.search_block(ids[asked], v[asked], ids, v, 5, bucket=100)
+    for i, (own, q) in enumerate(zip(ids[asked], v[asked], strict=True)):
+        want = sorted((-int(s), int(j)) for j, s in zip(ids, v @ q, strict=True) if j != own)[:5]
+        assert [(-a, b) for a, b in want] == list(zip(top.score[i].tolist(), top.id[i].tolist()))
+    assert said["coordinate"] > 0.3 * asked.sum() * len(ids)
+
+
 # 9 n-gram join
 
 
