@@ -25,14 +25,17 @@ def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays under the operator's limit."""
+    """Documents whose toxicity score stays under the operator's limit. A null or empty text has the score of no words and
+    stays; repeated rows and ties are judged alike, null ids are kept, an empty table gives no rows, and without labels of
+    both kinds nothing is rejected."""
     inner, names = shielded(docs)
     scored = toxicity.score_documents(inner, table(spark, sf_dir, "labels"), carry=inner.columns)
     return scored.where("predicted = 0").select(*inner.columns).withColumnsRenamed(names)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found without ambiguity."""
+    """Documents whose language is found without ambiguity. Null texts and texts without a letter have none and go; repeated rows
+    are judged alike, null ids are kept, an empty table gives no rows."""
     inner, names = shielded(docs)
     found = language_id.identify(inner, carry=inner.columns)
     return found.where("lang_pred <> 'und' AND NOT ambiguous").select(*inner.columns).withColumnsRenamed(names)
@@ -56,13 +59,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks for."""
+    """Each document as often as its source's target asks for. A null source is one of its own; null and empty texts have size
+    0 and come floor(rate) times or once more like others; repeated rows draw alike, an empty table gives no rows."""
     inner, names = shielded(docs)
     return mixing.emit(mixing.mix(inner)).select(*inner.columns).withColumnsRenamed(names)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 4096 tokens."""
+    """The pieces of all documents with their places in sequences of 4096 tokens. A null text is packed as an empty one, its end
+    id alone; repeated rows are packed each, null ids are kept, an empty table gives no rows; other columns end here."""
     packed = packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=2)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
