@@ -7,14 +7,17 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.functions.text import md5_bucket, md5_sign, terms
+from quarryline.functions.text import counted, md5_bucket, md5_sign, terms
 from quarryline.operators.lexical import best
+from quarryline.session import materialize
 
-#: Queries in a block and vectors in a chunk, about.
-QUERY_BLOCK, CHUNK = 1024, 8192
+#: Bytes of a cell of vectors and of a block that one task multiplies, about, and of all pivots at most.
+CELL_BYTES, BLOCK_BYTES, PIVOT_BYTES = 256 << 20, 24 << 20, 64 << 20
+#: Products are rounded to nine digits: what is nearer to a threshold counts as reaching it.
+MARGIN = 1e-8
 
 
 class Encoder(Protocol):
@@ -40,9 +43,10 @@ def encode(df: DataFrame, text: str, load, dim: int) -> DataFrame:
 
 
 def hash_encode(df: DataFrame, key: str, text: str, dim: int = 384) -> DataFrame:
-    """Sparse unit vectors (key, bucket, value): each term adds its sign in its bucket. The encoder without a model."""
-    t = df.select(key, F.explode(terms(F.col(text))).alias("t"))
-    summed = t.groupBy(key, md5_bucket(F.col("t"), dim).alias("bucket")).agg(F.sum(md5_sign(F.col("t"))).alias("raw")).where("raw <> 0")
+    """Sparse unit vectors (key, bucket, value): each term adds its sign in its bucket. The encoder without a model. Terms are
+    counted within the row, so a text's different terms are hashed once each."""
+    t = df.select(key, F.explode(counted(terms(F.col(text)))).alias("e")).select(key, "e.term", "e.tf")
+    summed = t.groupBy(key, md5_bucket(F.col("term"), dim).alias("bucket")).agg(F.sum(md5_sign(F.col("term")) * F.col("tf")).alias("raw")).where("raw <> 0")
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return summed.select(key, "bucket", (F.col("raw") / norm).alias("value"))
 
@@ -54,25 +58,70 @@ def hash_vectors(df: DataFrame, key: str, text: str, dim: int = 384) -> DataFram
     return df.select(key).join(cells, key, "left").select(key, F.when(F.col("_m").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(at).alias("embedding"))
 
 
-def _packed(df: DataFrame, key: str, parts: int, part: str) -> DataFrame:
-    """A row a part: the ids and the matrix (rows of float64) of about as many rows each."""
+def _numbers(f: pd.DataFrame, column: str) -> np.ndarray:
+    return np.stack(f[column].to_numpy()).astype("<f8") if len(f) else np.zeros((0, 1))
+
+
+def _in_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """vectors (chunk_id, embedding) with cell, the nearest pivot's number, and away, the distance to it."""
+    sent = vectors.sparkSession.sparkContext.broadcast(pivots)  # at most PIVOT_BYTES
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = sent.value
+        for f in frames:
+            x = _numbers(f, "embedding")
+            near = np.argmin((own * own).sum(axis=1) - 2 * x @ own.T, axis=1) if len(f) else np.zeros(0, dtype=int)
+            yield f.assign(cell=near.astype("int32"), away=np.sqrt(((x - own[near]) ** 2).sum(axis=1)) if len(f) else np.zeros(0))
+
+    kind = dict(vectors.dtypes)
+    return vectors.mapInPandas(run, f"chunk_id {kind['chunk_id']}, embedding {kind['embedding']}, cell int, away double")
+
+
+def _packed(df: DataFrame, key: str, by: str, part: Column, name: str) -> DataFrame:
+    """A row a cell and part of it: by, part, the ids and the matrix (rows of float64)."""
     kind = dict(df.dtypes)[key]
 
     def pack(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({part: [int(g["_p"].iloc[0])], f"{part}_ids": [g[key].tolist()], f"{part}_m": [np.stack(g["embedding"].to_numpy()).astype("<f8").tobytes()]})
+        return pd.DataFrame({by: [int(g[by].iloc[0])], f"{name}_ids": [g[key].tolist()], f"{name}_m": [_numbers(g, "embedding").tobytes()]})
 
-    rows = df.where("embedding IS NOT NULL").select(key, "embedding").withColumn("_p", F.pmod(F.xxhash64(key, "embedding"), F.lit(parts)).cast("int"))
-    return rows.groupBy("_p").applyInPandas(pack, f"{part} int, {part}_ids array<{kind}>, {part}_m binary")
+    return df.select(key, "embedding", by, part.alias("_p")).groupBy(by, "_p").applyInPandas(pack, f"{by} int, {name}_ids array<{kind}>, {name}_m binary")
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int = 100, query_block: int = QUERY_BLOCK, chunk: int = CHUNK) -> DataFrame:
-    """(qid, chunk_id, rank, score): k best inner products of queries (qid, embedding) with vectors (chunk_id, embedding).
-    Blocks of queries meet chunks of vectors, each pair keeps its own k best, and a window that cuts before its shuffle
-    merges them. The plan does not grow with the queries and nothing goes to the driver."""
-    kind = dict([*queries.dtypes, *vectors.dtypes])
-    blocks, chunks = max(1, -(-queries.count() // query_block)), max(1, -(-vectors.count() // chunk))
-    sent = _packed(queries, "qid", blocks, "q").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    meet = _packed(vectors, "chunk_id", chunks, "c").join(sent, "c").select("q_ids", "q_m", "c_ids", "c_m")
+def _visited(queries: DataFrame, cells: list[tuple[int, np.ndarray, float, int]], k: int) -> DataFrame:
+    """(qid, embedding, cell, first, bound) for every query and cell: first marks the cells of the nearest centres that hold k
+    vectors together, bound is the most that a vector of the cell can give. Rows are numbers of pivots, no vectors' pairs."""
+    sent = queries.sparkSession.sparkContext.broadcast(cells)  # at most PIVOT_BYTES
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, centre, radius, size = (np.asarray(x) for x in zip(*sent.value, strict=True))
+        for f in frames:
+            x = _numbers(f, "embedding")
+            if not len(f):
+                continue
+            dot = x @ centre.T
+            order = np.argsort(-dot, axis=1, kind="stable")
+            before = np.cumsum(size[order], axis=1) - size[order]
+            first = np.empty(dot.shape, dtype=bool)
+            np.put_along_axis(first, order, before < k, axis=1)
+            bound = dot + np.sqrt((x * x).sum(axis=1))[:, None] * radius
+            n = len(number)
+            yield pd.DataFrame({"qid": np.repeat(f["qid"].to_numpy(), n), "cell": np.tile(number, len(f)).astype("int32"), "first": first.reshape(-1), "bound": bound.reshape(-1)})
+
+    kind = dict(queries.dtypes)["qid"]
+    return queries.mapInPandas(run, f"qid {kind}, cell int, first boolean, bound double")
+
+
+def _met(pairs: DataFrame, queries: DataFrame, packed: DataFrame, k: int, rows: int) -> DataFrame:
+    """(qid, chunk_id, score): for pairs (qid, cell), each query's k best in each part of the cell."""
+    kinds = dict([*queries.dtypes, ("chunk_id", dict(packed.dtypes)["c_ids"][6:-1])])
+    pairs = pairs.select("qid", "cell").distinct()
+    asked = pairs.join(queries, "qid")
+    # A cell that many queries visit meets them in blocks.
+    sizes = pairs.groupBy("cell").agg(F.count("*").alias("_m"))
+    asked = asked.join(sizes, "cell")
+    part = F.pmod(F.xxhash64("qid", "embedding"), F.ceil(F.col("_m") / rows).cast("int")).cast("int")
+    blocks = _packed(asked.withColumn("_q", part), "qid", "cell", F.col("_q"), "q")
+    meet = packed.join(blocks, "cell").select("q_ids", "q_m", "c_ids", "c_m")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -84,10 +133,55 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 100, query_block: in
                 order = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 yield pd.DataFrame({"qid": np.repeat(qids, order.shape[1]), "chunk_id": ids[order].reshape(-1), "score": np.take_along_axis(s, order, 1).reshape(-1)})
 
-    found = meet.mapInPandas(run, f"qid {kind['qid']}, chunk_id {kind['chunk_id']}, score double")
+    return meet.mapInPandas(run, f"qid {kinds['qid']}, chunk_id {kinds['chunk_id']}, score double")
+
+
+def search(queries: DataFrame, vectors: DataFrame, k: int = 100, cell_bytes: int = CELL_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(qid, chunk_id, rank, score): k best inner products of queries (qid, embedding) with vectors (chunk_id, embedding).
+
+    Vectors lie in cells around pivots, drawn by hash, and in blocks of a cell bounded by bytes. For a vector x of a cell
+    with centre c and radius r, q.x = q.c + q.(x - c) is at most q.c + |q| r. A query first meets the cells of the nearest
+    centres until they hold k vectors; its k-th best is a threshold, and it meets those other cells whose bound reaches it.
+    Cells of some megabytes have no pivots to speak of: all lie in one. Each block keeps its own k best a query, and a
+    window that cuts before its shuffle merges them. Nothing but the pivots and a row a cell goes to the driver."""
+    found = search_pruned(queries, vectors, k, cell_bytes, block_bytes)[0]
     return found.withColumn("rank", F.row_number().over(best("score", "chunk_id"))).where(F.col("rank") <= k).select("qid", "chunk_id", "rank", "score")
 
 
+def search_pruned(queries: DataFrame, vectors: DataFrame, k: int, cell_bytes: int = CELL_BYTES, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Rows (qid, chunk_id, score) that hold each query's k best, and the pairs (qid, cell) that met."""
+    spark, vectors = vectors.sparkSession, vectors.where("embedding IS NOT NULL").select("chunk_id", "embedding")
+    queries = queries.where("embedding IS NOT NULL").select("qid", "embedding")
+    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    kinds = dict([*queries.dtypes, *vectors.dtypes])
+    if not size["n"]:
+        none = spark.createDataFrame([], f"qid {kinds['qid']}, chunk_id {kinds['chunk_id']}, score double")
+        return none, none.selectExpr("qid", "0 AS cell")
+    row = 8 * max(1, size["dim"])
+    wanted = max(1, min(size["n"] * row // cell_bytes, PIVOT_BYTES // row))
+    drawn = vectors.select("embedding", F.xxhash64("chunk_id", "embedding").alias("h")).orderBy("h").limit(wanted).collect()  # at most PIVOT_BYTES
+    pivots = np.asarray([r["embedding"] for r in drawn], dtype="<f8")
+    placed = _in_cells(vectors, pivots) if len(pivots) > 1 else vectors.select("*", F.lit(0).alias("cell"), F.lit(0.0).alias("away"))
+    if len(pivots) > 1:
+        placed = materialize(placed, "cells")
+    summary = placed.groupBy("cell").agg(F.max("away").alias("r"), F.count("*").alias("n")).collect()  # a row a pivot
+    rows = max(1, block_bytes // row)
+    parts = spark.createDataFrame([(r["cell"], -(-r["n"] // rows)) for r in summary], "cell int, _parts int")
+    dealt = placed.join(F.broadcast(parts), "cell")  # a row a pivot
+    packed = _packed(dealt, "chunk_id", "cell", F.pmod(F.xxhash64("chunk_id", "embedding"), F.col("_parts")).cast("int"), "c")
+    if len(summary) == 1:
+        pairs = queries.select("qid", F.lit(summary[0]["cell"]).alias("cell"))
+        return _met(pairs, queries, packed, k, rows), pairs
+    packed = materialize(packed, "packed")
+    visits = materialize(_visited(queries, [(r["cell"], pivots[r["cell"]], r["r"], r["n"]) for r in summary], k), "visits")
+    first = visits.where("first")
+    early = materialize(_met(first, queries, packed, k, rows), "early")
+    kth = early.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score")))).where(F.col("_n") == k).select("qid", (F.col("score") - MARGIN).alias("least"))
+    later = visits.where("NOT first").join(kth, "qid", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
+    later = materialize(later.select("qid", "cell"), "later")
+    return early.unionByName(_met(later, queries, packed, k, rows)), first.select("qid", "cell").unionByName(later)
+
+
 def collapse(found: DataFrame, chunks: DataFrame, score: str = "score") -> DataFrame:
     """(qid, aid, chunk_id, score, rank): an article's best chunk stands for it; chunks without article are left out.
     The limit on chunks comes before, so a question has at most as many articles as chunks."""

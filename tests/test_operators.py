@@ -136,7 +136,7 @@ def test_draw_fills_and_repeats_on_bounds(spark):
 def test_dense_blocks_and_empty(spark):
     v = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(10)], "chunk_id int, embedding array<float>")
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [-1.0, 0.0])], "qid int, embedding array<float>")
-    one, many = dense.search(q, v, 4), dense.search(q, v, 4, query_block=1)
+    one, many = dense.search(q, v, 4), dense.search(q, v, 4, block_bytes=1)
     assert values(one, "qid", "rank", "chunk_id") == values(many, "qid", "rank", "chunk_id")
     assert values(one.where("qid = 1"), "rank", "chunk_id")[:3] == [(1, 2), (2, 5), (3, 8)]
     assert dense.search(q.limit(0), v).count() == 0
