@@ -150,8 +150,9 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 100, cell_bytes: int
 
 def search_pruned(queries: DataFrame, vectors: DataFrame, k: int, cell_bytes: int = CELL_BYTES, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """Rows (qid, chunk_id, score) that hold each query's k best, and the pairs (qid, cell) that met."""
-    spark, vectors = vectors.sparkSession, vectors.where("embedding IS NOT NULL").select("chunk_id", "embedding")
-    queries = queries.where("embedding IS NOT NULL").select("qid", "embedding")
+    # Both are read several times: written once, so that no text is encoded again.
+    spark, vectors = vectors.sparkSession, materialize(vectors.where("embedding IS NOT NULL").select("chunk_id", "embedding"), "vectors")
+    queries = materialize(queries.where("embedding IS NOT NULL").select("qid", "embedding"), "asked")
     size = vectors.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     kinds = dict([*queries.dtypes, *vectors.dtypes])
     if not size["n"]:
