@@ -142,7 +142,11 @@ def _mix_sql() -> str:
     weights = f"[{', '.join(map(str, mixing.WEIGHTS))}]"
     return f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
- ('0x' || substr(md5('{mixing.SEED}|' || coalesce(source, '') || '|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 8))::BIGINT / 4294967296::DOUBLE AS draw FROM documents),
+ ('0x' || substr(md5('{mixing.SEED}|' || coalesce(source, '') || '|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 8))::BIGINT AS h,
+ ('0x' || substr(md5('{mixing.SEED}|start|' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296::DOUBLE AS u FROM documents),
+b AS (SELECT *, length(bin(size)) * 16 + ((size * 8) >> (length(bin(size)) - 1)) AS stratum FROM d),
+c AS (SELECT *, rank() OVER (PARTITION BY source, stratum ORDER BY h) AS place, count(*) OVER (PARTITION BY source, stratum) AS n,
+ count(*) OVER (PARTITION BY source ORDER BY stratum DESC) AS upto FROM b),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 o AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) AS i FROM s),
 v AS (SELECT *, {weights}[i % {len(mixing.WEIGHTS)} + 1]::BIGINT AS w FROM o),
@@ -151,9 +155,10 @@ f AS (SELECT *, source_size / w AS ratio,
  / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY source_size / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM v),
 l AS (SELECT level FROM f WHERE level * w <= {mixing.CAP} * source_size ORDER BY ratio, i LIMIT 1),
 t AS (SELECT source, source_size, least({mixing.CAP}::DOUBLE * source_size, w * coalesce((SELECT level FROM l), 'inf'::DOUBLE)) AS target FROM v),
-t2 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t)
-SELECT doc_id, size, source_size, target, size * (whole + (draw < rate - whole)::BIGINT) AS taken, whole + (draw < rate - whole)::BIGINT AS copies
-FROM d JOIN t2 ON d.source IS NOT DISTINCT FROM t2.source"""
+t2 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
+m AS (SELECT doc_id, size, source_size, target, whole + (place <= floor(upto * (rate - whole) + u) - floor((upto - n) * (rate - whole) + u))::BIGINT AS copies
+ FROM c JOIN t2 ON c.source IS NOT DISTINCT FROM t2.source)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM m"""
 
 
 TOPK_SQL = """

@@ -1,19 +1,29 @@
 """Mixing sources to target weights by repeating documents.
 
 Tokens (words) are summed per source, each source gets a repetition rate, and a document is emitted floor(rate)
-times plus one Bernoulli copy with the fraction as its probability. The draw is a hash of the seed, the source, the
-doc_id and the text, as a number in [0, 1), and the copy is made where it lies under the fraction; reruns agree. A source's
-words then come near its target as its documents are many: their standard deviation is sqrt(f (1 - f) * the sum of squared
-sizes). For sources of few documents there is a correction, off by default: it replaces the fraction by the one of BINS
-edges of the hash range at which the words taken come nearest to the target. distances() reports how near a mix comes.
+times plus one hash-seeded Bernoulli copy whose probability is the fraction f.
+
+The copies of a source are drawn systematically, so that its words come near its target. Its documents are put into strata
+of like sizes (eight steps to a doubling), largest first. With u in [0, 1) hashed from the seed and the source, and C documents up to a
+stratum's end, the stratum of n documents copies floor(C f + u) - floor((C - n) f + u) of them: those whose own hashes of
+seed, source, doc_id and text are least. Over u and the hashes every document is copied with probability f, and the
+number of copies up to any stratum is less than one off C f. As sizes fall from stratum to stratum the words taken are
+off by about one document of the largest size at most, whatever the number of documents. Reruns agree. distances() reports how near a
+mix comes.
+
+A stratum's least hashes are those up to a threshold. Counts by source, stratum and one of CELLS ranges of the hash say in
+which range it lies, and that range's hashes are ordered: no stratum is sorted and no text is shuffled.
 
 Nulls: a null text has size 0; a null source is a source of its own, ordered last; a null doc_id or text draws as the
-empty string. Repeated rows draw alike. Sources without words get target 0. An empty table gives no rows.
-Columns of the input keep their names; those of the result that clash are replaced.
+empty string. Repeated rows have one hash and are copied alike, all or none, also where that is more than the stratum's number.
+Sources without words get target 0. An empty table gives no rows. Columns of the input keep their names; those of the
+result that clash are replaced.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +32,14 @@ from quarryline.llm.common import materialize, shield
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
-BINS = 4096
 SEED = "mix-1"
-#: Sources whose targets are broadcast; where there are more, rows are joined with them by source.
-BROADCAST_SOURCES = 100_000
+#: Ranges of the hash in which a stratum is counted, and the bits below a range.
+CELLS = 4096
+CELL_BITS = 20
+#: Strata whose thresholds are broadcast; where there are more, rows are joined with them by source and stratum.
+BROADCAST_STRATA = 100_000
+#: Sizes of one stratum agree in their bits' number and in the three bits below the first.
+STRATUM = "length(bin(size)) * 16 + shiftright(size * 8, length(bin(size)) - 1)"
 
 
 def word_count(text) -> F.Column:
@@ -53,39 +67,59 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return at.select("source", "source_size", target.alias("target"))
 
 
-def draw(seed: str) -> F.Column:
-    """The document's number in [0, 1)."""
-    told = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "doc_id", "text")]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *told).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(1 << 32)
+def hashed(seed: str, *columns: str) -> F.Column:
+    """A number of 32 bits hashed from the seed and the columns."""
+    told = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *told).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def _edges(base: DataFrame, targets: DataFrame) -> DataFrame:
-    """targets with _fraction replaced by the edge of the hash range where the words taken come nearest to the target."""
-    # One row a source and bin, each with its upper edge; no words are taken at edge 0.
-    bins = base.groupBy("source", ((F.floor(F.col("_draw") * BINS) + 1) / BINS).alias("_edge")).agg(F.sum("size").alias("_size"))
-    upto = F.sum("_size").over(Window.partitionBy("source").orderBy("_edge"))
-    need = F.col("target") - F.col("_whole") * F.col("source_size")
-    found = bins.withColumn("_upto", upto).join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    best = found.groupBy("_source", "source_size", "target", "_whole").agg(F.min(F.struct(F.abs(F.col("_upto") - need).alias("off"), F.col("_edge").alias("edge"))).alias("b"))
-    none = F.struct(need.alias("off"), F.lit(0.0).alias("edge"))
-    return best.select(F.col("_source").alias("source"), "source_size", "target", "_whole", F.least("b", none)["edge"].alias("_fraction"))
+def _same(left: str, right: str, *keys: str) -> F.Column:
+    """The rows named left and right agree in keys, nulls included."""
+    return reduce(lambda x, y: x & y, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED, corrected: bool = False) -> DataFrame:
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_STRATA else df
+
+
+def _quotas(cells: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
+    """One row a source and stratum: n, quota (its number of copies), whole, source_size and target."""
+    counts = cells.groupBy("source", "stratum").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("source").orderBy(F.desc("stratum")))
+    counts = counts.withColumn("upto", upto).withColumn("u", hashed(seed + "|start", "source") / F.lit(1 << 32))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rated = targets.withColumn("whole", F.floor(rate).cast("long")).withColumn("f", rate - F.floor(rate))
+    both = counts.alias("l").join(rated.alias("r"), _same("l", "r", "source"))
+    quota = F.floor(F.col("upto") * F.col("f") + F.col("u")) - F.floor((F.col("upto") - F.col("n")) * F.col("f") + F.col("u"))
+    return both.select("l.source", "stratum", "n", quota.cast("long").alias("quota"), "whole", "source_size", "target")
+
+
+def _thresholds(rows: DataFrame, cells: DataFrame, quotas: DataFrame) -> DataFrame:
+    """(source, stratum, upto) of strata that copy some and not all of their documents: the quota-th least hash."""
+    some = quotas.where("quota > 0 AND quota < n").select("source", "stratum", "quota")
+    running = cells.withColumn("upto", F.sum("n").over(Window.partitionBy("source", "stratum").orderBy("cell")))
+    held = running.alias("l").join(_few(some).alias("r"), _same("l", "r", "source", "stratum")).where("upto >= quota AND upto - n < quota")
+    held = materialize(held.select("l.source", "l.stratum", "cell", (F.col("quota") - F.col("upto") + F.col("n")).alias("rest")), "mix-held")
+    met = rows.alias("l").join(_few(held).alias("r"), _same("l", "r", "source", "stratum", "cell")).select("l.source", "l.stratum", "l.cell", "hash", "rest")
+    place = F.row_number().over(Window.partitionBy("source", "stratum", "cell").orderBy("hash"))
+    return met.withColumn("place", place).where("place = rest").select("source", "stratum", F.col("hash").alias("upto"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """docs with size, source_size, target, copies and taken (= size * copies)."""
     inner, names = shield(docs.drop("size", "source_size", "target", "copies", "taken"), "doc_id", "text", "source")
-    base = inner.withColumn("size", word_count("text")).withColumn("_draw", draw(seed))
-    targets = source_targets(inner.groupBy("source").agg(F.sum(word_count("text")).alias("source_size")), weights, share, cap)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = targets.withColumn("_whole", F.floor(rate).cast("long")).withColumn("_fraction", rate - F.floor(rate))
-    if corrected:
-        targets = _edges(base, targets)
-    targets = materialize(targets, "targets")
-    if targets.count() <= BROADCAST_SOURCES:  # no text is shuffled
-        targets = F.broadcast(targets)
-    out = base.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    copies = F.col("_whole") + (F.col("_draw") < F.col("_fraction")).cast("long")
-    out = out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("_source", "_draw", "_whole", "_fraction")
+    base = inner.withColumn("size", word_count("text")).withColumn("_hash", hashed(seed, "source", "doc_id", "text")).withColumn("_stratum", F.expr(STRATUM))
+    rows = materialize(base.select("source", F.col("_stratum").alias("stratum"), F.shiftright("_hash", CELL_BITS).alias("cell"), F.col("_hash").alias("hash"), "size"), "mix-rows")
+    cells = materialize(rows.groupBy("source", "stratum", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "mix-cells")
+    targets = source_targets(cells.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
+    quotas = materialize(_quotas(cells, targets, seed), "mix-quotas")
+    found = quotas.alias("l").join(_thresholds(rows, cells, quotas).alias("r"), _same("l", "r", "source", "stratum"), "left")
+    upto = F.when(F.col("quota") >= F.col("n"), F.lit(1 << 32)).otherwise(F.coalesce("upto", F.lit(-1)))
+    strata = materialize(found.select(F.col("l.source").alias("_source"), F.col("l.stratum").alias("_of"), "source_size", "target", "whole", upto.alias("_upto")), "mix-strata")
+    strata = _few(strata.withColumnRenamed("whole", "_whole"))  # no text is shuffled
+    out = base.join(strata, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_stratum") == F.col("_of")))
+    copies = F.col("_whole") + (F.col("_hash") <= F.col("_upto")).cast("long")
+    out = out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("_source", "_of", "_stratum", "_hash", "_whole", "_upto")
     return out.withColumnsRenamed(names)
 
 
