@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as tx
-from quarryline.operators import audit, dense, fusion, lexical, metrics, negatives, pair_scorer, postings, rerank, router, splits
+from quarryline.operators import audit, dense, fusion, lexical, metrics, negatives, pair_scorer, postings, rerank, retriever, router, splits
 from quarryline.plans import evaluate
 from quarryline.plans.evaluate import chunk_table
 from quarryline.session import ensure_importable, materialize, shared_path, table
@@ -648,6 +648,23 @@ def pair_scores(s, d):
     return scored.select("qid", "chunk_id", "aid", "label", "held_out", r6("rerank_score"))
 
 
+@query()
+def retriever_scores(s, d):
+    """Cosines of every training triplet's question with its passages, under a retriever trained on the triplets of other
+    questions: SQL has no such model, tests hold it to its ranks on questions that it has not seen."""
+    rows = materialize(negatives.triplets(passages(s, d)), "triplets").withColumn("held_out", F.crc32(F.col("qid").cast("string").cast("binary")) % 4 == 2)
+    encode = retriever.encoder(retriever.train(rows.where("NOT held_out")))
+    asked = encode(rows.select("qid", F.col("query").alias("text")).dropDuplicates(["qid"]), "qid", "text").withColumnRenamed("embedding", "q")
+    sides = {"positive": "p", "negative": "n"}
+    parts = [rows.select(F.col(f"{side}_chunk_id").alias("chunk_id"), F.col(side).alias("text")) for side in sides]
+    held = materialize(encode(parts[0].unionByName(parts[1]).dropDuplicates(["chunk_id"]), "chunk_id", "text"), "trained_vectors")
+    out = rows.join(asked, "qid")
+    for side, name in sides.items():
+        out = out.join(held.select(F.col("chunk_id").alias(f"{side}_chunk_id"), F.col("embedding").alias(name)), f"{side}_chunk_id")
+        out = out.withColumn(f"{side}_score", F.aggregate(F.zip_with("q", name, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)).drop(name)
+    return out.select("qid", "positive_chunk_id", "negative_chunk_id", "held_out", r6("positive_score"), r6("negative_score"))
+
+
 @query("SELECT qid, query, text AS doc, chunk_id, aid, label FROM pa")
 def pairwise(s, d):
     return negatives.pairwise(passages(s, d))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.operators import audit, dense, fusion, negatives, pair_scorer, postings, rerank, splits
+from quarryline.operators import audit, dense, fusion, negatives, pair_scorer, postings, rerank, retriever, splits
 from quarryline.plans import evaluate, index, models, store
 from quarryline.plans.options import Options
 from quarryline.session import ensure_importable, materialize
@@ -16,7 +16,7 @@ from quarryline.sources import corpus
 
 log = logging.getLogger("quarryline")
 
-#: Stages and the tables that they write. Training on GPUs has no stage here; train_reranker needs none.
+#: Stages and the tables that they write. Training on GPUs has no stage here; train_bge and train_reranker need none.
 STAGES: dict[str, tuple[str, ...]] = {
     "prepare_data": ("articles", "questions", "qrels", "chunks"),
     "split": ("splits", "leak_report"),
@@ -25,6 +25,7 @@ STAGES: dict[str, tuple[str, ...]] = {
     "build_dense_index": (),
     "mine_hard_negatives": ("positive_chunks", "mined"),
     "sample_negatives": ("retriever_rows", "reranker_rows", "triplets", "pairs", "prompts"),
+    "train_bge": ("retriever",),
     "train_reranker": ("pair_scorer",),
     "retrieve_cache": ("merged",),
     "tune_hybrid": ("hybrid_tuning", "hybrid_tuned"),
@@ -42,6 +43,8 @@ COMPOSITES = {
 }
 #: The scorer that a run trains on its own pairs: --rerank_model trained.
 TRAINED = "trained"
+#: Where the trained retriever's summary and marker are, below the run's folder.
+CHECKPOINT = "models/retriever"
 #: Stages that run only where an option asks for them.
 OPTIONAL = {"rerank_llm": "use_llm_rerank", "rerank_qwen": "use_qwen_rerank"}
 
@@ -77,6 +80,8 @@ class Run:
                 self.bm25_index(build=self.o.force)
             for table in STAGES[plain]:
                 self.get(table, self.o.force or plain in ("evaluate", "audit"))  # what there is to judge may have grown
+            if plain == "train_bge":
+                self.publish()
 
     def get(self, name: str, force: bool = False) -> DataFrame:
         """A table, built with those it needs unless it is complete."""
@@ -111,14 +116,36 @@ class Run:
         self.get("pair_scorer")
         return self.store.marker("pair_scorer")["input_hash"]
 
-    def dense_identity(self) -> dict:
-        return index.resolve_model(self.spark, self.o.dense_model, self.store.path("models/retriever"))
+    def publish(self) -> None:
+        """Make the trained retriever the run's dense model: its summary, then the marker of the summary."""
+        path, row, made = self.store.path(CHECKPOINT), self.get("retriever").first(), self.store.marker("retriever")
+        loss = row["held_loss"] if row["held_loss"] < float("inf") else None
+        store.write_json(self.spark, f"{path}/train_summary.json", {k: made[k] for k in ("input_hash", "created_at")} | {"epoch": row["epoch"], "held_loss": loss})
+        store.write_json(self.spark, f"{path}/train_summary.json.done.json", {"status": "done"})
+
+    def base_identity(self) -> dict:
+        """The dense model that training data is mined with: never the trained one, which is made of that data."""
+        return index.resolve_model(self.spark, self.o.dense_model)
 
-    def dense_index(self, build: bool = False) -> DataFrame:
-        """The chunks' vectors, from an index that this model made of these chunks."""
-        path, identity, chunks = self.store.path("dense_index"), self.dense_identity(), self.get("chunks")
-        step = store.Stage("dense_index", lambda _: chunks, identity, ("chunks",))
-        self.store.keep(step, lambda p: index.build(self.spark, chunks, p, identity, self.encode, self.o.dense_model), build and step.name not in self.built)
+    def dense_identity(self) -> dict:
+        """The dense model that retrieves: the trained one, where there is one."""
+        return index.resolve_model(self.spark, self.o.dense_model, self.store.path(CHECKPOINT))
+
+    def encoder(self) -> Callable[[DataFrame, str, str], DataFrame]:
+        """The encoder of dense_identity()."""
+        if not self.dense_identity()["marker_hash"]:
+            return self.encode
+        if store.read_json(self.spark, f"{self.store.path(CHECKPOINT)}/train_summary.json")["created_at"] != self.store.marker("retriever").get("created_at"):
+            raise ValueError("the trained retriever is not the one that its summary tells of: run train_bge again")
+        return retriever.encoder(self.store.read("retriever"), self.encode)
+
+    def dense_index(self, build: bool = False, base: bool = False) -> DataFrame:
+        """The chunks' vectors, from an index that the retrieving model, or the base model, made of these chunks."""
+        identity, chunks = self.base_identity() if base else self.dense_identity(), self.get("chunks")
+        trained = bool(identity["marker_hash"])
+        step = store.Stage("dense_index_trained" if trained else "dense_index", lambda _: chunks, identity, ("chunks",))
+        encode, backend = (self.encoder(), TRAINED) if trained else (self.encode, self.o.dense_model)
+        path = self.store.keep(step, lambda p: index.build(self.spark, chunks, p, identity, encode, backend), build and step.name not in self.built)
         self.built.add(step.name)
         return index.open_index(self.spark, path, identity)
 
@@ -168,18 +195,18 @@ def _merged(run: Run) -> DataFrame:
     from dataclasses import replace
 
     k1, b = run.bm25()
-    return evaluate.retrieve(run.get("questions"), run.get("articles"), run.get("chunks"), run.get("qrels"), replace(run.plan, k1=k1, b=b), run.dense_index(), run.bm25_index(), run.encode)
+    return evaluate.retrieve(run.get("questions"), run.get("articles"), run.get("chunks"), run.get("qrels"), replace(run.plan, k1=k1, b=b), run.dense_index(), run.bm25_index(), run.encoder())
 
 
 def _mined(run: Run) -> DataFrame:
     asked = run.of(run.get("questions"), "train")
-    found = dense.search(run.encode(asked, "qid", "question"), run.dense_index(), run.o.top_k)
+    found = dense.search(run.encode(asked, "qid", "question"), run.dense_index(base=True), run.o.top_k)
     return negatives.mine(found, run.get("chunks"), run.get("qrels"))
 
 
 def _positive(run: Run) -> DataFrame:
     asked = run.encode(run.of(run.get("questions"), "train"), "qid", "question")
-    return dense.positive_chunks(asked, run.get("qrels"), run.get("chunks"), run.dense_index(), run.o.positive_chunks_per_aid)
+    return dense.positive_chunks(asked, run.get("qrels"), run.get("chunks"), run.dense_index(base=True), run.o.positive_chunks_per_aid)
 
 
 def _tuned(run: Run) -> DataFrame:
@@ -253,7 +280,7 @@ def _metrics(run: Run) -> DataFrame:
 
 
 #: What a table's parameters stand for that is found in the run, not among its options.
-FOUND: dict[str, Callable[[Run], object]] = {"bm25_used": lambda run: list(run.bm25()), "dense_identity": lambda run: run.dense_identity(), "trained_scorer": lambda run: run.trained_scorer()}
+FOUND: dict[str, Callable[[Run], object]] = {"bm25_used": lambda run: list(run.bm25()), "dense_identity": lambda run: run.dense_identity(), "base_identity": lambda run: run.base_identity(), "trained_scorer": lambda run: run.trained_scorer()}
 #: How each table is built: from the run, after the tables named, under the options named.
 TABLES: dict[str, tuple[Callable[[Run], DataFrame], tuple[str, ...], tuple[str, ...]]] = {
     "articles": (lambda run: corpus.read_articles(run.spark, run.o.corpus_path, run.fields(), run.o.json_lines), (), ("corpus_law_id_field", "corpus_articles_field", "article_id_field", "article_text_field")),
@@ -263,12 +290,13 @@ TABLES: dict[str, tuple[Callable[[Run], DataFrame], tuple[str, ...], tuple[str,
     "leak_report": (lambda run: splits.leak_report(run.get("questions"), run.get("splits"), run.get("qrels")), ("questions", "splits", "qrels"), ()),
     "splits": (_splits, ("questions",), ("train_ratio", "router_train_ratio", "val_ratio", "test_ratio", "seed")),
     "bm25_tuning": (_tuning, ("articles", "questions", "qrels", "splits"), ("bm25_k1_grid", "bm25_b_grid")),
-    "positive_chunks": (_positive, ("questions", "qrels", "chunks", "splits"), ("positive_chunks_per_aid", "dense_identity")),
-    "mined": (_mined, ("questions", "qrels", "chunks", "splits"), ("top_k", "dense_identity")),
+    "positive_chunks": (_positive, ("questions", "qrels", "chunks", "splits"), ("positive_chunks_per_aid", "base_identity")),
+    "mined": (_mined, ("questions", "qrels", "chunks", "splits"), ("top_k", "base_identity")),
     "retriever_rows": (_ready(negatives.RETRIEVER_POLICY), ("positive_chunks", "mined", "chunks", "questions"), ("seed",)),
     "reranker_rows": (_ready(negatives.RERANKER_POLICY), ("positive_chunks", "mined", "chunks", "questions"), ("seed",)),
     "triplets": (lambda run: negatives.triplets(run.get("retriever_rows")), ("retriever_rows",), ()),
     "pairs": (lambda run: negatives.pairwise(run.get("reranker_rows")), ("reranker_rows",), ()),
+    "retriever": (lambda run: retriever.train(run.get("triplets"), run.encode), ("triplets",), ("dense_model",)),
     "pair_scorer": (lambda run: pair_scorer.train(run.get("pairs")), ("pairs",), ()),
     "prompts": (lambda run: negatives.prompts(run.get("reranker_rows")), ("reranker_rows",), ()),
     "merged": (_merged, ("questions", "articles", "chunks", "qrels"), ("top_k", "bm25_k1", "bm25_b", "use_tuned_bm25", "bm25_used", "dense_identity")),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarryline.operators import audit, metrics, rerank, router, splits
 from quarryline.plans import evaluate, index, options, stages, store
+from quarryline.session import materialize
 
 NAMES = ["--dataset_name", "tiny", "--corpus_path", "c.json", "--questions_path", "q.json"]
 
@@ -77,6 +78,28 @@ def test_a_run_builds_all_its_tables_once(spark, sources, tmp_path):
         stages.Run(spark, options.parse(["--stage", "prepare_data", *flags, "--max_chunks", "3"])).stage("prepare_data")
 
 
+def test_a_trained_retriever_is_the_dense_model(spark, sources, tmp_path, monkeypatch):
+    from functools import partial
+
+    monkeypatch.setattr(stages.retriever, "train", partial(stages.retriever.train, epochs=1, steps=1))
+    flags = ["--stage", "train_bge", "--dataset_name", "tiny", "--corpus_path", f"{sources}/c.json", "--questions_path", f"{sources}/q.json", "--output_dir", str(tmp_path), "--max_chunk_tokens", "12"]
+    run = stages.Run(spark, options.parse(flags))
+    assert run.dense_identity()["resolved"] == "hash"
+    run.stage("train_bge")
+    mined = run.store.marker("mined")["created_at"]
+    again = stages.Run(spark, options.parse(flags))
+    chosen = again.dense_identity()
+    assert chosen["resolved"] == again.store.path("models/retriever") and again.base_identity() == run.base_identity()
+    vectors = again.dense_index()
+    assert vectors.count() == again.get("chunks").count() and index.audit(spark, [again.store.path("dense_index_trained")], chosen) == []
+    again.stage("train_bge")  # data is mined with the base model: nothing goes stale, and the model stays
+    assert again.store.marker("mined")["created_at"] == mined and again.dense_identity() == chosen
+    # Built anew but not told of: refused, not used in silence.
+    again.store.run(store.Stage("retriever", lambda _: materialize(again.get("retriever"), "copy")), force=True)
+    with pytest.raises(ValueError, match="train_bge"):
+        again.encoder()
+
+
 def test_dense_index_knows_its_model(spark, tmp_path):
     chunks = spark.createDataFrame([("a", "one two"), ("b", "")], "chunk_id string, text string")
     trained, path = str(tmp_path / "trained"), str(tmp_path / "index")
