@@ -92,8 +92,8 @@ phrases(p, label) AS (VALUES {phrases}),
 places AS (SELECT r, label, i FROM (SELECT r, ws, unnest(range(len(ws))) AS i FROM w), phrases WHERE ws[i + 1] = p[1] AND ws[i + 1 : i + len(p)] = p),
 base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY r),
 templates(label, t) AS (VALUES {templates}),
-blocks AS (SELECT r, ws[{license_scan.STRIDE} * b + 1 : {license_scan.STRIDE} * b + {license_scan.WINDOW}] AS block FROM (SELECT r, ws, unnest(range(greatest(0, ceil((len(ws) - {license_scan.WINDOW}) / {license_scan.STRIDE}.0)::BIGINT) + 1)) AS b FROM w)),
-hits AS (SELECT r, label, len(list_intersect(t, block))::DOUBLE / len(t) AS score FROM blocks, templates WHERE len(list_intersect(t, block)) >= ceil({license_scan.THRESHOLD} * len(t) - 1e-9)),
+starts AS (SELECT r, label, t, ws[i + 1 : i + {license_scan.WINDOW}] AS block FROM (SELECT r, ws, unnest(range(len(ws))) AS i FROM w), templates WHERE list_contains(t, ws[i + 1])),
+hits AS (SELECT r, label, len(list_intersect(t, block))::DOUBLE / len(t) AS score FROM starts WHERE len(list_intersect(t, block)) >= ceil({license_scan.THRESHOLD} * len(t) - 1e-9)),
 found AS (SELECT r, list(DISTINCT label) AS labels, max(score) AS best FROM hits GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
  coalesce(array_to_string(base.labels, ','), '') AS base_labels,

@@ -1,12 +1,13 @@
 """License scan: phrases, and an exact set-similarity join of text blocks with license templates.
 
-Base labels come from phrases whose words stand consecutively. The join finds notices that are reworded: a
-block (WINDOW words from every STRIDE-th word) meets a template when the block holds at least THRESHOLD of the
-template's distinct words. Words are ordered by their frequency over all documents, rarest first. A matching block
-must hold a word of the template's prefix (the rarest |T| - ceil(THRESHOLD * |T|) + 1 words), so words join the small
-index of prefixes; the length filter needs as many distinct template words in the block as the overlap asks for; what
-is left is verified. The positional filter bounds the overlap by the template words from a shared one on: every prefix
-word has enough of them, so it drops no pair here, and prefix and length filter do the work. The templates, and so the index, are parameters and do not grow with the data.
+Base labels come from phrases whose words stand consecutively. The join finds notices that are reworded: a window of
+WINDOW words that starts at a word of a template meets it when it holds at least THRESHOLD of the template's distinct
+words. Any window that holds enough can be moved on to its first template word, so no place in the text is left out.
+Words are ordered by the number of documents that hold them, rarest first. A matching window holds a word of the
+template's prefix (the rarest |T| - ceil(THRESHOLD * |T|) + 1 words), so words join the small index of prefixes. The
+length filter needs as many template words in the window as the overlap asks for. The positional filter bounds the overlap
+by what template and window each hold from the shared word on, in that order. What is left is verified. The templates, and
+so the index, are parameters and do not grow with the data.
 
 Everything is DataFrame expressions. Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z are lower-cased.
 Nulls: a null text counts as empty: no words, no labels, score 0. Repeated rows are scanned alike. An empty table
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 
 from quarryline.llm.common import materialize, prepare
 
-WINDOW, STRIDE, THRESHOLD = 64, 32, 0.8
+WINDOW, THRESHOLD = 64, 0.8
+#: Words a part of a long text; a part reads a window more.
+PART = 1024
 
 #: Phrases of the contract and their labels.
 PHRASES = (
@@ -100,41 +103,76 @@ def _lower(text: F.Column) -> F.Column:
     return F.translate(text, upper, upper.lower())
 
 
-def template_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, window: int = WINDOW, stride: int = STRIDE, threshold: float = THRESHOLD) -> DataFrame:
-    """(_row, label, start, score): blocks of docs (_row, text) that hold enough of a template, by the join."""
-    spark = docs.sparkSession
+def prefix_index(docs: DataFrame, templates: dict[str, str], threshold: float) -> tuple[dict[str, int], list[tuple]]:
+    """Ranks of all template words, rarest in docs first, and the index: a row for each word of a template's prefix."""
     sets = {label: sorted(set(t.split())) for label, t in templates.items()}
     vocabulary = sorted(set().union(*sets.values()))
-    # Global order: documents that hold each template word, over the whole corpus; one row a template word.
+    # Documents that hold each template word, over the whole corpus; one row a template word comes to the driver.
     listed = F.array(*[F.lit(w) for w in vocabulary])
     seen = docs.select(F.explode(F.array_intersect(_words(F.lower("text")), listed)).alias("word"))
     counted = {r["word"]: r["count"] for r in seen.groupBy("word").count().collect()}
-    order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counted.get(w, 0), w)))}
-    ranked = {label: sorted(ws, key=order.get) for label, ws in sets.items()}
-    prefix = [(ws[i], label, i, len(ws), needed(len(ws), threshold), ws) for label, ws in ranked.items() for i in range(len(ws) - needed(len(ws), threshold) + 1)]
-    index = spark.createDataFrame(prefix, "word string, label string, position int, size int, need int, words array<string>")
-    rare = sorted({p[0] for p in prefix})
-    shortest = min((p[4] for p in prefix), default=1)
-    # Documents without a prefix word hold no match; the others are cut into blocks.
+    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counted.get(w, 0), w)))}
+    index = []
+    for label, words in sets.items():
+        ranks, need = sorted(rank[w] for w in words), needed(len(words), threshold)
+        index += [(ranks[i], label, i, len(ranks), need, ranks) for i in range(len(ranks) - need + 1)]
+    return rank, index
+
+
+def windows(docs: DataFrame, rank: dict[str, int], rare: list[str], shortest: int, window: int) -> DataFrame:
+    """(_row, start, lead, held): the windows that start at a template word and hold a rare word and shortest template
+    words or more; lead is the first word's rank, held the ranks of all, ascending."""
+    # Documents without a rare word hold no match; the others are cut into parts that overlap by a window, so that
+    # a row stays short however long its text is.
     hold = docs.where(F.col("text").rlike(rf"(?i)(?<!{WORD})(?:{'|'.join(rare)})(?!{WORD})"))
     cut = hold.select("_row", F.filter(_words(_lower(F.col("text"))), lambda w: w != "").alias("_w"))
-    blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("_w") - window) / stride).cast("int")))
-    cut = cut.select("_row", F.explode(F.transform(blocks, lambda i: F.struct((i * stride).alias("start"), F.array_intersect(F.slice("_w", i * stride + 1, window), listed).alias("held")))).alias("b")).select("_row", "b.*")
-    cut = cut.where(F.size("held") >= shortest)  # length filter
-    pairs = cut.select("_row", "start", "held", F.explode("held").alias("word")).join(F.broadcast(index), "word").where(F.size("held") >= F.col("need"))
-    first = pairs.where(F.col("size") - F.col("position") >= F.col("need"))  # positional filter
-    first = first.groupBy("_row", "start", "label").agg(F.first("held").alias("held"), F.first("words").alias("words"), F.first("need").alias("need"), F.first("size").alias("size"))
-    overlap = F.size(F.array_intersect("words", "held"))
-    return first.where(overlap >= F.col("need")).select("_row", "label", "start", (overlap / F.col("size")).alias("score"))
-
-
-def scan_licenses(docs: DataFrame, phrases=PHRASES, templates: dict[str, str] = TEMPLATES, window: int = WINDOW, stride: int = STRIDE, threshold: float = THRESHOLD) -> DataFrame:
+    parts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("_w") - 1) / PART).cast("int")))
+    cut = cut.select("_row", F.explode(F.transform(parts, lambda i: F.struct((i * PART).alias("at"), F.slice("_w", i * PART + 1, PART + window - 1).alias("words")))).alias("p")).select("_row", "p.*")
+    cut = cut.where(F.exists("words", lambda w: w.isin(rare)))
+    marks = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda m: m["w"].isin(list(rank)))
+    ranks = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
+    marked = cut.select("_row", "at", marks.alias("marks")).where(F.size(F.array_distinct("marks.w")) >= shortest)
+    marked = marked.select("_row", "at", F.transform("marks", lambda m: F.struct(m["i"].alias("i"), F.element_at(ranks, m["w"]).alias("r"))).alias("marks"))
+
+    def taken(m, k):
+        inside = F.filter(F.slice("marks", k + 1, window), lambda x: x["i"] < m["i"] + window)
+        held = F.array_sort(F.array_distinct(F.transform(inside, lambda x: x["r"])))
+        return F.when(m["i"] < PART, F.struct((F.col("at") + m["i"]).alias("start"), m["r"].alias("lead"), held.alias("held")))
+
+    found = marked.select("_row", F.explode(F.transform("marks", taken)).alias("b")).where("b IS NOT NULL").select("_row", "b.*")
+    return found.where(F.size("held") >= shortest)
+
+
+def candidate_pairs(found: DataFrame, index: DataFrame) -> DataFrame:
+    """Windows and templates that share a prefix word and pass the filters of lengths and positions."""
+    held = found.select("_row", "start", "lead", "held", F.posexplode("held").alias("place", "word"))
+    pairs = held.join(F.broadcast(index), "word").where(F.array_contains("words", F.col("lead")))
+    pairs = pairs.where(F.size("held") >= F.col("need"))
+    # If this is the first word that both hold, no more can be shared than either has from it on.
+    return pairs.where(F.least(F.col("size") - F.col("position"), F.size("held") - F.col("place")) >= F.col("need"))
+
+
+def template_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, window: int = WINDOW, threshold: float = THRESHOLD) -> DataFrame:
+    """(_row, label, start, score): windows of docs (_row, text) that start at a template's word and hold enough of it."""
+    rank, prefix = prefix_index(docs, templates, threshold)
+    index = docs.sparkSession.createDataFrame(prefix, "word int, label string, position int, size int, need int, words array<int>")
+    by_rank = sorted(rank, key=rank.get)
+    rare = sorted({by_rank[p[0]] for p in prefix})
+    found = windows(docs, rank, rare, min((p[4] for p in prefix), default=1), window)
+    common = F.array_intersect("words", "held")
+    checked = candidate_pairs(found, index).withColumn("common", common)
+    # A pair meets once for each prefix word that it shares; the first speaks for it.
+    checked = checked.where((F.size("common") >= F.col("need")) & (F.get("common", F.lit(0)) == F.col("word")))
+    return checked.select("_row", "label", "start", (F.size("common") / F.col("size")).alias("score"))
+
+
+def scan_licenses(docs: DataFrame, phrases=PHRASES, templates: dict[str, str] = TEMPLATES, window: int = WINDOW, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and matches (label, start, score)."""
     prepare(docs.sparkSession)
     # Rows are told apart by the id and text, not by their place, so that a recomputed partition agrees.
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", text.alias("text")).withColumn("_row", F.struct(F.col("doc_id"), F.xxhash64("text"), F.xxhash64(F.lit(1), "text")))
-    found = template_matches(base.select("_row", "text"), templates, window, stride, threshold)
+    found = template_matches(base.select("_row", "text"), templates, window, threshold)
     found = found.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("label", "start", "score"))).alias("matches"), F.max("score").alias("_best"))
     found = materialize(found.withColumnRenamed("_row", "_found"), "licenses")
     cols = base_columns(F.col("text"), F.col("_maybe"), phrases)

@@ -112,6 +112,7 @@ def test_column_generation_near_optimum():
 
 def test_licenses_odd_and_empty(spark, odd_docs, no_docs):
     got = {r["doc_id"]: r for r in license_scan.scan_licenses(odd_docs).collect()}
+    assert got[4]["n_words"] == 80_000 and got[4]["labels"] == "" and got[4]["score"] == 0.0 and got[4]["matches"] is None
     assert license_scan.scan_licenses(odd_docs).count() == 10 and got[2]["n_words"] == 0 and got[2]["labels"] == "" and got[2]["score"] == 0.0
     assert license_scan.scan_licenses(no_docs).count() == 0
 
@@ -129,6 +130,58 @@ def test_licenses_phrases_and_templates(spark):
     assert got[4]["n_base"] == 0 and got[5]["labels"] == "mit-notice" and got[6]["labels"] == ""
 
 
+def license_windows(text, templates, window, threshold):
+    """(label, start, score) by trying every window that starts at a template's word."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    out = set()
+    for label, t in templates.items():
+        own = set(t.split())
+        for i, w in enumerate(words):
+            shared = len(own & set(words[i : i + window])) if w in own else 0
+            if shared >= license_scan.needed(len(own), threshold) and shared:
+                out.add((label, i, round(shared / len(own), 9)))
+    return out
+
+
+def test_licenses_match_every_window(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "PART", 50)  # so that texts are cut into many parts
+    rng = np.random.default_rng(5)
+    templates = {"a": "one two three four five six", "b": "two four eight nine ten", "c": "alone"}
+    bag = ["one", "two", "three", "four", "five", "six", "eight", "nine", "ten", "x", "y", "z", "alone"]
+    odds = np.asarray([3] * 9 + [8] * 3 + [0.3])
+    texts = [" ".join(rng.choice(bag, int(n), p=odds / odds.sum())) for n in rng.integers(0, 160, 60)] + [None, "", "ALONE", "one " * 120]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = license_scan.scan_licenses(docs, templates=templates, window=9, threshold=0.8).select("doc_id", "matches").collect()
+    want = {i: license_windows(t, templates, 9, 0.8) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: {(m["label"], m["start"], round(m["score"], 9)) for m in r["matches"] or []} for r in got} == want
+    assert all(len(r["matches"] or []) == len(want[r["doc_id"]]) for r in got) and sum(map(len, want.values())) > 100
+
+
+def test_licenses_spread_over_a_whole_window(spark):
+    """A reworded notice over 60 words is found wherever it stands, also between two ends of parts."""
+    words = license_scan.TEMPLATES["gpl-work"].split()
+    spread = " ".join(f"{w} filler other more again" for w in dict.fromkeys(words)).split()[:60]
+    rows = [(n, " ".join(["before"] * n + spread + ["after"] * 50)) for n in (0, 1, 16, 17, 31, 33, 63, 990, 1000, 1023, 1024, 1060)]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all("gpl-work" in r["labels"].split(",") and r["matches"][0]["start"] == r["doc_id"] for r in got)
+
+
+def test_licenses_positions_drop_pairs(spark):
+    """The window of the last text holds enough template words, but too few of them come after s in the order."""
+    docs = spark.createDataFrame([(1, "p q r s u"), (2, "p q r v"), (3, "a e p q r"), (4, "a e"), (5, "b c d e a"), (6, "p b c d s")], "_row long, text string")
+    templates = {"x": "p q r s", "y": "a b c d e"}
+    rank, prefix = license_scan.prefix_index(docs, templates, 0.8)
+    index = spark.createDataFrame(prefix, "word int, label string, position int, size int, need int, words array<int>")
+    rare = sorted({w for w, i in rank.items() if i in {p[0] for p in prefix}})
+    found = license_scan.windows(docs, rank, rare, 4, 9)
+    met = found.select("_row", "start", "lead", "held", F.explode("held").alias("word")).join(index, "word")
+    met = met.where(F.array_contains("words", F.col("lead")) & (F.size("held") >= F.col("need")))
+    kept = license_scan.candidate_pairs(found, index)
+    assert kept.count() < met.count()
+    true = F.size(F.array_intersect("words", "held")) >= F.col("need")
+    assert kept.where(true).select("_row", "label", "start").distinct().count() == met.where(true).select("_row", "label", "start").distinct().count() > 0
+
+
 # 3 token files
 
 
