@@ -19,6 +19,7 @@ from quarryline.plans import evaluate
 from quarryline.plans.evaluate import chunk_table
 from quarryline.session import ensure_importable, materialize, shared_path, table
 from quarryline.sources import corpus
+from quarryline.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -861,3 +862,36 @@ def audit_planted(s, d):
         audit.empty_texts(train.withColumn("text", F.when(F.col("label") == 1, " ").otherwise(F.col("text"))), "query", "text"),
     )
     return audit.failures(dict(zip(PLANTED, found, strict=True)))
+
+
+#: Hours are in microseconds; a window is closed if it ends an hour before the last event or earlier.
+_HOUR = 3_600_000_000
+_CLOSED = f"<= (SELECT epoch_us(date_trunc('milliseconds', max(ts))) - {_HOUR} FROM events)"
+_SUMS = "count(*) AS n, round(sum(value), 6) AS total, min(value) AS least, max(value) AS most"
+_EVERY = "SELECT event_type, start_us, start_us + {1} AS end_us, " + _SUMS + " FROM (SELECT event_type, value, unnest([{0}]) AS start_us FROM (SELECT *, epoch_us(ts) // " + str(_HOUR) + " * " + str(_HOUR) + " AS hour FROM events WHERE ts IS NOT NULL)) WHERE start_us + {1} " + _CLOSED + " GROUP BY event_type, start_us"
+
+
+def streamed(s: SparkSession, d: str, w: windows.Windows) -> DataFrame:
+    """The closed windows of all events, by a stream that ends when it has read them."""
+    out = shared_path(s, "windows")
+    # A pattern, as a stream's path may not be a single file.
+    windows.follow(s, f"{d}/events.parque[t]", f"{out}/rows", f"{out}/checkpoint", w)
+    found = windows.read(s, f"{out}/rows", w)
+    return found.select(F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), *w.by, "n", r6("total"), "least", "most")
+
+
+@query(_EVERY.format("hour", _HOUR))
+def events_tumbling(s, d):
+    return streamed(s, d, windows.Windows(("event_type",), size="1 hour"))
+
+
+@query(_EVERY.format(", ".join(f"hour - {k * _HOUR}" for k in range(6)), 6 * _HOUR))
+def events_sliding(s, d):
+    return streamed(s, d, windows.Windows(("event_type",), size="6 hours", slide="1 hour"))
+
+
+@query(f"""SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + {2 * _HOUR} AS end_us, {_SUMS} FROM (
+ SELECT *, sum((p IS NULL OR epoch_us(ts) - p > {2 * _HOUR})::INTEGER) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM (
+ SELECT *, epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS p FROM events WHERE ts IS NOT NULL)) GROUP BY user_id, k HAVING epoch_us(max(ts)) + {2 * _HOUR} {_CLOSED}""")
+def events_sessions(s, d):
+    return streamed(s, d, windows.Windows(("user_id",), gap="2 hours"))
