@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,11 @@ from quarryline.operators.lexical import best
 from quarryline.session import materialize
 
 #: Bytes of a cell of vectors and of a block that one task multiplies, about, and of all pivots at most.
-CELL_BYTES, BLOCK_BYTES, PIVOT_BYTES = 256 << 20, 24 << 20, 64 << 20
+CELL_BYTES, BLOCK_BYTES, PIVOT_BYTES = 256 << 20, 8 << 20, 64 << 20
+#: Bytes of scores that a task holds at once, about.
+SCORE_BYTES = 16 << 20
+#: Texts whose vectors a task makes at once.
+ENCODED = 1024
 #: Products are rounded to nine digits: what is nearer to a threshold counts as reaching it.
 MARGIN = 1e-8
 
@@ -52,10 +58,27 @@ def hash_encode(df: DataFrame, key: str, text: str, dim: int = 384) -> DataFrame
 
 
 def hash_vectors(df: DataFrame, key: str, text: str, dim: int = 384) -> DataFrame:
-    """(key, embedding): the hashed encoding as a dense vector; a text without terms is the zero vector."""
-    cells = hash_encode(df, key, text, dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("_m"))  # at most dim cells
-    at = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at(F.col("_m"), i.cast("int")), F.lit(0.0)))
-    return df.select(key).join(cells, key, "left").select(key, F.when(F.col("_m").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(at).alias("embedding"))
+    """(key, embedding): the hashed encoding as a dense vector; a text without terms is the zero vector. A batch's different
+    terms are hashed once, and each text's signs are summed in place, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ENCODED):
+                batch = whole.slice(at, ENCODED)
+                lists = batch.column(1)
+                coded = lists.flatten().dictionary_encode()
+                digests = [hashlib.md5(t.encode()).digest() for t in coded.dictionary.to_pylist()]
+                bucket = np.array([int.from_bytes(h[:4], "little") % dim for h in digests], dtype=np.int64)
+                sign = np.array([1.0 if h[4] % 2 == 0 else -1.0 for h in digests])
+                term, owner = coded.indices.to_numpy(), np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+                raw = np.bincount(owner * dim + bucket[term], weights=sign[term], minlength=len(batch) * dim).reshape(-1, dim) if len(term) else np.zeros((len(batch), dim))
+                norm = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+                values = (raw / np.where(norm > 0, norm, 1.0) + 0.0).reshape(-1)
+                cuts = pa.array(np.arange(len(batch) + 1) * dim, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(cuts, pa.array(values))], [key, "embedding"])
+
+    cut = df.select(key, terms(F.col(text)).alias("_t"))
+    return cut.mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, embedding array<double>")
 
 
 def _numbers(f: pd.DataFrame, column: str) -> np.ndarray:
@@ -111,6 +134,25 @@ def _visited(queries: DataFrame, cells: list[tuple[int, np.ndarray, float, int]]
     return queries.mapInPandas(run, f"qid {kind}, cell int, first boolean, bound double")
 
 
+def block_topk(q: np.ndarray, c: np.ndarray, k: int, most: int = SCORE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of q, rows of c and their products, rounded: each query's k best, the first rows of c among equals. Some queries at
+    a time, so that about most bytes of products are held, however many both sides are."""
+    step = max(1, most // (8 * max(1, len(c))))
+    for lo in range(0, len(q), step):
+        s = np.round(q[lo : lo + step] @ c.T, 9) + 0.0  # no negative zero
+        if len(c) > k:
+            least = np.partition(s, len(c) - k, axis=1)[:, len(c) - k]
+            row, at = np.nonzero(s >= least[:, None])
+        else:
+            row, at = np.indices(s.shape).reshape(2, -1)
+        score = s[row, at]
+        order = np.lexsort((at, -score, row))
+        row, at, score = row[order], at[order], score[order]
+        begin = np.searchsorted(row, np.arange(len(s)))
+        keep = np.arange(len(row)) - begin[row] < k
+        yield row[keep] + lo, at[keep], score[keep]
+
+
 def _met(pairs: DataFrame, queries: DataFrame, packed: DataFrame, k: int, rows: int) -> DataFrame:
     """(qid, chunk_id, score): for pairs (qid, cell), each query's k best in each part of the cell."""
     kinds = dict([*queries.dtypes, ("chunk_id", dict(packed.dtypes)["c_ids"][6:-1])])
@@ -129,9 +171,9 @@ def _met(pairs: DataFrame, queries: DataFrame, packed: DataFrame, k: int, rows:
                 qids, ids = np.asarray(r.q_ids), np.asarray(r.c_ids)
                 q, c = (np.frombuffer(m, dtype="<f8").reshape(len(x), -1) for m, x in ((r.q_m, qids), (r.c_m, ids)))
                 by_id = np.argsort(ids, kind="stable")  # equal scores keep the order of ids
-                ids, s = ids[by_id], np.round(q @ c[by_id].T, 9) + 0.0  # no negative zero
-                order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"qid": np.repeat(qids, order.shape[1]), "chunk_id": ids[order].reshape(-1), "score": np.take_along_axis(s, order, 1).reshape(-1)})
+                ids, c = ids[by_id], c[by_id]
+                for row, at, score in block_topk(q, c, k):
+                    yield pd.DataFrame({"qid": qids[row], "chunk_id": ids[at], "score": score})
 
     return meet.mapInPandas(run, f"qid {kinds['qid']}, chunk_id {kinds['chunk_id']}, score double")
 

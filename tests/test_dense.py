@@ -1,5 +1,7 @@
 """Dense search with cells against all products."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -52,3 +54,16 @@ def test_search_of_nothing_and_of_fewer_than_k(spark, vectors):
     assert dense.search(q, x.selectExpr("chunk_id", "CASE WHEN chunk_id > 0 THEN embedding END AS embedding"), 5, 1).count() == 4
     names = x.selectExpr("cast(chunk_id AS string) AS chunk_id", "embedding")
     assert dense.search(q, names, 5, 100).count() == 6
+
+
+def test_large_blocks_hold_few_products(vectors):
+    rng = np.random.default_rng(4)
+    q, c = rng.normal(size=(3000, 4)), np.round(rng.normal(size=(3000, 4)), 1)
+    c[1000:2000] = c[:1000]  # equal products
+    tracemalloc.start()
+    found = [tuple(map(np.ndarray.tolist, part)) for part in dense.block_topk(q, c, 3, 1 << 20)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = [x for part in found for x in zip(*part, strict=True)]
+    assert peak < 16 << 20 and len(got) == 9000  # all products would be 72 MB
+    assert [(i, j) for i, j, _ in got[:300]] == [(i, j) for i, _, j, _ in brute(q[:100], c, 3)]
