@@ -420,6 +420,14 @@ def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(moved.select("rep", F.coalesce("p", "comp").alias("comp")), "labels")
 
 
+def star_pairs(met: DataFrame) -> DataFrame:
+    """One pair (a, b) a member b: with the pivot a that it meets in most blocks, the likeliest to be linked. A member of a large
+    group meets as many pivots as it has keys; the other pairs are left to later rounds and to the trees, so no link is lost."""
+    shared = met.groupBy("b", "a").agg(F.count("*").alias("k"))
+    first = F.max(F.struct("k", F.xxhash64("a").alias("o"), "a")).alias("x")
+    return shared.groupBy("b").agg(first).select("x.a", "b")
+
+
 def link_representatives(blocks: DataFrame, points: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT, seed: int = 0) -> DataFrame:
     """(rep, comp) of the representatives in blocks (key, rep, m): points (rep, n, h1, h2, point, keys, beyond, doc_id), docs
     (doc_id, text)."""
@@ -430,7 +438,7 @@ def link_representatives(blocks: DataFrame, points: DataFrame, docs: DataFrame,
         # A pivot a block, the member that a hash of member and turn puts first; a member keeps its most similar one.
         pick = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), F.col("rep").alias("pivot"), F.col("comp").alias("pc")))
         pivots = mixed.groupBy("key").agg(pick.alias("x")).select("key", "x.pivot", "x.pc")
-        stars = mixed.join(pivots, "key").where("rep <> pivot AND comp <> pc").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+        stars = star_pairs(mixed.join(pivots, "key").where("rep <> pivot AND comp <> pc").select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
         close = bounded(stars, points, percent).groupBy("b").agg(F.max(F.struct("share", "a")).alias("x")).select("x.a", "b")
         close = materialize(close, "stars")
         release(spark)
