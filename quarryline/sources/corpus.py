@@ -96,24 +96,30 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Bytes of short questions that one automaton holds, and the characters that more of them are joined on.
 AUTOMATON_BYTES, SHORT_GRAM = 16 << 20, 4
+#: Bytes of questions of any length that all go through one automaton.
+WHOLE_BYTES = 2 << 20
 
 
 def contained(asked: DataFrame, texts: DataFrame, gram: int = 8) -> DataFrame:
     """(qid, aid) where the article's text contains the question's; nulls contain nothing and lie in nothing.
 
-    Questions of gram inner words or more are found by their rarest word n-gram: articles give the hashes of their
+    Questions of WHOLE_BYTES together are looked for in one pass over the texts, by an automaton that every task builds. Of more,
+    those of gram inner words or more are found by their rarest word n-gram: articles give the hashes of their
     n-grams, without their texts, and pairs that share a question's rarest one are candidates, whose texts are joined once.
-    The other questions are all looked for in one pass over the texts, by an automaton that every task builds, if they
-    are AUTOMATON_BYTES at most; more are joined through windows of SHORT_GRAM characters, candidates first as well."""
+    The other questions go through the automaton as well, if they are AUTOMATON_BYTES at most; more are joined through windows of SHORT_GRAM characters, candidates first as well."""
     from quarryline.functions.text import let, words
     from quarryline.session import materialize
 
+    every = asked.where("question IS NOT NULL").select("qid", "question")
+    if (every.agg(F.sum(F.octet_length("question")).alias("bytes")).first()["bytes"] or 0) <= min(WHOLE_BYTES, AUTOMATON_BYTES):
+        return _by_automaton(every, texts)
+
     def grams(c):
         cut = lambda w: F.when(F.size(w) >= gram, F.transform(F.sequence(F.lit(1), F.size(w) - gram + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, gram), " "))))
         return let(c, cut)
 
     # Inner words only: the first and last may be parts of longer words in the article.
-    own = asked.where("question IS NOT NULL").select("qid", "question").withColumn("_w", words(F.col("question"))).withColumn("_w", F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))))
+    own = every.withColumn("_w", words(F.col("question"))).withColumn("_w", F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))))
     long = own.where(F.size("_w") >= gram).select("qid", F.explode(F.array_distinct(grams(F.col("_w")))).alias("_g"))
     short = own.where(F.size("_w") < gram).select("qid", "question")
     wanted = long.select("_g").distinct()

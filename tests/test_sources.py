@@ -93,3 +93,14 @@ def test_ridge_checks_its_bound(spark, monkeypatch):
     with pytest.raises(ValueError, match="bound"):
         router.fit_ridge(f, marks)
     assert router.fit_ridge(f.where("qid < 0"), marks.where("qid < 0")).collect()[0]["weight"] == 0.0
+
+
+def test_few_questions_of_any_length_make_no_grams(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "x one two three four five six seven eight nine ten eleven"), (2, "eleven"), (3, None)], "aid int, text string")
+    asked = spark.createDataFrame([(1, "one two three four five six seven eight nine ten el"), (2, "eleven"), (3, None), (4, "")], "qid int, question string")
+    want = [(1, 1), (2, 1), (2, 2), (4, 1), (4, 2)]
+    monkeypatch.setattr(corpus, "_verified", lambda *_: pytest.fail("candidates"))
+    assert values(corpus.contained(asked, texts), "qid", "aid") == want
+    monkeypatch.undo()
+    monkeypatch.setattr(corpus, "WHOLE_BYTES", 8)
+    assert values(corpus.contained(asked, texts), "qid", "aid") == want
