@@ -37,3 +37,25 @@ def test_rounds_as_spark_does(spark):
     x = np.concatenate([rng.uniform(0, 90, 3000), rng.integers(0, 10**10, 2000) / 1e9 + 5e-10, [0.0, 1e-9, 1.0000000005, 12345.6789012345]])
     want = [r[0] for r in spark.createDataFrame([(v,) for v in x.tolist()], "x double").coalesce(1).select(F.round("x", 9)).collect()]
     assert lexical.rounded(x).tolist() == want
+
+
+@pytest.mark.parametrize("sent", [20, 500_000])
+def test_top_sends_no_pairs(spark, tables, monkeypatch, sent):
+    monkeypatch.setattr(lexical, "SENT_TERMS", sent)
+    monkeypatch.setattr(lexical, "TASK_PAIRS", 100)  # a few articles at a time
+    odd = spark.createDataFrame([(1000, None), (1001, ""), (1002, " \n,"), (1003, "W1 w1_\nĀw1, w2.W2 w2")], "aid int, text string")
+    a = tables[1].unionByName(odd)
+    found = lexical.first_scores(tables[0], a, [(1.5, 0.75), (0.9, 0.4)], 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    for score, (k1, b) in (("s0", (1.5, 0.75)), ("s1", (0.9, 0.4))):
+        best = lambda df, c: sorted((r["qid"], r["rank"], r["aid"], round(r[c], 9)) for r in df.withColumn("rank", F.row_number().over(lexical.best(c))).where("rank <= 4").collect())
+        assert best(found, score) == best(lexical.scores(tables[0], a, k1, b), "bm25_score")
+
+
+def test_rows_of_one_id_are_one_article(spark):
+    a = spark.createDataFrame([(1, "x y"), (2, "x x"), (1, "y y")], "aid int, text string").repartition(3)
+    q = spark.createDataFrame([(1, "x y")], "qid int, question string")
+    got = {r["aid"]: r["bm25_score"] for r in lexical.top(q, a, 5).collect()}
+    assert got == pytest.approx({r["aid"]: r["bm25_score"] for r in lexical.scores(q, a).collect()}) and len(got) == 2
+    assert lexical.top(q.limit(0), a, 5).count() == 0 and lexical.top(q, a.limit(0), 5).count() == 0
