@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 from typing import Protocol
 
 import numpy as np
@@ -12,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.functions.text import counted, md5_bucket, md5_sign, terms
-from quarryline.operators.lexical import best
+from quarryline.functions.text import counted, md5_bucket, md5_sign, term_lines, terms
+from quarryline.operators.lexical import Best, best
 from quarryline.session import materialize
 
 #: Bytes of a cell of vectors and of a block that one task multiplies, about, and of all pivots at most.
 CELL_BYTES, BLOCK_BYTES, PIVOT_BYTES = 256 << 20, 8 << 20, 64 << 20
+#: Bytes of queries that are all sent to every task, so that vectors are read once and stay where they are.
+FEW_BYTES = 8 << 20
 #: Bytes of scores that a task holds at once, about.
 SCORE_BYTES = 16 << 20
 #: Texts whose vectors a task makes at once.
@@ -65,19 +69,23 @@ def hash_vectors(df: DataFrame, key: str, text: str, dim: int = 384) -> DataFram
         for whole in batches:
             for at in range(0, whole.num_rows, ENCODED):
                 batch = whole.slice(at, ENCODED)
-                lists = batch.column(1)
-                coded = lists.flatten().dictionary_encode()
-                digests = [hashlib.md5(t.encode()).digest() for t in coded.dictionary.to_pylist()]
+                known: dict = defaultdict(count().__next__)
+                place, met, flat = known.__getitem__, [], []
+                for lines in batch.column(1).to_pylist():
+                    own = [place(t) for t in lines.split("\n") if t]
+                    met.append(len(own))
+                    flat += own
+                digests = [hashlib.md5(t.encode()).digest() for t in known]
                 bucket = np.array([int.from_bytes(h[:4], "little") % dim for h in digests], dtype=np.int64)
                 sign = np.array([1.0 if h[4] % 2 == 0 else -1.0 for h in digests])
-                term, owner = coded.indices.to_numpy(), np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+                term, owner = np.array(flat, dtype=np.int64), np.repeat(np.arange(len(batch)), met)
                 raw = np.bincount(owner * dim + bucket[term], weights=sign[term], minlength=len(batch) * dim).reshape(-1, dim) if len(term) else np.zeros((len(batch), dim))
                 norm = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
                 values = (raw / np.where(norm > 0, norm, 1.0) + 0.0).reshape(-1)
                 cuts = pa.array(np.arange(len(batch) + 1) * dim, pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(cuts, pa.array(values))], [key, "embedding"])
 
-    cut = df.select(key, terms(F.col(text)).alias("_t"))
+    cut = df.select(key, term_lines(F.col(text)).alias("_t"))
     return cut.mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, embedding array<double>")
 
 
@@ -181,15 +189,48 @@ def _met(pairs: DataFrame, queries: DataFrame, packed: DataFrame, k: int, rows:
 def search(queries: DataFrame, vectors: DataFrame, k: int = 100, cell_bytes: int = CELL_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(qid, chunk_id, rank, score): k best inner products of queries (qid, embedding) with vectors (chunk_id, embedding).
 
-    Vectors lie in cells around pivots, drawn by hash, and in blocks of a cell bounded by bytes. For a vector x of a cell
+    Queries of FEW_BYTES meet all vectors where these are made, in one pass that writes none of them, and every task keeps its own k
+    best a query. For more, vectors lie in cells around pivots, drawn by hash, and in blocks of a cell bounded by bytes. For a vector x of a cell
     with centre c and radius r, q.x = q.c + q.(x - c) is at most q.c + |q| r. A query first meets the cells of the nearest
     centres until they hold k vectors; its k-th best is a threshold, and it meets those other cells whose bound reaches it.
     Cells of some megabytes have no pivots to speak of: all lie in one. Each block keeps its own k best a query, and a
     window that cuts before its shuffle merges them. Nothing but the pivots and a row a cell goes to the driver."""
-    found = search_pruned(queries, vectors, k, cell_bytes, block_bytes)[0]
+    queries = materialize(queries.where("embedding IS NOT NULL").select("qid", "embedding"), "asked")
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    few = size["n"] * 8 * (size["dim"] or 0) <= FEW_BYTES
+    found = _streamed(queries, vectors, k) if few else search_pruned(queries, vectors, k, cell_bytes, block_bytes)[0]
     return found.withColumn("rank", F.row_number().over(best("score", "chunk_id"))).where(F.col("rank") <= k).select("qid", "chunk_id", "rank", "score")
 
 
+def _streamed(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Rows (qid, chunk_id, score) that hold each query's k best; the queries are FEW_BYTES at most."""
+    asked = queries.toArrow()
+    dim = len(asked.column("embedding")[0]) if len(asked) else 1
+    q = np.asarray(asked.column("embedding").combine_chunks().flatten(), dtype="<f8").reshape(len(asked), dim)
+    sent = vectors.sparkSession.sparkContext.broadcast((asked.column("qid").combine_chunks(), q))
+    kinds = dict([*queries.dtypes, *vectors.dtypes])
+    text = pa.string() if kinds["chunk_id"] == "string" else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q = sent.value
+        best, step = Best(len(q), 1, k), max(1, SCORE_BYTES // (8 * max(1, len(q))))
+        for batch in batches:
+            if not batch.num_rows or not len(q):
+                continue
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            c = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(len(ids), -1)
+            for lo in range(0, len(ids), step):
+                s = q @ c[lo : lo + step].T
+                row, at = np.nonzero(s >= best.bar)
+                best.add(row, ids[lo + at], np.round(s[row, at], 9)[:, None] + 0.0)  # no negative zero
+        row, found, score = best.pruned()
+        if len(row):
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(row)), pa.array(found, text), pa.array(score[:, 0])], ["qid", "chunk_id", "score"])
+
+    rows = vectors.where("embedding IS NOT NULL").select("chunk_id", "embedding")
+    return rows.mapInArrow(run, f"qid {kinds['qid']}, chunk_id {kinds['chunk_id']}, score double")
+
+
 def search_pruned(queries: DataFrame, vectors: DataFrame, k: int, cell_bytes: int = CELL_BYTES, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """Rows (qid, chunk_id, score) that hold each query's k best, and the pairs (qid, cell) that met."""
     # Both are read several times: written once, so that no text is encoded again.

@@ -67,3 +67,27 @@ def test_large_blocks_hold_few_products(vectors):
     got = [x for part in found for x in zip(*part, strict=True)]
     assert peak < 16 << 20 and len(got) == 9000  # all products would be 72 MB
     assert [(i, j) for i, j, _ in got[:300]] == [(i, j) for i, _, j, _ in brute(q[:100], c, 3)]
+
+
+@pytest.mark.parametrize("few", [8 << 20, -1])
+@pytest.mark.parametrize(("cell", "block"), [(1 << 30, 1 << 20), (4000, 1500), (1, 1 << 20)])
+def test_search_by_one_pass_and_by_cells(spark, vectors, monkeypatch, few, cell, block):
+    monkeypatch.setattr(dense, "FEW_BYTES", few)
+    q = np.vstack([vectors[::150], np.zeros((1, 12))])
+    found = dense.search(frame(spark, q, "qid"), frame(spark, vectors, "chunk_id"), 7, cell, block)
+    want = brute(q, vectors, 7)
+    assert [g[:3] for g in got(found)] == [w[:3] for w in want]
+
+
+def test_few_queries_leave_vectors_where_they_are(spark, vectors, monkeypatch):
+    monkeypatch.setattr(dense, "materialize", lambda df, name: df if name == "asked" else pytest.fail(name))
+    assert dense.search(frame(spark, vectors[:2], "qid"), frame(spark, vectors, "chunk_id"), 5).count() == 10
+
+
+def test_hashed_vectors_are_the_buckets(spark):
+    texts = spark.createDataFrame([(1, "a b, A\n_c é"), (2, ""), (3, None), (4, "x x")], "id int, text string")
+    want = np.zeros((5, 384))
+    for r in dense.hash_encode(texts, "id", "text").collect():
+        want[r["id"], r["bucket"]] = r["value"]
+    for r in dense.hash_vectors(texts, "id", "text").collect():
+        assert r["embedding"] == pytest.approx(want[r["id"]].tolist())
