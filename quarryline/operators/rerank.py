@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quarryline.functions.text import sha1_bucket, terms
 from quarryline.operators.fusion import with_minmax
 from quarryline.operators.lexical import best
+from quarryline.session import materialize
 
 
 class PairScorer(Protocol):
@@ -69,6 +70,7 @@ def rerank(rows: DataFrame, chunks: DataFrame, questions: DataFrame, score: str
     """The first articles' chunks, cut by the first score, scored again, cut and normalised."""
     kept = rows.withColumn("_n", F.row_number().over(best(score))).where(F.col("_n") <= top_aids).drop("_n", "rank")
     few = cut(expand(kept, chunks, score), score, top_chunks).join(questions.select("qid", "question"), "qid")
+    few = materialize(few, "few_chunks")  # scorers read them several times
     scored = scorer(few)
     w = Window.partitionBy("qid").orderBy(F.round("rerank_score", 9).desc(), "aid_rank", "chunk_index")
     final = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_chunks)
