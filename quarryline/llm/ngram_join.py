@@ -12,7 +12,9 @@ that their sizes ask for survive, and are verified on the sets.
 Only components are asked for, so pairs within a component need not be listed. Stars come first: in each block every
 member is verified against one pivot, ROUNDS times with other pivots, and links are merged into components. Blocks
 with one component are done. The R-tree then searches the rest for pairs across components, so no link between
-components is lost, while a group of thousands of copies costs a few pairs a member. Blocks over BLOCK rows are cut by a
+components is lost, while a group of thousands of copies costs a few pairs a member: it searches twice, first for each
+row's likeliest partner in a block alone, then, once these links are merged, for all that is left. Rows whose sizes fit no
+other of their block leave it before that. Blocks over BLOCK rows are cut by a
 second key: different sets that are linked share two shingles of their prefixes, once these are one shingle longer. What
 is still too large is cut into salted parts that meet pairwise, so no block has to fit into one task. A pair that shares
 several keys is left to the block of a smaller one where both rows' least keys show it.
@@ -181,8 +183,21 @@ class CountTree:
         return self.order[at]
 
 
-def block_pairs(comps: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Surviving pairs of rows (places in the block) in different components; with two sides, only across them."""
+def block_pairs(comps: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: np.ndarray, percent: int = PERCENT, key: int = 0, low: np.ndarray | None = None, likeliest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Surviving pairs of rows (places in the block) in different components; with two sides, only across them. With the rows'
+    least keys (low), pairs that meet before this key's block are left out. likeliest keeps one pair a right row, that of the
+    largest bound."""
+
+    def kept(i: np.ndarray, j: np.ndarray, bound: np.ndarray | None) -> np.ndarray:
+        """The left rows of right row j to keep, of its candidates i."""
+        if low is not None and len(i):
+            new = ~meets_before(np.full(len(i), key), low[i], low[np.full(len(i), j)])
+            i, bound = i[new], bound if bound is None else bound[new]
+        if likeliest and len(i) > 1:
+            bound = np.minimum(points[i], points[j]).sum(axis=1, dtype=np.int64) if bound is None else bound
+            i = i[[np.argmax(bound / (sizes[i] + sizes[j] - bound))]]
+        return i
+
     left, right = [], []
     both = side.min() != side.max()
     inner, outer = (np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())) if both else (np.arange(len(comps)),) * 2
@@ -190,16 +205,20 @@ def block_pairs(comps: np.ndarray, sizes: np.ndarray, points: np.ndarray, side:
         a, b = (x.reshape(-1) for x in np.meshgrid(inner, outer, indexing="ij"))
         keep = (comps[a] != comps[b]) & (both | (a < b)) & (100 * sizes[a] >= percent * sizes[b]) & (100 * sizes[b] >= percent * sizes[a])
         a, b = a[keep], b[keep]
-        keep = np.minimum(points[a], points[b]).sum(axis=1, dtype=np.int64) >= needed_overlap(sizes[a], sizes[b], percent)
-        left, right = [a[keep]], [b[keep]]
+        bound = np.minimum(points[a], points[b]).sum(axis=1, dtype=np.int64)
+        keep = bound >= needed_overlap(sizes[a], sizes[b], percent)
+        a, b, bound = a[keep], b[keep], bound[keep]
+        for j in np.unique(b):
+            left.append(kept(a[b == j], j, bound[b == j]))
+            right.append(np.full(len(left[-1]), j))
     else:
         tree = CountTree(points[inner], sizes[inner])
         for j in outer:
             i = inner[tree.search(points[j].astype(np.int32), int(sizes[j]), percent)]
-            i = i[(comps[i] != comps[j]) & (both | (i < j))]
-            left.append(i)
-            right.append(np.full(len(i), j))
-    return np.concatenate(left).astype(np.int64), np.concatenate(right).astype(np.int64)
+            left.append(kept(i[(comps[i] != comps[j]) & (both | (i < j))], j, None))
+            right.append(np.full(len(left[-1]), j))
+    zero = np.zeros(0, dtype=np.int64)
+    return np.concatenate([zero, *left]).astype(np.int64), np.concatenate([zero, *right]).astype(np.int64)
 
 
 def frequent_shingles(docs: DataFrame, words: int = WORDS, seed: int = 0) -> np.ndarray:
@@ -445,21 +464,44 @@ def link_representatives(blocks: DataFrame, points: DataFrame, docs: DataFrame,
         if close.isEmpty():
             break
         labels = merge_components(labels, verify(close, docs, points, words, percent, seed))
-        joined = blocks.join(labels, "rep")
-        spread = joined.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        left = materialize(joined.join(spread.select("key"), "key").select("key", "rep", "m", "comp"), "mixed")
+        left = mixed_blocks(mixed, labels)
         before, after = mixed.count(), left.count()
         discard(mixed)
         mixed = left
         release(spark)
         if after > SHRINK * before:
             break
-    # What is left: pairs across components, found by the trees and verified.
-    pairs = materialize(tree_pairs(cut_blocks(mixed, points), percent).distinct(), "pairs")
+    # What is left: pairs across components, found by the trees and verified. A row's likeliest partners come first, so the pairs of
+    # a group whose members are all linked are about as many as its rows' keys, not as its pairs.
+    tried = materialize(tree_pairs(cut_blocks(mixed, points), percent, likeliest=True).distinct(), "likeliest")
+    release(spark)
+    if tried.isEmpty():
+        return labels
+    labels = merge_components(labels, verify(tried, docs, points, words, percent, seed))
+    mixed = mixed_blocks(mixed, labels)
+    release(spark)
+    pairs = materialize(tree_pairs(cut_blocks(mixed, points), percent).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     release(spark)
     return labels if pairs.isEmpty() else merge_components(labels, verify(pairs, docs, points, words, percent, seed))
 
 
+def mixed_blocks(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (key, rep, m, comp) of the blocks that hold several components of labels (rep, comp), as a written table."""
+    joined = blocks.drop("comp").join(labels, "rep")
+    spread = joined.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    return materialize(joined.join(spread.select("key"), "key").select("key", "rep", "m", "comp"), "mixed")
+
+
+def fitting_blocks(dealt: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Rows (key, rep, m) of dealt (key, rep, n) whose size fits that of another row of their block; m is the block's rows, all
+    told. Sizes next to each other decide: any pair that fits has both its rows kept. Blocks over BLOCK rows stay whole."""
+    each = Window.partitionBy("key")
+    by_size = each.orderBy("n")
+    fits = lambda less, more: F.coalesce(100 * less >= percent * more, F.lit(False))
+    rows = dealt.select("key", "rep", "n", F.lag("n").over(by_size).alias("_less"), F.lead("n").over(by_size).alias("_more"), F.count("*").over(each).alias("m"))
+    return rows.where((F.col("m") > BLOCK) | fits(F.col("_less"), F.col("n")) | fits(F.col("n"), F.col("_more"))).select("key", "rep", "m")
+
+
 def cut_blocks(mixed: DataFrame, points: DataFrame) -> DataFrame:
     """Rows (key, second, m, rep, comp, n, point, low) of mixed blocks (key, rep, m, comp). Blocks over BLOCK rows are cut by
     second keys, so each row stands once for each further shingle of its longer prefix. low has a row's least keys."""
@@ -480,8 +522,8 @@ def meets_before(key: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def tree_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Surviving pairs (a, b) of cut_blocks(). A block over BLOCK rows is cut into salted parts; each two parts meet in a
+def tree_pairs(rows: DataFrame, percent: int = PERCENT, likeliest: bool = False) -> DataFrame:
+    """Surviving pairs (a, b) of cut_blocks(), or those of each row's likeliest partner in a block. A block over BLOCK rows is cut into salted parts; each two parts meet in a
     block of their own, and each part alone in another."""
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit(5)), parts).cast("int")
@@ -506,9 +548,8 @@ def tree_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
             a, b = [], []
             for lo, hi in zip(cut, cut[1:], strict=False):
                 if hi - lo > 1 and comps[lo:hi].min() != comps[lo:hi].max():
-                    x, y = block_pairs(comps[lo:hi], sizes[lo:hi], points[lo:hi], side[lo:hi], percent)
-                    new = ~meets_before(np.full(len(x), block[lo, 0]), low[lo:hi][x], low[lo:hi][y])
-                    x, y = ids[lo:hi][x[new]], ids[lo:hi][y[new]]
+                    x, y = block_pairs(comps[lo:hi], sizes[lo:hi], points[lo:hi], side[lo:hi], percent, block[lo, 0], low[lo:hi], likeliest)
+                    x, y = ids[lo:hi][x], ids[lo:hi][y]
                     a.append(np.minimum(x, y))
                     b.append(np.maximum(x, y))
             zero = np.zeros(0, dtype=np.int64)
@@ -549,9 +590,7 @@ def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     points = materialize(nodes.withColumn("rep", F.monotonically_increasing_id()), "points")
     discard(full)
     release(spark)
-    dealt = points.select("rep", F.explode("keys").alias("key"))
-    counted = dealt.groupBy("key").agg(F.count("rep").alias("m")).where("m > 1")
-    blocks = materialize(dealt.join(counted, "key").select("key", "rep", "m"), "blocks")
+    blocks = materialize(fitting_blocks(points.select("rep", "n", F.explode("keys").alias("key")), percent), "blocks")
     release(spark)
     labels = link_representatives(blocks, points, base, words, percent, seed)
     discard(blocks)

@@ -6,3 +6,29 @@ def test_a_member_meets_one_pivot_a_round(spark):
     rows = [(p, 100 + m) for m in range(50) for p in range(20) for _ in range(3 if p == m % 20 else 1)]
     found = ngram_join.star_pairs(spark.createDataFrame(rows, "a long, b long")).collect()
     assert sorted((r["b"], r["a"]) for r in found) == [(100 + m, m % 20) for m in range(50)]
+
+
+def test_a_linked_group_verifies_no_square_of_pairs(spark, monkeypatch):
+    """Members of a near-copy group that no star has joined: the likeliest partners are verified, then what their links leave."""
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    tried, verify = [], ngram_join.verify
+
+    def counted(pairs, *args, **kwargs):
+        tried.append(pairs.count())
+        return verify(pairs, *args, **kwargs)
+
+    monkeypatch.setattr(ngram_join, "verify", counted)
+    words = [f"w{i}" for i in range(120)]
+    docs = [(n, " ".join([*words[:n], f"odd{n}", *words[n + 1 :]])) for n in range(110)]
+    found = ngram_join.components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in found} == {0}
+    assert sum(tried) < 1500  # of 5,995 pairs
+
+
+def test_rows_that_fit_no_other_leave_their_block(spark):
+    """Sizes 100 and 79 fit no other, 80 and 100 do; a block of one row goes, one over BLOCK rows stays whole."""
+    rows = [(1, 1, 100), (1, 2, 79), (2, 3, 100), (2, 4, 80), (2, 5, 30), (3, 6, 50), (4, 7, 10), (4, 8, 10)]
+    found = ngram_join.fitting_blocks(spark.createDataFrame(rows, "key long, rep long, n long")).collect()
+    assert sorted((r["key"], r["rep"], r["m"]) for r in found) == [(2, 3, 3), (2, 4, 3), (4, 7, 2), (4, 8, 2)]
+    wide = spark.range(ngram_join.BLOCK + 1).selectExpr("0L AS key", "id AS rep", "CAST(POWER(2, id % 40) AS LONG) AS n")
+    assert ngram_join.fitting_blocks(wide).count() == ngram_join.BLOCK + 1
