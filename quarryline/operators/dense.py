@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import counted, md5_bucket, md5_sign, term_lines, terms
-from quarryline.operators.lexical import Best, best
+from quarryline.operators.lexical import HELD_ROWS, Best, best
 from quarryline.session import materialize
 
 #: Bytes of a cell of vectors and of a block that one task multiplies, about, and of all pivots at most.
@@ -61,27 +61,32 @@ def hash_encode(df: DataFrame, key: str, text: str, dim: int = 384) -> DataFrame
     return summed.select(key, "bucket", (F.col("raw") / norm).alias("value"))
 
 
+def _hashed(texts: list[str], dim: int) -> np.ndarray:
+    """A unit vector a text of term_lines(); different terms are hashed once, and each text's signs are summed in place."""
+    known: dict = defaultdict(count().__next__)
+    place, met, flat = known.__getitem__, [], []
+    for lines in texts:
+        own = [place(t) for t in lines.split("\n") if t]
+        met.append(len(own))
+        flat += own
+    digests = [hashlib.md5(t.encode()).digest() for t in known]
+    bucket = np.array([int.from_bytes(h[:4], "little") % dim for h in digests], dtype=np.int64)
+    sign = np.array([1.0 if h[4] % 2 == 0 else -1.0 for h in digests])
+    term, owner = np.array(flat, dtype=np.int64), np.repeat(np.arange(len(texts)), met)
+    raw = np.bincount(owner * dim + bucket[term], weights=sign[term], minlength=len(texts) * dim).reshape(-1, dim) if len(term) else np.zeros((len(texts), dim))
+    norm = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+    return raw / np.where(norm > 0, norm, 1.0) + 0.0
+
+
 def hash_vectors(df: DataFrame, key: str, text: str, dim: int = 384) -> DataFrame:
-    """(key, embedding): the hashed encoding as a dense vector; a text without terms is the zero vector. A batch's different
-    terms are hashed once, and each text's signs are summed in place, without a shuffle."""
+    """(key, embedding): the hashed encoding as a dense vector; a text without terms is the zero vector. Texts are encoded where
+    they lie, without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, ENCODED):
                 batch = whole.slice(at, ENCODED)
-                known: dict = defaultdict(count().__next__)
-                place, met, flat = known.__getitem__, [], []
-                for lines in batch.column(1).to_pylist():
-                    own = [place(t) for t in lines.split("\n") if t]
-                    met.append(len(own))
-                    flat += own
-                digests = [hashlib.md5(t.encode()).digest() for t in known]
-                bucket = np.array([int.from_bytes(h[:4], "little") % dim for h in digests], dtype=np.int64)
-                sign = np.array([1.0 if h[4] % 2 == 0 else -1.0 for h in digests])
-                term, owner = np.array(flat, dtype=np.int64), np.repeat(np.arange(len(batch)), met)
-                raw = np.bincount(owner * dim + bucket[term], weights=sign[term], minlength=len(batch) * dim).reshape(-1, dim) if len(term) else np.zeros((len(batch), dim))
-                norm = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
-                values = (raw / np.where(norm > 0, norm, 1.0) + 0.0).reshape(-1)
+                values = _hashed(batch.column(1).to_pylist(), dim).reshape(-1)
                 cuts = pa.array(np.arange(len(batch) + 1) * dim, pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(cuts, pa.array(values))], [key, "embedding"])
 
@@ -195,39 +200,56 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 100, cell_bytes: int
     centres until they hold k vectors; its k-th best is a threshold, and it meets those other cells whose bound reaches it.
     Cells of some megabytes have no pivots to speak of: all lie in one. Each block keeps its own k best a query, and a
     window that cuts before its shuffle merges them. Nothing but the pivots and a row a cell goes to the driver."""
+    queries, few = _asked(queries)
+    found = _streamed(queries, vectors.where("embedding IS NOT NULL").select("chunk_id", "embedding"), k) if few else search_pruned(queries, vectors, k, cell_bytes, block_bytes)[0]
+    return _ranked(found, k)
+
+
+def search_texts(queries: DataFrame, texts: DataFrame, k: int = 100, dim: int = 384) -> DataFrame:
+    """search() of queries (qid, embedding) in the hashed encodings of texts (chunk_id, text). Few queries meet a text in the task
+    that encodes it: one worker a task does both, and no vector leaves it."""
+    queries, few = _asked(queries)
+    found = _streamed(queries, texts.select("chunk_id", term_lines(F.col("text")).alias("_t")), k, dim) if few else search_pruned(queries, hash_vectors(texts, "chunk_id", "text", dim), k)[0]
+    return _ranked(found, k)
+
+
+def _asked(queries: DataFrame) -> tuple[DataFrame, bool]:
+    """The queries as a written table, and whether they are FEW_BYTES at most."""
     queries = materialize(queries.where("embedding IS NOT NULL").select("qid", "embedding"), "asked")
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    few = size["n"] * 8 * (size["dim"] or 0) <= FEW_BYTES
-    found = _streamed(queries, vectors, k) if few else search_pruned(queries, vectors, k, cell_bytes, block_bytes)[0]
+    return queries, size["n"] * 8 * (size["dim"] or 0) <= FEW_BYTES
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(best("score", "chunk_id"))).where(F.col("rank") <= k).select("qid", "chunk_id", "rank", "score")
 
 
-def _streamed(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Rows (qid, chunk_id, score) that hold each query's k best; the queries are FEW_BYTES at most."""
+def _streamed(queries: DataFrame, rows: DataFrame, k: int, dim_of_texts: int | None = None) -> DataFrame:
+    """Rows (qid, chunk_id, score) that hold each query's k best of rows (chunk_id, embedding), or with dim_of_texts of rows
+    (chunk_id, term_lines()), which are encoded here; the queries are FEW_BYTES at most."""
     asked = queries.toArrow()
     dim = len(asked.column("embedding")[0]) if len(asked) else 1
     q = np.asarray(asked.column("embedding").combine_chunks().flatten(), dtype="<f8").reshape(len(asked), dim)
-    sent = vectors.sparkSession.sparkContext.broadcast((asked.column("qid").combine_chunks(), q))
-    kinds = dict([*queries.dtypes, *vectors.dtypes])
+    sent = rows.sparkSession.sparkContext.broadcast((asked.column("qid").combine_chunks(), q))
+    kinds = dict([*queries.dtypes, *rows.dtypes])
     text = pa.string() if kinds["chunk_id"] == "string" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = sent.value
-        best, step = Best(len(q), 1, k), max(1, SCORE_BYTES // (8 * max(1, len(q))))
-        for batch in batches:
-            if not batch.num_rows or not len(q):
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            c = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(len(ids), -1)
-            for lo in range(0, len(ids), step):
-                s = q @ c[lo : lo + step].T
+        # As long as no bar is known all products are held: HELD_ROWS at a time, about.
+        best, step = Best(len(q), 1, k), max(1, min(ENCODED, SCORE_BYTES // (8 * max(1, len(q))), HELD_ROWS // max(1, len(q))))
+        for whole in batches:
+            for lo in range(0, whole.num_rows if len(q) else 0, step):
+                batch = whole.slice(lo, step)
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                c = _hashed(batch.column(1).to_pylist(), dim_of_texts) if dim_of_texts else batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(len(ids), -1)
+                s = q @ c.T
                 row, at = np.nonzero(s >= best.bar)
-                best.add(row, ids[lo + at], np.round(s[row, at], 9)[:, None] + 0.0)  # no negative zero
+                best.add(row, ids[at], np.round(s[row, at], 9)[:, None] + 0.0)  # no negative zero
         row, found, score = best.pruned()
         if len(row):
             yield pa.RecordBatch.from_arrays([qids.take(pa.array(row)), pa.array(found, text), pa.array(score[:, 0])], ["qid", "chunk_id", "score"])
 
-    rows = vectors.where("embedding IS NOT NULL").select("chunk_id", "embedding")
     return rows.mapInArrow(run, f"qid {kinds['qid']}, chunk_id {kinds['chunk_id']}, score double")
 
 

@@ -91,3 +91,13 @@ def test_hashed_vectors_are_the_buckets(spark):
         want[r["id"], r["bucket"]] = r["value"]
     for r in dense.hash_vectors(texts, "id", "text").collect():
         assert r["embedding"] == pytest.approx(want[r["id"]].tolist())
+
+
+def test_texts_meet_queries_in_the_task_that_encodes_them(spark):
+    """search_texts() gives the rows of search() over the encodings, ties and texts without terms too, with one worker a task."""
+    texts = spark.createDataFrame([(f"c{i:03}", " ".join(f"w{(i * j) % 13}" for j in range(i % 7))) for i in range(300)] + [("null", None)], "chunk_id string, text string")
+    asked = dense.hash_vectors(spark.createDataFrame([(q, f"w{q} w{q + 1} w{q * 3}") for q in range(5)], "qid long, question string"), "qid", "question")
+    found = dense.search_texts(asked, texts, 40)
+    want = dense.search(asked, dense.hash_vectors(texts, "chunk_id", "text"), 40)
+    assert sorted(found.collect()) == sorted(want.collect())
+    assert [str(x._jdf.queryExecution().optimizedPlan()).count("MapInArrow") for x in (found, want)] == [1, 2]
