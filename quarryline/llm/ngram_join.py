@@ -29,6 +29,7 @@ table gives no rows. Other columns of the input are ignored.
 from __future__ import annotations
 
 import secrets
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -289,7 +290,7 @@ def prefixes(value: np.ndarray, bounds: np.ndarray, listed: np.ndarray, place: n
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percent: int = PERCENT, seed: int = 0) -> DataFrame:
-    """doc_id, n, h1 and h2 (the name of the whole set), point (counts in GROUPS groups as bytes), keys (the prefix), beyond
+    """doc_id, n, h1 and h2 (the name of the whole set), point (counts in GROUPS groups as deflated bytes), keys (the prefix), beyond
     (the shingle after it) and the further columns of docs."""
     place = np.argsort(frequent).astype(np.uint32)
     sent = docs.sparkSession.sparkContext.broadcast((frequent[place], place))
@@ -303,7 +304,8 @@ def signatures(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percen
         group = owner * GROUPS + (value >> np.uint64(40)).astype(np.int64) % GROUPS
         points = np.bincount(group, minlength=(len(bounds) - 1) * GROUPS).reshape(-1, GROUPS)
         wide = points.max(axis=1, initial=0)
-        point = [p.astype("<u1" if w < 256 else "<u2" if w < 65536 else "<u4").tobytes() for p, w in zip(points, wide, strict=True)]
+        # Deflated: counts are small, and shuffles compress a row's copies worse the more tasks they go to.
+        point = [zlib.compress(p.astype("<u1" if w < 256 else "<u2" if w < 65536 else "<u4").tobytes(), 1) for p, w in zip(points, wide, strict=True)]
         return {"doc_id": cols["doc_id"], "n": np.diff(bounds), "h1": h1, "h2": h2, "point": point, "keys": keys, "beyond": after}
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -359,6 +361,7 @@ def _points(raws: list[bytes]) -> np.ndarray:
     """A row of counts a point; one byte a count where that is enough for all."""
     if not raws:
         return np.zeros((0, GROUPS), dtype=np.uint8)
+    raws = [zlib.decompress(r) for r in raws]
     if all(len(r) == GROUPS for r in raws):
         return np.frombuffer(b"".join(raws), dtype=np.uint8).reshape(-1, GROUPS)
     return np.stack([np.frombuffer(r, dtype=f"<u{len(r) // GROUPS}").astype(np.int32) for r in raws])
