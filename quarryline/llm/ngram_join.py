@@ -30,10 +30,9 @@ from __future__ import annotations
 
 import secrets
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +43,9 @@ WORDS, PERCENT = 5, 80
 GROUPS = 512
 FANOUT = 16
 BLOCK = 2048
+#: Rows that a task of the tree search takes at once, pairs of point and row that go down a tree together, and pairs whose bounds are
+#: found at once, about.
+SEARCHED_ROWS, SEARCHED, BOUNDED = 1 << 14, 1 << 18, 1 << 12
 #: Pairs that a task of the tree search gathers before it drops repeated ones and sends them on.
 HELD_PAIRS = 500_000
 ROUNDS = 3
@@ -158,9 +160,9 @@ class CountTree:
     """An R-tree over count vectors, packed bottom-up. Nodes keep coordinate maxima and the range of sizes."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, fanout: int = FANOUT):
-        self.points, self.sizes = points.astype(np.int32), sizes.astype(np.int64)
+        self.points, self.sizes = points, sizes.astype(np.int64)
         # Packing order: by size, then by the widest coordinates' counts, so that neighbours resemble each other.
-        wide = np.argsort(-self.points.var(axis=0), kind="stable")[:3] if len(points) else []
+        wide = np.argsort(-self.points.var(axis=0, dtype=np.float32), kind="stable")[:3] if len(points) else []
         self.order = np.lexsort([*(self.points[:, w] for w in wide[::-1]), self.sizes // 16])
         p, lo, hi = self.points[self.order], self.sizes[self.order], self.sizes[self.order]
         self.levels = [(p, lo, hi)]
@@ -170,56 +172,96 @@ class CountTree:
             self.levels.append((p, lo, hi))
         self.fanout = fanout
 
-    def search(self, point: np.ndarray, size: int, percent: int = PERCENT) -> np.ndarray:
-        """Rows whose sizes fit and whose bound on the overlap reaches what the sizes need."""
-        at = np.arange(len(self.levels[-1][0]))
-        for depth in range(len(self.levels) - 1, -1, -1):
-            p, lo, hi = self.levels[depth]
-            at = at[(100 * hi[at] >= percent * size) & (percent * lo[at] <= 100 * size)]
-            bound = np.minimum(p[at], point).sum(axis=1)
-            at = at[bound >= needed_overlap(size, lo[at], percent)]
-            if depth:
-                at = (at[:, None] * self.fanout + np.arange(self.fanout)).reshape(-1)
-                at = at[at < len(self.levels[depth - 1][0])]
-        return self.order[at]
+    def search(self, points: np.ndarray, sizes: np.ndarray, percent: int = PERCENT, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of points, rows of the tree and the bounds on their overlaps, where sizes fit and the bound reaches what the sizes
+        need. All points go down the tree together, SEARCHED pairs of point and row at most. wanted(points, rows) leaves pairs out."""
+        found = []
+        step = max(1, SEARCHED // max(1, len(self.sizes)))
+        for begin in range(0, len(points), step):
+            own = np.arange(begin, min(begin + step, len(points)))
+            of, at = (x.reshape(-1) for x in np.meshgrid(own, np.arange(len(self.levels[-1][0])), indexing="ij"))
+            for depth in range(len(self.levels) - 1, -1, -1):
+                p, lo, hi = self.levels[depth]
+                keep = (100 * hi[at] >= percent * sizes[of]) & (percent * lo[at] <= 100 * sizes[of])
+                of, at = of[keep], at[keep]
+                if not depth and wanted is not None:
+                    keep = wanted(of, self.order[at])
+                    of, at = of[keep], at[keep]
+                bound = overlap_bounds(p, at, points, of)
+                keep = bound >= needed_overlap(sizes[of], lo[at], percent)
+                of, at, bound = of[keep], at[keep], bound[keep]
+                if depth:
+                    of, at = np.repeat(of, self.fanout), (at[:, None] * self.fanout + np.arange(self.fanout)).reshape(-1)
+                    keep = at < len(self.levels[depth - 1][0])
+                    of, at = of[keep], at[keep]
+            found.append((of, self.order[at], bound))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 3
+
+
+def overlap_bounds(u: np.ndarray, i: np.ndarray, v: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sums of coordinate minima of the rows i of u and j of v."""
+    out = np.empty(len(i), dtype=np.int64)
+    for lo in range(0, len(i), BOUNDED):
+        part = slice(lo, lo + BOUNDED)
+        out[part] = np.minimum(u[i[part]], v[j[part]]).sum(axis=1, dtype=np.int32)
+    return out
+
+
+def likeliest_of(left: np.ndarray, right: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Places of the pairs of the largest share, one a right row."""
+    order = np.lexsort((left, -share, right))
+    return order[np.flatnonzero(np.diff(right[order], prepend=-1))]
+
+
+def node_pairs(cut: np.ndarray, comps: np.ndarray, sizes: np.ndarray, points: Callable[[np.ndarray], np.ndarray], side: np.ndarray, keys: np.ndarray, low: np.ndarray, percent: int = PERCENT, likeliest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """block_pairs() of many blocks of one node each (FANOUT rows at most): block i has the rows from cut[0][i] to cut[1][i]. points(rows)
+    gives the rows' points; it is asked for those alone whose pairs are still in doubt."""
+    begin, end = cut
+    many = end - begin
+    row = np.arange(many.sum()) + np.repeat(begin - (np.cumsum(many) - many), many)
+    ahead = np.repeat(end, many) - row - 1
+    a = np.repeat(row, ahead)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(ahead) - ahead, ahead)
+    second = np.concatenate([[0], np.cumsum(side)])
+    second = second[end] - second[begin]
+    two = np.repeat(np.repeat((second > 0) & (second < many), many), ahead)
+    keep = (comps[a] != comps[b]) & (~two | (side[a] != side[b])) & (100 * sizes[a] >= percent * sizes[b]) & (100 * sizes[b] >= percent * sizes[a])
+    a, b, two = a[keep], b[keep], two[keep]
+    new = ~meets_before(keys[a], low[a], low[b])
+    a, b, two = a[new], b[new], two[new]
+    turned = two & (side[a] > side[b])
+    a, b = np.where(turned, b, a), np.where(turned, a, b)
+    rows, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    held = points(rows)
+    bound = overlap_bounds(held, place[: len(a)], held, place[len(a) :])
+    keep = bound >= needed_overlap(sizes[a], sizes[b], percent)
+    a, b, bound = a[keep], b[keep], bound[keep]
+    if likeliest:
+        keep = likeliest_of(a, b, bound / (sizes[a] + sizes[b] - bound))
+        a, b = a[keep], b[keep]
+    return a, b
 
 
 def block_pairs(comps: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: np.ndarray, percent: int = PERCENT, key: int = 0, low: np.ndarray | None = None, likeliest: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Surviving pairs of rows (places in the block) in different components; with two sides, only across them. With the rows'
     least keys (low), pairs that meet before this key's block are left out. likeliest keeps one pair a right row, that of the
     largest bound."""
-
-    def kept(i: np.ndarray, j: np.ndarray, bound: np.ndarray | None) -> np.ndarray:
-        """The left rows of right row j to keep, of its candidates i."""
-        if low is not None and len(i):
-            new = ~meets_before(np.full(len(i), key), low[i], low[np.full(len(i), j)])
-            i, bound = i[new], bound if bound is None else bound[new]
-        if likeliest and len(i) > 1:
-            bound = np.minimum(points[i], points[j]).sum(axis=1, dtype=np.int64) if bound is None else bound
-            i = i[[np.argmax(bound / (sizes[i] + sizes[j] - bound))]]
-        return i
-
-    left, right = [], []
     both = side.min() != side.max()
     inner, outer = (np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())) if both else (np.arange(len(comps)),) * 2
-    if len(inner) * len(outer) <= 256:  # a small block is one node
-        a, b = (x.reshape(-1) for x in np.meshgrid(inner, outer, indexing="ij"))
-        keep = (comps[a] != comps[b]) & (both | (a < b)) & (100 * sizes[a] >= percent * sizes[b]) & (100 * sizes[b] >= percent * sizes[a])
-        a, b = a[keep], b[keep]
-        bound = np.minimum(points[a], points[b]).sum(axis=1, dtype=np.int64)
-        keep = bound >= needed_overlap(sizes[a], sizes[b], percent)
-        a, b, bound = a[keep], b[keep], bound[keep]
-        for j in np.unique(b):
-            left.append(kept(a[b == j], j, bound[b == j]))
-            right.append(np.full(len(left[-1]), j))
-    else:
-        tree = CountTree(points[inner], sizes[inner])
-        for j in outer:
-            i = inner[tree.search(points[j].astype(np.int32), int(sizes[j]), percent)]
-            left.append(kept(i[(comps[i] != comps[j]) & (both | (i < j))], j, None))
-            right.append(np.full(len(left[-1]), j))
-    zero = np.zeros(0, dtype=np.int64)
-    return np.concatenate([zero, *left]).astype(np.int64), np.concatenate([zero, *right]).astype(np.int64)
+
+    def wanted(j: np.ndarray, i: np.ndarray) -> np.ndarray:
+        i, j = inner[i], outer[j]
+        keep = (comps[i] != comps[j]) & (both | (i < j))
+        if low is not None:
+            keep[keep] = ~meets_before(np.full(int(keep.sum()), key), low[i[keep]], low[j[keep]])
+        return keep
+
+    j, i, bound = CountTree(points[inner], sizes[inner]).search(points[outer], sizes[outer], percent, wanted)
+    i, j = inner[i], outer[j]
+    if likeliest:
+        keep = likeliest_of(i, j, bound / (sizes[i] + sizes[j] - bound))
+        i, j = i[keep], j[keep]
+    return i, j
 
 
 def frequent_shingles(docs: DataFrame, words: int = WORDS, seed: int = 0) -> np.ndarray:
@@ -537,45 +579,56 @@ def tree_pairs(rows: DataFrame, percent: int = PERCENT, likeliest: bool = False)
     dealt = dealt.select("key", "second", "rep", "comp", "n", "point", *lows, F.col("x.p").alias("p"), F.col("x.q").alias("q"), (F.col("own") == F.col("x.p")).alias("first"))
     grouped = dealt.repartition("key", "second", "p", "q").sortWithinPartitions("key", "second", "p", "q")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
-
-        def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-            ids, comps = frame["rep"].to_numpy(), frame["comp"].to_numpy()
-            sizes = frame["n"].to_numpy()
-            points = _points(frame["point"].tolist())
-            side = (~frame["first"].to_numpy(dtype=bool)).astype(np.int64)
-            block = frame[["key", "second", "p", "q"]].to_numpy()
-            low = frame[lows].to_numpy()
-            cut = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]).any(axis=1), [True]]))
-            a, b = [], []
-            for lo, hi in zip(cut, cut[1:], strict=False):
-                if hi - lo > 1 and comps[lo:hi].min() != comps[lo:hi].max():
-                    x, y = block_pairs(comps[lo:hi], sizes[lo:hi], points[lo:hi], side[lo:hi], percent, block[lo, 0], low[lo:hi], likeliest)
-                    x, y = ids[lo:hi][x], ids[lo:hi][y]
-                    a.append(np.minimum(x, y))
-                    b.append(np.maximum(x, y))
-            zero = np.zeros(0, dtype=np.int64)
-            return pd.DataFrame({"a": np.concatenate([zero, *a]), "b": np.concatenate([zero, *b])})
-
-        held, size = [], 0
-        for frame in frames:  # a block may go on in the next frame
-            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            last = frame.iloc[-1] if len(frame) else None
-            same = (frame["key"] == last["key"]) & (frame["second"] == last["second"]) & (frame["p"] == last["p"]) & (frame["q"] == last["q"]) if last is not None else None
-            rest = frame[same] if same is not None else None
-            if same is not None and not same.all():
-                held.append(pairs(frame[~same]))
-                size += len(held[-1])
-            if size > HELD_PAIRS:  # pairs share many keys
-                yield pd.concat(held).drop_duplicates()
+    def pairs(rows: pa.Table) -> list[np.ndarray]:
+        """Pairs (a, b, in two rows) of whole blocks."""
+        ids, comps, sizes, keys = (rows.column(c).to_numpy() for c in ("rep", "comp", "n", "key"))
+        side = (~rows.column("first").to_numpy()).astype(np.int64)
+        low = np.stack([rows.column(c).to_numpy() for c in lows], axis=1)
+        raws = rows.column("point").combine_chunks()
+        points = lambda at: _points(raws.take(pa.array(at)).to_pylist())
+        edge = _edges(rows)
+        mixed = np.minimum.reduceat(comps, edge[:-1]) != np.maximum.reduceat(comps, edge[:-1])
+        begin, end = edge[:-1][mixed], edge[1:][mixed]
+        node = end - begin <= FANOUT
+        out = [np.stack(node_pairs((begin[node], end[node]), comps, sizes, points, side, keys, low, percent, likeliest))]
+        for lo, hi in zip(begin[~node].tolist(), end[~node].tolist(), strict=True):
+            at = slice(lo, hi)
+            out.append(lo + np.stack(block_pairs(comps[at], sizes[at], points(np.arange(lo, hi)), side[at], percent, keys[lo], low[at], likeliest)))
+        return [np.sort(ids[x], axis=0) for x in out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, waiting, n = [], 0, [], 0
+
+        def sent() -> pa.RecordBatch:
+            both = np.unique(np.concatenate(held, axis=1), axis=1)  # pairs share many keys
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+        for batch in batches:
+            waiting.append(batch)
+            n += batch.num_rows
+            if n < SEARCHED_ROWS:
+                continue
+            rows = pa.Table.from_batches(waiting)
+            last = int(_edges(rows)[-2])  # this block may go on in the next batch
+            if last:
+                held += pairs(rows.slice(0, last))
+                size = sum(x.shape[1] for x in held)
+            waiting, n = rows.slice(last).to_batches(), rows.num_rows - last
+            if size > HELD_PAIRS:
+                yield sent()
                 held, size = [], 0
-        if rest is not None and len(rest):
-            held.append(pairs(rest))
+        if n:
+            held += pairs(pa.Table.from_batches(waiting))
         if held:
-            yield pd.concat(held).drop_duplicates()
+            yield sent()
+
+    return grouped.select("key", "second", "rep", "comp", "n", "point", *lows, "p", "q", "first").mapInArrow(run, "a long, b long")
+
 
-    return grouped.select("key", "second", "rep", "comp", "n", "point", *lows, "p", "q", "first").mapInPandas(run, "a long, b long")
+def _edges(rows: pa.Table) -> np.ndarray:
+    """Where the blocks of rows sorted by block begin, and the rows' number."""
+    block = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("key", "second", "p", "q")], axis=1)
+    return np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]).any(axis=1), [True]]))
 
 
 def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
