@@ -15,16 +15,23 @@ are, and top_tf and least_dl bound it in a block:
 2. Terms whose bounds together stay under the threshold cannot bring an article in. The others' postings are scored,
    without blocks whose own bound and the other terms' bounds stay under it.
 3. Articles whose sum and the left-out terms' bounds reach the threshold are completed from the blocks that they lie in.
+
+Many questions whose terms lie in most articles leave nothing out. They go over the forward table instead, once and all together:
+its rows hold an article's terms, so each is scored whole in the task that reads it, and each task sends on its k best a question.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.operators.lexical import B, K1, best, entries, query_terms, term_score
+from quarryline.operators.lexical import B, K1, NUMBERED_TERMS, best, entries, query_terms, scored_entries, term_score
 from quarryline.session import materialize
 
 #: Buckets of terms: one for so many articles, between these.
@@ -37,6 +44,8 @@ ENOUGH, NAMED_TERMS = 4, 1000
 TRIED = 2
 #: Rounds in which articles are completed by the weaker terms.
 ROUNDS = 3
+#: Terms of questions that an average article has, counted a question, from which the forward table is read instead of blocks.
+SCANNED = 20
 #: Sums of doubles differ in their last digits: what is nearer to a threshold counts as reaching it.
 MARGIN = 1e-7
 
@@ -200,10 +209,41 @@ def search_scored(questions: DataFrame, index: Index, k: int, k1: float = K1, b:
     raise AssertionError
 
 
+def scanned(questions: DataFrame, index: Index, k: int, k1: float = K1, b: float = B) -> DataFrame | None:
+    """(qid, aid, bm25_score) that hold each question's k best, from one pass over the forward table; None where the questions' terms
+    lie in few articles, are too many to number, or an id has several rows."""
+    q = materialize(weighted(questions, index).select("qid", "term", "df", (F.col("qtf") * F.col("idf")).alias("weight")), "scan_weights")
+    size = q.agg(F.sum("df").alias("met"), F.countDistinct("term").alias("terms")).first()
+    if (size["met"] or 0) < SCANNED * index.n or size["terms"] > NUMBERED_TERMS:
+        return None
+    known = materialize(q.select("term").distinct().withColumn("number", F.row_number().over(Window.orderBy("term")) - 1), "numbers")  # NUMBERED_TERMS at most
+    sent = questions.sparkSession.sparkContext.broadcast(known.orderBy("number").toArrow().column("term").combine_chunks())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            held = lists.flatten()
+            number = pc.index_in(held.field("term"), value_set=sent.value)
+            keep = number.is_valid()
+            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[keep.to_numpy(zero_copy_only=False)]
+            cuts = pa.array(np.searchsorted(owner, np.arange(len(lists) + 1)), pa.int32())
+            met = [pa.ListArray.from_arrays(cuts, x.filter(keep).cast(pa.int32())) for x in (number, held.field("tf"))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *met], ["aid", "dl", "numbers", "tfs"])
+
+    kind = dict(index.documents.dtypes)["aid"]
+    rows = materialize(index.documents.select("aid", "dl", "entries").mapInArrow(run, f"aid {kind}, dl int, numbers array<int>, tfs array<int>"), "scanned_entries")
+    if not rows.groupBy("aid").count().where("count > 1").isEmpty():
+        return None
+    weights = materialize(q.join(known, "term").select("qid", "number", "weight"), "numbered_weights")
+    return scored_entries(rows, weights, dict(qid=dict(questions.dtypes)["qid"], aid=kind), index.avgdl, [(k1, b)], k).withColumnRenamed("s0", "bm25_score")
+
+
 def search(questions: DataFrame, index: Index, k: int = 100, k1: float = K1, b: float = B, fill: bool = True) -> DataFrame:
     """(qid, aid, rank, bm25_score): the k best articles a question. With fill, articles without a shared term follow with
     score 0 in order of their id, so every question has min(k, articles) rows."""
-    found = search_scored(questions, index, k, k1, b).rows
+    found = scanned(questions, index, k, k1, b)
+    if found is None:
+        found = search_scored(questions, index, k, k1, b).rows
     top = found.withColumn("rank", F.row_number().over(best("bm25_score"))).where(F.col("rank") <= k).select("qid", "aid", "rank", "bm25_score")
     if not fill:
         return top

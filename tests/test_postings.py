@@ -67,3 +67,17 @@ def test_counted_terms(spark):
     df = spark.createDataFrame([(["b", "a", "b", "é", "b"],), ([],), (["x"],), (None,)], "t array<string>")
     got = [[tuple(e) for e in r["c"]] for r in df.select(counted(F.col("t")).alias("c")).collect()]
     assert got == [[("a", 1), ("b", 3), ("é", 1)], [], [("x", 1)], []]
+
+
+def test_many_questions_read_the_forward_table_once(tables, monkeypatch):
+    """The whole benchmark's words lie in most articles: scores come from one pass, and are those of the blocks; few questions and
+    ids of several rows stay with the blocks."""
+    q, a, index = tables
+    best = lambda k: rows(postings.search(q, index, k))
+    assert postings.scanned(q, index, 10) is not None
+    found = best(10)
+    assert postings.scanned(q.limit(1), index, 10) is None
+    twice = postings.Index(index.documents.unionByName(index.documents), index.blocks, index.terms, index.n, index.avgdl, index.buckets)
+    assert postings.scanned(q, twice, 10) is None
+    monkeypatch.setattr(postings, "SCANNED", float("inf"))
+    assert best(10) == found
