@@ -31,12 +31,15 @@ TEMPERATURE = 0.05
 RATE = 0.003
 #: One question in so many is held out to choose the epoch.
 HELD_OUT = 8
+#: Batches that a task decodes at once: 5 MB of vectors of 384 numbers, about.
+DECODED = 16
 
 Encode = Callable[[DataFrame, str, str], DataFrame]
 
 
-def batches(triplets: DataFrame, encode: Encode = dense.hash_vectors, size: int = BATCH) -> DataFrame:
-    """(held, batch, rows): about size triplets each with the vectors of their three texts. Questions are held out whole."""
+def batches(triplets: DataFrame, encode: Encode = dense.hash_vectors, size: int = BATCH, steps: int = STEPS) -> DataFrame:
+    """(held, step, batch, rows): about size triplets each with the vectors of their three texts, written by held and step, so that a
+    step reads its own batches alone. Questions are held out whole."""
     asked = triplets.select(F.col("qid").alias("id"), F.col("query").alias("text")).dropDuplicates(["id"])
     passages = triplets.select(F.col("positive_chunk_id").alias("id"), F.col("positive").alias("text"))
     passages = passages.unionByName(triplets.select(F.col("negative_chunk_id").alias("id"), F.col("negative").alias("text"))).dropDuplicates(["id"])
@@ -46,12 +49,12 @@ def batches(triplets: DataFrame, encode: Encode = dense.hash_vectors, size: int
     told = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("qid", "pid", "nid")]
     ids = ids.withColumn("h", F.xxhash64(*told)).withColumn("held", F.pmod(F.xxhash64(told[0], F.lit("held")), F.lit(HELD_OUT)) == 0)
     count = -(-ids.count() // size)
-    ids = ids.withColumn("batch", F.pmod("h", F.lit(max(count, 1))))
+    ids = ids.withColumn("batch", F.pmod("h", F.lit(max(count, 1)))).withColumn("step", F.pmod("batch", F.lit(steps)).cast("int"))
     for key, name, vectors in (("qid", "q", of_asked), ("pid", "p", of_passages), ("nid", "n", of_passages)):
         ids = ids.join(vectors.select(F.col("id").alias(key), F.col("v").alias(name)), key)
     told = [F.col(c).cast("string").alias(c) for c in ("qid", "pid", "nid")]
-    rows = ids.groupBy("held", "batch").agg(F.sort_array(F.collect_list(F.struct("h", *told, "q", "p", "n"))).alias("rows"))  # about size rows
-    out = materialize(rows, "retriever_batches")
+    rows = ids.groupBy("held", "step", "batch").agg(F.sort_array(F.collect_list(F.struct("h", *told, "q", "p", "n"))).alias("rows"))  # about size rows
+    out = materialize(rows, "retriever_batches", ("held", "step"), DECODED)
     for used in (of_asked, of_passages):
         discard(used)
     return out
@@ -120,7 +123,7 @@ def _measured(rows: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray, int]:
 def train(triplets: DataFrame, encode: Encode = dense.hash_vectors, epochs: int = EPOCHS, steps: int = STEPS, rate: float = RATE) -> DataFrame:
     """(row, weights, epoch, held_loss): the projection, a row of the matrix each, the epoch that it is of (0: the identity) and
     the mean loss of held-out questions then. Where no question is held out the last epoch's is kept."""
-    rows = batches(triplets, encode)
+    rows = batches(triplets, encode, steps=steps)
     first = rows.select(F.size(F.element_at("rows.q", 1)).alias("dim")).first()
     if first is None:
         raise ValueError("a retriever is trained on triplets: there are none")
@@ -131,7 +134,7 @@ def train(triplets: DataFrame, encode: Encode = dense.hash_vectors, epochs: int
     best = (judge(w), 0, w)
     for epoch in range(1, epochs + 1):
         for step in range(steps):
-            _, slope, n = _measured(learnt.where(F.pmod("batch", F.lit(steps)) == step), w)
+            _, slope, n = _measured(learnt.where(F.col("step") == step), w)
             if not n:
                 continue
             # Adam: first and second moments of the gradient, corrected for their start at zero.

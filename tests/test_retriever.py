@@ -1,10 +1,12 @@
 """The retriever's gradient against differences, and its ranks on questions that it has not seen."""
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from quarryline.operators import dense, retriever
+from quarryline.plans import catalogue
 
 SHAPE = "qid int, query string, positive string, negative string, positive_chunk_id string, negative_chunk_id string"
 
@@ -66,3 +68,30 @@ def test_batches_hold_each_triplet_once(spark, triplets):
     assert len(flat) == 240 == len({tuple(r)[1:] for r in flat}) and 0 < sum(r["held"] for r in flat) < 100
     with pytest.raises(ValueError, match="triplets"):
         retriever.train(triplets.limit(0))
+
+
+def test_few_batches_are_decoded_at_once_and_a_step_reads_its_own(spark, triplets):
+    """Spark's reader decodes a row group of up to 4096 batches at once: of 64 triplets, over a GB a task."""
+    rows = retriever.batches(triplets, size=2, steps=2)
+    files = [path.removeprefix("file:") for path in rows.inputFiles()]
+    groups = [f.metadata.row_group(i).num_rows for f in map(pq.ParquetFile, files) for i in range(f.num_row_groups)]
+    assert sum(groups) == rows.count() > 2 * retriever.DECODED and max(groups) <= retriever.DECODED
+    learnt = rows.where("NOT held AND step = 1")
+    assert {r["file"].split("/held=")[1].split("/part")[0] for r in learnt.select(F.input_file_name().alias("file")).collect()} == {"false/step=1"}
+    assert learnt.where("batch % 2 <> 1").isEmpty() and rows.columns == ["held", "step", "batch", "rows"]
+
+
+def test_scores_are_those_of_each_triplet(spark, triplets, monkeypatch):
+    """Passages stand in triplets of several questions, one without text, and a triplet comes twice: each has its own row and cosines."""
+    few = triplets.limit(20)
+    crossed = few.withColumns({"positive": F.lit("w1 w2 x3"), "positive_chunk_id": F.lit("n0"), "negative": F.lit(""), "negative_chunk_id": F.lit("void")})
+    rows = few.where("qid <> 0").unionByName(crossed).unionByName(few.where("qid = 1"))
+    identity = spark.createDataFrame([(i, row.tolist(), 0, 0.0) for i, row in enumerate(np.eye(384))], "row int, weights array<double>, epoch int, held_loss double")
+    monkeypatch.setattr(catalogue, "passages", lambda s, d: None)
+    monkeypatch.setattr(catalogue.negatives, "triplets", lambda _: rows)
+    monkeypatch.setattr(retriever, "train", lambda _: identity)
+    got = sorted((r["qid"], r["positive_chunk_id"], r["negative_chunk_id"], r["positive_score"], r["negative_score"]) for r in catalogue.QUERIES["retriever_scores"](spark, "").collect())
+    cosine = lambda a, b: round(float(np.dot(*dense._hashed(["\n".join(x.split()) for x in (a, b)], 384))), 6)
+    wanted = sorted((r["qid"], r["positive_chunk_id"], r["negative_chunk_id"], cosine(r["query"], r["positive"]), cosine(r["query"], r["negative"])) for r in rows.collect())
+    assert len(got) == 40 and [r[:3] for r in got] == [r[:3] for r in wanted]
+    assert [r[3:] for r in got] == [pytest.approx(r[3:], abs=2e-6) for r in wanted]
